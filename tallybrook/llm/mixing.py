@@ -58,7 +58,7 @@ def budgets(leaves: DataFrame, path: Sequence[str], weights: Mapping[str, int],
         name = F.concat_ws("/", *level)
         caps = caps.withColumn("__w", F.coalesce(F.try_element_at(table, name), F.lit(1)))
         got = share(caps.withColumn("__one", F.lit(1)), above or ["__one"], level[-1], f"__b{depth}", f"__b{depth + 1}")
-        out = out.join(got.select(*level, f"__b{depth + 1}"), level)
+        out = staged(out.join(got.select(*level, f"__b{depth + 1}"), level), "mix-level")  # else each level's plan holds the one above twice
     return out.withColumnRenamed(f"__b{len(path)}", "__budget")
 
 

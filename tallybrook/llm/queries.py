@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, mixing, sharding
-from tallybrook.llm.common import table
+from tallybrook.llm import chat, jaccard, mixing, quality, sharding, vptree
+from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
 
@@ -93,9 +93,39 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+# ---- quality ----
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = quality.classify(docs, labels.filter(remainder("doc_id", 3) != 1))
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+# ---- nearest neighbours ----
+
+#: Share of its k-th best distance within which a query still looks into a branch; recall against brute force is in the README.
+ANN_FACTOR = 0.9
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5, ANN_FACTOR)
+
+
+# ---- similarity join ----
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_chat_rotation": op4_chat_rotation,
     "op6_sharding": op6_sharding,
+    "op7_neighbours": op7_neighbours,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL}
