@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, jaccard, mixing, quality, sharding, vptree
+from tallybrook.llm import chat, hmm, jaccard, mixing, quality, sharding, vptree
 from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
@@ -120,10 +120,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+# ---- language model ----
+
+
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1, seed=5)
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_chat_rotation": op4_chat_rotation,
     "op6_sharding": op6_sharding,
+    "op5_hmm": op5_hmm,
     "op7_neighbours": op7_neighbours,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
