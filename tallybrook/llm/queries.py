@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, hmm, jaccard, mixing, quality, sharding, vptree
+from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, quality, sharding, vptree
 from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
@@ -127,7 +127,16 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 1, seed=5)
 
 
+# ---- fingerprints ----
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = iblt.fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", iblt.digest("own").alias("fingerprint"), iblt.digest("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_chat_rotation": op4_chat_rotation,
     "op6_sharding": op6_sharding,
