@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,27 @@ def remainder(c: str, mod: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of a filter of hashes: a fixed 2 MB. A full one lets everything through, so it saves shuffling but changes no result.
+FILTER_BITS = 1 << 24
+
+
+def filter_bit(c: Column | str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+
+def bit_filter(values: DataFrame, c: str) -> Column:
+    """A condition on column ``c`` of another table that holds for all of ``values``' and for few other values."""
+    bits = values.select(filter_bit(c).alias("b")).groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x"))
+    words = bits.toPandas()  # FILTER_BITS / 32 rows at most
+    full = np.zeros(FILTER_BITS // 32, np.uint32)
+    full[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
+    held = values.sparkSession.sparkContext.broadcast(full)
+
+    @F.pandas_udf("boolean")
+    def among(b: pd.Series) -> pd.Series:
+        at = b.to_numpy(np.int64)
+        return pd.Series((held.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return among(filter_bit(c))

@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallybrook.llm.common import staged, unstage
+from tallybrook.llm.common import bit_filter, staged
 from tallybrook.llm.components import connected
 
 #: Shingles that are put last in the global order: the most frequent within batches. Any order gives the same links.
 FREQUENT, FREQUENT_IN_BATCH = 50_000, 3
-#: Bits of the filter of candidate documents, a fixed 2 MB; a full one lets every document through.
-FILTER_BITS = 1 << 24
 #: Texts that are checked against one copy of another.
 CHUNK = 256
 #: Words a task remembers the hashes of.
@@ -113,19 +111,8 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int,
     """The pairs (u, v) of ids whose texts have the similarity."""
     pairs = pairs.withColumn("chunk", F.floor((F.pmod(F.xxhash64("v"), F.lit(1 << 20)) * F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / CHUNK))) / (1 << 20)))
     pairs = staged(pairs.select("u", "v", "chunk"), "pairs")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array(bit("u"), bit("v"))).alias("b"))
-    words = ids.groupBy((F.col("b") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x")).toPandas()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def wanted(b: pd.Series) -> pd.Series:
-        b = b.to_numpy(np.int64)
-        return pd.Series((held.value[b >> 5] >> (b & 31).astype(np.uint32)) & 1 == 1)
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null").filter(wanted(bit("id")))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null").filter(bit_filter(ids, "id"))
     heads = rows.join(pairs.select("u", "chunk").distinct(), F.col("id") == F.col("u")).select("u", "chunk", F.lit(None).cast("long").alias("v"), "t")
     tails = rows.join(pairs, F.col("id") == F.col("v")).select("u", "chunk", "v", "t")
 

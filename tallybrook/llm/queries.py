@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, quality, sharding, vptree
+from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, quality, sharding, suffix, vptree
 from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
@@ -135,6 +135,22 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", iblt.digest("own").alias("fingerprint"), iblt.digest("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+# ---- repeated strings ----
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some, none = suffix.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    facts = lambda df, rest: df.withColumn("rest", rest).select(
+        "doc_id",
+        F.octet_length(raw).cast("long").alias("n_bytes"),
+        F.aggregate("repeat_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"),
+        F.size("repeat_spans").cast("long").alias("n_spans"),
+        F.sha2("rest", 256).alias("kept_sha256"),
+    )
+    return facts(some, suffix.kept("text", "repeat_spans")).unionByName(facts(none, raw))
+
+
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
@@ -142,6 +158,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op5_hmm": op5_hmm,
     "op7_neighbours": op7_neighbours,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
 }
