@@ -43,19 +43,23 @@ class Words(dict):
         return h
 
 
+def grams(t: np.ndarray, width: int) -> np.ndarray:
+    n = len(t)
+    w = min(n, width)
+    h = np.full(n - w + 1, w, np.uint64)
+    for i in range(w):
+        h = (h ^ t[i : n - w + 1 + i]) * np.uint64(MIX[i % len(MIX)])
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def shingles(text: str | None, known: Words, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word ``width``-grams; of the whole sequence where it is shorter; none without words."""
     tokens = (text or "").encode().lower().split()
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    t = np.fromiter(map(known.__getitem__, tokens), np.uint64, n)
-    w = min(n, width)
-    h = np.full(n - w + 1, w, np.uint64)
-    for i in range(w):
-        h = (h ^ t[i : n - w + 1 + i]) * np.uint64(MIX[i % len(MIX)])
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return np.unique(grams(np.fromiter(map(known.__getitem__, tokens), np.uint64, n), width))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -68,12 +72,15 @@ def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
         for b in batches:
-            sets = {s.tobytes(): s for s in (shingles(t, known, width) for t in b["__t"].tolist())}
-            if sets:
-                h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                top = np.flatnonzero(n >= FREQUENT_IN_BATCH)
-                top = top[np.argsort(-n[top], kind="stable")[:FREQUENT]]
-                yield pd.DataFrame({"h": h[top].view(np.int64), "n": n[top]})
+            texts = list(dict.fromkeys(t for t in b["__t"].tolist() if t))
+            # grams across the ends of texts are counted too: they are rare, and any order will do
+            tokens = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (t.encode().lower().split() for t in texts)]
+            h = np.sort(grams(np.concatenate(tokens), width)) if tokens else np.zeros(0, np.uint64)
+            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([edges, [len(h)]]))
+            top = np.flatnonzero(n >= FREQUENT_IN_BATCH)
+            top = top[np.argsort(-n[top], kind="stable")[:FREQUENT]]
+            yield pd.DataFrame({"h": h[edges[top]].view(np.int64), "n": n[top]})
 
     got = docs.select(F.col(text).alias("__t")).mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = got.orderBy(F.col("n").desc(), "h").limit(FREQUENT).select("h").toPandas()
@@ -154,8 +161,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     hits = staged(hits.filter("least <> most").select("h", F.col("group_key").alias("g"), "least").distinct(), "shared")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"))
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    stars = hits.filter("g <> least").select("g", "least").distinct().join(heads.select("g", "head", "n"), "g")
-    stars = stars.join(heads.select(F.col("g").alias("least"), F.col("head").alias("head2"), F.col("n").alias("n2")), "least").filter(fits)
+    # sets that share c prefix shingles share c + ceil(t n) - 1 at most, n being the larger size
+    count = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * (shared - 1 + ({percent} * greatest(n, n2) + 99) div 100) >= {percent} * (n + n2)"
+    stars = hits.filter("g <> least").groupBy("g", "least").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1").join(heads.select("g", "head", "n"), "g")
+    stars = stars.join(heads.select(F.col("g").alias("least"), F.col("head").alias("head2"), F.col("n").alias("n2")), "least").filter(count)
     inner = nodes.join(heads.filter("members > 1").select("g", "head"), "g").filter("node <> head")
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     first = ordered(stars.select(F.col("head").alias("a"), F.col("head2").alias("b")).unionByName(inner.select(F.col("head").alias("a"), F.col("node").alias("b"))))
@@ -167,7 +176,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     there = hits.select("h", "g").join(joined.select("g", "node", "n", "c"), "g").withColumn("x", F.min("c").over(Window.partitionBy("h"))).withColumn("y", F.max("c").over(Window.partitionBy("h"))).filter("x <> y")
     left = staged(here.unionByName(there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c")), "open")
     other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    second = ordered(left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(fits).select(F.col("node").alias("a"), F.col("node2").alias("b")))
+    met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(fits)
+    met = met.groupBy("node", "node2", "n", "n2").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("k") != 0).alias("group"))
+    second = ordered(met.filter(f"group or ({count})").select(F.col("node").alias("a"), F.col("node2").alias("b")))
     second = staged(second.join(first, ["u", "v"], "left_anti") if not second.isEmpty() else second, "second")
     if not second.isEmpty():
         links = links.unionByName(verified(docs, second, key, text, width, percent))
