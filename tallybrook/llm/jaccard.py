@@ -67,7 +67,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """At most FREQUENT shingles, sorted by hash: those that most batches repeat."""
+    """At most FREQUENT shingles, sorted by hash: those that batches repeat most."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words()
@@ -82,8 +82,15 @@ def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
             top = top[np.argsort(-n[top], kind="stable")[:FREQUENT]]
             yield pd.DataFrame({"h": h[edges[top]].view(np.int64), "n": n[top]})
 
-    got = docs.select(F.col(text).alias("__t")).mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = got.orderBy(F.col("n").desc(), "h").limit(FREQUENT).select("h").toPandas()
+    got = staged(docs.select(F.col(text).alias("__t")).mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # the lowest power of two that no more than FREQUENT counts reach
+    levels, least, total = got.groupBy(F.floor(F.log2("n")).alias("l")).count().orderBy(F.col("l").desc()).collect(), 63, 0
+    for r in levels:
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r.l
+    rows = got.filter(F.col("n") >= float(2**least)).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 

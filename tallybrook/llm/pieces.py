@@ -4,8 +4,8 @@ Pieces are weighted by rank (Zipf's law with exponent ``theta``), which makes ea
 pieces' weights over the sum for all segmentations. The ``k`` segmentations with the largest perturbed log-probabilities
 (Gumbel noise) are a sample without replacement. They come from a best-first search: a queue holds the exact greatest perturbed
 value below each partial path; the best is walked to the end, drawing the values of the branches it passes conditionally on its
-own. Branches whose prefix is less likely than exp(-CUT) can't be among the best in double precision and aren't queued; from
-there on a walk is plain sampling, done for all texts of a block at once.
+own. Branches whose prefix is less likely than exp(-CUT) are among the best with a chance of that order (1e-13) and aren't queued.
+Walks, draws and queues are done for all texts of a block at once.
 
 No piece but a run of spaces holds a space after its first character, so a text's lattice is a chain of small ones; each distinct
 one is built once per block. All noise is a function of seed, row key, sample number and place.
@@ -13,9 +13,7 @@ one is built once per block. All noise is a function of seed, row key, sample nu
 
 from __future__ import annotations
 
-import heapq
 import math
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,17 +31,19 @@ from tallybrook.llm.common import key_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of texts that are sampled together; log-probability under which branches aren't queued; rank shift of Zipf's law.
-BLOCK_CHARS, CUT, SHIFT = 2_000_000, 40.0, 2.7
+BLOCK_CHARS, CUT, SHIFT = 4_000_000, 30.0, 2.7
 PART = regex.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 M64 = (1 << 64) - 1
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with ids and log weights, ids and weight of byte pieces, and for decoding the bytes of each id."""
+    """A trie of the pieces (sorted keys of state and character, next states, each state's piece or -1), weights, byte pieces, bytes."""
 
-    ids: dict[str, tuple[int, float]]
-    starts: set[str]
+    keys: np.ndarray
+    to: np.ndarray
+    piece: np.ndarray
+    weight: np.ndarray
     byte_ids: list[int]
     byte_weight: float
     raw: list[bytes]
@@ -57,185 +57,238 @@ class Vocabulary:
         n = model.get_piece_size()
         norm = math.log(math.log((n + SHIFT) / SHIFT))
         weigh = lambda rank: theta * (-math.log(rank + SHIFT) - norm)
-        out = cls({}, set(), [0] * 256, weigh(n), [b""] * n)
+        states, piece, weight, raw, byte_ids = {}, [-1], np.zeros(n), [b""] * n, [0] * 256
         for i in range(n):
-            piece = model.id_to_piece(i)
+            text = model.id_to_piece(i)
             if model.is_byte(i):
-                out.byte_ids[int(piece[3:5], 16)] = i
-                out.raw[i] = bytes([int(piece[3:5], 16)])
+                byte_ids[int(text[3:5], 16)] = i
+                raw[i] = bytes([int(text[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
-                out.ids[piece] = (i, weigh(min(-model.get_score(i), n)))
-                out.raw[i] = piece.replace(SPACE, " ").encode()
-                out.starts.update(piece[:j] for j in range(1, len(piece)))
-        return out
-
-    def edges(self, part: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each character the pieces that start there: (end, ids, log weight)."""
-        out = []
-        for i in range(len(part)):
-            here, j = [], i + 1
-            while True:
-                text = part[i:j]
-                if (hit := self.ids.get(text)) is not None:
-                    here.append((j, (hit[0],), hit[1]))
-                if j == len(part) or text not in self.starts:
-                    break
-                j += 1
-            if not here or here[0][0] != i + 1:  # a character that is no piece goes by its bytes
-                raw = part[i].encode()
-                here.append((i + 1, tuple(self.byte_ids[b] for b in raw), self.byte_weight * len(raw)))
-            out.append(here)
-        return out
+                weight[i], raw[i], at = weigh(min(-model.get_score(i), n)), text.replace(SPACE, " ").encode(), 0
+                for c in text:
+                    key = at << 21 | ord(c)
+                    if key not in states:
+                        states[key] = len(piece)
+                        piece.append(-1)
+                    at = states[key]
+                piece[at] = i
+        keys = np.sort(np.fromiter(states, np.int64, len(states)))
+        return cls(keys, np.array([states[x] for x in keys.tolist()]), np.array(piece), weight, byte_ids, weigh(n), raw)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode(errors="replace")
 
 
 class Lattices:
-    """The lattices of distinct parts, as flat arrays over nodes and over edges sorted by node."""
+    """The lattices of distinct parts, as flat arrays over nodes (characters, and an end for each part) and edges sorted by node."""
 
-    def __init__(self, vocabulary: Vocabulary, parts: list[str]) -> None:
+    def __init__(self, v: Vocabulary, parts: list[str]) -> None:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+        self.first = np.cumsum(np.concatenate([[0], lengths + 1]))[:-1]
         self.last = self.first + lengths
-        nodes = int(self.last[-1]) + 1 if len(parts) else 0
-        degree, to, weight, self.ids, left = np.zeros(nodes, np.int64), [], [], [], np.zeros(nodes, np.int64)
-        for base, part in zip(self.first.tolist(), parts, strict=True):
-            n = len(part)
-            for i, here in enumerate(vocabulary.edges(part)):
-                degree[base + i], left[base + i] = len(here), n - i
-                for j, ids, w in here:
-                    to.append(base + j)
-                    weight.append(w)
-                    self.ids.append(ids)
-        self.to, weight = np.array(to, np.int64), np.array(weight)
-        self.begin = np.concatenate([[0], np.cumsum(degree)])
-        src = np.repeat(np.arange(nodes), degree)
+        chars = np.frombuffer("\ud800".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        nodes = len(chars)
+        owner = np.repeat(np.arange(len(parts)), lengths + 1)
+        left = self.last[owner] - np.arange(nodes)
+        self.depth = np.arange(nodes) - self.first[owner]
+        at = np.flatnonzero(left)
+        whole, state, size, found = at, np.zeros(len(at), np.int64), 0, []
+        while len(at):
+            key = state << 21 | chars[at + size]
+            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            ok = v.keys[i] == key
+            at, state, size = at[ok], v.to[i[ok]], size + 1
+            is_piece = v.piece[state] >= 0
+            found.append((at[is_piece], size, v.piece[state[is_piece]]))
+        alone = np.zeros(nodes, bool)
+        alone[found[0][0] if found else []] = True
+        lost = whole[~alone[whole]]  # a character that is no piece goes by its bytes
+        flat, place = [np.arange(len(v.raw))], {}
+        for c in np.unique(chars[lost]).tolist():
+            ids = [v.byte_ids[x] for x in chr(c).encode()]
+            place[c] = (sum(map(len, flat)), len(ids))
+            flat.append(np.array(ids))
+        src = np.concatenate([*(f[0] for f in found), lost]).astype(np.int64)
+        to = np.concatenate([*(f[0] + f[1] for f in found), lost + 1]).astype(np.int64)
+        flat_at = np.concatenate([*(f[2] for f in found), [place[c][0] for c in chars[lost].tolist()]]).astype(np.int64)
+        width = np.concatenate([*(np.ones(len(f[0])) for f in found), [place[c][1] for c in chars[lost].tolist()]]).astype(np.int64)
+        order = np.argsort(src, kind="stable")
+        src, self.to, self.flat_at, self.width, self.flat = src[order], to[order], flat_at[order], width[order], np.concatenate(flat).astype(np.int32)
+        self.src = src
+        weight = np.where(self.flat_at < len(v.raw), v.weight[np.minimum(self.flat_at, len(v.raw) - 1)], v.byte_weight * self.width)
+        self.begin = np.searchsorted(src, np.arange(nodes + 1))
         total = np.zeros(nodes)  # log of the weights of all ways to the end
         by_left = np.argsort(left[src], kind="stable")
-        levels = np.flatnonzero(np.diff(left[src][by_left], prepend=0))
-        for a, b in zip(levels, [*levels[1:], len(by_left)], strict=True):
+        level = left[src][by_left]
+        bounds = np.flatnonzero(np.diff(level, prepend=0))
+        for a, b in zip(bounds, [*bounds[1:], len(by_left)], strict=True):
             e = by_left[a:b]
-            value = weight[e] + total[self.to[e]]
-            s = src[e]
-            cut = np.flatnonzero(np.diff(s, prepend=-1))
+            value, here = weight[e] + total[self.to[e]], src[e]
+            cut = np.flatnonzero(np.diff(here, prepend=-1))
             top = np.maximum.reduceat(value, cut)
-            total[s[cut]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff([*cut, len(e)]))), cut))
+            total[here[cut]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff([*cut, len(e)]))), cut))
         self.logp = weight + total[self.to] - total[src]
-        p = np.exp(self.logp)
-        upto = np.cumsum(p)
+        upto = np.cumsum(np.exp(self.logp))
         before = np.concatenate([[0.0], upto])[self.begin[:-1]]
         self.ladder = src + np.minimum(upto - before[src], 1.0)
-        final = self.begin[1:][degree > 0] - 1
+        final = self.begin[1:][np.diff(self.begin) > 0] - 1
         self.ladder[final] = src[final] + 1.0
-        self.width = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.flat = np.fromiter((x for t in self.ids for x in t), np.int32)
-        self.flat_at = np.concatenate([[0], np.cumsum(self.width)])
-        self.depth = np.arange(nodes) - np.repeat(self.first, lengths + 1)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _gumbel(rng: random.Random) -> float:
-    return -math.log(-math.log(rng.random() or 1e-300))
-
-
-def search(l: Lattices, parts: np.ndarray, k: int, seed: int) -> tuple[list[tuple[float, float, list[int], int, int]], float]:
-    """The ``k`` best: (perturbed value, log-probability so far, edges so far, part, node to go on from); the value of the next."""
-    rng, out, ties = random.Random(seed), [], 0
-    heap = [(-_gumbel(rng), 0, 0.0, 0, int(l.first[parts[0]]), ())]
-    while heap and len(out) < k:
-        value, _, prefix, at, node, edges = heapq.heappop(heap)
-        value, edges = -value, list(edges)
-        while at < len(parts) and prefix > -CUT:
-            e0, e1 = int(l.begin[node]), int(l.begin[node + 1])
-            if e1 - e0 == 1:
-                best = e0
-            else:
-                noisy = [(p + prefix + _gumbel(rng), p, e0 + i) for i, p in enumerate(l.logp[e0:e1].tolist())]
-                top, _, best = max(noisy)
-                for g, p, e in noisy:
-                    if e != best:  # its greatest value, given that the greatest of all is ``value``
-                        v = value - g + math.log1p(-math.exp(min(g - top, -1e-16)))
-                        below = value - max(0.0, v) - math.log1p(math.exp(-abs(v)))
-                        ties += 1
-                        heapq.heappush(heap, (-below, ties, prefix + p, *_step(l, parts, at, e), (*edges, e)))
-            edges.append(best)
-            prefix += float(l.logp[best])
-            at, node = _step(l, parts, at, best)
-        out.append((value, prefix, edges, at, node))
-    return out, -heap[0][0] if heap else -math.inf
-
-
-def _step(l: Lattices, parts: np.ndarray, at: int, edge: int) -> tuple[int, int]:
-    node = int(l.to[edge])
-    if node != l.last[parts[at]]:
-        return at, node
-    return at + 1, int(l.first[parts[at + 1]]) if at + 1 < len(parts) else -1
-
-
-def sample(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """For each text and sample (text, sample, pieces, log_prob, perturbed, log_inclusion); all ids, and where each sample's begin."""
-    numbers: dict[str, int] = {}
-    split = [[numbers.setdefault(p, len(numbers)) for p in PART.findall((SPACE + t).replace(" ", SPACE))] if t else [] for t in texts]
-    l = Lattices(vocabulary, list(numbers))
-    size = l.last - l.first
-    rows, heads, starts, nodes, places, keys, spans = [], [], [], [], [], [], [0]
-    for i, (own, seed) in enumerate(zip(split, seeds, strict=True)):
-        if not own:
-            rows.append([i, 0, 0.0, 0.0, 0.0])
-            heads.append([])
-            spans.append(spans[-1])
-            continue
-        parts = np.array(own)
-        place = np.concatenate([[0], np.cumsum(size[parts])])
-        best, bound = search(l, parts, k, seed)
-        for s, (value, prefix, edges, at, node) in enumerate(best):
-            rows.append([i, s, prefix, value, bound])
-            heads.append(edges)
-            rest = l.first[parts[at:]].copy()
-            if at < len(parts):
-                rest[0] = node
-            nodes.append(rest)
-            starts.append(parts[at:])
-            places.append(place[at:-1])
-            keys.append(np.full(len(rest), (seed + (s + 1) * 0x9E3779B97F4A7C15) & M64, np.uint64))
-            spans.append(spans[-1] + len(rest))
-    join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    node, part, place, key = join(nodes, np.int64), join(starts, np.int64), join(places, np.int64), join(keys, np.uint64)
-    end, live, steps, count = l.last[part], np.arange(len(node)), [], np.zeros(len(node), np.int64)
-    while len(live):
-        at = node[live]
-        bits = _mix(_mix(key[live] + (place[live] + l.depth[at]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-        e = np.searchsorted(l.ladder, at + (bits >> np.uint64(11)) * 2.0**-53, side="right")
-        e = np.minimum(e, l.begin[at + 1] - 1)
-        steps.append((live, e))
-        count[live] += 1
-        node[live] = l.to[e]
-        live = live[node[live] != end[live]]
-    offset = np.concatenate([[0], np.cumsum(count)])
-    tail = np.zeros(offset[-1], np.int64)
-    for n, (who, e) in enumerate(steps):
-        tail[offset[who] + n] = e
-    cuts = offset[np.array(spans)]
-    edges = np.concatenate([x for i, h in enumerate(heads) for x in (np.array(h, np.int64), tail[cuts[i] : cuts[i + 1]])]) if heads else tail
-    sums = np.concatenate([[0.0], np.cumsum(l.logp[tail])])
-    each = np.array([len(h) + cuts[i + 1] - cuts[i] for i, h in enumerate(heads)], np.int64)
+
+
+def _uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1), each a function of key and place."""
+    x = key + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0xD6E8FEB86659FD93), (32, 0xD6E8FEB86659FD93)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x >> np.uint64(11)) + 0.5) * 2.0**-53
+
+
+@dataclass
+class Walks:
+    """Token edges of one path for each of some texts, one after the other, and each token's part (counted within its text)."""
+
+    texts: np.ndarray
+    bounds: np.ndarray
+    edges: np.ndarray
+    parts: np.ndarray
+    value: np.ndarray
+
+
+class Search:
+    """Perturbed best-first search over the lattices of a block's texts, one step of all texts at a time."""
+
+    def __init__(self, v: Vocabulary, texts: list[str], seeds: list[int]) -> None:
+        numbers: dict[str, int] = {}
+        split = [[numbers.setdefault(p, len(numbers)) for p in PART.findall((SPACE + t).replace(" ", SPACE))] if t else [] for t in texts]
+        self.l = l = Lattices(v, list(numbers))
+        self.chain = [np.array(s, np.int64) for s in split]
+        self.place = [np.concatenate([[0], np.cumsum((l.last - l.first)[c])]) for c in self.chain]
+        self.seeds = np.array(seeds, np.uint64)
+        self.heads = self.values = None  # queued branches: (text, path, token, edge), and their values
+
+    def tails(self, who: list[tuple[int, int, int]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Samples on from (text, part, node) to the texts' ends: edges, their parts, and bounds of each text's."""
+        l, sizes, nodes, own, place, number = self.l, [], [], [], [], []
+        for i, part, node in who:
+            rest = self.chain[i][part:]
+            at = l.first[rest]
+            if len(rest) and node >= 0:
+                at[0] = node
+            sizes.append(len(rest))
+            nodes.append(at)
+            own.append(rest)
+            place.append(self.place[i][part:-1])
+            number.append(np.arange(part, part + len(rest)))
+        node, own, place, number = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (nodes, own, place, number))
+        key, end, live = np.repeat(keys, sizes), l.last[own], np.arange(len(node))
+        steps, count = [], np.zeros(len(node), np.int64)
+        while len(live):
+            at = node[live]
+            e = np.searchsorted(l.ladder, at + _uniform(key[live], place[live] + l.depth[at]), side="right")
+            e = np.minimum(e, l.begin[at + 1] - 1)
+            steps.append((live, e))
+            count[live] += 1
+            node[live] = l.to[e]
+            live = live[node[live] != end[live]]
+        offset = np.concatenate([[0], np.cumsum(count)])
+        edges = np.zeros(offset[-1], np.int64)
+        for n, (at, e) in enumerate(steps):
+            edges[offset[at] + n] = e
+        return edges, np.repeat(number, count), offset[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+
+    def queue(self, path: int, w: Walks, begin: np.ndarray, keep: int) -> None:
+        """Queues what path ``w`` passes from token ``begin`` of each text on; keeps the ``keep`` best of each text.
+
+        Given that the greatest value below a node is G, that of another edge is a Gumbel variable at its log-probability, cut at G.
+        """
+        l, logp = self.l, self.l.logp[w.edges]
+        row = np.repeat(np.arange(len(w.texts)), np.diff(w.bounds))
+        upto = np.concatenate([[0.0], np.cumsum(logp)])
+        before = upto[:-1] - upto[w.bounds[:-1]][row]
+        token = np.arange(len(w.edges)) - w.bounds[:-1][row]
+        src = l.src[w.edges]
+        degree = l.begin[src + 1] - l.begin[src]
+        at = np.flatnonzero((before > -CUT) & (token >= begin[row]) & (degree > 1))
+        many = degree[at]
+        t = np.repeat(at, many)
+        nth = np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many)
+        e = l.begin[src[t]] + nth
+        other = e != w.edges[t]
+        t, e, nth = t[other], e[other], nth[other]
+        r = row[t]
+        chars = np.fromiter((self.place[i][p] for i, p in zip(w.texts[r].tolist(), w.parts[t].tolist(), strict=True)), np.int64, len(t)) + l.depth[src[t]]
+        noise = np.log(-np.log(_uniform(self.seeds[w.texts[r]] ^ np.uint64((path + 1) * 0x632BE59BD9B4E019 & M64), chars * 4096 + nth)))
+        value = -np.logaddexp(-w.value[r], noise - before[t] - l.logp[e])
+        new = np.stack([w.texts[r], np.full(len(t), path), token[t], e], axis=1)
+        heads = new if self.heads is None else np.concatenate([self.heads, new])
+        values = value if self.values is None else np.concatenate([self.values, value])
+        order = np.lexsort((-values, heads[:, 0]))
+        text = heads[order, 0]
+        rank = np.arange(len(order)) - np.searchsorted(text, text)
+        order = order[rank < keep]
+        self.heads, self.values = heads[order], values[order]
+
+    def best(self, k: int) -> tuple[list[Walks], np.ndarray]:
+        """The ``k`` best paths of each text that has so many, and the value of the next (-inf for none)."""
+        l = self.l
+        texts = np.array([i for i, c in enumerate(self.chain) if len(c)], np.int64)
+        keys = lambda who, s: self.seeds[who] + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & M64)
+        edges, parts, bounds = self.tails([(i, 0, -1) for i in texts.tolist()], keys(texts, 0))
+        first = -np.log(-np.log(_uniform(self.seeds[texts], np.full(len(texts), 1 << 40))))
+        out = [Walks(texts, bounds, edges, parts, first)]
+        self.queue(0, out[0], np.zeros(len(texts), np.int64), k)
+        for s in range(1, k):
+            lead = np.flatnonzero(np.diff(self.heads[:, 0], prepend=-1))
+            heads, value = self.heads[lead], self.values[lead]
+            self.heads, self.values = np.delete(self.heads, lead, axis=0), np.delete(self.values, lead)
+            start, who = [], []
+            for i, path, token, e in heads.tolist():
+                w = out[path]
+                a = int(w.bounds[np.searchsorted(w.texts, i)])
+                part, node = int(w.parts[a + token]), int(l.to[e])
+                if node == l.last[self.chain[i][part]]:
+                    who.append((i, part + 1, -1))
+                else:
+                    who.append((i, part, node))
+                start.append((np.append(w.edges[a : a + token], e), w.parts[a : a + token + 1]))
+            edges, parts, bounds = self.tails(who, keys(heads[:, 0], s))
+            pieces = [(x, edges[bounds[j] : bounds[j + 1]]) for j, (x, _) in enumerate(start)]
+            own = [(x, parts[bounds[j] : bounds[j + 1]]) for j, (_, x) in enumerate(start)]
+            flat = lambda pairs: np.concatenate([*(y for x in pairs for y in x), np.zeros(0, np.int64)])
+            w = Walks(heads[:, 0], np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in pieces])]).astype(np.int64), flat(pieces), flat(own), value)
+            out.append(w)
+            self.queue(s, w, np.array([len(x) for x, _ in start], np.int64), k - s)
+        bound = np.full(len(self.chain), -np.inf)
+        if len(self.heads):
+            lead = np.flatnonzero(np.diff(self.heads[:, 0], prepend=-1))
+            bound[self.heads[lead, 0]] = self.values[lead]
+        return out, bound
+
+
+def sample(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """(text, sample, pieces, log_prob, perturbed, log_inclusion) by text and sample; all ids, and where each sample's begin."""
+    found = Search(v, texts, seeds)
+    l, rows, runs = found.l, [], []
+    walks, bound = found.best(k) if any(texts) else ([], np.zeros(len(texts)))
+    for s, w in enumerate(walks):
+        sums = np.concatenate([[0.0], np.cumsum(l.logp[w.edges])])
+        logp = sums[w.bounds[1:]] - sums[w.bounds[:-1]]
+        for j, (i, lp, value) in enumerate(zip(w.texts.tolist(), logp.tolist(), w.value.tolist(), strict=True)):
+            x = lp - bound[i]
+            known = 0.0 if x > 700 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
+            rows.append((i, s, lp, value, known))
+            runs.append(w.edges[w.bounds[j] : w.bounds[j + 1]])
+    for i, t in enumerate(texts):
+        if not t:
+            rows.append((i, 0, 0.0, 0.0, 0.0))
+            runs.append(np.zeros(0, np.int64))
+    order = sorted(range(len(rows)), key=lambda i: rows[i][:2])
+    edges = np.concatenate([*(runs[i] for i in order), np.zeros(0, np.int64)])
     width = l.width[edges]
     run = np.concatenate([[0], np.cumsum(width)])
-    ids = l.flat[np.repeat(l.flat_at[edges] - run[:-1], width) + np.arange(run[-1])] if len(edges) else np.zeros(0, np.int32)
-    bounds = run[np.concatenate([[0], np.cumsum(each)])]
-    out = []
-    for i, (text, s, prefix, value, bound) in enumerate(rows):
-        logp = prefix + float(sums[cuts[i + 1]] - sums[cuts[i]])
-        x = logp - bound
-        known = 0.0 if not split[text] or x > 700 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
-        out.append((text, s, int(bounds[i + 1] - bounds[i]), logp, value, known))
-    return out, ids, bounds
+    ids = l.flat[np.repeat(l.flat_at[edges] - run[:-1], width) + np.arange(run[-1])]
+    bounds = run[np.concatenate([[0], np.cumsum([len(runs[i]) for i in order])]).astype(np.int64)]
+    return [(*rows[i][:2], int(bounds[j + 1] - bounds[j]), *rows[i][2:]) for j, i in enumerate(order)], ids, bounds
 
 
 _SAMPLES = "key string, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, quality, sharding, suffix, vptree
+from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, pieces, quality, sharding, suffix, vptree
 from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
@@ -151,7 +151,29 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(some, suffix.kept("text", "repeat_spans")).unionByName(facts(none, raw))
 
 
+# ---- pieces ----
+
+PIECE_SAMPLES, PIECE_SEED = 2, 1
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load()
+    out = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, PIECE_SAMPLES, PIECE_SEED)
+    text = pieces.decode(out, vocabulary)
+    return out.select(F.expr("try_cast(key as bigint)").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+
+
+# ---- pipeline ----
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_chat_rotation": op4_chat_rotation,
@@ -161,5 +183,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "pipeline": pipeline,
 }
 ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL}

@@ -340,9 +340,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
     return with_spans, told.filter("not __may").drop("__may", "__h").withColumn("repeat_spans", none)
 
 
-@F.pandas_udf(T.BinaryType())
-def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """The bytes of each text outside its spans."""
+def _outside(text: pd.Series, spans: pd.Series) -> list[bytes]:
     out = []
     for t, s in zip(text, spans, strict=True):
         raw, at, parts = (t or "").encode(), 0, []
@@ -350,4 +348,16 @@ def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
             parts.append(raw[at : x["start"]])
             at = x["end"]
         out.append(b"".join([*parts, raw[at:]]))
-    return pd.Series(out)
+    return out
+
+
+@F.pandas_udf(T.BinaryType())
+def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The bytes of each text outside its spans."""
+    return pd.Series(_outside(text, spans))
+
+
+@F.pandas_udf(T.StringType())
+def kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The same as text, without what is left of characters that a span cuts in two."""
+    return pd.Series([raw.decode(errors="ignore") for raw in _outside(text, spans)])
