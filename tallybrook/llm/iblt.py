@@ -99,8 +99,10 @@ def bucket(docs: DataFrame, key: str) -> Column:
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(i * cells + F.greatest(F.lit(0), F.least(inner, F.lit(cells - 1)))).cast("long")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, own, edited (sketches: q, n, cells), near_edited, near_next, one row per row of ``docs``.
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per row of ``docs``.
+
+    Fingerprints are sketches' names; with ``sketches`` the sketches themselves (q, n, cells) follow as ``own`` and ``edited``.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next document by ascending key
     (rows with equal keys by text, null keys first; after the last comes the first; a lone document follows itself). A null text is
@@ -128,8 +130,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         part = f"transform(filter(all, x -> x.which = {i}), x -> named_struct('n', x.n, 'k', x.k, 'c', x.c))"
         sketch = sketch.withColumn(name, F.expr(f"transform(array({part}), s -> named_struct('q', cast(round(log2(size(s) / 3.0D)) as int), 'n', cast(aggregate(s, 0L, (a, x) -> a + x.n) div 3 as int), 'cells', s))[0]"))
     sketch = likeness(likeness(sketch.drop("all"), "own", "edited", "near_edited"), "own", "following", "near_next")
+    found = [digest("own").alias("fingerprint"), digest("edited").alias("edited_fingerprint"), "near_edited", "near_next", *(["own", "edited"] if sketches else [])]
+    sketch = sketch.select("bucket", "rn", *found)
     facts = rows.select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
-    return facts.join(sketch, ["bucket", "rn"]).select("doc_id", "n_chars", "edited_sha256", "own", "edited", "near_edited", "near_next")
+    return facts.join(sketch, ["bucket", "rn"]).drop("bucket", "rn")
 
 
 def digest(sketch: str) -> Column:

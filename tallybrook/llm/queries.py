@@ -131,8 +131,7 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = iblt.fingerprints(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", "edited_sha256", iblt.digest("own").alias("fingerprint"), iblt.digest("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
 
 
 # ---- repeated strings ----
