@@ -253,7 +253,7 @@ def _large(segs: DataFrame, length: int) -> DataFrame:
                     places.setdefault(xxhash.xxh3_128_digest(seg[i : i + length]), []).append(i)
                 yield pd.DataFrame({"w": list(places), "s": [s] * len(places), "n": n, "at": list(places.values())})
 
-    strings = segs.select("s", "seg", "n").mapInPandas(hashed, "w binary, s binary, n long, at array<int>")
+    strings = staged(segs.select("s", "seg", "n").repartition("s").mapInPandas(hashed, "w binary, s binary, n long, at array<int>"), "strings")
     often = strings.groupBy("w").agg(F.sum(F.col("n") * F.size("at")).alias("t")).filter("t > 1").select("w")
     hits = strings.join(often, "w").groupBy("s").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     return hits.select("s", F.transform("at", lambda a: F.struct(a.alias("start"), (a + length).alias("end"))).alias("spans"))
@@ -314,7 +314,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
 
     texts = rows.withColumnRenamed("__h", "h").filter(bit_filter(wanted, "h")).join(wanted, "h").sortWithinPartitions("h")
     segs = staged(texts.mapInPandas(cut, "v long, s binary, seg binary, h binary, start int"), "segments")
-    distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.count(F.lit(1)).alias("n")).repartition("v").sortWithinPartitions("v", "s"), "distinct")
+    distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.count(F.lit(1)).alias("n")), "distinct")
     sizes = staged(distinct.groupBy("v").agg(F.sum(F.octet_length("seg") + 1).alias("bytes")).filter(F.col("bytes") > large).select("v"), "large-buckets")
     ordinary = distinct
     if not sizes.isEmpty():
