@@ -5,7 +5,7 @@ first n - ceil(t n) + 1 of each. Documents with equal size and prefix are one gr
 pass the size bound are candidates; their members are verified on whole texts.
 
 For components not every candidate needs checking. A first round checks the members of a group against the group's least
-member, and the groups of a shingle against the shingle's least group. The second round checks every candidate pair that the
+member, and the groups of a shingle against a few of them, chosen by hash. The second round checks every candidate pair that the
 links found so far have not joined yet, so no link between components is lost, and a large group of near copies costs a
 number of checks in proportion to its size.
 """
@@ -26,6 +26,8 @@ from tallybrook.llm.components import connected
 
 #: Shingles that are put last in the global order: the most frequent within batches. Any order gives the same links.
 FREQUENT, FREQUENT_IN_BATCH = 50_000, 3
+#: Groups of a shingle that all its others are checked against in the first round.
+CENTRES = 4
 #: Texts that are checked against one copy of another.
 CHUNK = 256
 #: Words a task remembers the hashes of.
@@ -164,14 +166,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     base = prefixes(docs, key, text, width, percent)
     sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("group_key").alias("g"))
     nodes = staged(sets, "nodes")
-    hits = base.select("group_key", F.explode("prefix").alias("h")).repartition("h").withColumn("least", F.min("group_key").over(Window.partitionBy("h"))).withColumn("most", F.max("group_key").over(Window.partitionBy("h")))
-    hits = staged(hits.filter("least <> most").select("h", F.col("group_key").alias("g"), "least").distinct(), "shared")
+    same = Window.partitionBy("h")
+    hits = base.select(F.col("group_key").alias("g"), F.explode("prefix").alias("h")).repartition("h").withColumn("least", F.min("g").over(same)).withColumn("most", F.max("g").over(same)).filter("least <> most").distinct()
+    centres = F.array("least", *[F.min(F.struct(F.xxhash64("g", F.lit(i)).alias("r"), "g")).over(same)["g"] for i in range(1, CENTRES)])
+    hits = staged(hits.select("h", "g", F.array_distinct(centres).alias("centres")), "shared")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"))
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     # sets that share c prefix shingles share c + ceil(t n) - 1 at most, n being the larger size
     count = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * (shared - 1 + ({percent} * greatest(n, n2) + 99) div 100) >= {percent} * (n + n2)"
-    stars = hits.filter("g <> least").groupBy("g", "least").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1").join(heads.select("g", "head", "n"), "g")
-    stars = stars.join(heads.select(F.col("g").alias("least"), F.col("head").alias("head2"), F.col("n").alias("n2")), "least").filter(count)
+    stars = hits.select("g", F.explode("centres").alias("centre")).filter("g <> centre").groupBy("g", "centre").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
+    stars = stars.join(heads.select("g", "head", "n"), "g")
+    stars = stars.join(heads.select(F.col("g").alias("centre"), F.col("head").alias("head2"), F.col("n").alias("n2")), "centre").filter(count)
     inner = nodes.join(heads.filter("members > 1").select("g", "head"), "g").filter("node <> head")
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     first = ordered(stars.select(F.col("head").alias("a"), F.col("head2").alias("b")).unionByName(inner.select(F.col("head").alias("a"), F.col("node").alias("b"))))

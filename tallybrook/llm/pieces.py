@@ -31,7 +31,7 @@ from tallybrook.llm.common import key_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of texts that are sampled together; log-probability under which branches aren't queued; rank shift of Zipf's law.
-BLOCK_CHARS, CUT, SHIFT = 4_000_000, 30.0, 2.7
+BLOCK_CHARS, CUT, SHIFT = 1_000_000, 30.0, 2.7
 PART = regex.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 M64 = (1 << 64) - 1
 
