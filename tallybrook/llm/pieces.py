@@ -31,14 +31,30 @@ from tallybrook.llm.common import key_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of texts that are sampled together; log-probability under which branches aren't queued; rank shift of Zipf's law.
-BLOCK_CHARS, CUT, SHIFT = 1_000_000, 30.0, 2.7
+BLOCK_CHARS, CUT, SHIFT = 1_500_000, 30.0, 2.7
 PART = regex.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 M64 = (1 << 64) - 1
 
 
+#: Slots of the trie's hash table.
+TABLE = 1 << 19
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
+
+class Numbers(dict):
+    """Numbers of parts by first appearance."""
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        return n
+
+
 @dataclass
 class Vocabulary:
-    """A trie of the pieces (sorted keys of state and character, next states, each state's piece or -1), weights, byte pieces, bytes."""
+    """A trie of the pieces (hash table of state and character to next state, each state's piece or -1), weights, byte pieces, bytes."""
 
     keys: np.ndarray
     to: np.ndarray
@@ -72,8 +88,28 @@ class Vocabulary:
                         piece.append(-1)
                     at = states[key]
                 piece[at] = i
-        keys = np.sort(np.fromiter(states, np.int64, len(states)))
-        return cls(keys, np.array([states[x] for x in keys.tolist()]), np.array(piece), weight, byte_ids, weigh(n), raw)
+        keys, to = np.full(TABLE, -1, np.int64), np.zeros(TABLE, np.int32)
+        for key, state in states.items():
+            at = int(_slot(np.array([key]))[0])
+            while keys[at] >= 0:
+                at = (at + 1) % TABLE
+            keys[at], to[at] = key, state
+        return cls(keys, to, np.array(piece, np.int32), weight, byte_ids, weigh(n), raw)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none."""
+        key = state.astype(np.int64) << 21 | char
+        at = _slot(key)
+        seen = self.keys[at]
+        out = np.where(seen == key, self.to[at], -1)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % TABLE
+            seen = self.keys[at[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode(errors="replace")
@@ -92,14 +128,14 @@ class Lattices:
         left = self.last[owner] - np.arange(nodes)
         self.depth = np.arange(nodes) - self.first[owner]
         at = np.flatnonzero(left)
-        whole, state, size, found = at, np.zeros(len(at), np.int64), 0, []
+        whole, state, size, found = at, np.zeros(len(at), np.int32), 0, []
         while len(at):
-            key = state << 21 | chars[at + size]
-            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = v.keys[i] == key
-            at, state, size = at[ok], v.to[i[ok]], size + 1
-            is_piece = v.piece[state] >= 0
-            found.append((at[is_piece], size, v.piece[state[is_piece]]))
+            state = v.step(state, chars[at + size])
+            ok = state >= 0
+            at, state, size = at[ok], state[ok], size + 1
+            piece = v.piece[state]
+            is_piece = piece >= 0
+            found.append((at[is_piece], size, piece[is_piece]))
         alone = np.zeros(nodes, bool)
         alone[found[0][0] if found else []] = True
         lost = whole[~alone[whole]]  # a character that is no piece goes by its bytes
@@ -108,13 +144,14 @@ class Lattices:
             ids = [v.byte_ids[x] for x in chr(c).encode()]
             place[c] = (sum(map(len, flat)), len(ids))
             flat.append(np.array(ids))
-        src = np.concatenate([*(f[0] for f in found), lost]).astype(np.int64)
-        to = np.concatenate([*(f[0] + f[1] for f in found), lost + 1]).astype(np.int64)
-        flat_at = np.concatenate([*(f[2] for f in found), [place[c][0] for c in chars[lost].tolist()]]).astype(np.int64)
-        width = np.concatenate([*(np.ones(len(f[0])) for f in found), [place[c][1] for c in chars[lost].tolist()]]).astype(np.int64)
+        extra = np.array([place[c] for c in chars[lost].tolist()], np.int32).reshape(-1, 2)
+        src = np.concatenate([*(f[0] for f in found), lost]).astype(np.int32)
+        to = np.concatenate([*(f[0] + f[1] for f in found), lost + 1]).astype(np.int32)
+        flat_at = np.concatenate([*(f[2] for f in found), extra[:, 0]]).astype(np.int32)
+        width = np.concatenate([*(np.ones(len(f[0]), np.int32) for f in found), extra[:, 1]]).astype(np.int32)
         order = np.argsort(src, kind="stable")
-        src, self.to, self.flat_at, self.width, self.flat = src[order], to[order], flat_at[order], width[order], np.concatenate(flat).astype(np.int32)
-        self.src = src
+        self.src, self.to, self.flat_at, self.width, self.flat = src[order], to[order], flat_at[order], width[order], np.concatenate(flat).astype(np.int32)
+        src = self.src
         weight = np.where(self.flat_at < len(v.raw), v.weight[np.minimum(self.flat_at, len(v.raw) - 1)], v.byte_weight * self.width)
         self.begin = np.searchsorted(src, np.arange(nodes + 1))
         total = np.zeros(nodes)  # log of the weights of all ways to the end
@@ -133,6 +170,24 @@ class Lattices:
         self.ladder = src + np.minimum(upto - before[src], 1.0)
         final = self.begin[1:][np.diff(self.begin) > 0] - 1
         self.ladder[final] = src[final] + 1.0
+        inner = np.flatnonzero(np.diff(self.begin) > 0)
+        top = np.maximum.reduceat(self.logp, self.begin[inner]) if len(inner) else np.zeros(0)
+        self.top = np.zeros(nodes)  # probability of each node's likeliest edge, that edge, and the ladder below it
+        self.top[inner] = np.exp(top)
+        hit = np.flatnonzero(self.logp == np.repeat(top, np.diff(self.begin)[inner]))
+        self.best = np.zeros(nodes, np.int32)
+        self.best[src[hit[::-1]]] = hit[::-1]
+        self.below = upto[self.best] - np.exp(self.logp[self.best]) - before if len(upto) else np.zeros(nodes)
+
+    def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node by its number in (0, 1): the likeliest for the least numbers, else one found on the ladder."""
+        top, edge = self.top[at], self.best[at]
+        rest = np.flatnonzero(u >= top)
+        a, x = at[rest], u[rest] - top[rest]
+        x += np.where(x < self.below[a], 0, top[rest])
+        e = np.searchsorted(self.ladder, a + np.minimum(x, 1 - 1e-12), side="right")
+        edge[rest] = np.clip(e, self.begin[a], self.begin[a + 1] - 1)
+        return edge
 
 
 def _uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -158,11 +213,12 @@ class Search:
     """Perturbed best-first search over the lattices of a block's texts, one step of all texts at a time."""
 
     def __init__(self, v: Vocabulary, texts: list[str], seeds: list[int]) -> None:
-        numbers: dict[str, int] = {}
-        split = [[numbers.setdefault(p, len(numbers)) for p in PART.findall((SPACE + t).replace(" ", SPACE))] if t else [] for t in texts]
+        numbers = Numbers()
+        self.chain = [np.fromiter(map(numbers.__getitem__, PART.findall((SPACE + t).replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
         self.l = l = Lattices(v, list(numbers))
-        self.chain = [np.array(s, np.int64) for s in split]
         self.place = [np.concatenate([[0], np.cumsum((l.last - l.first)[c])]) for c in self.chain]
+        self.at = np.cumsum([0, *(len(p) for p in self.place)])
+        self.places = np.concatenate([*self.place, np.zeros(0, np.int64)]).astype(np.int64)
         self.seeds = np.array(seeds, np.uint64)
         self.heads = self.values = None  # queued branches: (text, path, token, edge), and their values
 
@@ -184,8 +240,7 @@ class Search:
         steps, count = [], np.zeros(len(node), np.int64)
         while len(live):
             at = node[live]
-            e = np.searchsorted(l.ladder, at + _uniform(key[live], place[live] + l.depth[at]), side="right")
-            e = np.minimum(e, l.begin[at + 1] - 1)
+            e = l.draw(at, _uniform(key[live], place[live] + l.depth[at]))
             steps.append((live, e))
             count[live] += 1
             node[live] = l.to[e]
@@ -216,7 +271,7 @@ class Search:
         other = e != w.edges[t]
         t, e, nth = t[other], e[other], nth[other]
         r = row[t]
-        chars = np.fromiter((self.place[i][p] for i, p in zip(w.texts[r].tolist(), w.parts[t].tolist(), strict=True)), np.int64, len(t)) + l.depth[src[t]]
+        chars = self.places[self.at[w.texts[r]] + w.parts[t]] + l.depth[src[t]]
         noise = np.log(-np.log(_uniform(self.seeds[w.texts[r]] ^ np.uint64((path + 1) * 0x632BE59BD9B4E019 & M64), chars * 4096 + nth)))
         value = -np.logaddexp(-w.value[r], noise - before[t] - l.logp[e])
         new = np.stack([w.texts[r], np.full(len(t), path), token[t], e], axis=1)
