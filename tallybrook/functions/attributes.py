@@ -27,3 +27,12 @@ def flattened(parts: Sequence[Column]) -> Column:
 def sorted_json(attributes: Column) -> Column:
     """The map as JSON with sorted keys."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(as_map(attributes)))))
+
+
+#: First parts of standard attribute keys.
+STANDARD = "service telemetry host os process container k8s cloud deployment device faas enduser server client http url network net rpc db messaging exception code thread gen_ai browser user_agent aws gcp azure vcs".split()
+
+
+def is_standard(key: Column) -> Column:
+    """Whether an attribute key begins with one of the standard namespaces and a dot."""
+    return key.rlike(rf"^({'|'.join(STANDARD)})\.")

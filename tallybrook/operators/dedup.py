@@ -214,3 +214,47 @@ def mined(df: DataFrame, position: str, body: str, threshold: float = 0.7, bucke
 
     rows = df.select(*bucket, F.col(position).alias("pos"), F.col(body).alias("body")).withColumn("__n", F.expr("size(filter(split(coalesce(body, ''), '\\\\s+'), t -> t <> ''))"))
     return rows.groupBy(*bucket, "__n").applyInPandas(mine, "pos long, body string, template string, cluster long")
+
+
+def collapse_mined(df: DataFrame, stream: str, position: str, body: str, ts: str, threshold: float = 0.7, bucket: str | None = None) -> DataFrame:
+    """Runs of consecutive rows of a stream (and bucket) whose bodies fit the run's growing template, equal bodies included.
+
+    Only the last run's template is compared, so the state of a stream is one row.
+    """
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for s, pos, b, text, t in pdf.sort_values("pos")[["stream", "pos", "bucket", "body", "ts"]].itertuples(index=False):
+            tokens = (text or "").split()
+            last = out[-1] if out else None
+            same = last is not None and last[2] == b and len(last[3]) == len(tokens)
+            if same and (last[3] == tokens or tokens and sum(x == y for x, y in zip(last[3], tokens, strict=True)) / len(tokens) >= threshold):
+                last[3] = [x if x == y else "<*>" for x, y in zip(last[3], tokens, strict=True)]
+                last[4], last[5], last[6] = last[4] + 1, min(last[5], t), max(last[6], t)
+            else:
+                out.append([s, pos, b, tokens, 1, t, t, text])
+        rows = [(s, pos, b, " ".join(tokens), n, lo, hi, text) for s, pos, b, tokens, n, lo, hi, text in out]
+        return pd.DataFrame(rows, columns=["stream", "first_pos", "bucket", "template", "n", "first_seen", "last_seen", "representative"])
+
+    rows = df.select(F.col(stream).alias("stream"), F.col(position).alias("pos"), (F.col(bucket).cast("string") if bucket else F.lit("")).alias("bucket"), F.col(body).alias("body"), F.col(ts).alias("ts"))
+    return rows.groupBy("stream").applyInPandas(runs, "stream string, first_pos long, bucket string, template string, n long, first_seen long, last_seen long, representative string")
+
+
+def described(groups_df: DataFrame, behaviour: str, matcher: str, template: str | None = None) -> DataFrame:
+    """Groups with the attributes that emitted records carry, as columns ``dedup_*``, and the groups' times and body."""
+    mined = F.col(template).isNotNull() if template else F.lit(False)
+    used = F.when(mined & F.lit(matcher == "full"), "drain3").otherwise("canon" if matcher == "full" else matcher)
+    names = {"distinct": ("global", "whole-selection"), "collapse": ("bucketed", "consecutive-run")}
+    scope, window = names.get(behaviour, ("unknown", "unknown"))
+    return groups_df.select(
+        F.col("first_seen").alias("time_ns"),
+        F.col("last_seen").alias("observed_ns"),
+        F.col("representative").alias("body"),
+        F.col("n").alias("dedup_count"),
+        F.concat(F.lit(behaviour + "/"), used).alias("dedup_mode"),
+        F.lit(behaviour).alias("dedup_behaviour"),
+        used.alias("dedup_matcher"),
+        F.lit(scope).alias("dedup_scope"),
+        F.lit(window).alias("dedup_window"),
+        F.expr("greatest(last_seen - first_seen, 0) div 1000000").alias("dedup_time_span_ms"),
+    )

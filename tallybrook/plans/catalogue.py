@@ -662,3 +662,48 @@ def w8(s, d):
     g = dedup.groups(logs(s, d), ["event_type", "k"], "seq", "ts_ns", "body")
     out = ordering.numbered(g, ["first_pos"])  # times rise with positions
     return out.select((F.col("row_no") - 1).cast("long").alias("new_seq"), "representative", "n", F.expr("(last_seen - first_seen) div 1000000").alias("span_ms"))
+
+
+_ATTRIBUTES = "['service.name', 'http.status', 'httpx', 'custom.key', 'gen_ai.x']"
+
+
+@query("p25_standard_attributes", f"SELECT key, starts_with(key, 'service.') OR starts_with(key, 'http.') OR starts_with(key, 'gen_ai.') AS standard, count(*) AS n FROM (SELECT {_ATTRIBUTES}[k % 5 + 1] AS key FROM logs) GROUP BY 1, 2")
+def p25(s, d):
+    key = F.get(F.array(*map(F.lit, ("service.name", "http.status", "httpx", "custom.key", "gen_ai.x"))), F.col("k") % 5)
+    return logs(s, d).groupBy(key.alias("key"), attributes.is_standard(key).alias("standard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d16_collapse_full")
+def d16(s, d):
+    return dedup.collapse_mined(logs(s, d), "service_name", "seq", "body", "ts_ns", 0.3)
+
+
+@query("d18_metadata", "SELECT min(ts_ns) AS time_ns, max(ts_ns) AS observed_ns, arg_min(body, seq) AS body, count(*) AS dedup_count, 'distinct/canon' AS dedup_mode, 'distinct' AS dedup_behaviour, 'canon' AS dedup_matcher, 'global' AS dedup_scope, 'whole-selection' AS dedup_window, (max(ts_ns) - min(ts_ns)) // 1000000 AS dedup_time_span_ms FROM logs GROUP BY event_type, k")
+def d18(s, d):
+    return dedup.described(dedup.groups(logs(s, d), ["event_type", "k"], "seq", "ts_ns", "body"), "distinct", "full")
+
+
+@query("u2_passthrough", "SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'group' AS kind, body FROM logs WHERE k < 50 UNION ALL SELECT 'other', body FROM logs WHERE k >= 50) GROUP BY 1")
+def u2(s, d):
+    rows = logs(s, d)
+    grouped = dedup.groups(rows.filter("k < 50"), ["body"], "seq", "ts_ns", "body").select(F.lit("group").alias("kind"))
+    return grouped.unionByName(rows.filter("k >= 50").select(F.lit("other").alias("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a21_counters", "SELECT event_type AS value, count(*) AS n, count(*) // 1000 AS reports FROM logs GROUP BY 1")
+def a21(s, d):
+    return summary.count_by(logs(s, d), "event_type").withColumn("reports", F.expr("n div 1000"))
+
+
+@query("j2_thread_names", "SELECT s.trace_id, s.span_id, p.o_orderpriority AS process FROM spans s LEFT JOIN orders p ON s.trace_id = p.o_orderkey", SPANS)
+def j2(s, d):
+    names = table(s, d, "orders").select(F.col("o_orderkey").alias("trace_id"), F.col("o_orderpriority").alias("process"))
+    return spans(s, d).join(names, "trace_id", "left").select("trace_id", "span_id", "process")
+
+
+@query("t12_rebatch", "SELECT service_name, severity_text, (row_number() OVER (PARTITION BY service_name, severity_text ORDER BY seq) - 1) // 50 AS part, seq FROM logs")
+def t12(s, d):
+    from tallybrook.streaming.limits import rebatched
+
+    out = rebatched(logs(s, d), "service_name", "severity_text", "seq", 50)
+    return out.select("service_name", "severity_text", "part", F.explode("members").alias("seq"))

@@ -132,3 +132,12 @@ def test_no_leftovers(spark, tmp_path):
     df = spark.createDataFrame([("logs", 1, 1, b"x", 0, 0)], "record_type string, seq long, ts_unix_ns long, payload binary, block_offset long, position int")
     df.write.format("recordblocks").mode("append").save(str(tmp_path / "o"))
     assert not glob.glob(str(tmp_path / "o/*.tmp"))
+
+
+def test_listings(spark, tmp_path):
+    from tallybrook.sources import manifest
+
+    for name in ("a.blk", "a-2.blk", "a-10.blk", "b.blk", "a.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r.path.rsplit("/", 1)[1] for r in manifest.manifest(spark, str(tmp_path)).collect()] == ["a-10.blk", "a-2.blk", "a.blk", "b.blk"]
+    assert [r.segment for r in manifest.segments(spark, str(tmp_path), "a").collect()] == [0, 2, 10]

@@ -75,3 +75,14 @@ def test_similarity_and_template(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "c"]), ([], []), (["a"], ["a", "b"])], "a array<string>, b array<string>")
     assert [r.x for r in df.select(dedup.similarity("a", "b").alias("x")).collect()] == [0.5, 1.0, 0.0]
     assert df.select(F.array_join(dedup.template("a", "b"), " ").alias("x")).first().x == "a <*>"
+
+
+def test_runs_by_template(spark):
+    got = dedup.collapse_mined(frame(spark, ["lapsed time is 2", "lapsed time is 3", "lapsed time is 4", "other"]), "stream", "pos", "body", "ts").orderBy("first_pos").collect()
+    assert [(r.template, r.n) for r in got] == [("lapsed time is <*>", 3), ("other", 1)]
+
+
+def test_metadata(spark):
+    g = dedup.groups(frame(spark, "AB"), ["body"], "pos", "ts", "body").withColumn("t", F.lit("x"))
+    r = dedup.described(g, "collapse", "full", "t").first()
+    assert (r.dedup_mode, r.dedup_scope, r.dedup_window) == ("collapse/drain3", "bucketed", "consecutive-run")
