@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tallybrook.llm.common import bit_filter, staged
+from tallybrook.llm.common import bit_filter, staged, unstage
 from tallybrook.llm.components import connected
 
 #: Shingles that are put last in the global order: the most frequent within batches. Any order gives the same links.
@@ -93,6 +93,7 @@ def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
             break
         least = r.l
     rows = got.filter(F.col("n") >= float(2**least)).select("h").toPandas()
+    unstage(got)
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -152,7 +153,9 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int,
             yield pd.DataFrame(out, columns=["u", "v"])
 
     together = heads.unionByName(tails).repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
-    return staged(together.mapInPandas(checked, "u long, v long"), "verified")
+    out = staged(together.mapInPandas(checked, "u long, v long"), "verified")
+    unstage(pairs)
+    return out
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -180,6 +183,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     inner = nodes.join(heads.filter("members > 1").select("g", "head"), "g").filter("node <> head")
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     first = ordered(stars.select(F.col("head").alias("a"), F.col("head2").alias("b")).unionByName(inner.select(F.col("head").alias("a"), F.col("node").alias("b"))))
+    first = staged(first, "first")
     links = verified(docs, first, key, text, width, percent)
     joined = staged(nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "joined")
     # what the first round has not joined: pairs of components within a group or a shared shingle
@@ -191,13 +195,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(fits)
     met = met.groupBy("node", "node2", "n", "n2").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("k") != 0).alias("group"))
     second = ordered(met.filter(f"group or ({count})").select(F.col("node").alias("a"), F.col("node2").alias("b")))
-    second = staged(second.join(first, ["u", "v"], "left_anti") if not second.isEmpty() else second, "second")
+    second = staged(second.join(first, ["u", "v"], "left_anti"), "second")
     if not second.isEmpty():
         links = links.unionByName(verified(docs, second, key, text, width, percent))
         joined = nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
-    found = joined.select("set_key", "c")
-    out = base.select("id", "n", "set_key").join(found, "set_key", "left")
-    # rows that share an id with another text belong to one document
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    out = base.select("id", "n", "set_key").join(joined.select("set_key", "c"), "set_key", "left")
+    out = staged(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "components")
+    for done in (base, hits, left, first, second):
+        unstage(done)
     nulls = docs.filter(F.col(key).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nulls)

@@ -331,8 +331,8 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
 
     spans = spans.unionByName(copies).groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = staged(spans.select("h", joined("spans").alias("repeat_spans")), "spans")
-    unstage(segs)
-    unstage(distinct)
+    for done in (segs, distinct, wanted, found, sizes):
+        unstage(done)
     may = bit_filter(spans.withColumnRenamed("h", "__h"), "__h")
     told = docs.withColumn("__may", may)
     none = F.array().cast(_SPANS)
