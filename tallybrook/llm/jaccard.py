@@ -77,7 +77,9 @@ def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
             texts = list(dict.fromkeys(t for t in b["__t"].tolist() if t))
             # grams across the ends of texts are counted too: they are rare, and any order will do
             tokens = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (t.encode().lower().split() for t in texts)]
-            h = np.sort(grams(np.concatenate(tokens), width)) if tokens else np.zeros(0, np.uint64)
+            h = grams(np.concatenate(tokens), width) if tokens else np.zeros(0, np.uint64)
+            del tokens
+            h.sort()
             edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
             n = np.diff(np.concatenate([edges, [len(h)]]))
             top = np.flatnonzero(n >= FREQUENT_IN_BATCH)
