@@ -5,9 +5,9 @@ first n - ceil(t n) + 1 of each. Documents with equal size and prefix are one gr
 pass the size bound are candidates; their members are verified on whole texts.
 
 For components not every candidate needs checking. A first round checks the members of a group against the group's least
-member, and the groups of a shingle against a few of them, chosen by hash. The second round checks every candidate pair that the
-links found so far have not joined yet, so no link between components is lost, and a large group of near copies costs a
-number of checks in proportion to its size.
+member, and the groups of a shingle against a few of them, chosen by hash. Then, of the candidate pairs between each two
+components left, a few are checked, and last every candidate pair that the links found so far have not joined yet. So no link
+between components is lost, and a large group of near copies costs a number of checks in proportion to its size.
 """
 
 from __future__ import annotations
@@ -172,14 +172,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("group_key").alias("g"))
     nodes = staged(sets, "nodes")
     same = Window.partitionBy("h")
-    hits = base.select(F.col("group_key").alias("g"), F.explode("prefix").alias("h")).repartition("h").withColumn("least", F.min("g").over(same)).withColumn("most", F.max("g").over(same)).filter("least <> most").distinct()
-    centres = F.array("least", *[F.min(F.struct(F.xxhash64("g", F.lit(i)).alias("r"), "g")).over(same)["g"] for i in range(1, CENTRES)])
-    hits = staged(hits.select("h", "g", F.array_distinct(centres).alias("centres")), "shared")
+    hits = base.select(F.col("group_key").alias("g"), F.explode("prefix").alias("h")).repartition("h").withColumn("least", F.min("g").over(same)).withColumn("most", F.max("g").over(same)).filter("least <> most").select("h", "g").distinct()
+    # shingles with equal lists of groups become one, of weight w
+    lists = [F.bit_xor(F.xxhash64("g", F.lit(i))).over(same) for i in range(2)]
+    hits = hits.select(F.xxhash64(*lists).alias("h"), "g").repartition("h").groupBy("h", "g").agg(F.count(F.lit(1)).alias("w"))
+    centres = F.array(F.min("g").over(same), *[F.min(F.struct(F.xxhash64("g", F.lit(i)).alias("r"), "g")).over(same)["g"] for i in range(1, CENTRES)])
+    hits = staged(hits.select("h", "g", "w", F.count(F.lit(1)).over(same).alias("df"), F.array_distinct(centres).alias("centres")), "shared")
     heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"))
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     # sets that share c prefix shingles share c + ceil(t n) - 1 at most, n being the larger size
     count = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * (shared - 1 + ({percent} * greatest(n, n2) + 99) div 100) >= {percent} * (n + n2)"
-    stars = hits.select("g", F.explode("centres").alias("centre")).filter("g <> centre").groupBy("g", "centre").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
+    stars = hits.select("g", "w", F.explode("centres").alias("centre")).filter("g <> centre").groupBy("g", "centre").agg(F.sum("w").alias("shared")).filter("shared > 1")
     stars = stars.join(heads.select("g", "head", "n"), "g")
     stars = stars.join(heads.select(F.col("g").alias("centre"), F.col("head").alias("head2"), F.col("n").alias("n2")), "centre").filter(count)
     inner = nodes.join(heads.filter("members > 1").select("g", "head"), "g").filter("node <> head")
@@ -190,17 +193,33 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     joined = staged(nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "joined")
     # what the first round has not joined: pairs of components within a group or a shared shingle
     spread = joined.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g")
-    here = joined.join(spread, "g", "left_semi").select(F.col("g").alias("k"), F.lit(0).cast("long").alias("h"), "node", "n", "c")
-    there = hits.select("h", "g").join(joined.select("g", "node", "n", "c"), "g").withColumn("x", F.min("c").over(Window.partitionBy("h"))).withColumn("y", F.max("c").over(Window.partitionBy("h"))).filter("x <> y")
-    left = staged(here.unionByName(there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c")), "open")
-    other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(fits)
-    met = met.groupBy("node", "node2", "n", "n2").agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("k") != 0).alias("group"))
-    second = ordered(met.filter(f"group or ({count})").select(F.col("node").alias("a"), F.col("node2").alias("b")))
-    second = staged(second.join(first, ["u", "v"], "left_anti"), "second")
+    here = joined.join(spread, "g", "left_semi").select(F.col("g").alias("k"), F.lit(0).cast("long").alias("h"), "node", "n", "c", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("rest"))
+    there = hits.select("h", "g", "w", "df").join(joined.select("g", "node", "n", "c"), "g").withColumn("x", F.min("c").over(same)).withColumn("y", F.max("c").over(same)).filter("x <> y")
+    # in the order of (df, h), a pair's first shared shingle has all that it shares behind it, in both sets
+    behind = Window.partitionBy("node").orderBy(F.col("df").desc(), F.col("h").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    there = there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c", "w", F.sum("w").over(behind).alias("rest"))
+    left = staged(here.unionByName(there), "open")
+    other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"))
+    enough = count.replace("shared", "least(rest, rest2)")
+    met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(f"{fits} and (k <> 0 or {enough})")
+    met = met.groupBy(F.col("node").alias("u"), F.col("node2").alias("v"), "c", "c2").agg(F.sum("w").alias("shared"))
+    second = staged(met.join(first, ["u", "v"], "left_anti"), "second")
     if not second.isEmpty():
-        links = links.unionByName(verified(docs, second, key, text, width, percent))
-        joined = nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
+        # of each two components the pair that shares most and some others, then all pairs that are still apart
+        some = [F.max(F.struct(o.alias("o"), "u", "v")) for o in (F.col("shared"), *(F.xxhash64("u", "v", F.lit(i)) for i in range(1, CENTRES)))]
+        tried = second.groupBy(F.least("c", "c2"), F.greatest("c", "c2")).agg(F.array(*[x["u"] for x in some]).alias("us"), F.array(*[x["v"] for x in some]).alias("vs"))
+        tried = staged(tried.select(F.explode(F.arrays_zip("us", "vs")).alias("x")).select(F.col("x.us").alias("u"), F.col("x.vs").alias("v")).distinct(), "tried")
+        between = lambda links: second.join(links, ["u", "v"], "left_semi").select(F.col("c").alias("u"), F.col("c2").alias("v"))
+        joins = between(verified(docs, tried, key, text, width, percent))
+        now = connected(joins)
+        apart = second.select("u", "v", "c", "c2").join(tried, ["u", "v"], "left_anti")
+        for c in ("c", "c2"):
+            apart = apart.join(now.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now")), c, "left")
+        apart = staged(apart.filter("coalesce(c_now, c) <> coalesce(c2_now, c2)").select("u", "v"), "apart")
+        joins = joins.unionByName(between(verified(docs, apart, key, text, width, percent)))
+        joined = joined.join(connected(joins).withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c"))
+        for done in (tried, apart):
+            unstage(done)
     out = base.select("id", "n", "set_key").join(joined.select("set_key", "c"), "set_key", "left")
     out = staged(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "components")
     for done in (base, hits, left, first, second):
