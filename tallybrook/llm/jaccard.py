@@ -28,6 +28,8 @@ from tallybrook.llm.components import connected
 FREQUENT, FREQUENT_IN_BATCH = 50_000, 3
 #: Groups of a shingle that all its others are checked against in the first round.
 CENTRES = 4
+#: Pairs between two components that are checked before all others.
+TRIES = 8
 #: Texts that are checked against one copy of another.
 CHUNK = 256
 #: Words a task remembers the hashes of.
@@ -130,7 +132,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int,
     """The pairs (u, v) of ids whose texts have the similarity."""
     pairs = pairs.withColumn("chunk", F.floor((F.pmod(F.xxhash64("v"), F.lit(1 << 20)) * F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / CHUNK))) / (1 << 20)))
     pairs = staged(pairs.select("u", "v", "chunk"), "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null").filter(bit_filter(ids, "id"))
     heads = rows.join(pairs.select("u", "chunk").distinct(), F.col("id") == F.col("u")).select("u", "chunk", F.lit(None).cast("long").alias("v"), "t")
     tails = rows.join(pairs, F.col("id") == F.col("v")).select("u", "chunk", "v", "t")
@@ -193,22 +195,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     joined = staged(nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "joined")
     # what the first round has not joined: pairs of components within a group or a shared shingle
     spread = joined.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g")
-    here = joined.join(spread, "g", "left_semi").select(F.col("g").alias("k"), F.lit(0).cast("long").alias("h"), "node", "n", "c", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("rest"))
+    here = joined.join(spread, "g", "left_semi").select(F.col("g").alias("k"), F.lit(0).cast("long").alias("h"), "node", "n", "c", *[F.lit(0).cast("long").alias(x) for x in ("w", "upto", "onward")])
     there = hits.select("h", "g", "w", "df").join(joined.select("g", "node", "n", "c"), "g").withColumn("x", F.min("c").over(same)).withColumn("y", F.max("c").over(same)).filter("x <> y")
-    # in the order of (df, h), a pair's first shared shingle has all that it shares behind it, in both sets
-    behind = Window.partitionBy("node").orderBy(F.col("df").desc(), F.col("h").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    there = there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c", "w", F.sum("w").over(behind).alias("rest"))
+    # whatever a pair shares lies up to a shared shingle or onward from it in both sets, in the order of (df, h)
+    way = Window.partitionBy("node").orderBy("df", "h")
+    upto, onward = (F.sum("w").over(way.rowsBetween(*x)) for x in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
+    there = there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c", "w", upto.alias("upto"), onward.alias("onward"))
     left = staged(here.unionByName(there), "open")
-    other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"))
-    enough = count.replace("shared", "least(rest, rest2)")
+    other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("upto").alias("upto2"), F.col("onward").alias("onward2"))
+    enough = count.replace("shared", "least(upto, upto2) + least(onward, onward2) - w")
     met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(f"{fits} and (k <> 0 or {enough})")
-    met = met.groupBy(F.col("node").alias("u"), F.col("node2").alias("v"), "c", "c2").agg(F.sum("w").alias("shared"))
-    second = staged(met.join(first, ["u", "v"], "left_anti"), "second")
+    met = met.groupBy(F.col("node").alias("u"), F.col("node2").alias("v"), "c", "c2", "n", "n2").agg(F.sum("w").alias("shared"), F.max(F.col("k") != 0).alias("group")).filter(f"group or ({count})")
+    second = staged(met.select("u", "v", "c", "c2", "shared").join(first, ["u", "v"], "left_anti"), "second")
     if not second.isEmpty():
-        # of each two components the pair that shares most and some others, then all pairs that are still apart
-        some = [F.max(F.struct(o.alias("o"), "u", "v")) for o in (F.col("shared"), *(F.xxhash64("u", "v", F.lit(i)) for i in range(1, CENTRES)))]
+        # of each two components the pairs that share most, one of each hash class, then all pairs that are still apart
+        some = [F.max(F.when(F.pmod(F.xxhash64("u", "v"), F.lit(TRIES)) == i, F.struct("shared", "u", "v"))) for i in range(TRIES)]
         tried = second.groupBy(F.least("c", "c2"), F.greatest("c", "c2")).agg(F.array(*[x["u"] for x in some]).alias("us"), F.array(*[x["v"] for x in some]).alias("vs"))
-        tried = staged(tried.select(F.explode(F.arrays_zip("us", "vs")).alias("x")).select(F.col("x.us").alias("u"), F.col("x.vs").alias("v")).distinct(), "tried")
+        tried = staged(tried.select(F.explode(F.arrays_zip("us", "vs")).alias("x")).select(F.col("x.us").alias("u"), F.col("x.vs").alias("v")).filter("u is not null").distinct(), "tried")
         between = lambda links: second.join(links, ["u", "v"], "left_semi").select(F.col("c").alias("u"), F.col("c2").alias("v"))
         joins = between(verified(docs, tried, key, text, width, percent))
         now = connected(joins)
