@@ -23,7 +23,7 @@ PIECES = ((64, 3), (512, 12), (None, 64))
 #: Largest power of two of a sub-table; larger texts share cells, and then differ in fewer pieces than can be told apart.
 MAX_POWER = 12
 #: Rows a bucket of neighbouring keys aims at; intervals of equal depth that buckets divide.
-BUCKET_ROWS, KNOTS = 4096, 32
+BUCKET_ROWS, KNOTS = 1024, 32
 #: Rounds of peeling; share of empty cells below which peeling is not tried, since it fails.
 ROUNDS, EMPTY = 12, 0.07
 
