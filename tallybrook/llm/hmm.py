@@ -20,14 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import key_text, staged, unstage
+from tallybrook.llm.common import staged, unstage
 
 #: Latent states; words with a class of their own; classes of the others by suffix; class 0 is the end of a text.
 STATES, FREQUENT, SUFFIXES = 8, 1023, 1024
 CLASSES = 1 + FREQUENT + SUFFIXES
-#: Rounds over all training texts; before them, rounds over a start sample of texts on the driver (about as many,
-#: chosen by hash of the key).
-ROUNDS, START_ROUNDS, START_TEXTS = 2, 15, 1200
+#: Rounds of training, each over all training texts, at every size of the input.
+ROUNDS = 17
 #: Added to expected counts: starts and transitions, emissions.
 PSEUDO, PSEUDO_EMIT = 0.1, 0.02
 #: Tokens of a block's dictionary at most, and of texts whose recursions run side by side.
@@ -98,54 +97,59 @@ class Hmm:
 
     @classmethod
     def seeded(cls, seqs: list[np.ndarray], seed: int) -> Hmm:
+        return cls.from_seen(np.bincount(np.concatenate(seqs), minlength=CLASSES) if seqs else np.zeros(CLASSES), seed)
+
+    @classmethod
+    def from_seen(cls, seen: np.ndarray, seed: int) -> Hmm:
+        """The model that training starts from: states differ by seeded noise around the counts of classes."""
         rng = np.random.default_rng(seed)
-        seen = np.bincount(np.concatenate(seqs), minlength=CLASSES) if seqs else np.zeros(CLASSES)
         emit = (seen[:, None] + 0.5) * np.exp(rng.normal(0, 0.7, (CLASSES, STATES)))
         move = np.eye(STATES) * STATES + 1 + rng.random((STATES, STATES))
         return cls(np.full(STATES, 1 / STATES), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     def forward(self, group: list[np.ndarray], keep: bool = False) -> tuple:
-        """Natural log-likelihoods of sequences sorted by falling length; with ``keep`` the scaled forward variables too."""
+        """Natural log-likelihoods of sequences sorted by falling length; with ``keep`` the scaled forward variables and predictions.
+
+        Step t has the sequences longer than t side by side, and steps follow each other: ``bounds[t]`` is where it starts.
+        """
         lengths = np.array([len(s) for s in group])
-        steps = lengths[0]
-        grid = np.zeros((steps, len(group)), np.int32)
+        alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+        bounds = np.concatenate([[0], np.cumsum(alive)]).tolist()
+        grid, at = np.empty(bounds[-1], np.intp), np.array(bounds)
         for i, s in enumerate(group):
-            grid[: len(s), i] = s
-        alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
-        alphas = np.empty((steps, len(group), STATES)) if keep else None
-        scales = np.ones((steps, len(group)))
+            grid[at[: len(s)] + i] = s
+        emit, move = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
+        alphas, ahead = (np.empty((STATES, len(grid))), np.empty((STATES, len(grid)))) if keep else (None, None)
+        total = np.zeros(len(group))
         a = None
-        for t in range(steps):
-            m = alive[t]
-            a = (self.start if t == 0 else a[:m] @ self.move) * self.emit[grid[t, :m]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
-            scales[t, :m] = s
+        for t, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            m = high - low
+            p = np.repeat(self.start[:, None], m, axis=1) if t == 0 else move @ a[:, :m]
+            a = emit.take(grid[low:high], axis=1)
+            a *= p
+            s = a.sum(axis=0)
+            a *= 1 / s
             if keep:
-                alphas[t, :m] = a
-        return np.log(scales).sum(axis=0), grid, alive, alphas, scales
+                ahead[:, low:high], alphas[:, low:high] = p, a
+            else:
+                total[:m] += np.log(s)
+        return total, grid, bounds, alphas, ahead
 
     def expected(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Expected counts of starts, transitions and emissions in one vector."""
         k = STATES
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
+        start, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
         for group in _side_by_side(seqs):
-            _, grid, alive, alphas, scales = self.forward(group, keep=True)
-            steps = len(grid)
-            beta = np.ones((len(group), k))
-            for t in range(steps - 1, -1, -1):
-                m = alive[t]
-                if t + 1 < steps and (n := alive[t + 1]):
-                    down = self.emit[grid[t + 1, :n]] * beta[:n] / scales[t + 1, :n, None]
-                    move += alphas[t, :n].T @ down
-                    beta[:n] = down @ self.move.T
-                alphas[t, :m] *= beta[:m]  # now the posterior
-            start += alphas[0].sum(axis=0)
-            mask = np.arange(len(group))[None, :] < alive[:, None]
-            post, at = alphas[mask], grid[mask]
+            _, grid, bounds, alphas, ahead = self.forward(group, keep=True)
+            for low, high, end in list(zip(bounds, bounds[1:], bounds[2:]))[::-1]:
+                now = alphas[:, low : low + end - high]
+                down = alphas[:, high:end] / ahead[:, high:end]  # posterior by prediction
+                moves += now @ down.T
+                now *= self.move @ down  # now the posterior; that of a text's last step is as it was
+            start += alphas[:, : bounds[1]].sum(axis=1)
             for j in range(k):
-                emit[:, j] += np.bincount(at, weights=post[:, j], minlength=CLASSES)
-        return np.concatenate([start, (move * self.move).ravel(), emit.ravel()])
+                emits[:, j] += np.bincount(grid, weights=alphas[j], minlength=CLASSES)
+        return np.concatenate([start, (moves * self.move).ravel(), emits.ravel()])
 
 
 def _classes(raw: pd.Series) -> list[np.ndarray]:
@@ -195,13 +199,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     unstage(encoded)
     unstage(vocabulary)
     train = seqs.filter("not held").select("key", "classes")
-    few = START_TEXTS / max(1, train.count())  # chosen by hash, so that no task sends more than its share
-    some = train.filter(F.pmod(F.xxhash64(key_text("key")), F.lit(1 << 30)) <= int(few * (1 << 30))).limit(2 * START_TEXTS).select("classes").toPandas()
-    some = _classes(some["classes"])
-    model = Hmm.seeded(some, seed)
-    for _ in range(START_ROUNDS if some else 0):
-        model = Hmm.from_counts(model.expected(some))
-    for _ in range(ROUNDS if some else 0):
+    model = Hmm.from_seen(n_class, seed)
+    for _ in range(ROUNDS if n_all else 0):
         now = spark.sparkContext.broadcast(model)
 
         def counted(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:

@@ -206,6 +206,23 @@ def test_forward_sums_all_paths_and_training_helps():
     assert better > got.sum()
 
 
+def test_every_round_trains_on_all_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh" if i % 2 else "stuvwxyz") for _ in range(rng.randint(1, 9))) for i in range(3000)] + ["rare pair"] * 2
+    got = {r.doc_id: r.score for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False), seed=1).collect()}
+    c = Counter(w for t in texts for w in t.split())
+    signed = lambda w: int(np.array(hmm.xxhash.xxh3_64_intdigest(w), np.uint64).view(np.int64))
+    number = {w: i + 1 for i, w in enumerate(sorted(c, key=lambda w: (-c[w], signed(w))))}
+    seqs = [np.array([*(number[w] for w in t.split()), 0], np.int16) for t in texts]
+    model = hmm.Hmm.seeded(seqs, 1)
+    for _ in range(hmm.ROUNDS):
+        model = hmm.Hmm.from_counts(model.expected(seqs))
+    c["\n"] = len(texts)
+    for i in (0, 1, 2, 3000):
+        word = sum(math.log10((c[w] + 0.5) / (c[w] + 1)) for w in [*texts[i].split(), "\n"])
+        assert got[i] == pytest.approx(word + model.forward([seqs[i]])[0][0] / math.log(10), abs=1e-5)
+
+
 # ---- sharding ----
 
 
