@@ -4,11 +4,10 @@ A text's lines are cut into short pieces; each distinct piece's 64-bit digest go
 (count, xor of digests, xor of check hashes). Subtracting two sketches cancels what the texts share; peeling cells with one
 digest left recovers the digests in which they differ, and so the exact Jaccard likeness of the piece sets. Sub-tables are
 powers of two, so a sketch folds to smaller sizes: peeling starts on a quarter of the cells and is tried again on all of them;
-where that fails too the likeness is estimated from the share of empty cells, and counts as 0 where hardly any is empty (texts of
-like size then share at most a fifth).
+where that fails too the likeness is counted from the exact set difference, the pair's digests being rows that Spark groups.
 
-Only DataFrame and SQL functions are used. Texts are shuffled once, into key-ordered buckets; sketches are built in them by
-hash aggregation without another shuffle.
+Only DataFrame and SQL functions are used. Texts are shuffled into key-ordered buckets; sketches are built in them by
+hash aggregation without another shuffle. Texts of pairs that failed are read again for the set difference.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from tallybrook.llm.common import staged
 
 #: Characters of a piece, by the length under which a text takes it.
 PIECES = ((64, 3), (512, 12), (None, 64))
-#: Largest power of two of a sub-table; larger texts share cells, and then differ in fewer pieces than can be told apart.
+#: Largest power of two of a sub-table; larger texts share cells, and pairs that peeling can't tell apart then go to the set difference.
 MAX_POWER = 12
 #: Rows a bucket of neighbouring keys aims at; intervals of equal depth that buckets divide.
 BUCKET_ROWS, KNOTS = 1024, 32
@@ -69,7 +68,7 @@ def peel(cells: str, q: str) -> str:
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds ``out``: the Jaccard likeness of sketches ``a`` and ``b``, structs of q, n, cells."""
+    """Adds ``out``: the Jaccard likeness of sketches ``a`` and ``b``, structs of q, n, cells; null where peeling fails."""
     df = df.withColumn("__q", F.least(F.col(f"{a}.q"), F.col(f"{b}.q")))
     df = df.withColumn("__a", F.expr(fold(f"{a}.cells", f"{a}.q", "__q"))).withColumn("__b", F.expr(fold(f"{b}.cells", f"{b}.q", "__q")))
     df = df.withColumn("__d", F.expr("zip_with(__a, __b, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"))
@@ -79,11 +78,9 @@ def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     # a quarter of the cells can hold a difference that leaves 0.6 of all cells empty
     df = df.withColumn("__first", F.when((F.col("__empty") > 0.6) & (F.col("__small") < F.col("__q")), F.expr(f"transform(array({fold('__d', '__q', '__small')}), f -> {peel('f', '__small')})[0]")).otherwise(failed))
     df = df.withColumn("__peeled", F.when(F.col("__first.done"), F.col("__first")).when(F.col("__empty") >= EMPTY, F.expr(peel("__d", "__q"))).otherwise(failed))
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    guess = F.least(-F.log(F.col("__empty")) * F.expr("shiftleft(1, __q)"), (na + nb).cast("double"))
+    na = F.col(f"{a}.n")
     exact = F.when(na + F.col("__peeled.minus") == 0, F.lit(1.0)).otherwise((na - F.col("__peeled.plus")) / (na + F.col("__peeled.minus")))
-    value = F.when(F.col("__peeled.done"), exact).when(F.col("__empty") < EMPTY, F.lit(0.0)).otherwise((na + nb - guess) / (na + nb + guess))
-    return df.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).cast("double")).drop("__q", "__a", "__b", "__d", "__empty", "__small", "__first", "__peeled")
+    return df.withColumn(out, F.when(F.col("__peeled.done"), exact).cast("double")).drop("__q", "__a", "__b", "__d", "__empty", "__small", "__first", "__peeled")
 
 
 def bucket(docs: DataFrame, key: str) -> Column:
@@ -131,7 +128,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketc
         sketch = sketch.withColumn(name, F.expr(f"transform(array({part}), s -> named_struct('q', cast(round(log2(size(s) / 3.0D)) as int), 'n', cast(aggregate(s, 0L, (a, x) -> a + x.n) div 3 as int), 'cells', s))[0]"))
     sketch = likeness(likeness(sketch.drop("all"), "own", "edited", "near_edited"), "own", "following", "near_next")
     found = [digest("own").alias("fingerprint"), digest("edited").alias("edited_fingerprint"), "near_edited", "near_next", *(["own", "edited"] if sketches else [])]
-    sketch = sketch.select("bucket", "rn", *found)
+    sketch = staged(sketch.select("bucket", "rn", *found), "likeness")
+    failed = sketch.filter("near_edited is null or near_next is null").select("bucket", "rn")
+    again = rows.join(failed, ["bucket", "rn"]).select("bucket", "rn", F.expr(f"posexplode(array({digests('text')}, {digests('changed')}, {digests('next')})) as (which, ds)"))
+    again = again.select("bucket", "rn", "which", F.explode("ds").alias("d")).groupBy("bucket", "rn", "d").agg(*[F.max(F.when(F.col("which") == i, 1).otherwise(0)).alias(f"in{i}") for i in range(3)])
+    exact = again.groupBy("bucket", "rn").agg(*[(F.sum(F.least("in0", f"in{i}")) / F.sum(F.greatest("in0", f"in{i}"))).alias(f"exact{i}") for i in (1, 2)])
+    sketch = sketch.join(exact, ["bucket", "rn"], "left").withColumn("near_edited", F.coalesce("near_edited", "exact1")).withColumn("near_next", F.coalesce("near_next", "exact2")).drop("exact1", "exact2")
     facts = rows.select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
     return facts.join(sketch, ["bucket", "rn"]).drop("bucket", "rn")
 

@@ -120,6 +120,17 @@ def test_a_lone_document_follows_itself(spark):
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1.0
 
 
+def test_likeness_of_texts_too_large_to_peel(spark):
+    texts = ["\n".join(f"{k}{i:07d}" for i in range(25000)) for k in "ab"] + ["\n".join(f"c{i:07d}" for i in range(m, m + 300)) for m in (0, 150)]
+    got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cut = lambda t: set(re.findall(r"[^\n]{1,64}", t))
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % 4]
+        edited = cut(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert got[i].near_edited == pytest.approx(len(cut(t) & edited) / len(cut(t) | edited))
+        assert got[i].near_next == pytest.approx(len(cut(t) & cut(after)) / len(cut(t) | cut(after)))
+
+
 # ---- mixing ----
 
 
