@@ -4,23 +4,25 @@ Pieces are weighted by rank (Zipf's law with exponent ``theta``), which makes ea
 pieces' weights over the sum for all segmentations. The ``k`` segmentations with the largest perturbed log-probabilities
 (Gumbel noise) are a sample without replacement. They come from a best-first search: a queue holds the exact greatest perturbed
 value below each partial path; the best is walked to the end, drawing the values of the branches it passes conditionally on its
-own. Branches whose prefix is less likely than exp(-CUT) are among the best with a chance of that order (1e-13) and aren't queued.
+own. Once a path's prefix has become CUT nats less likely, all branches farther on are queued as one set with its own greatest
+value; a set that comes to the head of the queue is split into its branches, given that value, so none is ever dropped.
 Walks, draws and queues are done for all texts of a block at once.
 
-No piece but a run of spaces holds a space after its first character, so a text's lattice is a chain of small ones; each distinct
-one is built once per block. All noise is a function of seed, row key, sample number and place.
+No piece but a run of spaces holds a space after its first character, so a text's lattice is a chain of small ones. Each distinct
+one is built once and kept for later blocks, until the kept ones have EDGES edges. All noise is a function of seed, row key,
+sample number and place.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +32,11 @@ from tallybrook.llm.common import key_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of texts that are sampled together; log-probability under which branches aren't queued; rank shift of Zipf's law.
-BLOCK_CHARS, CUT, SHIFT = 1_500_000, 30.0, 2.7
-PART = regex.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Characters of texts times samples that are worked on together; edges of lattices that a task keeps before it starts anew.
+BLOCK_CHARS, EDGES = 1_000_000, 2_000_000
+#: Nats after which branches are queued as one set; rank shift of Zipf's law.
+CUT, SHIFT = 20.0, 2.7
+PART = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 M64 = (1 << 64) - 1
 
 
@@ -80,6 +84,8 @@ class Vocabulary:
                 byte_ids[int(text[3:5], 16)] = i
                 raw[i] = bytes([int(text[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i)):
+                if not PART.fullmatch(text):
+                    raise ValueError(f"piece {i} spans words, so texts can't be cut at spaces and newlines")
                 weight[i], raw[i], at = weigh(min(-model.get_score(i), n)), text.replace(SPACE, " ").encode(), 0
                 for c in text:
                     key = at << 21 | ord(c)
@@ -153,32 +159,48 @@ class Lattices:
         self.src, self.to, self.flat_at, self.width, self.flat = src[order], to[order], flat_at[order], width[order], np.concatenate(flat).astype(np.int32)
         src = self.src
         weight = np.where(self.flat_at < len(v.raw), v.weight[np.minimum(self.flat_at, len(v.raw) - 1)], v.byte_weight * self.width)
-        self.begin = np.searchsorted(src, np.arange(nodes + 1))
+        degree = np.bincount(src, minlength=nodes)
+        self.begin = np.concatenate([[0], np.cumsum(degree)])
         total = np.zeros(nodes)  # log of the weights of all ways to the end
-        by_left = np.argsort(left[src], kind="stable")
-        level = left[src][by_left]
-        bounds = np.flatnonzero(np.diff(level, prepend=0))
-        for a, b in zip(bounds, [*bounds[1:], len(by_left)], strict=True):
-            e = by_left[a:b]
-            value, here = weight[e] + total[self.to[e]], src[e]
-            cut = np.flatnonzero(np.diff(here, prepend=-1))
+        inner = np.flatnonzero(degree)
+        inner = inner[np.argsort(left[inner].astype(np.uint16 if left.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
+        many = degree[inner]
+        starts = np.cumsum(many) - many
+        by_left = np.repeat(self.begin[inner] - starts, many) + np.arange(len(src))
+        weights, ends = weight[by_left], self.to[by_left]
+        levels = np.flatnonzero(np.diff(left[inner], prepend=0, append=nodes + 1)).tolist()
+        edges = [*starts[levels[:-1]].tolist(), len(src)]
+        for a, b, low, high in zip(levels, levels[1:], edges, edges[1:]):
+            cut, value = starts[a:b] - low, weights[low:high] + total[ends[low:high]]
             top = np.maximum.reduceat(value, cut)
-            total[here[cut]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff([*cut, len(e)]))), cut))
+            total[inner[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many[a:b])), cut))
         self.logp = weight + total[self.to] - total[src]
         upto = np.cumsum(np.exp(self.logp))
         before = np.concatenate([[0.0], upto])[self.begin[:-1]]
         self.ladder = src + np.minimum(upto - before[src], 1.0)
-        final = self.begin[1:][np.diff(self.begin) > 0] - 1
+        inner = np.flatnonzero(degree)
+        final = self.begin[inner + 1] - 1
         self.ladder[final] = src[final] + 1.0
-        inner = np.flatnonzero(np.diff(self.begin) > 0)
         top = np.maximum.reduceat(self.logp, self.begin[inner]) if len(inner) else np.zeros(0)
         self.top = np.zeros(nodes)  # probability of each node's likeliest edge, that edge, and the ladder below it
         self.top[inner] = np.exp(top)
-        hit = np.flatnonzero(self.logp == np.repeat(top, np.diff(self.begin)[inner]))
+        hit = np.flatnonzero(self.logp == np.repeat(top, degree[inner]))
         self.best = np.zeros(nodes, np.int32)
         self.best[src[hit[::-1]]] = hit[::-1]
         self.below = upto[self.best] - np.exp(self.logp[self.best]) - before if len(upto) else np.zeros(nodes)
 
+    def add(self, more: Lattices, pieces: int) -> None:
+        """Appends other lattices of the same vocabulary of ``pieces`` pieces."""
+        nodes, edges, flat = len(self.depth), len(self.src), len(self.flat)
+        far = more.flat_at >= pieces
+        more.flat_at[far] += flat - pieces
+        shift = {"first": nodes, "last": nodes, "depth": 0, "src": nodes, "to": nodes, "flat_at": 0, "width": 0, "logp": 0, "ladder": nodes, "top": 0, "best": edges, "below": 0}
+        for name, by in shift.items():
+            new = getattr(more, name)
+            setattr(self, name, np.concatenate([getattr(self, name), new + new.dtype.type(by)]))
+        self.begin = np.concatenate([self.begin[:-1], more.begin + edges])
+        self.flat = np.concatenate([self.flat, more.flat[pieces:]])
+
     def draw(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node by its number in (0, 1): the likeliest for the least numbers, else one found on the ladder."""
         top, edge = self.top[at], self.best[at]
@@ -207,20 +229,42 @@ class Walks:
     edges: np.ndarray
     parts: np.ndarray
     value: np.ndarray
+    #: Log-probabilities of the tokens, summed up: what token t adds is ``upto[t + 1] - upto[t]``.
+    upto: np.ndarray
+
+
+class Store:
+    """Lattices of the parts that a task has met."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.numbers, self.lattices = v, Numbers(), None
+
+    def chains(self, texts: list[str]) -> tuple[list[np.ndarray], Lattices]:
+        """Each text's parts by number, and lattices that hold these parts."""
+        if self.lattices is not None and len(self.lattices.src) > EDGES:
+            self.numbers, self.lattices = Numbers(), None
+        known = len(self.numbers)
+        chains = [np.fromiter(map(self.numbers.__getitem__, PART.findall((SPACE + t).replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        if self.lattices is None or len(self.numbers) > known:
+            more = Lattices(self.v, list(self.numbers)[known:])
+            if self.lattices is None:
+                self.lattices = more
+            else:
+                self.lattices.add(more, len(self.v.raw))
+        return chains, self.lattices
 
 
 class Search:
     """Perturbed best-first search over the lattices of a block's texts, one step of all texts at a time."""
 
-    def __init__(self, v: Vocabulary, texts: list[str], seeds: list[int]) -> None:
-        numbers = Numbers()
-        self.chain = [np.fromiter(map(numbers.__getitem__, PART.findall((SPACE + t).replace(" ", SPACE))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
-        self.l = l = Lattices(v, list(numbers))
-        self.place = [np.concatenate([[0], np.cumsum((l.last - l.first)[c])]) for c in self.chain]
+    def __init__(self, store: Store, texts: list[str], seeds: list[int]) -> None:
+        self.chain, self.l = store.chains(texts)
+        sizes = self.l.last - self.l.first
+        self.place = [np.concatenate([[0], np.cumsum(sizes[c])]) for c in self.chain]
         self.at = np.cumsum([0, *(len(p) for p in self.place)])
         self.places = np.concatenate([*self.place, np.zeros(0, np.int64)]).astype(np.int64)
         self.seeds = np.array(seeds, np.uint64)
-        self.heads = self.values = None  # queued branches: (text, path, token, edge), and their values
+        self.heads = self.values = None  # queued branches: (text, path, token, edge or -1 for all from that token on), and their values
 
     def tails(self, who: list[tuple[int, int, int]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Samples on from (text, part, node) to the texts' ends: edges, their parts, and bounds of each text's."""
@@ -251,38 +295,74 @@ class Search:
             edges[offset[at] + n] = e
         return edges, np.repeat(number, count), offset[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
 
-    def queue(self, path: int, w: Walks, begin: np.ndarray, keep: int) -> None:
-        """Queues what path ``w`` passes from token ``begin`` of each text on; keeps the ``keep`` best of each text.
+    def branches(self, path: int, w: Walks, row: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What path ``w`` of the texts at ``row`` passes from token ``begin`` on: heads, log-probabilities, places of noise.
 
-        Given that the greatest value below a node is G, that of another edge is a Gumbel variable at its log-probability, cut at G.
+        Branches are single ones until the prefix has lost CUT nats; those of all later tokens are one head.
         """
-        l, logp = self.l, self.l.logp[w.edges]
-        row = np.repeat(np.arange(len(w.texts)), np.diff(w.bounds))
-        upto = np.concatenate([[0.0], np.cumsum(logp)])
-        before = upto[:-1] - upto[w.bounds[:-1]][row]
-        token = np.arange(len(w.edges)) - w.bounds[:-1][row]
-        src = l.src[w.edges]
-        degree = l.begin[src + 1] - l.begin[src]
-        at = np.flatnonzero((before > -CUT) & (token >= begin[row]) & (degree > 1))
-        many = degree[at]
-        t = np.repeat(at, many)
-        nth = np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many)
-        e = l.begin[src[t]] + nth
+        l, first, end = self.l, w.bounds[row], w.bounds[row + 1]
+        a = np.minimum(first + begin, end)
+        cut = np.clip(np.searchsorted(-w.upto, -w.upto[a] + CUT), np.minimum(a + 1, end), end)
+        many = cut - a
+        own = np.repeat(np.arange(len(row)), many)
+        t = np.repeat(a, many) + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        degree = l.begin[l.src[w.edges[t]] + 1] - l.begin[l.src[w.edges[t]]]
+        t, own, many = t[degree > 1], own[degree > 1], degree[degree > 1]
+        own, t, nth = np.repeat(own, many), np.repeat(t, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        e = l.begin[l.src[w.edges[t]]] + nth
         other = e != w.edges[t]
-        t, e, nth = t[other], e[other], nth[other]
-        r = row[t]
-        chars = self.places[self.at[w.texts[r]] + w.parts[t]] + l.depth[src[t]]
-        noise = np.log(-np.log(_uniform(self.seeds[w.texts[r]] ^ np.uint64((path + 1) * 0x632BE59BD9B4E019 & M64), chars * 4096 + nth)))
-        value = -np.logaddexp(-w.value[r], noise - before[t] - l.logp[e])
-        new = np.stack([w.texts[r], np.full(len(t), path), token[t], e], axis=1)
-        heads = new if self.heads is None else np.concatenate([self.heads, new])
-        values = value if self.values is None else np.concatenate([self.values, value])
+        own, t, e, nth = own[other], t[other], e[other], nth[other]
+        rest = np.flatnonzero(cut < end)
+        with np.errstate(divide="ignore"):
+            mass = w.upto[cut[rest]] - w.upto[first[rest]] + np.log(-np.expm1(w.upto[end[rest]] - w.upto[cut[rest]]))
+        rest, mass = rest[mass > -np.inf], mass[mass > -np.inf]
+        logp = np.concatenate([w.upto[t] - w.upto[first[own]] + l.logp[e], mass])
+        own, t = np.concatenate([own, rest]), np.concatenate([t, cut[rest]])
+        e, nth = np.concatenate([e, np.full(len(rest), -1)]), np.concatenate([nth, np.full(len(rest), 4095)])
+        text = w.texts[row[own]]
+        chars = self.places[self.at[text] + w.parts[t]] + l.depth[l.src[w.edges[t]]]
+        return np.stack([text, np.full(len(t), path), t - first[own], e], axis=1), logp, chars * 4096 + nth
+
+    def insert(self, heads: np.ndarray, values: np.ndarray, keep: int) -> None:
+        """Queues heads; keeps the ``keep`` best of each text."""
+        if self.heads is not None:
+            heads, values = np.concatenate([self.heads, heads]), np.concatenate([self.values, values])
         order = np.lexsort((-values, heads[:, 0]))
         text = heads[order, 0]
-        rank = np.arange(len(order)) - np.searchsorted(text, text)
-        order = order[rank < keep]
+        order = order[np.arange(len(order)) - np.searchsorted(text, text) < keep]
         self.heads, self.values = heads[order], values[order]
 
+    def noise(self, text: np.ndarray, salt: int, place: np.ndarray) -> np.ndarray:
+        """log(-log u), the negative of a standard Gumbel variable."""
+        return np.log(-np.log(_uniform(self.seeds[text] ^ np.uint64(salt & M64), place)))
+
+    def queue(self, path: int, w: Walks, begin: np.ndarray, keep: int) -> None:
+        """Queues what path ``w`` passes from token ``begin`` of each text on; keeps the ``keep`` best of each text.
+
+        Given that the greatest value below a node is G, that of another edge is a Gumbel variable at its log-probability, cut at G.
+        """
+        heads, logp, place = self.branches(path, w, np.arange(len(w.texts)), begin)
+        noise = self.noise(heads[:, 0], (path + 1) * 0x632BE59BD9B4E019, place)
+        cap = w.value[np.searchsorted(w.texts, heads[:, 0])]
+        self.insert(heads, -np.logaddexp(-cap, noise - logp), keep)
+
+    def split(self, out: list[Walks], keep: int) -> None:
+        """Replaces sets of branches at the head of a text's queue by their branches, of which one has the set's value."""
+        while len(self.heads):
+            lead = np.flatnonzero(np.diff(self.heads[:, 0], prepend=-1))
+            lead = lead[self.heads[lead, 3] < 0]
+            if not len(lead):
+                return
+            heads, values = self.heads[lead], self.values[lead]
+            self.heads, self.values = np.delete(self.heads, lead, axis=0), np.delete(self.values, lead)
+            for (i, path, token, _), value in zip(heads.tolist(), values.tolist(), strict=True):
+                w = out[path]
+                new, logp, place = self.branches(path, w, np.searchsorted(w.texts, [i]), np.array([token]))
+                draw = [self.noise(new[:, 0], (path + 1) * 0x9FB21C651E98DF25 + salt, place) - logp for salt in (0, 1)]
+                got = -np.logaddexp(-value, draw[1])
+                got[np.argmin(draw[0])] = value
+                self.insert(new, got, keep)
+
     def best(self, k: int) -> tuple[list[Walks], np.ndarray]:
         """The ``k`` best paths of each text that has so many, and the value of the next (-inf for none)."""
         l = self.l
@@ -290,9 +370,11 @@ class Search:
         keys = lambda who, s: self.seeds[who] + np.uint64((s + 1) * 0x9E3779B97F4A7C15 & M64)
         edges, parts, bounds = self.tails([(i, 0, -1) for i in texts.tolist()], keys(texts, 0))
         first = -np.log(-np.log(_uniform(self.seeds[texts], np.full(len(texts), 1 << 40))))
-        out = [Walks(texts, bounds, edges, parts, first)]
+        upto = lambda e: np.concatenate([[0.0], np.cumsum(np.minimum(l.logp[e], 0))])
+        out = [Walks(texts, bounds, edges, parts, first, upto(edges))]
         self.queue(0, out[0], np.zeros(len(texts), np.int64), k)
         for s in range(1, k):
+            self.split(out, k - s)
             lead = np.flatnonzero(np.diff(self.heads[:, 0], prepend=-1))
             heads, value = self.heads[lead], self.values[lead]
             self.heads, self.values = np.delete(self.heads, lead, axis=0), np.delete(self.values, lead)
@@ -310,7 +392,8 @@ class Search:
             pieces = [(x, edges[bounds[j] : bounds[j + 1]]) for j, (x, _) in enumerate(start)]
             own = [(x, parts[bounds[j] : bounds[j + 1]]) for j, (_, x) in enumerate(start)]
             flat = lambda pairs: np.concatenate([*(y for x in pairs for y in x), np.zeros(0, np.int64)])
-            w = Walks(heads[:, 0], np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in pieces])]).astype(np.int64), flat(pieces), flat(own), value)
+            edges = flat(pieces)
+            w = Walks(heads[:, 0], np.concatenate([[0], np.cumsum([len(a) + len(b) for a, b in pieces])]).astype(np.int64), edges, flat(own), value, upto(edges))
             out.append(w)
             self.queue(s, w, np.array([len(x) for x, _ in start], np.int64), k - s)
         bound = np.full(len(self.chain), -np.inf)
@@ -320,14 +403,13 @@ class Search:
         return out, bound
 
 
-def sample(v: Vocabulary, texts: list[str], seeds: list[int], k: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+def sample(store: Store, texts: list[str], seeds: list[int], k: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """(text, sample, pieces, log_prob, perturbed, log_inclusion) by text and sample; all ids, and where each sample's begin."""
-    found = Search(v, texts, seeds)
+    found = Search(store, texts, seeds)
     l, rows, runs = found.l, [], []
     walks, bound = found.best(k) if any(texts) else ([], np.zeros(len(texts)))
     for s, w in enumerate(walks):
-        sums = np.concatenate([[0.0], np.cumsum(l.logp[w.edges])])
-        logp = sums[w.bounds[1:]] - sums[w.bounds[:-1]]
+        logp = w.upto[w.bounds[1:]] - w.upto[w.bounds[:-1]]
         for j, (i, lp, value) in enumerate(zip(w.texts.tolist(), logp.tolist(), w.value.tolist(), strict=True)):
             x = lp - bound[i]
             known = 0.0 if x > 700 else x if x < -30 else math.log(-math.expm1(-math.exp(x)))
@@ -360,14 +442,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, k
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(held.value)
         for b in batches:
             keys, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
             while at < len(texts):
                 upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= BLOCK_CHARS):
+                while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= BLOCK_CHARS // k):
                     size, upto = size + len(texts[upto] or ""), upto + 1
                 seeds = [xxhash.xxh3_64_intdigest(x, seed=seed) for x in keys[at:upto]]
-                rows, ids, bounds = sample(held.value, [t or "" for t in texts[at:upto]], seeds, k)
+                rows, ids, bounds = sample(store, [t or "" for t in texts[at:upto]], seeds, k)
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([keys[at + i] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[3:]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))],

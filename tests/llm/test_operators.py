@@ -361,9 +361,12 @@ def vocabulary():
     return pieces.Vocabulary.load()
 
 
-def test_samples_follow_the_lattice(vocabulary):
+@pytest.mark.parametrize("cut", [20.0, 0.3])
+def test_samples_follow_the_lattice(vocabulary, monkeypatch, cut):
+    """Also where nearly all branches are queued in sets, which must then be split."""
     import sentencepiece
 
+    monkeypatch.setattr(pieces, "CUT", cut)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     known = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
 
@@ -378,7 +381,7 @@ def test_samples_follow_the_lattice(vocabulary):
     all_ways = dict(ways("▁on▁the"))
     z = math.log(sum(map(math.exp, all_ways.values())))
     n, first, weight = 3000, Counter(), 0.0
-    rows, ids, bounds = pieces.sample(vocabulary, ["on the"] * n, list(range(n)), 3)
+    rows, ids, bounds = pieces.sample(pieces.Store(vocabulary), ["on the"] * n, list(range(n)), 3)
     seen = {}
     for i, (text, s, size, logp, _, inclusion) in enumerate(rows):
         way = tuple(ids[bounds[i] : bounds[i + 1]].tolist())
@@ -388,6 +391,10 @@ def test_samples_follow_the_lattice(vocabulary):
         weight += math.exp(logp - inclusion)
     assert all(len(s) == 3 for s in seen.values())
     assert weight / n == pytest.approx(1, abs=0.05)
+    pairs, p = Counter(frozenset(w for w in s) for s in seen.values()), {w: math.exp(x - z) for w, x in all_ways.items()}
+    chance = lambda o: math.prod(p[w] / (1 - sum(p[u] for u in o[:j])) for j, w in enumerate(o))
+    for ways_ in pairs.most_common(4):
+        assert ways_[1] / n == pytest.approx(sum(map(chance, itertools.permutations(ways_[0]))), abs=0.03)
     top = max(all_ways, key=all_ways.get)
     assert first[top] / n == pytest.approx(math.exp(all_ways[top] - z), abs=0.03)
 
