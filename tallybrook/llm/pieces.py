@@ -33,7 +33,7 @@ from tallybrook.llm.common import key_text
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of texts times samples that are worked on together; edges of lattices that a task keeps before it starts anew.
-BLOCK_CHARS, EDGES = 1_000_000, 2_000_000
+BLOCK_CHARS, EDGES = 1_000_000, 1_500_000
 #: Nats after which branches are queued as one set; rank shift of Zipf's law.
 CUT, SHIFT = 20.0, 2.7
 PART = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
@@ -117,6 +117,11 @@ class Vocabulary:
             open_ = open_[~hit & (seen >= 0)]
         return out
 
+    def __post_init__(self) -> None:
+        self.sizes = np.fromiter(map(len, self.raw), np.int32, len(self.raw))
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.joined = np.frombuffer(b"".join(self.raw), np.uint8)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode(errors="replace")
 
@@ -428,12 +433,26 @@ def sample(store: Store, texts: list[str], seeds: list[int], k: int) -> tuple[li
     return [(*rows[i][:2], int(bounds[j + 1] - bounds[j]), *rows[i][2:]) for j, i in enumerate(order)], ids, bounds
 
 
+def decoded(v: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> pa.StringArray:
+    """The texts of runs of ids, without the space of their own that they begin with."""
+    size = v.sizes[ids].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = v.joined[np.repeat(v.begins[ids] - ends[:-1], size) + np.arange(ends[-1])]
+    full = np.diff(bounds) > 0
+    start = ends[bounds[:-1]]
+    data = np.delete(data, start[full])
+    offsets = ends[bounds] - np.concatenate([[0], np.cumsum(full)])
+    return pa.StringArray.from_buffers(len(full), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+
+
 _SAMPLES = "key string, sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, ids array<int>"
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """key (as text), sample (from 0, best first), n_pieces, log_prob, perturbed, log_inclusion, ids: up to ``k`` rows per row.
 
+    With ``texts``, ``decoded`` follows: what the ids decode to, as ``decode`` gives it, without a second pass through Python.
+
     ``log_inclusion`` is the log of 1 - exp(-exp(log_prob - next)), the chance of being sampled given the next perturbed value; 0 for
     a text with no more than ``k`` segmentations. As SentencePiece does, a text begins with a space of its own and spaces become
     U+2581 (one in a text is read as a space). A null or empty text has one segmentation, without pieces. A null key counts as
@@ -444,21 +463,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, k
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(held.value)
         for b in batches:
-            keys, texts, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            while at < len(texts):
+            keys, raw, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+            while at < len(raw):
                 upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto] or "") <= BLOCK_CHARS // k):
-                    size, upto = size + len(texts[upto] or ""), upto + 1
+                while upto < len(raw) and (upto == at or size + len(raw[upto] or "") <= BLOCK_CHARS // k):
+                    size, upto = size + len(raw[upto] or ""), upto + 1
                 seeds = [xxhash.xxh3_64_intdigest(x, seed=seed) for x in keys[at:upto]]
-                rows, ids, bounds = sample(store, [t or "" for t in texts[at:upto]], seeds, k)
+                rows, ids, bounds = sample(store, [t or "" for t in raw[at:upto]], seeds, k)
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([keys[at + i] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[3:]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))],
-                    names=["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids"],
-                )
+                arrays = [pa.array([keys[at + i] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[3:]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*arrays, *([decoded(held.value, ids, bounds)] if texts else [])], names=["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", *(["decoded"] if texts else [])])
                 at = upto
 
-    return docs.select(key_text(key).alias("key"), F.col(text).alias("t")).mapInArrow(sampled, _SAMPLES)
+    return docs.select(key_text(key).alias("key"), F.col(text).alias("t")).mapInArrow(sampled, _SAMPLES + ", decoded string" * texts)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> Column:

@@ -157,9 +157,8 @@ PIECE_SAMPLES, PIECE_SEED = 2, 1
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load()
-    out = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, PIECE_SAMPLES, PIECE_SEED)
-    text = pieces.decode(out, vocabulary)
-    return out.select(F.expr("try_cast(key as bigint)").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2(text.cast("binary"), 256).alias("decoded_sha256"))
+    out = pieces.encode(table(spark, sf_dir, "documents"), vocabulary, PIECE_SAMPLES, PIECE_SEED, texts=True)
+    return out.select(F.expr("try_cast(key as bigint)").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 # ---- pipeline ----

@@ -400,12 +400,12 @@ def test_samples_follow_the_lattice(vocabulary, monkeypatch, cut):
 
 
 def test_encoding_and_decoding(odd, empty, vocabulary):
-    out = pieces.encode(odd, vocabulary, 2, seed=1)
+    out = pieces.encode(odd, vocabulary, 2, seed=1, texts=True)
     rows = out.withColumn("back", pieces.decode(out, vocabulary)).collect()
     texts = {str(r[0]) if r[0] is not None else "": r[1] or "" for r in odd_rows() if r[0] != 2}
     for r in rows:
         if r.key in texts:
-            assert r.back == texts[r.key] and r.n_pieces == len(r.ids) and r.log_inclusion <= 1e-9
+            assert r.back == r.decoded == texts[r.key] and r.n_pieces == len(r.ids) and r.log_inclusion <= 1e-9
     assert Counter(r.sample for r in rows)[0] == len(odd_rows())
     assert all(r.n_pieces == 0 for r in rows if r.key == "1")
     long = [r for r in rows if r.key == "10"]
