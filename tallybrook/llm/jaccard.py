@@ -1,13 +1,16 @@
 """N-gram Jaccard join by grouped prefixes.
 
-Shingles are put in one global order, most frequent last. Two sets of Jaccard similarity t or more share a shingle among the
-first n - ceil(t n) + 1 of each. Documents with equal size and prefix are one group; groups that share a prefix shingle and
-pass the size bound are candidates; their members are verified on whole texts.
-
-For components not every candidate needs checking. A first round checks the members of a group against the group's least
-member, and the groups of a shingle against a few of them, chosen by hash. Then, of the candidate pairs between each two
-components left, a few are checked, and last every candidate pair that the links found so far have not joined yet. So no link
-between components is lost, and a large group of near copies costs a number of checks in proportion to its size.
+Shingles are put in one global order, rarest first. Two sets of Jaccard similarity t or more share a shingle among the first
+n - ceil(t n) + 1 of each, so a set whose first ones occur nowhere else has no partner. Counts of all shingles come from one shuffle:
+tasks cut their sets into ranges of hashes, a range's shingles of all sets meet in one group, and what occurs twice or more goes
+back to its set with its count. Documents with equal size and prefix are one group; groups that share a prefix shingle are
+candidates; members are verified on whole texts.
+
+For components not every candidate needs checking. A first round checks the members of a group against the group's first member,
+and the groups of a shingle against a few of them: the one with the smallest share of shingles of its own, which is likely what the
+others were edited from, and some chosen by hash. Then every pair of members that the links found so far have not joined is
+verified, but for those that can't be alike: by sizes, by shingles of their own, by the places where they meet in the order, and by
+bitmaps of what they share with any set, whose differing bits each stand for a differing shingle. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,21 +22,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tallybrook.llm.common import bit_filter, staged, unstage
 from tallybrook.llm.components import connected
 
-#: Shingles that are put last in the global order: the most frequent within batches. Any order gives the same links.
-FREQUENT, FREQUENT_IN_BATCH = 50_000, 3
 #: Groups of a shingle that all its others are checked against in the first round.
 CENTRES = 4
-#: Pairs between two components that are checked before all others.
-TRIES = 8
 #: Texts that are checked against one copy of another.
 CHUNK = 256
-#: Words a task remembers the hashes of.
-VOCABULARY = 400_000
+#: Words a task remembers the hashes of; texts it remembers, to count copies once; shingles it cuts into ranges at a time.
+VOCABULARY, SEEN, TOGETHER = 400_000, 500_000, 1_500_000
+#: Shingles a range aims at; bytes of text for each; least number of ranges; bits of a hash after those that choose the range.
+RANGE, BYTES, RANGES, REST = 1_000_000, 6, 64, 40
+#: 64-bit words of a bitmap.
+BITMAP = 16
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -70,94 +72,168 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def frequent(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """At most FREQUENT shingles, sorted by hash: those that batches repeat most."""
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Eight bits that never fall as a count rises."""
+    return np.minimum(255, np.where(counts < 64, counts, 64 + 16 * (np.log2(np.maximum(counts, 1)) - 6))).astype(np.uint64)
+
+
+_RANGED = "range int, id long, key long, n long, set_key binary, rest binary, keys binary, many binary"
+_COUNTED = "id long, key long, n long, set_key binary, tokens binary"
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        for b in batches:
-            texts = list(dict.fromkeys(t for t in b["__t"].tolist() if t))
-            # grams across the ends of texts are counted too: they are rare, and any order will do
-            tokens = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in (t.encode().lower().split() for t in texts)]
-            h = grams(np.concatenate(tokens), width) if tokens else np.zeros(0, np.uint64)
-            del tokens
-            h.sort()
-            edges = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([edges, [len(h)]]))
-            top = np.flatnonzero(n >= FREQUENT_IN_BATCH)
-            top = top[np.argsort(-n[top], kind="stable")[:FREQUENT]]
-            yield pd.DataFrame({"h": h[edges[top]].view(np.int64), "n": n[top]})
-
-    got = staged(docs.select(F.col(text).alias("__t")).mapInPandas(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    # the lowest power of two that no more than FREQUENT counts reach
-    levels, least, total = got.groupBy(F.floor(F.log2("n")).alias("l")).count().orderBy(F.col("l").desc()).collect(), 63, 0
-    for r in levels:
-        total += r["count"]
-        if total > FREQUENT:
-            break
-        least = r.l
-    rows = got.filter(F.col("n") >= float(2**least)).select("h").toPandas()
-    unstage(got)
-    return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
-
-
-def prefixes(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """One row per document: id, n, set_key, group_key, prefix; a task gives a group's prefix with the group's first document only."""
-    late = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, width))
+
+def _cut(width: int, bits: int):
+    """Sets of texts (key, id, t): a row for each text, and for each range and some texts one with their hashes there."""
+
+    def cut(texts: list[np.ndarray], keys: list[int]) -> pd.DataFrame:
+        every = np.concatenate(texts)
+        number = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+        order = np.argsort(number, kind="stable")
+        number, owner = number[order], np.repeat(np.arange(len(texts)), list(map(len, texts)))[order]
+        rest = (every[order] >> np.uint64(64 - bits - REST)).view(np.uint8).reshape(-1, 8)[:, : REST // 8]
+        bounds = np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1, append=-1))
+        names, out = np.array(keys, np.int64), []
+        for a, b in zip(bounds, bounds[1:]):
+            runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            many = np.diff(runs, append=b - a).astype(np.uint32)
+            out.append((int(number[a]), rest[a:b].tobytes(), names[owner[a:b][runs]].tobytes(), many.tobytes()))
+        return pd.DataFrame(out, columns=["range", "rest", "keys", "many"]).assign(id=0, key=0, n=0, set_key=None)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = Words(), set()
+        known, seen, texts, keys, size = Words(), set(), [], [], 0
         for b in batches:
-            out = []
-            for doc, t in zip(b["__k"], b["__t"].tolist(), strict=True):
+            rows = []
+            for key, doc, t in zip(b["key"].tolist(), b["id"].tolist(), b["t"].tolist(), strict=True):
                 s = shingles(t, known, width)
-                n = len(s)
-                if not n:
-                    out.append((doc, 0, None, None, None))
+                name = xxhash.xxh3_128_digest(s.tobytes())
+                rows.append((key % (1 << bits), doc, key, len(s), name if len(s) else None))
+                if len(s) and name not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
+                    texts.append(s)
+                    keys.append(key)
+                    size += len(s)
+                if size >= TOGETHER:
+                    yield cut(texts, keys)
+                    texts, keys, size = [], [], 0
+            yield pd.DataFrame(rows, columns=["range", "id", "key", "n", "set_key"]).assign(rest=None, keys=None, many=None)
+        if texts:
+            yield cut(texts, keys)
+
+    return measured
+
+
+def _counted(bits: int):
+    """Reads rows of ``_cut`` sorted by range: passes texts on, and gives sets their tokens that occur twice or more.
+
+    A token is an unsigned number: the rank of its count, then its hash; so tokens sort in the global order.
+    """
+
+    def tokens(number: int, rest: list[bytes], keys: list[bytes], many: list[bytes]) -> pd.DataFrame:
+        raw = np.frombuffer(b"".join(rest), np.uint8).reshape(-1, REST // 8)
+        h = np.zeros((len(raw), 8), np.uint8)
+        h[:, : REST // 8] = raw
+        h = h.view(np.uint64).ravel()
+        own = np.repeat(np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(many), np.uint32))
+        order = np.argsort(h)
+        h, own = h[order], own[order]
+        twice = np.zeros(len(h), bool)
+        twice[1:] = h[1:] == h[:-1]
+        twice[:-1] |= twice[1:]
+        h, own = h[twice], own[twice]
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, bool)
+        edge = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)))  # sets of each hash, counted once each
+        count = np.repeat(np.add.reduceat(new.astype(np.int64), edge), np.diff(edge, append=len(h))) if len(h) else np.zeros(0, np.int64)
+        good = count > 1
+        token = ranks(count[good]) << np.uint64(56) | (np.uint64(number) << np.uint64(REST) | h[good]) & np.uint64((1 << 56) - 1)
+        own = own[good]
+        order = np.argsort(own, kind="stable")
+        token, own = token[order], own[order]
+        bounds = np.flatnonzero(np.diff(own, prepend=own[:1] - 1, append=own[-1:] + 1)) if len(own) else np.zeros(0, np.int64)
+        out = [(int(own[a]), token[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+        return pd.DataFrame(out, columns=["key", "tokens"]).assign(id=None, n=None, set_key=None)[["id", "key", "n", "set_key", "tokens"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = -1, ([], [], [])
+        for b in batches:
+            texts = b["rest"].isna()
+            if texts.any():
+                yield b.loc[texts, ["id", "key", "n", "set_key"]].assign(tokens=None)
+            for number, *blobs in b.loc[~texts, ["range", "rest", "keys", "many"]].itertuples(index=False):
+                if number != now:
+                    if held[0]:
+                        yield tokens(now, *held)
+                    now, held = number, ([], [], [])
+                for x, y in zip(held, blobs, strict=True):
+                    x.append(y)
+        if held[0]:
+            yield tokens(now, *held)
+
+    return run
+
+
+def _prefixed(percent: int):
+    """Prefixes of the sets (key, node, n, parts) whose prefix has tokens of other sets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, node, n, parts in zip(b["key"], b["node"], b["n"], b["parts"], strict=True):
+                t = np.sort(np.frombuffer(b"".join(parts), np.uint64))
+                own = n - len(t)
+                p = t[: max(0, prefix_length(n, percent) - own)]
+                if not len(p):
                     continue
-                at = np.searchsorted(late.value, s)
-                often = late.value[np.minimum(at, len(late.value) - 1)] == s if len(late.value) else np.zeros(n, bool)
-                p = np.concatenate([s[~often], s[often]])[: prefix_length(n, percent)]
-                group = xxhash.xxh3_64_intdigest(p.tobytes(), seed=n)
-                new = group not in seen
-                seen.add(group)
-                out.append((doc, n, xxhash.xxh3_128_digest(s.tobytes()), np.uint64(group).view(np.int64), p.view(np.int64) if new else None))
-            yield pd.DataFrame(out, columns=["id", "n", "set_key", "group_key", "prefix"]).astype({"group_key": "Int64"})
-
-    rows = docs.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t")).filter("__k is not null")
-    return staged(rows.mapInPandas(measured, "id long, n long, set_key binary, group_key long, prefix array<long>"), "prefixes")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of ids whose texts have the similarity."""
-    pairs = pairs.withColumn("chunk", F.floor((F.pmod(F.xxhash64("v"), F.lit(1 << 20)) * F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("u")) / CHUNK))) / (1 << 20)))
-    pairs = staged(pairs.select("u", "v", "chunk"), "pairs")
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null").filter(bit_filter(ids, "id"))
-    heads = rows.join(pairs.select("u", "chunk").distinct(), F.col("id") == F.col("u")).select("u", "chunk", F.lit(None).cast("long").alias("v"), "t")
-    tails = rows.join(pairs, F.col("id") == F.col("v")).select("u", "chunk", "v", "t")
+                group = xxhash.xxh3_64_intdigest(p.tobytes() if own == 0 else p.tobytes() + int(key).to_bytes(8, "little", signed=True), seed=n)
+                h = t * np.uint64(MIX[0])
+                at = np.unique((h ^ (h >> np.uint64(31))) % np.uint64(64 * BITMAP))
+                bits = np.zeros(64 * BITMAP, np.uint8)
+                bits[at] = 1
+                out.append((key, node, n, own, np.uint64(group).view(np.int64), p.view(np.int64), *np.packbits(bits).view(np.int64).tolist()))
+            yield pd.DataFrame(out, columns=_PREFIXED.replace(",", "").split()[::2])
+
+    return run
+
+
+_PREFIXED = "key long, node long, n long, own long, g long, prefix array<long>, " + ", ".join(f"b{i} long" for i in range(BITMAP))
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, t) of the rows with an id: ``key`` is the id, or a hash of id and text for ids that several rows have."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null")
+    many = staged(rows.groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    if many.isEmpty():
+        return rows.select(F.col("id").alias("key"), "id", "t")
+    return rows.select(F.when(bit_filter(many, "id"), F.xxhash64("id", "t")).otherwise(F.col("id")).alias("key"), "id", "t")
+
+
+def verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of keys whose texts have the similarity."""
+    many = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    pairs = staged(pairs.join(many, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).alias("chunk")), "pairs")
+    ends = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
+    rows = rows.select("key", "t").filter(bit_filter(ends, "key"))
+    heads = rows.join(pairs.select("u", "chunk").distinct(), F.col("key") == F.col("u")).select("u", "chunk", F.lit(0).alias("tail"), F.col("u").alias("v"), "t")
+    tails = rows.join(pairs, F.col("key") == F.col("v")).select("u", "chunk", F.lit(1).alias("tail"), "v", "t")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, now, own = Words(), None, []
+        known, now, own = Words(), None, None
         for b in batches:
             out = []
-            for u, chunk, v, t in zip(b["u"], b["chunk"], b["v"], b["t"].tolist(), strict=True):
+            for u, chunk, tail, v, t in zip(*(b[c].tolist() for c in ("u", "chunk", "tail", "v", "t")), strict=True):
                 s = shingles(t, known, width)
-                if (u, chunk) != now:
-                    now, own = (u, chunk), []
-                if pd.isna(v):
-                    own.append(s)
-                    continue
-                for o in own:
-                    if min(len(s), len(o)) * 100 >= percent * max(len(s), len(o)) > 0:
-                        both = len(s) + len(o) - len(np.union1d(s, o))
-                        if 100 * both >= percent * (len(s) + len(o) - both):
-                            out.append((u, int(v)))
-                            break
-            yield pd.DataFrame(out, columns=["u", "v"])
-
-    together = heads.unionByName(tails).repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
-    out = staged(together.mapInPandas(checked, "u long, v long"), "verified")
+                if not tail:
+                    now, own = (u, chunk), s
+                elif (u, chunk) == now and min(len(s), len(own)) * 100 >= percent * max(len(s), len(own)) > 0:
+                    both = len(s) + len(own) - len(np.union1d(s, own))
+                    if 100 * both >= percent * (len(s) + len(own) - both):
+                        out.append((u, v))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    together = heads.unionByName(tails).repartition("u", "chunk").sortWithinPartitions("u", "chunk", "tail")
+    out = staged(together.mapInPandas(checked, "u long, v long").distinct(), "verified")
     unstage(pairs)
     return out
 
@@ -170,62 +246,63 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     named by its least id. A null text, or one without words, has an empty set and its own id. Rows that share an id are one
     document for linking. A null id takes no part and comes with a null component. An empty table gives no rows.
     """
-    base = prefixes(docs, key, text, width, percent)
-    sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("group_key").alias("g"))
-    nodes = staged(sets, "nodes")
-    same = Window.partitionBy("h")
-    hits = base.select(F.col("group_key").alias("g"), F.explode("prefix").alias("h")).repartition("h").withColumn("least", F.min("g").over(same)).withColumn("most", F.max("g").over(same)).filter("least <> most").select("h", "g").distinct()
-    # shingles with equal lists of groups become one, of weight w
-    lists = [F.bit_xor(F.xxhash64("g", F.lit(i))).over(same) for i in range(2)]
-    hits = hits.select(F.xxhash64(*lists).alias("h"), "g").repartition("h").groupBy("h", "g").agg(F.count(F.lit(1)).alias("w"))
-    centres = F.array(F.min("g").over(same), *[F.min(F.struct(F.xxhash64("g", F.lit(i)).alias("r"), "g")).over(same)["g"] for i in range(1, CENTRES)])
-    hits = staged(hits.select("h", "g", "w", F.count(F.lit(1)).over(same).alias("df"), F.array_distinct(centres).alias("centres")), "shared")
-    heads = nodes.groupBy("g").agg(F.min("node").alias("head"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"))
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    # sets that share c prefix shingles share c + ceil(t n) - 1 at most, n being the larger size
-    count = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * (shared - 1 + ({percent} * greatest(n, n2) + 99) div 100) >= {percent} * (n + n2)"
-    stars = hits.select("g", "w", F.explode("centres").alias("centre")).filter("g <> centre").groupBy("g", "centre").agg(F.sum("w").alias("shared")).filter("shared > 1")
-    stars = stars.join(heads.select("g", "head", "n"), "g")
-    stars = stars.join(heads.select(F.col("g").alias("centre"), F.col("head").alias("head2"), F.col("n").alias("n2")), "centre").filter(count)
-    inner = nodes.join(heads.filter("members > 1").select("g", "head"), "g").filter("node <> head")
+    rows = keyed(docs, key, text)
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = (max(RANGES, size // (BYTES * RANGE)) - 1).bit_length()
+    ranged = rows.mapInPandas(_cut(width, bits), _RANGED).repartition("range").sortWithinPartitions("range")
+    counted = staged(ranged.mapInPandas(_counted(bits), _COUNTED), "counted")
+    base = counted.filter("tokens is null").select("id", "key", "n", "set_key")
+    sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
+    owners = staged(base.join(sets, "set_key", "left").select("id", "key", "n", "node"), "owners")
+    parts = counted.filter("tokens is not null").groupBy("key").agg(F.collect_list("tokens").alias("parts"))
+    parts = parts.join(owners.select("key", "n", "node").distinct(), "key")
+    found = staged(parts.select("key", "node", "n", "parts").mapInPandas(_prefixed(percent), _PREFIXED), "prefixes")
+    one = found.groupBy("node").agg(F.min("key").alias("key"))  # a set that several tasks met counts once
+    members = staged(found.join(one, ["node", "key"]).select(*found.columns), "members")
+    unstage(found)
+    heads = members.groupBy("g").agg(F.min("key").alias("head"), F.first("n").alias("n"), F.first("own").alias("own"), F.count(F.lit(1)).alias("members"), F.min(F.struct("key", "prefix"))["prefix"].alias("prefix"))
+    hits = heads.select("g", "members", "own", F.posexplode("prefix").alias("at", "h"))
+    # tokens with equal lists of groups become one, of which the first place counts
+    lists = hits.groupBy("h").agg(F.sum("members").alias("m"), *[F.bit_xor(F.xxhash64("g", F.lit(i))).alias(f"x{i}") for i in range(2)]).filter("m > 1")
+    hits = hits.join(lists.select("h", F.xxhash64("x0", "x1").alias("l")), "h").groupBy("l", "g").agg(F.min(F.col("at") + F.col("own")).alias("at"))
+    hits = staged(hits, "shared")
+    heads = heads.drop("prefix")
+    rank = hits.join(heads.select("g", (F.col("own") / F.col("n")).alias("alone")), "g")
+    best = [F.min(F.struct("alone", F.xxhash64("g").alias("r"), "g"))["g"], *[F.min(F.struct(F.xxhash64("g", F.lit(i)).alias("r"), "g"))["g"] for i in range(1, CENTRES)]]
+    centres = rank.groupBy("l").agg(F.array_distinct(F.array(*best)).alias("centres")).select("l", F.explode("centres").alias("centre"))
+    # of n shingles, those after a shared one and those of its own bound what a set can share
+    enough = f"{100 + percent} * least(n - own, n2 - own2) >= {percent} * (n + n2) and {100 + percent} * (least(at - own, at2 - own2) + least(n - at, n2 - at2)) >= {percent} * (n + n2)"
+    stars = hits.join(heads.select("g", "head", "n", "own"), "g")
+    centres = centres.join(hits.select("l", F.col("g").alias("centre"), F.col("at").alias("at2")), ["l", "centre"])
+    centres = centres.join(heads.select(F.col("g").alias("centre"), F.col("head").alias("head2"), F.col("n").alias("n2"), F.col("own").alias("own2")), "centre")
+    stars = stars.join(centres, "l").filter("g <> centre").filter(enough)
+    inner = members.join(heads.filter("members > 1").select("g", "head"), "g").filter("key <> head")
     ordered = lambda df: df.filter("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    first = ordered(stars.select(F.col("head").alias("a"), F.col("head2").alias("b")).unionByName(inner.select(F.col("head").alias("a"), F.col("node").alias("b"))))
+    first = ordered(stars.select(F.col("head").alias("a"), F.col("head2").alias("b")).unionByName(inner.select(F.col("head").alias("a"), F.col("key").alias("b"))))
     first = staged(first, "first")
-    links = verified(docs, first, key, text, width, percent)
-    joined = staged(nodes.join(connected(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "joined")
-    # what the first round has not joined: pairs of components within a group or a shared shingle
-    spread = joined.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("g")
-    here = joined.join(spread, "g", "left_semi").select(F.col("g").alias("k"), F.lit(0).cast("long").alias("h"), "node", "n", "c", *[F.lit(0).cast("long").alias(x) for x in ("w", "upto", "onward")])
-    there = hits.select("h", "g", "w", "df").join(joined.select("g", "node", "n", "c"), "g").withColumn("x", F.min("c").over(same)).withColumn("y", F.max("c").over(same)).filter("x <> y")
-    # whatever a pair shares lies up to a shared shingle or onward from it in both sets, in the order of (df, h)
-    way = Window.partitionBy("node").orderBy("df", "h")
-    upto, onward = (F.sum("w").over(way.rowsBetween(*x)) for x in ((Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)))
-    there = there.select(F.lit(0).cast("long").alias("k"), "h", "node", "n", "c", "w", upto.alias("upto"), onward.alias("onward"))
-    left = staged(here.unionByName(there), "open")
-    other = left.select("k", "h", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("upto").alias("upto2"), F.col("onward").alias("onward2"))
-    enough = count.replace("shared", "least(upto, upto2) + least(onward, onward2) - w")
-    met = left.join(other, ["k", "h"]).filter("node < node2 and c <> c2").filter(f"{fits} and (k <> 0 or {enough})")
-    met = met.groupBy(F.col("node").alias("u"), F.col("node2").alias("v"), "c", "c2", "n", "n2").agg(F.sum("w").alias("shared"), F.max(F.col("k") != 0).alias("group")).filter(f"group or ({count})")
-    second = staged(met.select("u", "v", "c", "c2", "shared").join(first, ["u", "v"], "left_anti"), "second")
-    if not second.isEmpty():
-        # of each two components the pairs that share most, one of each hash class, then all pairs that are still apart
-        some = [F.max(F.when(F.pmod(F.xxhash64("u", "v"), F.lit(TRIES)) == i, F.struct("shared", "u", "v"))) for i in range(TRIES)]
-        tried = second.groupBy(F.least("c", "c2"), F.greatest("c", "c2")).agg(F.array(*[x["u"] for x in some]).alias("us"), F.array(*[x["v"] for x in some]).alias("vs"))
-        tried = staged(tried.select(F.explode(F.arrays_zip("us", "vs")).alias("x")).select(F.col("x.us").alias("u"), F.col("x.vs").alias("v")).filter("u is not null").distinct(), "tried")
-        between = lambda links: second.join(links, ["u", "v"], "left_semi").select(F.col("c").alias("u"), F.col("c2").alias("v"))
-        joins = between(verified(docs, tried, key, text, width, percent))
-        now = connected(joins)
-        apart = second.select("u", "v", "c", "c2").join(tried, ["u", "v"], "left_anti")
-        for c in ("c", "c2"):
-            apart = apart.join(now.select(F.col("node").alias(c), F.col("component").alias(f"{c}_now")), c, "left")
-        apart = staged(apart.filter("coalesce(c_now, c) <> coalesce(c2_now, c2)").select("u", "v"), "apart")
-        joins = joins.unionByName(between(verified(docs, apart, key, text, width, percent)))
-        joined = joined.join(connected(joins).withColumnRenamed("node", "c"), "c", "left").withColumn("c", F.coalesce("component", "c"))
-        for done in (tried, apart):
-            unstage(done)
-    out = base.select("id", "n", "set_key").join(joined.select("set_key", "c"), "set_key", "left")
-    out = staged(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")), "components")
-    for done in (base, hits, left, first, second):
+    links = verified(rows, first, width, percent)
+    joined = members.select("g", "key", "n", "own", *[f"b{i}" for i in range(BITMAP)]).join(connected(links).withColumnRenamed("node", "key"), "key", "left")
+    joined = staged(joined.withColumn("c", F.coalesce("component", "key")).drop("component"), "joined")
+    # what the first round has not joined: of a list, the members outside its largest component against all others
+    parts = hits.join(joined.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")), "g").groupBy("l", "c").agg(F.sum("k").alias("k"))
+    open_ = parts.groupBy("l").agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("l", "most")
+    left = staged(hits.join(open_, "l").join(joined, "g"), "open")
+    other = left.select("l", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "own", "at", "c")], *[F.col(f"b{i}").alias(f"o{i}") for i in range(BITMAP)])
+    # each bit that differs stands for a shingle of one set that the other lacks
+    differ = " + ".join(f"bit_count(b{i} ^ o{i})" for i in range(BITMAP))
+    apart = f"c <> c2 and (c2 = most or key < key2) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {enough} and {100 + percent} * ((n - own + n2 - own2 - ({differ})) div 2) >= {percent} * (n + n2)"
+    met = left.filter("c <> most").join(other, "l").filter(apart)
+    second = staged(ordered(met.select(F.col("key").alias("a"), F.col("key2").alias("b"))).join(first, ["u", "v"], "left_anti"), "second")
+    links = links.unionByName(verified(rows, second, width, percent))
+    # links between the first nodes of sets, and between the sets of an id that several rows have
+    node = owners.filter("node is not null").select("key", "node").distinct()
+    links = links.join(node.select(F.col("key").alias("u"), F.col("node").alias("a")), "u").join(node.select(F.col("key").alias("v"), F.col("node").alias("b")), "v").select("a", "b")
+    same = owners.filter("node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("id", "a")
+    same = same.join(owners.filter("node is not null").select("id", F.col("node").alias("b")), "id").select("a", "b")
+    component = connected(ordered(links.unionByName(same)))
+    out = owners.join(component, "node", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id"))
+    out = staged(out, "components")
+    for done in (counted, owners, members, hits, first, joined, left, second):
         unstage(done)
     nulls = docs.filter(F.col(key).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nulls)
