@@ -54,21 +54,35 @@ def typed(kind: Column, text: Column) -> Column:
     )
 
 
+#: Rows that a time range of a trace aims at.
+RANGE_ROWS = 10_000
+
+
 def unix_ns(df: DataFrame, clock: DataFrame, ts: str = "ts") -> DataFrame:
     """Adds ``unix_ns`` of a trace time from snapshots (ts, unix): linear between two, with slope 1 outside. Divides toward zero.
 
-    Snapshots and rows are ordered together per ``trace`` and each row takes the last one before and the first one after it.
+    Snapshots and rows are ordered together within ranges of time of a ``trace``; each row takes the last snapshot before and the
+    first one after it, which each range's neighbours hand over where it has none. So a long trace is spread over many tasks.
     """
     points = clock.select("trace", F.col("ts").alias("__t"), F.col("unix").alias("__u"), F.lit(0).alias("__row"))
     rows = df.withColumn("__t", F.col(ts)).withColumn("__row", F.lit(1))
     both = rows.unionByName(points, allowMissingColumns=True)
-    back = Window.partitionBy("trace").orderBy("__t", "__row").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("trace").orderBy("__t", F.col("__row").desc()).rowsBetween(0, Window.unboundedFollowing)
+    low, high, n = both.agg(F.min("__t"), F.max("__t"), F.count(F.lit(1))).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, n // RANGE_ROWS) + 1)
     point = F.when(F.col("__row") == 0, F.struct(F.col("__t").alias("t"), F.col("__u").alias("u")))
-    both = both.withColumn("__a", F.last(point, ignorenulls=True).over(back)).withColumn("__z", F.first(point, ignorenulls=True).over(ahead)).filter("__row = 1")
+    both = both.withColumn("__r", F.expr(f"(__t - {low or 0}L) div {width}L")).withColumn("__p", point)
+    edges = both.groupBy("trace", "__r").agg(F.min("__p").alias("first"), F.max("__p").alias("last"))
+    line = Window.partitionBy("trace")
+    known = lambda c, order: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(F.col("trace").alias("__trace"), F.col("__r").alias("__range"), known("last", line.orderBy("__r")).alias("__before"), known("first", line.orderBy(F.col("__r").desc())).alias("__after"))
+    own = Window.partitionBy("trace", "__r")
+    seen = lambda order: F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__a", seen(own.orderBy("__t", "__row", "__u"))).withColumn("__z", seen(own.orderBy(F.col("__t").desc(), "__row", F.col("__u").desc()))).filter("__row = 1")
+    both = both.join(edges, F.col("trace").eqNullSafe(F.col("__trace")) & F.col("__r").eqNullSafe(F.col("__range")))
+    both = both.withColumn("__a", F.coalesce("__a", "__before")).withColumn("__z", F.coalesce("__z", "__after"))
     between = F.expr("__a.u + cast((cast(__t - __a.t as decimal(38,0)) * cast(__z.u - __a.u as decimal(19,0))) div cast(__z.t - __a.t as decimal(19,0)) as bigint)")
     value = F.when(F.col("__a").isNull(), F.expr("__z.u - (__z.t - __t)")).when(F.col("__z").isNull() | (F.expr("__z.t = __a.t")), F.expr("__a.u + (__t - __a.t)")).otherwise(between)
-    return both.withColumn("unix_ns", F.greatest(value, F.lit(0))).drop("__t", "__u", "__row", "__a", "__z")
+    return both.withColumn("unix_ns", F.greatest(value, F.lit(0))).select(*df.columns, "unix_ns")
 
 
 def generated(spark: SparkSession, rows: int = 25_000) -> DataFrame:
