@@ -3,9 +3,11 @@
 On unit vectors the nearest by Euclidean distance are those with the largest cosine. A tree's node keeps the least and largest
 distance of each child's vectors from the node's vantage point; a query passes a child over when even the nearest point these
 bounds allow is farther than ``factor`` times its k-th best distance so far (smaller factors prune more; 1 is exact search).
-Queries walk a tree together, so distances at a node or leaf are one small matrix product, and leave a branch one by one.
+Queries walk a tree together, so distances at a node or leaf are one small matrix product, and leave a branch one by one. In a
+leaf whatever is within rounding of a query's k-th best is ranked by its exact cosine and id, so ties are settled as in the result.
 
-Equal vectors are collapsed first: of each distinct vector only the k + 1 smallest ids can be among anyone's k nearest.
+A shard's tree is built once, in the task that has the shard's vectors; all queries then stream past it in blocks. Of equal
+vectors only the k + 1 smallest ids can be among anyone's k nearest, so the others are dropped first.
 """
 
 from __future__ import annotations
@@ -17,67 +19,124 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct vectors a shard aims at, queries of one block, vectors of a leaf.
+#: Vectors a shard aims at, queries of one block, vectors of a leaf.
 SHARD_ROWS, QUERY_ROWS, LEAF = 16384, 4096, 192
-#: Added to pruning distances against rounding.
+#: Added to pruning distances and to cosines against rounding.
 SLACK = 1e-6
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which keeps their cosines, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
-def build(v: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes in depth-first order: (None, rows) for a leaf, or (vantage row, [(lo, hi, child node), ...])."""
-    nodes: list[tuple] = []
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
-    def grow(rows: np.ndarray) -> int:
-        at = len(nodes)
-        nodes.append((None, rows))
+
+class Tree:
+    """Vantage-point tree over vectors of one dimension; ``nodes`` are (None, rows) or (vantage row, [(lo, hi, child), ...])."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int) -> None:
+        self.ids, self.v = ids, scaled(vectors)
+        self.len = lengths(self.v)
+        self.u = self.v / self.len[:, None]
+        self.repeated = len(np.unique(ids)) < len(ids)
+        self.nodes: list[tuple] = []
+        self._grow(np.arange(len(ids)), np.random.default_rng(seed))
+
+    def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> int:
+        at, u = len(self.nodes), self.u
+        self.nodes.append((None, rows))
         if len(rows) > LEAF:
             tried = rows[rng.integers(0, len(rows), 6)]
-            some = v[rows[rng.integers(0, len(rows), 128)]]
-            spread = np.sqrt(np.maximum(0, 2 - 2 * v[tried] @ some.T)).std(axis=1)
+            some = u[rows[rng.integers(0, len(rows), 128)]]
+            spread = np.sqrt(np.maximum(0, 2 - 2 * u[tried] @ some.T)).std(axis=1)
             vantage = int(tried[spread.argmax()])
-            d = np.sqrt(np.maximum(0, 2 - 2 * v[rows] @ v[vantage]))
+            d = np.sqrt(np.maximum(0, 2 - 2 * u[rows] @ u[vantage]))
             order = np.argsort(d, kind="stable")
             half = len(rows) // 2
             children = [(float(d[p[0]]), float(d[p[-1]]), rows[p]) for p in (order[:half], order[half:])]
-            nodes[at] = (vantage, [(lo, hi, grow(part)) for lo, hi, part in children])
+            self.nodes[at] = (vantage, [(lo, hi, self._grow(part, rng)) for lo, hi, part in children])
         return at
 
-    grow(np.arange(len(v)))
-    return nodes
-
-
-def search(v: np.ndarray, nodes: list[tuple], q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``v`` (or -1) and squared distances of each query's ``k`` nearest found."""
-    best = np.full((len(q), k), np.inf)
-    found = np.full((len(q), k), -1)
-
-    def visit(at: int, who: np.ndarray) -> None:
-        vantage, rest = nodes[at]
-        if vantage is None:
-            d = np.maximum(0, 2 - 2 * q[who] @ v[rest].T)
-            d = np.concatenate([best[who], d], axis=1)
-            ids = np.concatenate([found[who], np.broadcast_to(rest, (len(who), len(rest)))], axis=1)
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            best[who], found[who] = np.take_along_axis(d, near, 1), np.take_along_axis(ids, near, 1)
-            return
-        d = np.sqrt(np.maximum(0, 2 - 2 * q[who] @ v[vantage]))
-        near_first = d <= (rest[0][1] + rest[1][0]) / 2
-        for first in (True, False):  # each query looks into its own half first
-            for side, (lo, hi, child) in enumerate(rest):
-                mine = np.flatnonzero((near_first == (side == 0)) == first)
-                reach = factor * np.sqrt(best[who[mine]].max(axis=1)) + SLACK
-                gap = np.maximum(lo - d[mine], d[mine] - hi)
-                mine = mine[gap <= reach]
-                if len(mine):
-                    visit(child, who[mine])
-
-    if len(q) and len(v):
-        visit(0, np.arange(len(q)))
-    return found, best
+    def search(self, qids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the vectors (or -1) and exact cosines of each query's ``k`` nearest found, by falling cosine, then rising id."""
+        q = scaled(queries)
+        qlen = lengths(q)
+        qu = q / qlen[:, None]
+        best, found = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+
+        def leaf(who: np.ndarray, rest: np.ndarray) -> None:
+            near = qu[who] @ self.u[rest].T
+            near[self.ids[rest][None, :] == qids[who][:, None]] = -np.inf
+            least = best[who, -1]
+            if len(rest) > k and not self.repeated:  # what k vectors of this leaf beat isn't looked at
+                least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+            i, j = np.nonzero((near > -np.inf) & (near >= least[:, None] - SLACK))
+            if not len(i):
+                return
+            i, j = who[i], rest[j]
+            cos = np.concatenate([(self.v[j[a : a + 65536]] * q[i[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)]) / (self.len[j] * qlen[i])
+            own = np.unique(i)
+            i, j, cos = np.concatenate([np.repeat(own, k), i]), np.concatenate([found[own].ravel(), j]), np.concatenate([best[own].ravel(), cos])
+            i, j, cos = i[j >= 0], j[j >= 0], cos[j >= 0]
+            order = np.lexsort((self.ids[j], -cos, i))
+            if self.repeated:  # an id with several vectors counts with its best
+                _, once = np.unique(np.stack([i[order], self.ids[j[order]]], axis=1), axis=0, return_index=True)
+                order = order[np.sort(once)]
+            i, j, cos = i[order], j[order], cos[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            top = nth < k
+            best[own], found[own] = -np.inf, -1
+            best[i[top], nth[top]], found[i[top], nth[top]] = cos[top], j[top]
+
+        def visit(at: int, who: np.ndarray) -> None:
+            vantage, rest = self.nodes[at]
+            if vantage is None:
+                leaf(who, rest)
+                return
+            d = np.sqrt(np.maximum(0, 2 - 2 * qu[who] @ self.u[vantage]))
+            near_first = d <= (rest[0][1] + rest[1][0]) / 2
+            for first in (True, False):  # each query looks into its own half first
+                for side, (lo, hi, child) in enumerate(rest):
+                    mine = np.flatnonzero((near_first == (side == 0)) == first)
+                    reach = factor * np.sqrt(np.maximum(0, 2 - 2 * best[who[mine], -1])) + SLACK
+                    mine = mine[np.maximum(lo - d[mine], d[mine] - hi) <= reach]
+                    if len(mine):
+                        visit(child, who[mine])
+
+        if len(q):
+            visit(0, np.arange(len(q)))
+        return found, best
+
+
+def _searched(k: int, factor: float, seed: int):
+    """Reads (shard, asked, id, v) sorted by shard, its vectors before its queries; gives (query_id, vec_id, score)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, ids, vectors, trees = None, {}, {}, {}
+        for b in batches:
+            dims = b["v"].map(len)
+            for (shard, asked, size), rows in b.groupby(["shard", "asked", dims.rename("size")], sort=True):
+                if shard != now:
+                    now, ids, vectors, trees = shard, {}, {}, {}
+                v = np.stack(rows["v"].to_numpy())
+                if not asked:
+                    ids.setdefault(size, []).append(rows["id"].to_numpy())
+                    vectors.setdefault(size, []).append(v)
+                    continue
+                if size in ids:
+                    trees[size] = Tree(np.concatenate(ids.pop(size)), np.concatenate(vectors.pop(size)), seed)
+                if size not in trees:
+                    continue
+                tree, qids = trees[size], rows["id"].to_numpy()
+                for a in range(0, len(v), QUERY_ROWS):
+                    found, cos = tree.search(qids[a : a + QUERY_ROWS], v[a : a + QUERY_ROWS], k, factor)
+                    i, j = np.nonzero(found >= 0)
+                    yield pd.DataFrame({"query_id": qids[a : a + QUERY_ROWS][i], "vec_id": tree.ids[found[i, j]], "score": cos[i, j]})
+
+    return run
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding", shards: int | None = None, seed: int = 0) -> DataFrame:
@@ -96,35 +155,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float
     if shards is None:
         shards = max(1, -(-vectors.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
-    asked = good(queries).distinct()
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    block = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(blocks)).cast("int").alias("block")
-    # every shard meets every block of queries; a pair is one group of bounded size
-    right = points.select("id", "v", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    left = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block)
-
-    def found(key: tuple, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(p):
-            for dims, qs in q.groupby(q["v"].map(len)):
-                ps = p[p["v"].map(len) == dims]
-                if not len(ps):
-                    continue
-                raw = np.stack(ps["v"].to_numpy())
-                distinct, which = np.unique(raw, axis=0, return_inverse=True)
-                order = np.lexsort((ps["id"].to_numpy(), which.ravel()))
-                ids, which = ps["id"].to_numpy()[order], which.ravel()[order]
-                starts = np.searchsorted(which, np.arange(len(distinct) + 1))
-                v, asked = unit(distinct), np.stack(qs["v"].to_numpy())
-                rows, _ = search(v, build(v, np.random.default_rng(seed)), unit(asked), min(k + 1, len(v)), factor)
-                lengths = np.sqrt((distinct * distinct).sum(axis=1))
-                for i, (qid, hits) in enumerate(zip(qs["id"], rows, strict=True)):
-                    hits = hits[hits >= 0]
-                    cos = (distinct[hits] * asked[i]).sum(axis=1) / (lengths[hits] * np.sqrt((asked[i] * asked[i]).sum()))
-                    out += [(qid, int(x), float(c)) for h, c in zip(hits, cos, strict=True) for x in ids[starts[h] : starts[h + 1]] if x != qid]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(found, "query_id long, vec_id long, score double")
+    # every shard meets all queries
+    asked = good(queries).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asked"), "id", "v")
+    both = points.select(shard, F.lit(0).alias("asked"), "id", "v").unionByName(asked)
+    hits = both.repartition("shard").sortWithinPartitions("shard", "asked").mapInPandas(_searched(k, factor, seed), "query_id long, vec_id long, score double")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -253,6 +253,28 @@ def test_interleaving(odd, empty):
 # ---- nearest neighbours ----
 
 
+def test_neighbour_ties_go_to_smaller_ids(spark, monkeypatch):
+    """Scaled copies of a vector tie, also across leaves and shards; huge and tiny vectors have cosines too."""
+    monkeypatch.setattr(vptree, "LEAF", 8)
+    rng = np.random.default_rng(2)
+    v = rng.integers(-9, 9, 6).astype(float)
+    rows = [(0, (3 * v).tolist())] + [(i, (v * 2.0 ** (i % 7)).tolist()) for i in range(39, 0, -1)]
+    rows += [(100 + i, rng.normal(size=6).tolist()) for i in range(50)] + [(200, (v * 2.0**600).tolist()), (201, (v * 2.0**-600).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shards in (1, 4):
+        got = vptree.neighbours(df, df.filter("vec_id in (0, 201)"), 5, 1.0, shards=shards).orderBy("query_id", "rank").collect()
+        assert [(r.vec_id, round(r.score, 12)) for r in got] == [(i, 1.0) for i in (1, 2, 3, 4, 5)] + [(i, 1.0) for i in (0, 1, 2, 3, 4)]
+
+
+def test_recall_at_the_factor_of_the_query(spark):
+    from tallybrook.llm.queries import ANN_FACTOR
+
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    queries = vectors.filter("vec_id % 50 = 0")
+    found, exact = ({(r.query_id, r.vec_id) for r in vptree.neighbours(vectors, queries, 5, f, shards=2).collect()} for f in (ANN_FACTOR, 1.0))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 def test_neighbours_are_exact_at_factor_one(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(600, 8)).astype(np.float32).tolist()
