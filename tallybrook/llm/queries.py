@@ -137,8 +137,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- repeated strings ----
 
 
+#: Bytes that a passage of over 50 words has at least; shorter ones are too common by chance.
+PASSAGE_BYTES = 256
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some, none = suffix.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    """What is asked for, then ``passage_words``: the words of the longest run of repeated strings of PASSAGE_BYTES, 0 for none."""
+    some, none = suffix.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400, shorter=PASSAGE_BYTES)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     facts = lambda df, rest: df.withColumn("rest", rest).select(
         "doc_id",
@@ -146,8 +151,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate("repeat_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_removed"),
         F.size("repeat_spans").cast("long").alias("n_spans"),
         F.sha2("rest", 256).alias("kept_sha256"),
+        "passage_words",
     )
-    return facts(some, suffix.kept("text", "repeat_spans")).unionByName(facts(none, raw))
+    words = lambda df, n: df.withColumn("passage_words", n)
+    return facts(words(some, suffix.longest_run("text", "passage_spans")), suffix.kept("text", "repeat_spans")).unionByName(facts(words(none, F.lit(0).cast("long")), raw))
 
 
 # ---- pieces ----

@@ -2,7 +2,8 @@
 
 Strings of ``length`` bytes can only be equal if their least hashed 32-byte gram is: each belongs to the bucket of that value.
 Consecutive strings of one bucket are one segment of text; buckets that hold one gram alone can't hold a repeat and go no
-further. Equal segments are collapsed with their count.
+further. Equal segments are collapsed with their count. Two lengths can be asked for at once: buckets are those of the shorter
+strings, and a segment goes on to the end of the longer strings that start in it.
 
 The segments of some buckets at a time are dealt to shards. Each shard's suffixes are sorted once, which gives its transform.
 Transforms are merged by refining how their rows interleave: from an interleave sorted to depth h, stepping each row back
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,13 +74,13 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(raw: bytes, length: int, wanted: np.ndarray) -> Iterator[tuple[np.uint64, int, int]]:
-    """(value, start, end) of the segments whose value is among the sorted ``wanted``."""
+    """(value, first, last + 1) of the starts of each run of strings whose value is among the sorted ``wanted``."""
     got = windows(raw, length)
     if got is None or not len(wanted):
         return
     m = got[1]
     starts = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-    ends = np.concatenate([starts[1:], [len(m)]]) + length - 1
+    ends = np.concatenate([starts[1:], [len(m)]])
     for i in np.flatnonzero(np.isin(m[starts], wanted)):
         yield m[starts[i]], int(starts[i]), int(ends[i])
 
@@ -134,8 +135,8 @@ class Shard:
         return to
 
 
-def merge(shards: list[Shard], length: int) -> np.ndarray:
-    """Interleaves the shards' rows to depth ``length``; the block of each row, rows of all shards one after the other."""
+def merge(shards: list[Shard], lengths: list[int]) -> Iterator[np.ndarray]:
+    """Interleaves the shards' rows to rising depths; for each the block of each row, rows of all shards one after the other."""
     offsets = np.cumsum([0, *(len(s.transform) for s in shards)])
     n = int(offsets[-1])
     back = np.concatenate([s.back() + o for s, o in zip(shards, offsets, strict=False)]).astype(np.int32)
@@ -155,85 +156,89 @@ def merge(shards: list[Shard], length: int) -> np.ndarray:
     block[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     del key, ended, row, forth, k, new
     powers, depth = {1: back}, 8
-    step = 1
-    while step < 8:
-        powers[2 * step] = powers[step][powers[step]]
-        step *= 2
-    while depth < length:
-        step = min(depth, length - depth)
-        if step == depth:
-            if depth not in powers:
-                half = powers[depth // 2]
-                powers[depth] = half[half]
-            jump = powers[depth]
-        else:
-            jump = np.arange(n, dtype=np.int32)
+
+    def power(p: int) -> np.ndarray:
+        if p not in powers:
+            powers[p] = power(p // 2)[power(p // 2)]
+        return powers[p]
+
+    for length in lengths:
+        while depth < length:
+            step = min(depth, length - depth)
+            jump = None
             for p in (1 << i for i in range(step.bit_length()) if step >> i & 1):
-                jump = powers[p][jump]
-        size = np.bincount(block, minlength=n)
-        moved = jump[order]
-        live = np.flatnonzero(size[block[moved]] > 1)
-        if not len(live):
-            break
-        moved, came = moved[live], block[order[live]]
-        dealt = np.sort((block[moved] << 32) | np.arange(len(live)))  # stable: arrivals keep their order within a block
-        old, at = dealt >> 32, dealt & 0xFFFFFFFF
-        came, moved = came[at], moved[at]
-        begins = np.concatenate([[True], old[1:] != old[:-1]])
-        place = old + np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-        fresh = begins | np.concatenate([[True], came[1:] != came[:-1]])
-        order[place] = moved
-        block[moved] = _renumbered(fresh, place)
-        depth += step
-    return block
-
-
-def repeats(parts: list[bytes], counts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(part, covered spans) of the parts that hold strings of ``length`` bytes which occur twice or more, by count or place."""
-    shards, ends, size, begin = [], [], 0, 0
+                jump = power(p) if jump is None else power(p)[jump]
+            size = np.bincount(block, minlength=n)
+            moved = jump[order]
+            live = np.flatnonzero(size[block[moved]] > 1)
+            if not len(live):
+                depth = length
+                break
+            moved, came = moved[live], block[order[live]]
+            dealt = np.sort((block[moved] << 32) | np.arange(len(live)))  # stable: arrivals keep their order within a block
+            old, at = dealt >> 32, dealt & 0xFFFFFFFF
+            came, moved = came[at], moved[at]
+            begins = np.concatenate([[True], old[1:] != old[:-1]])
+            place = old + np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
+            fresh = begins | np.concatenate([[True], came[1:] != came[:-1]])
+            order[place] = moved
+            block[moved] = _renumbered(fresh, place)
+            depth += step
+        yield block
+
+
+def repeats(parts: list[bytes], runs: list[int], counts: list[int], lengths: list[int]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+    """For each of rising lengths the (part, covered spans) of the parts that hold strings of so many bytes which occur twice or more.
+
+    Only strings that start at the first ``runs`` bytes of a part count, each as often as the part does by ``counts``.
+    """
+    shards, size, begin = [], 0, 0
     for i, p in enumerate(parts):
         size += len(p) + 1
         if size >= SHARD or i == len(parts) - 1:
             shards.append(Shard(parts[begin : i + 1]))
             begin, size = i + 1, 0
-    block = merge(shards, length)
-    lengths = np.array([len(p) for p in parts])
-    starts = np.cumsum([0, *(lengths[:-1] + 1)])
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum([0, *(sizes[:-1] + 1)])
     offsets = np.cumsum([0, *(len(s.text) for s in shards)])
     at = np.concatenate([s.suffixes + o for s, o in zip(shards, offsets, strict=False)])
-    part = np.repeat(np.arange(len(parts)), lengths + 1)[at]
-    fits = starts[part] + lengths[part] - at >= length
-    total = np.bincount(block[fits], weights=np.asarray(counts, float)[part[fits]], minlength=len(block))
-    hit = np.zeros(len(block), bool)
-    hit[at[fits & (total[block] > 1)]] = True
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    spans: dict[int, list[tuple[int, int]]] = {}
-    owner = np.searchsorted(starts, edges[::2], side="right") - 1
-    for a, b, o in zip(edges[::2], edges[1::2], owner, strict=True):
-        spans.setdefault(int(o), []).append((int(a - starts[o]), int(b - starts[o]) + length - 1))
-    yield from spans.items()
-
-
-def _merged(length: int):
-    """Reads (v, s, seg, n) sorted by v, merges whole buckets together, gives (s, spans)."""
+    part = np.repeat(np.arange(len(parts)), sizes + 1)[at]
+    place, weight = at - starts[part], np.asarray(counts, float)[part]
+    counted = place < np.asarray(runs)[part]
+    for length, block in zip(lengths, merge(shards, lengths), strict=True):
+        fits = counted & (sizes[part] - place >= length)
+        total = np.bincount(block[fits], weights=weight[fits], minlength=len(block))
+        hit = np.zeros(len(block), bool)
+        hit[at[fits & (total[block] > 1)]] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+        spans: dict[int, list[tuple[int, int]]] = {}
+        owner = np.searchsorted(starts, edges[::2], side="right") - 1
+        for a, b, o in zip(edges[::2], edges[1::2], owner, strict=True):
+            spans.setdefault(int(o), []).append((int(a - starts[o]), int(b - starts[o]) + length - 1))
+        yield list(spans.items())
+
+
+def _merged(lengths: list[int]):
+    """Reads (v, s, seg, run, n) sorted by v, merges whole buckets together, gives (s, which length, spans)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, parts, counts, size, now = [], [], [], 0, None
+        keys, parts, runs, counts, size, now = [], [], [], [], 0, None
 
         def flush() -> pd.DataFrame:
-            got = [(keys[i], [{"start": a, "end": b} for a, b in spans]) for i, spans in repeats(parts, counts, length)] if parts else []
-            for x in (keys, parts, counts):
+            got = [(keys[i], which, [{"start": a, "end": b} for a, b in spans]) for which, found in enumerate(repeats(parts, runs, counts, lengths)) for i, spans in found] if parts else []
+            for x in (keys, parts, runs, counts):
                 x.clear()
-            return pd.DataFrame(got, columns=["s", "spans"])
+            return pd.DataFrame(got, columns=["s", "which", "spans"])
 
         for b in batches:
-            for v, s, seg, n in zip(b["v"], b["s"], b["seg"], b["n"], strict=True):
+            for v, s, seg, own, n in zip(b["v"], b["s"], b["seg"], b["run"], b["n"], strict=True):
                 if v != now and size >= TOGETHER:
                     yield flush()
                     size = 0
                 now = v
                 keys.append(s)
                 parts.append(bytes(seg))
+                runs.append(own)
                 counts.append(n)
                 size += len(seg)
         yield flush()
@@ -247,13 +252,13 @@ def _large(segs: DataFrame, length: int) -> DataFrame:
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s, seg, n in zip(b["s"], b["seg"], b["n"], strict=True):
+            for s, seg, own, n in zip(b["s"], b["seg"], b["run"], b["n"], strict=True):
                 places: dict[bytes, list[int]] = {}
-                for i in range(len(seg) - length + 1):
+                for i in range(min(own, len(seg) - length + 1)):
                     places.setdefault(xxhash.xxh3_128_digest(seg[i : i + length]), []).append(i)
                 yield pd.DataFrame({"w": list(places), "s": [s] * len(places), "n": n, "at": list(places.values())})
 
-    strings = staged(segs.select("s", "seg", "n").repartition("s").mapInPandas(hashed, "w binary, s binary, n long, at array<int>"), "strings")
+    strings = staged(segs.select("s", "seg", "run", "n").repartition("s").mapInPandas(hashed, "w binary, s binary, n long, at array<int>"), "strings")
     often = strings.groupBy("w").agg(F.sum(F.col("n") * F.size("at")).alias("t")).filter("t > 1").select("w")
     hits = strings.join(often, "w").groupBy("s").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
     return hits.select("s", F.transform("at", lambda a: F.struct(a.alias("start"), (a + length).alias("end"))).alias("spans"))
@@ -272,30 +277,35 @@ def merge_spans(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int = LARGE, shorter: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``repeat_spans``, in two tables: rows that may have spans, and rows that have none.
 
     ``repeat_spans`` are the maximal runs of bytes (of the UTF-8 text) covered by strings of ``length`` bytes that start at two or
-    more places in all texts, the same text included. Rows with equal texts repeat each other. Null, empty and shorter texts have
-    no spans; an empty table gives no rows. All other columns are passed on; a column ``repeat_spans`` is replaced.
+    more places in all texts, the same text included. With ``shorter``, a smaller length, ``passage_spans`` are the same for that
+    length. Rows with equal texts repeat each other. Null, empty and shorter texts have no spans; an empty table gives no rows. All
+    other columns are passed on; columns ``repeat_spans`` and ``passage_spans`` are replaced.
     """
-    docs = docs.drop("repeat_spans").withColumn("__h", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    rows = docs.select("__h", F.col(text).alias("t")).filter(F.octet_length("t") >= length)
+    lengths = [length] if shorter is None else [shorter, length]
+    names = ["repeat_spans"] if shorter is None else ["passage_spans", "repeat_spans"]
+    least = lengths[0]
+    own = "__repeat_hash"
+    docs = docs.drop("repeat_spans", "passage_spans").withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    rows = docs.select(F.col(own).alias("h"), F.col(text).alias("t")).filter(F.octet_length("t") >= least)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for h, t in zip(b["__h"], b["t"], strict=True):
-                v, n = anchors(t.encode(), length)
+            for h, t in zip(b["h"], b["t"], strict=True):
+                v, n = anchors(t.encode(), least)
                 out.append((h, v.view(np.int64), n.astype(np.int32)))
             yield pd.DataFrame(out, columns=["h", "v", "n"])
 
-    copies = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("t")).alias("size")).filter("n > 1")
-    copies = copies.select(F.col("__h").alias("h"), F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(_SPANS).alias("spans"))
+    copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("t")).alias("size")).filter("n > 1")
+    copies = copies.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.lit(x).alias("need")) for i, x in enumerate(lengths)])).alias("x"), "size").filter("size >= x.need")
+    copies = copies.select("h", "x.which", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(_SPANS).alias("spans"))
     places = rows.mapInPandas(measured, "h binary, v array<long>, n array<int>").select("h", F.explode(F.arrays_zip("v", "n")).alias("x")).select("h", "x.v", "x.n")
-    same = Window.partitionBy("v")
-    shared = places.withColumn("a", F.min("h").over(same)).withColumn("b", F.max("h").over(same)).withColumn("m", F.max("n").over(same)).filter("a <> b or m > 1")
-    wanted = staged(shared.groupBy("h").agg(F.collect_set("v").alias("wanted")), "anchors")
+    shared = places.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("n").alias("m")).filter("a <> b or m > 1").select("v")
+    wanted = staged(places.join(shared, "v").groupBy("h").agg(F.collect_set("v").alias("wanted")), "anchors")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -307,37 +317,38 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
                 if h == last:
                     continue
                 last, raw = h, t.encode()
-                for v, start, end in segments(raw, length, np.sort(np.asarray(w, np.int64).view(U))):
-                    seg = raw[start:end]
-                    out.append((v.view(np.int64), hashlib.md5(seg).digest(), seg, h, start))
-            yield pd.DataFrame(out, columns=["v", "s", "seg", "h", "start"])
-
-    texts = rows.withColumnRenamed("__h", "h").filter(bit_filter(wanted, "h")).join(wanted, "h").sortWithinPartitions("h")
-    segs = staged(texts.mapInPandas(cut, "v long, s binary, seg binary, h binary, start int"), "segments")
-    distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.count(F.lit(1)).alias("n")), "distinct")
+                for v, start, end in segments(raw, least, np.sort(np.asarray(w, np.int64).view(U))):
+                    seg = raw[start : end + length - 1]
+                    out.append((v.view(np.int64), hashlib.md5(seg + (end - start).to_bytes(8, "little")).digest(), seg, end - start, h, start))
+            yield pd.DataFrame(out, columns=["v", "s", "seg", "run", "h", "start"])
+
+    texts = rows.filter(bit_filter(wanted, "h")).join(wanted, "h").sortWithinPartitions("h")
+    segs = staged(texts.mapInPandas(cut, "v long, s binary, seg binary, run int, h binary, start int"), "segments")
+    distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.first("run").alias("run"), F.count(F.lit(1)).alias("n")), "distinct")
     sizes = staged(distinct.groupBy("v").agg(F.sum(F.octet_length("seg") + 1).alias("bytes")).filter(F.col("bytes") > large).select("v"), "large-buckets")
     ordinary = distinct
     if not sizes.isEmpty():
         ordinary = distinct.join(sizes, "v", "left_anti")
-    found = ordinary.repartition("v").sortWithinPartitions("v", "s").mapInPandas(_merged(length), f"s binary, spans {_SPANS}")
+    found = ordinary.repartition("v").sortWithinPartitions("v", "s").mapInPandas(_merged(lengths), f"s binary, which int, spans {_SPANS}")
     if not sizes.isEmpty():
-        found = found.unionByName(_large(distinct.join(sizes, "v"), length))
+        for i, x in enumerate(lengths):
+            found = found.unionByName(_large(distinct.join(sizes, "v"), x).withColumn("which", F.lit(i)))
     found = staged(found, "repeats")
-    spans = segs.select("s", "h", "start").join(found, "s").select("h", F.transform("spans", lambda x: F.struct((x["start"] + F.col("start")).cast("int").alias("start"), (x["end"] + F.col("start")).cast("int").alias("end"))).alias("spans"))
+    spans = segs.select("s", "h", "start").join(found, "s").select("h", "which", F.transform("spans", lambda x: F.struct((x["start"] + F.col("start")).cast("int").alias("start"), (x["end"] + F.col("start")).cast("int").alias("end"))).alias("spans"))
 
     @F.pandas_udf(_SPANS)
     def joined(many: pd.Series) -> pd.Series:
         return pd.Series([[{"start": a, "end": b} for a, b in merge_spans((x["start"], x["end"]) for x in s)] for s in many])
 
-    spans = spans.unionByName(copies).groupBy("h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    spans = staged(spans.select("h", joined("spans").alias("repeat_spans")), "spans")
+    spans = spans.unionByName(copies).groupBy("h").agg(*[F.flatten(F.collect_list(F.when(F.col("which") == i, F.col("spans")))).alias(x) for i, x in enumerate(names)])
+    spans = staged(spans.select(F.col("h").alias(own), *[joined(x).alias(x) for x in names]), "spans")
     for done in (segs, distinct, wanted, found, sizes):
         unstage(done)
-    may = bit_filter(spans.withColumnRenamed("h", "__h"), "__h")
-    told = docs.withColumn("__may", may)
+    may = "__repeat_may"
+    told = docs.withColumn(may, bit_filter(spans, own))
     none = F.array().cast(_SPANS)
-    with_spans = told.filter("__may").join(spans.withColumnRenamed("h", "__h"), "__h", "left").withColumn("repeat_spans", F.coalesce("repeat_spans", none)).drop("__may", "__h")
-    return with_spans, told.filter("not __may").drop("__may", "__h").withColumn("repeat_spans", none)
+    with_spans = told.filter(may).join(spans, own, "left").withColumns({x: F.coalesce(x, none) for x in names}).drop(may, own)
+    return with_spans, told.filter(~F.col(may)).drop(may, own).withColumns({x: none for x in names})
 
 
 def _outside(text: pd.Series, spans: pd.Series) -> list[bytes]:
@@ -361,3 +372,16 @@ def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
 def kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
     """The same as text, without what is left of characters that a span cuts in two."""
     return pd.Series([raw.decode(errors="ignore") for raw in _outside(text, spans)])
+
+
+@F.pandas_udf(T.LongType())
+def longest_run(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Words of the span that holds most; 0 without spans. Words that a span cuts don't count."""
+
+    def words(raw: bytes, a: int, b: int) -> int:
+        while a and a < b and not raw[a - 1 : a].isspace():
+            a += 1
+        n = len(raw[a:b].split())
+        return n - (n > 0 and b < len(raw) and not raw[b - 1 : b].isspace() and not raw[b : b + 1].isspace())
+
+    return pd.Series([max((words((t or "").encode(), x["start"], x["end"]) for x in s), default=0) for t, s in zip(text, spans, strict=True)])

@@ -304,6 +304,20 @@ def repeats_by_brute_force(texts, length):
     return [suffix.merge_spans((i, i + length) for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1) for b in raw]
 
 
+@pytest.mark.parametrize("large", [suffix.LARGE, 3000])
+def test_repeated_strings_of_two_lengths(odd, large):
+    rows = odd_rows()
+    some, none = suffix.repeated(odd, length=400, large=large, shorter=256)
+    got = sorted((str(r.doc_id), r.text or "", [tuple(s) for s in r.repeat_spans], [tuple(s) for s in r.passage_spans]) for r in [*some.collect(), *none.collect()])
+    texts = [r[1] for r in rows]
+    assert got == sorted((str(r[0]), r[1] or "", a, b) for r, a, b in zip(rows, repeats_by_brute_force(texts, 400), repeats_by_brute_force(texts, 256), strict=True))
+
+
+def test_words_of_the_longest_run(spark):
+    df = spark.createDataFrame([("one two three four", [(0, 3), (5, 18)]), ("one two", [(0, 7)]), (None, []), ("ab cd", [(3, 5)])], "t string, s array<struct<start:int,end:int>>")
+    assert [r.n for r in df.select(suffix.longest_run("t", "s").alias("n")).collect()] == [2, 2, 0, 1]
+
+
 @pytest.mark.parametrize("large", [suffix.LARGE, 3000])
 def test_repeated_strings(odd, empty, large):
     some, none = suffix.repeated(odd, length=400, large=large)
@@ -323,13 +337,15 @@ def test_merged_transforms_find_all_repeats(monkeypatch):
         length = rng.choice([9, 12, 33])
         pool = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(4)] + [b"ab" * 40]
         parts = [b"".join(rng.choice(pool) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 9))]
-        counts = [rng.choice([1, 1, 2]) for _ in parts]
-        seen = Counter()
-        for p, n in zip(parts, counts, strict=True):
-            for i in range(len(p) - length + 1):
-                seen[p[i : i + length]] += n
-        want = {j: s for j, p in enumerate(parts) if (s := suffix.merge_spans((i, i + length) for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1))}
-        assert {k: suffix.merge_spans(v) for k, v in suffix.repeats(parts, counts, length)} == want
+        counts, runs = [rng.choice([1, 1, 2]) for _ in parts], [rng.randint(1, len(p)) for p in parts]
+        for longer, found in zip((length, length + 7), suffix.repeats(parts, runs, counts, [length, length + 7]), strict=True):
+            places = [range(min(own, len(p) - longer + 1)) for p, own in zip(parts, runs, strict=True)]
+            seen = Counter()
+            for p, n, at in zip(parts, counts, places, strict=True):
+                for i in at:
+                    seen[p[i : i + longer]] += n
+            want = {j: s for j, (p, at) in enumerate(zip(parts, places, strict=True)) if (s := suffix.merge_spans((i, i + longer) for i in at if seen[p[i : i + longer]] > 1))}
+            assert {k: suffix.merge_spans(v) for k, v in found} == want
 
 
 # ---- similarity join ----
