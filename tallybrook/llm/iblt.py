@@ -1,13 +1,14 @@
-"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraph pieces.
+"""Document fingerprints: invertible Bloom lookup sketches of hashed paragraph cells.
 
-A text's lines are cut into short pieces; each distinct piece's 64-bit digest goes into one cell of each of three sub-tables
-(count, xor of digests, xor of check hashes). Subtracting two sketches cancels what the texts share; peeling cells with one
-digest left recovers the digests in which they differ, and so the exact Jaccard likeness of the piece sets. Sub-tables are
-powers of two, so a sketch folds to smaller sizes: peeling starts on a quarter of the cells and is tried again on all of them;
-where that fails too the likeness is counted from the exact set difference, the pair's digests being rows that Spark groups.
+A text's paragraphs are cut into cells after a word in "s" or a punctuation mark, so cuts depend on what stands there and come back
+after an insertion; each distinct cell's 64-bit digest goes into one place of each of three sub-tables (count, xor of digests, xor of
+check hashes). Subtracting two sketches cancels what the texts share; peeling places with one digest left recovers the digests in
+which they differ, and so the exact Jaccard likeness of the cell sets. Sub-tables are powers of two, so a sketch folds to smaller
+sizes: peeling starts on a quarter of the places and is tried again on all of them; where that fails too, the two sets are subtracted
+digest by digest, the pair's digests being rows that Spark groups, which holds a difference of any size.
 
 Only DataFrame and SQL functions are used. Texts are shuffled into key-ordered buckets; sketches are built in them by
-hash aggregation without another shuffle. Texts of pairs that failed are read again for the set difference.
+hash aggregation without another shuffle, once for a text and once for its edited text. Texts of pairs that failed are read again.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm.common import staged
 
-#: Characters of a piece, by the length under which a text takes it.
-PIECES = ((64, 3), (512, 12), (None, 64))
+#: A cell of a paragraph: up to a word in "s" or a mark, at most 96 characters.
+CELL = r"[^\n]{0,94}?(?:s |[.,;:!?。，、！？])|[^\n]{1,96}"
 #: Largest power of two of a sub-table; larger texts share cells, and pairs that peeling can't tell apart then go to the set difference.
 MAX_POWER = 12
 #: Rows a bucket of neighbouring keys aims at; intervals of equal depth that buckets divide.
@@ -28,10 +29,9 @@ ROUNDS, EMPTY = 12, 0.07
 
 
 def digests(text: str) -> str:
-    """SQL: distinct 64-bit digests of a text's pieces."""
-    (short, a), (middle, b), (_, c) = PIECES
-    size = f"case when char_length({text}) < {short} then '[^\\\\n]{{1,{a}}}' when char_length({text}) < {middle} then '[^\\\\n]{{1,{b}}}' else '[^\\\\n]{{1,{c}}}' end"
-    return f"array_distinct(transform(regexp_extract_all({text}, {size}, 0), p -> xxhash64(p)))"
+    """SQL: distinct 64-bit digests of a text's cells."""
+    pattern = CELL.replace("\\", "\\\\")
+    return f"array_distinct(transform(regexp_extract_all({text}, '{pattern}', 0), p -> xxhash64(p)))"
 
 
 def power(n: str) -> str:
@@ -63,23 +63,26 @@ def peel(cells: str, q: str) -> str:
     """SQL: (cells left, found) after ROUNDS rounds; each takes the digests that stand alone out of all their cells."""
     out = "(a, p) -> named_struct('n', a.n - p.s, 'k', a.k ^ p.k, 'c', a.c ^ p.h)"
     rest = f"transform(st.cells, (x, j) -> aggregate(filter(st.now, p -> p.c0 = j or p.c1 = j or p.c2 = j), x, {out}))"
-    step = f"if(size(st.now) = 0, st, transform(array({rest}), left -> named_struct('cells', left, 'now', {pure('left', q)}, 'plus', st.plus + size(filter(st.now, p -> p.s = 1)), 'minus', st.minus + size(filter(st.now, p -> p.s = -1))))[0])"
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'now', {pure(cells, q)}, 'plus', 0, 'minus', 0), (st, i) -> {step}, st -> named_struct('plus', st.plus, 'minus', st.minus, 'done', forall(st.cells, x -> x.n = 0 and x.k = 0 and x.c = 0)))"
+    step = f"if(size(st.now) = 0, st, transform(array({rest}), left -> named_struct('cells', left, 'now', {pure('left', q)}, 'plus', concat(st.plus, transform(filter(st.now, p -> p.s = 1), p -> p.k)), 'minus', concat(st.minus, transform(filter(st.now, p -> p.s = -1), p -> p.k))))[0])"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'now', {pure(cells, q)}, 'plus', cast(array() as array<bigint>), 'minus', cast(array() as array<bigint>)), (st, i) -> {step}, st -> named_struct('plus', st.plus, 'minus', st.minus, 'done', forall(st.cells, x -> x.n = 0 and x.k = 0 and x.c = 0)))"
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Adds ``out``: the Jaccard likeness of sketches ``a`` and ``b``, structs of q, n, cells; null where peeling fails."""
+    """Adds ``out``: the Jaccard likeness of sketches ``a`` and ``b``, structs of q, n, cells, and ``out``_plus, ``out``_minus, the digests
+    that only one of them has; null where peeling fails."""
     df = df.withColumn("__q", F.least(F.col(f"{a}.q"), F.col(f"{b}.q")))
     df = df.withColumn("__a", F.expr(fold(f"{a}.cells", f"{a}.q", "__q"))).withColumn("__b", F.expr(fold(f"{b}.cells", f"{b}.q", "__q")))
     df = df.withColumn("__d", F.expr("zip_with(__a, __b, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"))
     df = df.withColumn("__empty", F.expr("greatest(size(filter(__d, x -> x.n = 0 and x.k = 0 and x.c = 0)), 0.5D) / size(__d)"))
     df = df.withColumn("__small", F.greatest(F.lit(3), F.col("__q") - 2))
-    failed = F.lit(None).cast("struct<plus:int,minus:int,done:boolean>")
+    failed = F.lit(None).cast("struct<plus:array<bigint>,minus:array<bigint>,done:boolean>")
     # a quarter of the cells can hold a difference that leaves 0.6 of all cells empty
     df = df.withColumn("__first", F.when((F.col("__empty") > 0.6) & (F.col("__small") < F.col("__q")), F.expr(f"transform(array({fold('__d', '__q', '__small')}), f -> {peel('f', '__small')})[0]")).otherwise(failed))
     df = df.withColumn("__peeled", F.when(F.col("__first.done"), F.col("__first")).when(F.col("__empty") >= EMPTY, F.expr(peel("__d", "__q"))).otherwise(failed))
     na = F.col(f"{a}.n")
-    exact = F.when(na + F.col("__peeled.minus") == 0, F.lit(1.0)).otherwise((na - F.col("__peeled.plus")) / (na + F.col("__peeled.minus")))
+    plus, minus = F.size("__peeled.plus"), F.size("__peeled.minus")
+    exact = F.when(na + minus == 0, F.lit(1.0)).otherwise((na - plus) / (na + minus))
+    df = df.withColumns({f"{out}_{x}": F.when(F.col("__peeled.done"), F.col(f"__peeled.{x}")) for x in ("plus", "minus")})
     return df.withColumn(out, F.when(F.col("__peeled.done"), exact).cast("double")).drop("__q", "__a", "__b", "__d", "__empty", "__small", "__first", "__peeled")
 
 
@@ -99,11 +102,12 @@ def bucket(docs: DataFrame, key: str) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, one row per row of ``docs``.
 
-    Fingerprints are sketches' names; with ``sketches`` the sketches themselves (q, n, cells) follow as ``own`` and ``edited``.
+    Fingerprints are sketches' names. With ``sketches`` there follow the sketches themselves (q, n, cells) as ``own`` and ``edited``, and
+    the recovered digests that only the text (``only_own``) or only its edited text (``only_edited``) has.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next document by ascending key
     (rows with equal keys by text, null keys first; after the last comes the first; a lone document follows itself). A null text is
-    empty. Texts without pieces are alike (1.0), and have nothing in common with others. An empty table gives no rows.
+    empty. Texts without cells are alike (1.0), and have nothing in common with others. An empty table gives no rows.
     Other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -114,28 +118,36 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketc
     first = staged(first, "first-texts")
     after = first.select("bucket").withColumn("b", F.coalesce(F.lead("bucket").over(line), F.first("bucket").over(line)))
     heads = staged(after.join(first.withColumnRenamed("bucket", "b"), "b").select("bucket", "head"), "next-texts")
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
-    rows = rows.join(heads, "bucket").withColumn("next", F.coalesce("next", "head")).drop("head")
+    # each bucket ends with the first text of the next one
+    rows = rows.withColumn("guest", F.lit(0)).unionByName(heads.select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.col("head").alias("text"), "bucket", F.lit(1).alias("guest")))
+    order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
+    rows = rows.repartition("bucket").withColumn("rn", F.row_number().over(order)).withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("changed", F.expr("concat(left(text, cast(n_chars - n_chars div 4 as int)), left(next, cast(n_chars div 4 as int)))"))
-    pieces = rows.select("bucket", "rn", F.expr(f"posexplode(array({digests('text')}, {digests('changed')}, {digests('next')})) as (which, d)"))
+    pieces = rows.select("bucket", "rn", F.expr(f"posexplode(array({digests('text')}, {digests('changed')})) as (which, d)"))
     pieces = pieces.withColumn("q", F.expr(power("size(d)"))).select("bucket", "rn", "which", F.expr(f"inline({entries('d', 'q')})"))
     cells = pieces.groupBy("bucket", "rn", "which", "cell").agg(F.count("d").alias("n"), F.coalesce(F.bit_xor("d"), F.lit(0)).alias("k"), F.coalesce(F.bit_xor(F.when(F.col("d").isNotNull(), F.xxhash64("d", F.lit(99)))), F.lit(0)).alias("c"))
     sketch = cells.groupBy("bucket", "rn").agg(F.array_sort(F.collect_list(F.struct("which", "cell", "n", "k", "c"))).alias("all"))
-    for i, name in enumerate(("own", "edited", "following")):
+    for i, name in enumerate(("own", "edited")):
         part = f"transform(filter(all, x -> x.which = {i}), x -> named_struct('n', x.n, 'k', x.k, 'c', x.c))"
         sketch = sketch.withColumn(name, F.expr(f"transform(array({part}), s -> named_struct('q', cast(round(log2(size(s) / 3.0D)) as int), 'n', cast(aggregate(s, 0L, (a, x) -> a + x.n) div 3 as int), 'cells', s))[0]"))
-    sketch = likeness(likeness(sketch.drop("all"), "own", "edited", "near_edited"), "own", "following", "near_next")
-    found = [digest("own").alias("fingerprint"), digest("edited").alias("edited_fingerprint"), "near_edited", "near_next", *(["own", "edited"] if sketches else [])]
-    sketch = staged(sketch.select("bucket", "rn", *found), "likeness")
+    sketch = sketch.drop("all").withColumn("following", F.lead("own").over(Window.partitionBy("bucket").orderBy("rn"))).filter("following is not null")
+    sketch = likeness(likeness(sketch, "own", "edited", "near_edited"), "own", "following", "near_next")
+    found = [digest("own").alias("fingerprint"), digest("edited").alias("edited_fingerprint"), "near_edited", "near_next"]
+    more = ["own", "edited", "only_own", "only_edited"] if sketches else []
+    sketch = sketch.withColumnsRenamed({"near_edited_plus": "only_own", "near_edited_minus": "only_edited"})
+    sketch = staged(sketch.select("bucket", "rn", *found, *more), "likeness")
     failed = sketch.filter("near_edited is null or near_next is null").select("bucket", "rn")
     again = rows.join(failed, ["bucket", "rn"]).select("bucket", "rn", F.expr(f"posexplode(array({digests('text')}, {digests('changed')}, {digests('next')})) as (which, ds)"))
     again = again.select("bucket", "rn", "which", F.explode("ds").alias("d")).groupBy("bucket", "rn", "d").agg(*[F.max(F.when(F.col("which") == i, 1).otherwise(0)).alias(f"in{i}") for i in range(3)])
-    exact = again.groupBy("bucket", "rn").agg(*[(F.sum(F.least("in0", f"in{i}")) / F.sum(F.greatest("in0", f"in{i}"))).alias(f"exact{i}") for i in (1, 2)])
-    sketch = sketch.join(exact, ["bucket", "rn"], "left").withColumn("near_edited", F.coalesce("near_edited", "exact1")).withColumn("near_next", F.coalesce("near_next", "exact2")).drop("exact1", "exact2")
-    facts = rows.select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
-    return facts.join(sketch, ["bucket", "rn"]).drop("bucket", "rn")
+    exact = [(F.sum(F.least("in0", f"in{i}")) / F.sum(F.greatest("in0", f"in{i}"))).alias(f"exact{i}") for i in (1, 2)]
+    if sketches:
+        exact += [F.collect_list(F.when(F.expr(f"in{i} > in{1 - i}"), F.col("d"))).alias(f"d{i}") for i in (0, 1)]
+    sketch = sketch.join(again.groupBy("bucket", "rn").agg(*exact), ["bucket", "rn"], "left").withColumn("near_edited", F.coalesce("near_edited", "exact1")).withColumn("near_next", F.coalesce("near_next", "exact2"))
+    if sketches:
+        sketch = sketch.withColumn("only_own", F.coalesce("only_own", "d0")).withColumn("only_edited", F.coalesce("only_edited", "d1")).drop("d0", "d1")
+    facts = rows.filter("guest = 0").select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
+    return facts.join(sketch.drop("exact1", "exact2"), ["bucket", "rn"]).drop("bucket", "rn")
 
 
 def digest(sketch: str) -> Column:

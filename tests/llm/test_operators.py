@@ -86,35 +86,41 @@ def test_quality_sample_is_bounded(labelled):
 # ---- fingerprints ----
 
 
-def test_fingerprints(odd, empty):
-    def piece_set(x):
-        n = next(p for top, p in iblt.PIECES if top is None or len(x) < top)
-        return set(re.findall(rf"[^\n]{{1,{n}}}", x))
+def cells(x):
+    return set(re.findall(iblt.CELL, x))
+
+
+def alike(a, b):
+    return len(cells(a) & cells(b)) / len(cells(a) | cells(b)) if cells(a) | cells(b) else 1.0
 
+
+def test_fingerprints(odd, empty):
     rows = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in odd_rows()))
-    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in iblt.fingerprints(odd).collect())
+    out = iblt.fingerprints(odd, sketches=True).collect()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), len(r.only_own), len(r.only_edited)) for r in out)
     want = Counter()
     for i, (known, doc, text) in enumerate(rows):
-        k = len(text) // 4
-        edited = text[: len(text) - k] + rows[(i + 1) % len(rows)][2][:k]
-        want[(doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest())] += 1
+        k, after = len(text) // 4, rows[(i + 1) % len(rows)][2]
+        edited = text[: len(text) - k] + after[:k]
+        want[(doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest(), round(alike(text, edited), 9), round(alike(text, after), 9), len(cells(text) - cells(edited)), len(cells(edited) - cells(text)))] += 1
     assert got == want
-    out = iblt.fingerprints(odd, sketches=True).collect()
-    by = {}
-    for r in out:
-        by.setdefault(r.fingerprint, set()).add((r.n_chars, r.own.n))
     texts = {r[1] or "" for r in odd_rows()}
-    assert len({r.fingerprint for r in out}) == len({frozenset(piece_set(t)) for t in texts})
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
-    for i, (known, doc, text) in enumerate(rows):
-        k = len(text) // 4
-        a, b = piece_set(text), piece_set(text[: len(text) - k] + rows[(i + 1) % len(rows)][2][:k])
-        if known and [x[1] for x in rows].count(doc) == 1 and len(text) > 600:
-            near = next(r.near_edited for r in out if r.doc_id == doc)
-            assert near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0, abs=0.25)
+    assert len({r.fingerprint for r in out}) == len({frozenset(cells(t)) for t in texts})
     assert iblt.fingerprints(empty).count() == 0
 
 
+def test_likeness_survives_lengths_and_insertions(spark):
+    rng = random.Random(4)
+    prose = words(rng, 700)
+    texts = [prose[:520], prose[:510], prose[:1400], "z" + prose[:1400], prose[:3000], prose[:1500]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in iblt.fingerprints(df).collect()}
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        assert got[i].near_next == pytest.approx(alike(t, after)) and got[i].near_edited == pytest.approx(alike(t, t[: len(t) - len(t) // 4] + after[: len(t) // 4]))
+    assert got[0].near_next > 0.6 and got[2].near_next > 0.8 and got[4].near_next > 0.4 and all(r.near_edited > 0.3 for r in got.values())
+
+
 def test_a_lone_document_follows_itself(spark):
     r = iblt.fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1.0
@@ -123,12 +129,10 @@ def test_a_lone_document_follows_itself(spark):
 def test_likeness_of_texts_too_large_to_peel(spark):
     texts = ["\n".join(f"{k}{i:07d}" for i in range(25000)) for k in "ab"] + ["\n".join(f"c{i:07d}" for i in range(m, m + 300)) for m in (0, 150)]
     got = {r.doc_id: r for r in iblt.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    cut = lambda t: set(re.findall(r"[^\n]{1,64}", t))
     for i, t in enumerate(texts):
         after = texts[(i + 1) % 4]
-        edited = cut(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
-        assert got[i].near_edited == pytest.approx(len(cut(t) & edited) / len(cut(t) | edited))
-        assert got[i].near_next == pytest.approx(len(cut(t) & cut(after)) / len(cut(t) | cut(after)))
+        assert got[i].near_edited == pytest.approx(alike(t, t[: len(t) - len(t) // 4] + after[: len(t) // 4]))
+        assert got[i].near_next == pytest.approx(alike(t, after))
 
 
 # ---- mixing ----
