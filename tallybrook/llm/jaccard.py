@@ -31,7 +31,7 @@ CENTRES = 4
 #: Texts that are checked against one copy of another.
 CHUNK = 256
 #: Words a task remembers the hashes of; texts it remembers, to count copies once; shingles it cuts into ranges at a time.
-VOCABULARY, SEEN, TOGETHER = 400_000, 500_000, 1_500_000
+VOCABULARY, SEEN, TOGETHER = 200_000, 500_000, 400_000
 #: Shingles a range aims at; bytes of text for each; least number of ranges; bits of a hash after those that choose the range.
 RANGE, BYTES, RANGES, REST = 1_000_000, 6, 64, 40
 #: 64-bit words of a bitmap.
