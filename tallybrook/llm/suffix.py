@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tallybrook.llm.common import bit_filter, staged, unstage
 
 #: Bytes of a gram, of a shard, and of the segments that are merged together; a bucket above LARGE takes ``_large``'s way.
-GRAM, SHARD, TOGETHER, LARGE = 32, 1 << 18, 2 << 20, 6 << 20
+GRAM, SHARD, TOGETHER, LARGE = 32, 1 << 18, 1 << 20, 6 << 20
 #: Ends a segment; no UTF-8 text holds it, and it sorts last.
 STOP = 0xFF
 U = np.uint64
