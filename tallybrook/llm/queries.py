@@ -68,15 +68,16 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", spans)
 
 
-_CHAT_SQL = """
-WITH m AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(turn // 256, 0)::BIGINT AS part FROM conversations),
+_CHAT_SQL = f"""
+WITH m AS (SELECT DISTINCT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+k AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1) // {chat.PART_MESSAGES} AS part FROM m),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
-r AS (SELECT m.*, perspective, role = perspective AS own,
+r AS (SELECT k.*, perspective, role = perspective AS own,
   CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>' ELSE '<|user name=' || role || '|>' END AS head,
-  text || '<|end|>' || chr(10) AS body FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS e FROM r),
-g AS (SELECT conv_id, perspective, part, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_own, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-  coalesce(string_agg((e - length(body))::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask FROM o GROUP BY ALL)
+  text || '<|end|>' || chr(10) AS body FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING) AS e FROM r),
+g AS (SELECT conv_id, perspective, part, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_own, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, md5(text)) AS rendered,
+  coalesce(string_agg((e - length(body))::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY turn NULLS FIRST, role, md5(text)) FILTER (own), '') AS mask FROM o GROUP BY ALL)
 SELECT conv_id, perspective, part, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS part_base,
   n_turns, n_own, rendered, mask FROM g
 """
@@ -93,6 +94,28 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+
+
+def _crc_table() -> list[int]:
+    """What CRC-32 adds for each byte, for SQL that has no such function."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 * (c & 1)
+        out.append(c)
+    return out
+
+
+_SHARD_SQL = f"""
+WITH h AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+d AS (SELECT doc_id, source, size::BIGINT AS size, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, {_crc_table()}[1 + (xor(c, b) & 255)])), 4294967295)::BIGINT AS text_crc32 FROM h),
+r AS (SELECT *, coalesce('=' || source, '') AS s, md5('{SHARD_SEED}|' || coalesce(doc_id::VARCHAR, '')) AS k FROM d),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY s ORDER BY k, doc_id, size, text_crc32) - 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY s))::DOUBLE AS frac FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY frac, s, k, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f),
+z AS (SELECT *, (pos * {SHARDS} // n)::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard, source FROM z
+"""
+
 # ---- quality ----
 
 
@@ -190,4 +213,4 @@ QUERIES = {
     "op10_quality": op10_quality,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL}
+ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL, "op6_sharding": _SHARD_SQL}

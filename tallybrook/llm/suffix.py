@@ -256,7 +256,8 @@ def _large(segs: DataFrame, length: int) -> DataFrame:
                 places: dict[bytes, list[int]] = {}
                 for i in range(min(own, len(seg) - length + 1)):
                     places.setdefault(xxhash.xxh3_128_digest(seg[i : i + length]), []).append(i)
-                yield pd.DataFrame({"w": list(places), "s": [s] * len(places), "n": n, "at": list(places.values())})
+                if places:
+                    yield pd.DataFrame({"w": list(places), "s": [s] * len(places), "n": n, "at": list(places.values())})
 
     strings = staged(segs.select("s", "seg", "run", "n").repartition("s").mapInPandas(hashed, "w binary, s binary, n long, at array<int>"), "strings")
     often = strings.groupBy("w").agg(F.sum(F.col("n") * F.size("at")).alias("t")).filter("t > 1").select("w")

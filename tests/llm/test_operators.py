@@ -182,11 +182,17 @@ def test_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo <|x|>"), (1, 2, "bob", "yo <|x|>"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "?"), (3, 0, "user", "a"), (3, 300, "user", "b")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string")
     got = {(r.conv_id, r.perspective, r.part): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "user", 0), (3, "user", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "user", 0)}
     r = got[(1, "ann", 0)]
     assert r.rendered == "<|system|>be<|end|>\n<|assistant|>hi<|end|>\n<|user name=bob|>yo < |x|><|end|>\n<|assistant|><|end|>\n"
     assert [r.rendered[s.start : s.end] for s in r.mask] == ["hi<|end|>\n", "<|end|>\n"] and (r.n_turns, r.n_own) == (4, 2)
-    assert got[(3, "user", 1)].part_base == len(got[(3, "user", 0)].rendered)
+    parts = sorted(chat.rotate(df, part_messages=1).filter("conv_id = 1 and perspective = 'ann'").collect(), key=lambda r: r.part)
+    assert "".join(x.rendered for x in parts) == r.rendered and [x.part_base for x in parts] == [sum(len(y.rendered) for y in parts[:i]) for i in range(4)]
+    hot = spark.createDataFrame([(None, None, f"p{i % 2}", f"m{i % 90}") for i in range(300)] + [(7, 300 * i, "p", f"{i}") for i in range(30)], df.schema.names[:4])
+    every = chat.rotate(hot, part_messages=25).collect()
+    assert Counter((x.conv_id, x.perspective, x.n_turns) for x in every) == {(None, "p0", 25): 3, (None, "p0", 15): 1, (None, "p1", 25): 3, (None, "p1", 15): 1, (7, "p", 25): 1, (7, "p", 5): 1}
+    late = "".join(x.rendered for x in sorted(every, key=lambda x: x.part) if x.conv_id == 7)
+    assert late == "".join(f"<|assistant|>{i}<|end|>\n" for i in range(30))
     assert chat.rotate(df.limit(0)).count() == 0
 
 
