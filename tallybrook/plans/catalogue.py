@@ -493,6 +493,11 @@ def d12(s, d):
     return dedup.mined(logs(s, d), "seq", "body", 0.3)
 
 
+@query("d_full_distinct")
+def d_full(s, d):
+    return dedup.distinct_full(logs(s, d), "seq", "ts_ns", "body", 0.6)
+
+
 @query("d17_signature", "SELECT event_type, k, md5(arg_min(body, seq)) AS signature FROM logs GROUP BY 1, 2")
 def d17(s, d):
     return dedup.groups(logs(s, d), ["event_type", "k"], "seq", "ts_ns", "body").select("event_type", "k", F.md5("representative").alias("signature"))

@@ -86,3 +86,24 @@ def test_metadata(spark):
     g = dedup.groups(frame(spark, "AB"), ["body"], "pos", "ts", "body").withColumn("t", F.lit("x"))
     r = dedup.described(g, "collapse", "full", "t").first()
     assert (r.dedup_mode, r.dedup_scope, r.dedup_window) == ("collapse/drain3", "bucketed", "consecutive-run")
+
+
+def test_whole_chain_mines_only_what_is_alone(spark):
+    bodies = ["link up", "link up", "job alpha took long", "retry beta took long", "retry gamma took long", "disk full", None, "a b c d", "kernel id=1 up", "kernel id=2 up"]
+    df = spark.createDataFrame([(i, 10 * i, b, b) for i, b in enumerate(bodies)], "seq long, ts long, body string, n string")
+    got = sorted((r.first_pos, r.n, r.first_seen, r.last_seen, r.representative, r.template) for r in dedup.distinct_full(df.drop("n"), "seq", "ts", "body", 0.7).collect())
+    forms = {i: r.f for i, r in enumerate(df.orderBy("seq").select(dedup.canonical("body").alias("f")).collect())}
+    by, want = {}, []
+    for i, b in enumerate(bodies):
+        by.setdefault(forms[i] or "", []).append(i)
+    alone = [v[0] for v in by.values() if len(v) == 1]
+    want = [(v[0], len(v), 10 * v[0], 10 * v[-1], bodies[v[0]], None) for v in by.values() if len(v) > 1]
+    rows = spark.createDataFrame([(i, forms[i] or "") for i in alone], "pos long, body string")
+    clusters = {}
+    for r in dedup.mined(rows, "pos", "body", 0.7).collect():
+        clusters.setdefault((r.cluster, r.template), []).append(r.pos)
+    for (_, template), v in clusters.items():
+        v.sort()
+        want.append((v[0], len(v), 10 * v[0], 10 * v[-1], bodies[v[0]], template if len(v) > 1 else None))
+    assert got == sorted(want, key=lambda x: x[0]) and sum(g[1] for g in got) == len(bodies)
+    assert any(g[5] and "<*>" in g[5] and g[1] == 2 for g in got)
