@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def unstage(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A batch's rows one by one, so that no more than one row's texts stand beside the batch."""
+    columns = batch.columns
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def key_text(c: str) -> Column:
     """A key as text, null as the empty string."""
     return F.coalesce(F.col(c).cast("string"), F.lit(""))

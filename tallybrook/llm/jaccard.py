@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import bit_filter, staged, unstage
+from tallybrook.llm.common import batch_of, bit_filter, rows_of, staged, unstage
 from tallybrook.llm.components import connected
 
 #: Groups of a shingle that all its others are checked against in the first round.
@@ -78,13 +79,14 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 _RANGED = "range int, id long, key long, n long, set_key binary, rest binary, keys binary, many binary"
+_RANGED_ARROW = pa.schema([("range", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("set_key", "rest", "keys", "many")]])
 _COUNTED = "id long, key long, n long, set_key binary, tokens binary"
 
 
 def _cut(width: int, bits: int):
     """Sets of texts (key, id, t): a row for each text, and for each range and some texts one with their hashes there."""
 
-    def cut(texts: list[np.ndarray], keys: list[int]) -> pd.DataFrame:
+    def cut(texts: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
         every = np.concatenate(texts)
         number = (every >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(number, kind="stable")
@@ -95,17 +97,17 @@ def _cut(width: int, bits: int):
         for a, b in zip(bounds, bounds[1:]):
             runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             many = np.diff(runs, append=b - a).astype(np.uint32)
-            out.append((int(number[a]), rest[a:b].tobytes(), names[owner[a:b][runs]].tobytes(), many.tobytes()))
-        return pd.DataFrame(out, columns=["range", "rest", "keys", "many"]).assign(id=0, key=0, n=0, set_key=None)
+            out.append((int(number[a]), 0, 0, 0, None, rest[a:b].tobytes(), names[owner[a:b][runs]].tobytes(), many.tobytes()))
+        return batch_of(out, _RANGED_ARROW)
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen, texts, keys, size = Words(), set(), [], [], 0
         for b in batches:
             rows = []
-            for key, doc, t in zip(b["key"].tolist(), b["id"].tolist(), b["t"].tolist(), strict=True):
+            for key, doc, t in rows_of(b):
                 s = shingles(t, known, width)
                 name = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((key % (1 << bits), doc, key, len(s), name if len(s) else None))
+                rows.append((key % (1 << bits), doc, key, len(s), name if len(s) else None, None, None, None))
                 if len(s) and name not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -116,7 +118,7 @@ def _cut(width: int, bits: int):
                 if size >= TOGETHER:
                     yield cut(texts, keys)
                     texts, keys, size = [], [], 0
-            yield pd.DataFrame(rows, columns=["range", "id", "key", "n", "set_key"]).assign(rest=None, keys=None, many=None)
+            yield batch_of(rows, _RANGED_ARROW)
         if texts:
             yield cut(texts, keys)
 
@@ -218,11 +220,13 @@ def verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     heads = rows.join(pairs.select("u", "chunk").distinct(), F.col("key") == F.col("u")).select("u", "chunk", F.lit(0).alias("tail"), F.col("u").alias("v"), "t")
     tails = rows.join(pairs, F.col("key") == F.col("v")).select("u", "chunk", F.lit(1).alias("tail"), "v", "t")
 
-    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, now, own = Words(), None, None
         for b in batches:
             out = []
-            for u, chunk, tail, v, t in zip(*(b[c].tolist() for c in ("u", "chunk", "tail", "v", "t")), strict=True):
+            for u, chunk, tail, v, t in rows_of(b):
                 s = shingles(t, known, width)
                 if not tail:
                     now, own = (u, chunk), s
@@ -230,10 +234,10 @@ def verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                     both = len(s) + len(own) - len(np.union1d(s, own))
                     if 100 * both >= percent * (len(s) + len(own) - both):
                         out.append((u, v))
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+            yield batch_of(out, links)
 
     together = heads.unionByName(tails).repartition("u", "chunk").sortWithinPartitions("u", "chunk", "tail")
-    out = staged(together.mapInPandas(checked, "u long, v long").distinct(), "verified")
+    out = staged(together.mapInArrow(checked, "u long, v long").distinct(), "verified")
     unstage(pairs)
     return out
 
@@ -249,7 +253,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = keyed(docs, key, text)
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = (max(RANGES, size // (BYTES * RANGE)) - 1).bit_length()
-    ranged = rows.mapInPandas(_cut(width, bits), _RANGED).repartition("range").sortWithinPartitions("range")
+    ranged = rows.select("key", "id", "t").mapInArrow(_cut(width, bits), _RANGED).repartition("range").sortWithinPartitions("range")
     counted = staged(ranged.mapInPandas(_counted(bits), _COUNTED), "counted")
     base = counted.filter("tokens is null").select("id", "key", "n", "set_key")
     sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))

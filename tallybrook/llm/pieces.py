@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -463,13 +464,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, k
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(held.value)
         for b in batches:
-            keys, raw, at = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
-            while at < len(raw):
+            keys, sizes, at = b.column(0).to_pylist(), pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist(), 0
+            while at < len(keys):
                 upto, size = at, 0
-                while upto < len(raw) and (upto == at or size + len(raw[upto] or "") <= BLOCK_CHARS // k):
-                    size, upto = size + len(raw[upto] or ""), upto + 1
+                while upto < len(keys) and (upto == at or size + sizes[upto] <= BLOCK_CHARS // k):
+                    size, upto = size + sizes[upto], upto + 1
                 seeds = [xxhash.xxh3_64_intdigest(x, seed=seed) for x in keys[at:upto]]
-                rows, ids, bounds = sample(store, [t or "" for t in raw[at:upto]], seeds, k)
+                rows, ids, bounds = sample(store, [t or "" for t in b.column(1).slice(at, upto - at).to_pylist()], seeds, k)
                 cols = list(zip(*rows, strict=True))
                 arrays = [pa.array([keys[at + i] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), *(pa.array(c, pa.float64()) for c in cols[3:]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*arrays, *([decoded(held.value, ids, bounds)] if texts else [])], names=["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", *(["decoded"] if texts else [])])

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import bit_filter, staged, unstage
+from tallybrook.llm.common import batch_of, bit_filter, rows_of, staged, unstage
 
 #: Bytes of a gram, of a shard, and of the segments that are merged together; a bucket above LARGE takes ``_large``'s way.
 GRAM, SHARD, TOGETHER, LARGE = 32, 1 << 18, 1 << 20, 6 << 20
@@ -293,38 +294,46 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
     docs = docs.drop("repeat_spans", "passage_spans").withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
     rows = docs.select(F.col(own).alias("h"), F.col(text).alias("t")).filter(F.octet_length("t") >= least)
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found_at = pa.schema([("h", pa.binary()), ("v", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for h, t in zip(b["h"], b["t"], strict=True):
+            for h, t in rows_of(b):
                 v, n = anchors(t.encode(), least)
                 out.append((h, v.view(np.int64), n.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["h", "v", "n"])
+            yield batch_of(out, found_at)
 
     copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("t")).alias("size")).filter("n > 1")
     copies = copies.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.lit(x).alias("need")) for i, x in enumerate(lengths)])).alias("x"), "size").filter("size >= x.need")
     copies = copies.select("h", "x.which", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(_SPANS).alias("spans"))
-    places = rows.mapInPandas(measured, "h binary, v array<long>, n array<int>").select("h", F.explode(F.arrays_zip("v", "n")).alias("x")).select("h", "x.v", "x.n")
+    places = rows.mapInArrow(measured, "h binary, v array<long>, n array<int>").select("h", F.explode(F.arrays_zip("v", "n")).alias("x")).select("h", "x.v", "x.n")
     shared = places.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("n").alias("m")).filter("a <> b or m > 1").select("v")
     wanted = staged(places.join(shared, "v").groupBy("h").agg(F.collect_set("v").alias("wanted")), "anchors")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pieces = pa.schema([("v", pa.int64()), ("s", pa.binary()), ("seg", pa.binary()), ("run", pa.int32()), ("h", pa.binary()), ("start", pa.int32())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         last = None
         for b in batches:
-            out = []
-            for h, t, w in zip(b["h"], b["t"], b["wanted"], strict=True):
+            out, size = [], 0
+            for h, t, w in rows_of(b):
                 if h == last:
                     continue
                 last, raw = h, t.encode()
                 for v, start, end in segments(raw, least, np.sort(np.asarray(w, np.int64).view(U))):
                     seg = raw[start : end + length - 1]
                     out.append((v.view(np.int64), hashlib.md5(seg + (end - start).to_bytes(8, "little")).digest(), seg, end - start, h, start))
-            yield pd.DataFrame(out, columns=["v", "s", "seg", "run", "h", "start"])
+                    size += len(seg)
+                if size >= TOGETHER:
+                    yield batch_of(out, pieces)
+                    out, size = [], 0
+            yield batch_of(out, pieces)
 
     texts = rows.filter(bit_filter(wanted, "h")).join(wanted, "h").sortWithinPartitions("h")
-    segs = staged(texts.mapInPandas(cut, "v long, s binary, seg binary, run int, h binary, start int"), "segments")
+    segs = staged(texts.select("h", "t", "wanted").mapInArrow(cut, "v long, s binary, seg binary, run int, h binary, start int"), "segments")
     distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.first("run").alias("run"), F.count(F.lit(1)).alias("n")), "distinct")
     sizes = staged(distinct.groupBy("v").agg(F.sum(F.octet_length("seg") + 1).alias("bytes")).filter(F.col("bytes") > large).select("v"), "large-buckets")
     ordinary = distinct
