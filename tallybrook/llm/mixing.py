@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import WORD, key_text, staged
+from tallybrook.llm.common import WORD, key_text, shielded, staged
 
 BIG = "decimal(38,0)"
 
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, path: Sequence[str], weights: Mapping[str, int], budget
     seed, epoch and key, then key and tokens; equal rows are interchangeable. An empty table gives no rows. Other columns
     are passed on; columns of ``docs`` named ``mix_*`` are replaced.
     """
-    docs = docs.drop("mix_tokens", "mix_epoch", "mix_take", "mix_budget")
+    docs, names_back = shielded(docs.drop("mix_tokens", "mix_epoch", "mix_take", "mix_budget"))
     level = {c: f"__l{i}" for i, c in enumerate(path)}
     rows = docs.withColumns({v: F.coalesce(F.col(k).cast("string"), F.lit("(none)")) for k, v in level.items()}).withColumn("mix_tokens", token_count(F.col(text)))
     names = list(level.values())
@@ -101,4 +101,4 @@ def mix(docs: DataFrame, path: Sequence[str], weights: Mapping[str, int], budget
     edge = joined.filter(F.col("__bucket") == F.col("__cut")).withColumn("__at", F.col("__start") + F.coalesce(F.sum("mix_tokens").over(order), F.lit(0)))
     edge = edge.filter(F.col("__at") < F.col("__rem")).withColumn("mix_epoch", F.col("__whole")).withColumn("mix_take", F.least(F.col("mix_tokens"), F.col("__rem") - F.col("__at")))
     keep = [*docs.columns, "mix_tokens", "mix_epoch", "mix_take", F.col("__budget").alias("mix_budget")]
-    return whole.select(*keep).unionByName(edge.select(*keep))
+    return whole.select(*keep).unionByName(edge.select(*keep)).withColumnsRenamed(names_back)

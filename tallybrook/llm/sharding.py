@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import key_text, staged
+from tallybrook.llm.common import key_text, shielded, staged
 
 #: Buckets of the fractional rank; each holds about rows / FRACTION_BUCKETS rows.
 FRACTION_BUCKETS = 4096
@@ -24,7 +24,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id",
     A null stratum is a stratum of its own, a null key counts as empty. Rows with equal keys are ordered by ``ties``; rows equal
     in all of these are interchangeable. An empty table gives no rows. Columns of ``docs`` named shard or slot are replaced.
     """
-    docs = docs.drop("shard", "slot")
+    docs, back = shielded(docs.drop("shard", "slot"))
     rows = docs.withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
     rows = rows.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), key_text(key)))).withColumn("__b", F.substring("__h", 1, 3))
     counts = rows.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -41,4 +41,4 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id",
     out = ranked.join(per, "__q").withColumn("__pos", F.col("__base") + F.row_number().over(place) - 1)
     out = out.withColumn("shard", F.expr(f"cast(__pos * {int(shards)} div __all as int)"))
     out = out.withColumn("slot", F.expr(f"__pos - (shard * __all + {int(shards) - 1}) div {int(shards)}").cast("long"))
-    return out.select(*docs.columns, "shard", "slot")
+    return out.select(*docs.columns, "shard", "slot").withColumnsRenamed(back)

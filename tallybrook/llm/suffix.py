@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import batch_of, bit_filter, rows_of, staged, unstage
+from tallybrook.llm.common import batch_of, bit_filter, rows_of, shielded, staged, unstage
 
 #: Bytes of a gram, of a shard, and of the segments that are merged together; a bucket above LARGE takes ``_large``'s way.
 GRAM, SHARD, TOGETHER, LARGE = 32, 1 << 18, 1 << 20, 6 << 20
@@ -291,7 +291,8 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
     names = ["repeat_spans"] if shorter is None else ["passage_spans", "repeat_spans"]
     least = lengths[0]
     own = "__repeat_hash"
-    docs = docs.drop("repeat_spans", "passage_spans").withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    docs, back = shielded(docs.drop("repeat_spans", "passage_spans"))
+    docs = docs.withColumn(own, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
     rows = docs.select(F.col(own).alias("h"), F.col(text).alias("t")).filter(F.octet_length("t") >= least)
 
     found_at = pa.schema([("h", pa.binary()), ("v", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
@@ -358,7 +359,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
     told = docs.withColumn(may, bit_filter(spans, own))
     none = F.array().cast(_SPANS)
     with_spans = told.filter(may).join(spans, own, "left").withColumns({x: F.coalesce(x, none) for x in names}).drop(may, own)
-    return with_spans, told.filter(~F.col(may)).drop(may, own).withColumns({x: none for x in names})
+    return with_spans.withColumnsRenamed(back), told.filter(~F.col(may)).drop(may, own).withColumns({x: none for x in names}).withColumnsRenamed(back)
 
 
 def _outside(text: pd.Series, spans: pd.Series) -> list[bytes]:

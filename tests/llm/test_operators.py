@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, pieces, quality, sharding, suffix, vptree
 
 #: Names that operators use inside or return; the odd tables have them all as columns.
-CLASH = ["id", "n", "h", "v", "t", "key", "bucket", "rn", "score", "predicted", "shard", "slot", "node", "c", "spans", "start", "held", "doc", "repeat_spans", "mix_epoch", "prefix"]
+CLASH = ["id", "n", "h", "v", "t", "key", "bucket", "rn", "score", "predicted", "shard", "slot", "node", "c", "spans", "start", "held", "doc", "repeat_spans", "mix_epoch", "prefix", "__h", "__may", "__score", "__l0", "__s", "__n", "__k", "__t", "__repeat_hash"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
