@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.llm import jaccard, mixing, pieces, quality, suffix
-from tallybrook.llm.common import bit_filter, remainder, staged, table
+from tallybrook.llm.common import bit_filter, remainder, shielded, staged, table
 from tallybrook.llm.queries import MIX_WEIGHTS, PIECE_SAMPLES, PIECE_SEED, with_domain
 
 #: Share of the tokens that the mixture may take, each document once.
@@ -26,16 +26,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     known = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder("doc_id", 3) != 1)
     model = quality.fit(known, labels)
-    return docs.withColumn("__score", quality.score(docs, model)).filter(F.col("__score") >= 0.5).drop("__score")
+    docs, back = shielded(docs)
+    return docs.withColumn("__score", quality.score(docs, model)).filter(F.col("__score") >= 0.5).drop("__score").withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of similar documents the one with the least id; rows without id are kept."""
+    """Keeps of each component of similar documents the one with the least id; rows without id are kept.
+
+    Rows that repeat a kept id stay; null and empty texts are alike nothing. An empty table stays empty.
+    """
+    docs, back = shielded(docs)
     found = jaccard.join(docs)
     drop = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     told = docs.withColumn("__may", F.coalesce(bit_filter(drop, "doc_id"), F.lit(False)))
     rest = told.filter("__may").join(drop, "doc_id", "left_anti").select(*docs.columns)
-    return told.filter("not __may").select(*docs.columns).unionByName(rest)
+    return told.filter("not __may").select(*docs.columns).unionByName(rest).withColumnsRenamed(back)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +52,21 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes of each domain, language and source the token prefix that the weights allow; the document at the cut is kept whole."""
+    """Takes of each domain, language and source the token prefix that the weights allow; the document at the cut is kept whole.
+
+    Each document is taken once at most, so domains with fewer tokens than their share come whole, and their shortage goes to
+    the others. Null and empty texts have no tokens and stay if they come before the cut; repeated rows are rows of their own;
+    ties in the seeded order go by id. An empty table stays empty.
+    """
     return mixing.mix(with_domain(docs), ("domain", "lang", "source"), MIX_WEIGHTS, budget_share=MIX_SHARE, max_epochs=1, seed=4).select(*docs.columns)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each text: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids."""
+    """Sampled segmentations of each text: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids.
+
+    A null or empty text has one sample without pieces; repeated rows get the same samples each; a null id comes as null. An
+    empty table gives no rows. Columns other than id and text are ignored.
+    """
     out = pieces.encode(docs, pieces.Vocabulary.load(), PIECE_SAMPLES, PIECE_SEED)
     return out.withColumn("doc_id", F.expr("try_cast(key as bigint)")).select("doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids")
 
