@@ -219,15 +219,49 @@ def repeats(parts: list[bytes], runs: list[int], counts: list[int], lengths: lis
         yield list(spans.items())
 
 
+def promising(parts: list[bytes], values: list[int], counts: list[int], length: int) -> np.ndarray:
+    """Which segments of whole buckets may hold a string of ``length`` bytes that occurs twice; the others certainly don't.
+
+    Where the bucket's gram stands once in each of its segments, equal strings lie at equal distances from it. Then they share
+    the grams at multiples of GRAM bytes from it that they hold, and a string holds so many of these whatever its place is.
+    """
+    need = (length - GRAM) // GRAM - 1
+    v = np.array(values, np.int64).view(U)
+    bucket = np.cumsum(np.diff(v, prepend=v[:1]) != 0)
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    h = grams(np.frombuffer(b"".join(parts), np.uint8))
+    owner = np.repeat(np.arange(len(parts)), sizes)[: len(h)]
+    at = np.flatnonzero((h == v[owner]) & (np.arange(len(h)) + GRAM <= ends[owner]))
+    anchor = np.zeros(len(parts), np.int64)
+    anchor[owner[at]] = at
+    once = np.bincount(owner[at], minlength=len(parts)) == 1
+    unsure = np.bincount(bucket, weights=~once) > 0
+    keys, who = [], []
+    for step in range(-int(sizes.max()) // GRAM, int(sizes.max()) // GRAM + 1):
+        place = anchor + step * GRAM
+        some = np.flatnonzero((step != 0) & (place >= starts) & (place + GRAM <= ends))
+        keys.append((h[place[some]] ^ (bucket[some].astype(U) * U(0x9E3779B97F4A7C15))) + U((step & 0xFFFF) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        who.append(some)
+    _, which, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    shared = np.bincount(np.concatenate(who)[often[which] > 1], minlength=len(parts))
+    return (shared >= need) | (np.array(counts) > 1) | unsure[bucket]
+
+
 def _merged(lengths: list[int]):
     """Reads (v, s, seg, run, n) sorted by v, merges whole buckets together, gives (s, which length, spans)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, parts, runs, counts, size, now = [], [], [], [], 0, None
+        keys, parts, runs, counts, values, size, now = [], [], [], [], [], 0, None
 
         def flush() -> pd.DataFrame:
+            if parts:
+                good = promising(parts, values, counts, lengths[0])
+                for x in (keys, parts, runs, counts):
+                    x[:] = [y for y, g in zip(x, good, strict=True) if g]
             got = [(keys[i], which, [{"start": a, "end": b} for a, b in spans]) for which, found in enumerate(repeats(parts, runs, counts, lengths)) for i, spans in found] if parts else []
-            for x in (keys, parts, runs, counts):
+            for x in (keys, parts, runs, counts, values):
                 x.clear()
             return pd.DataFrame(got, columns=["s", "which", "spans"])
 
@@ -238,6 +272,7 @@ def _merged(lengths: list[int]):
                     size = 0
                 now = v
                 keys.append(s)
+                values.append(v)
                 parts.append(bytes(seg))
                 runs.append(own)
                 counts.append(n)

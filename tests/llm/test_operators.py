@@ -323,6 +323,26 @@ def test_repeated_strings_of_two_lengths(odd, large):
     assert got == sorted((str(r[0]), r[1] or "", a, b) for r, a, b in zip(rows, repeats_by_brute_force(texts, 400), repeats_by_brute_force(texts, 256), strict=True))
 
 
+def test_what_is_not_promising_holds_no_repeat():
+    rng, dropped = random.Random(5), 0
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    for length in (96, 200):
+        for _ in range(40):
+            gram = text(32)
+            shared, parts = text(rng.randint(40, 300)), []
+            for _ in range(rng.randint(2, 8)):
+                cut = rng.randint(0, len(shared))
+                own = shared if rng.random() < 0.5 else text(len(shared))
+                parts.append(text(rng.randint(0, 90)) + own[:cut] + gram * rng.choice([1, 1, 1, 2]) + own[cut:] + text(rng.randint(0, 90)))
+            v = suffix.grams(np.frombuffer(gram, np.uint8)).view(np.int64)[0]
+            good = suffix.promising([*parts, b"z" * 150], [int(v)] * len(parts) + [1], [1] * (len(parts) + 1), length)
+            strings = [[p[i : i + length] for i in range(len(p) - length + 1) if gram in p[i : i + length]] for p in parts]
+            seen = Counter(x for own in strings for x in own)
+            assert all(g for g, own in zip(good, strings) if any(seen[x] > 1 for x in own))
+            dropped += int((~good).sum())
+    assert dropped > 20
+
+
 def test_words_of_the_longest_run(spark):
     df = spark.createDataFrame([("one two three four", [(0, 3), (5, 18)]), ("one two", [(0, 7)]), (None, []), ("ab cd", [(3, 5)])], "t string, s array<struct<start:int,end:int>>")
     assert [r.n for r in df.select(suffix.longest_run("t", "s").alias("n")).collect()] == [2, 2, 0, 1]
