@@ -26,11 +26,11 @@ from tallybrook.llm.common import staged, unstage
 STATES, FREQUENT, SUFFIXES = 8, 1023, 1024
 CLASSES = 1 + FREQUENT + SUFFIXES
 #: Rounds of training, each over all training texts, at every size of the input.
-ROUNDS = 17
+ROUNDS = 8
 #: Added to expected counts: starts and transitions, emissions.
 PSEUDO, PSEUDO_EMIT = 0.1, 0.02
 #: Tokens of a block's dictionary at most, and of texts whose recursions run side by side.
-BLOCK_TOKENS, SIDE_TOKENS = 3_000_000, 300_000
+BLOCK_TOKENS, SIDE_TOKENS = 3_000_000, 600_000
 END = b"\n"  # no word holds it
 
 
@@ -118,13 +118,14 @@ class Hmm:
         grid, at = np.empty(bounds[-1], np.intp), np.array(bounds)
         for i, s in enumerate(group):
             grid[at[: len(s)] + i] = s
-        emit, move = np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
-        alphas, ahead = (np.empty((STATES, len(grid))), np.empty((STATES, len(grid)))) if keep else (None, None)
+        kind = np.float32 if keep else np.float64  # expected counts need no more
+        emit, move = (np.ascontiguousarray(x.T, dtype=kind) for x in (self.emit, self.move))
+        alphas, ahead = (np.empty((STATES, len(grid)), kind), np.empty((STATES, len(grid)), kind)) if keep else (None, None)
         total = np.zeros(len(group))
         a = None
         for t, (low, high) in enumerate(zip(bounds, bounds[1:])):
             m = high - low
-            p = np.repeat(self.start[:, None], m, axis=1) if t == 0 else move @ a[:, :m]
+            p = np.repeat(self.start[:, None].astype(kind), m, axis=1) if t == 0 else move @ a[:, :m]
             a = emit.take(grid[low:high], axis=1)
             a *= p
             s = a.sum(axis=0)
@@ -141,11 +142,12 @@ class Hmm:
         start, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k))
         for group in _side_by_side(seqs):
             _, grid, bounds, alphas, ahead = self.forward(group, keep=True)
+            move = self.move.astype(alphas.dtype)
             for low, high, end in list(zip(bounds, bounds[1:], bounds[2:]))[::-1]:
                 now = alphas[:, low : low + end - high]
                 down = alphas[:, high:end] / ahead[:, high:end]  # posterior by prediction
                 moves += now @ down.T
-                now *= self.move @ down  # now the posterior; that of a text's last step is as it was
+                now *= move @ down  # now the posterior; that of a text's last step is as it was
             start += alphas[:, : bounds[1]].sum(axis=1)
             for j in range(k):
                 emits[:, j] += np.bincount(grid, weights=alphas[j], minlength=CLASSES)
