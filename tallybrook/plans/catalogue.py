@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import attributes, severity, text
-from tallybrook.operators import dedup, ordering, parsers, predicates, retention, summary, traces
+from tallybrook.operators import conditions, dedup, ordering, parsers, predicates, retention, summary, traces
 from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, logs, segments, spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,32 @@ def c4(s, d):
     return rows.filter(predicates.holds(~(F.col("kk") < 50))).select(*KEYS)
 
 
+def signals(s, d):
+    """Log events, their values as gauges, and orders and lines as spans, as wide event rows."""
+    from tallybrook.plans.model import wide
+
+    attributes = F.to_json(F.struct(F.col("k").cast("string").alias("k"), F.col("user_id").cast("string").alias("user")))
+    log = logs(s, d).select(F.col("seq").alias("sequence"), F.col("ts_ns").alias("timestamp_unix_ns"), F.lit("logs").alias("signal_type"), "severity_number", "severity_text", F.col("body").alias("body_string"), "service_name", attributes.alias("log_attributes_json"))
+    metric = logs(s, d).select(F.col("seq").alias("sequence"), F.col("ts_ns").alias("timestamp_unix_ns"), F.lit("metrics").alias("signal_type"), F.concat(F.lit("event."), "event_type").alias("metric_name"), F.lit("Gauge").alias("metric_type"), F.col("value").alias("metric_value_number"), "service_name")
+    span = spans(s, d).select(F.col("trace_id").alias("sequence"), F.col("start_ns").alias("timestamp_unix_ns"), F.lit("traces").alias("signal_type"), F.col("trace_id").cast("string").alias("trace_id"), F.col("span_id").cast("string").alias("span_id"), F.col("parent_span_id").cast("string").alias("parent_span_id"), F.col("name").alias("span_name"), F.when(F.col("parent_span_id").isNull(), "Server").otherwise("Client").alias("span_kind"), F.col("start_ns").alias("start_time_unix_ns"), F.col("end_ns").alias("end_time_unix_ns"), (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"))
+    return wide(log).unionByName(wide(metric)).unionByName(wide(span))
+
+
+@query("c1_logs_condition", "SELECT seq AS sequence FROM logs WHERE severity_number >= 9 AND body LIKE '%user=%' AND (k = 3 OR user_id % 10 = 7)")
+def c1(s, d):
+    return conditions.matching(signals(s, d), "logs", lambda v: (v.severity_number >= 9) & v.body.contains("user=") & ((v.attributes["k"] == "3") | v.attributes["user"].endswith("7"))).select("sequence")
+
+
+@query("c2_metrics_condition", "SELECT seq AS sequence FROM logs WHERE event_type IN ('click', 'view') AND value > 50 AND service_name <> 'svc-2'")
+def c2(s, d):
+    return conditions.matching(signals(s, d), "metrics", lambda v: v.metric_name.isin("event.click", "event.view") & (v.value > 50) & (v.service_name != "svc-2") & (v.count == 0)).select("sequence")
+
+
+@query("c3_spans_condition", "SELECT trace_id AS sequence, span_id::VARCHAR AS span_id FROM spans WHERE parent_span_id IS NOT NULL AND name = 'ship R' AND end_ns - start_ns > 5000000000000000", SPANS)
+def c3(s, d):
+    return conditions.matching(signals(s, d), "traces", lambda v: (v.kind == 3) & (v.name == "ship R") & (v.duration_ns > 5_000_000_000_000_000) & ~v.parent_span_id.isNull()).select("sequence", "span_id")
+
+
 @query("c5_scalar_bool", f"SELECT {K} FROM logs WHERE (severity_number >= 13 AND k <> 5 OR service_name = 'svc-0') AND NOT (seq < 1_00)")
 def c5(s, d):
     c = ((F.col("severity_number") >= 13) & (F.col("k") != 5) | (F.col("service_name") == "svc-0")) & ~(F.col("seq") < 100)

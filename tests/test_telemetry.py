@@ -88,3 +88,19 @@ def test_ring_stream(spark, tmp_path):
 def test_rebatch(spark):
     df = spark.createDataFrame([("r", "s", i) for i in range(5)], "r string, s string, pos long")
     assert [x.members for x in limits.rebatched(df, "r", "s", "pos", 2).orderBy("part").collect()] == [[0, 1], [2, 3], [4]]
+
+
+def test_conditions_are_checked_before_reading(spark):
+    from tallybrook.operators import conditions
+    from tallybrook.plans.model import wide
+
+    events = wide(spark.createDataFrame([(1, "logs", "up", '{"user":"7"}'), (2, "logs", None, None), (3, "metrics", None, None)], "sequence long, signal_type string, body_string string, log_attributes_json string"))
+    ids = lambda signal, c: sorted(r.sequence for r in conditions.matching(events, signal, c).collect())
+    assert ids("logs", lambda v: v.attributes["user"] == "7") == [1]
+    assert ids("logs", lambda v: ~(v.attributes["user"] == "8")) == [1]  # unset doesn't match
+    assert ids("logs", lambda v: v.body == "") == [2] and ids("metrics", lambda v: v.value == 0) == [3]
+    for wrong in (lambda v: v.severity_number, lambda v: v.no_such_name == 1, lambda v: True):
+        with pytest.raises(ValueError):
+            conditions.matching(events, "logs", wrong)
+    with pytest.raises(ValueError):
+        conditions.matching(events, "trees", lambda v: v.body == "")
