@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes.util
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +53,27 @@ def unstage(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; gives memory back at its end, since the next task of another stage may use the same worker."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    if trim:
+        trim(0)
+
+
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     """A batch's rows one by one, so that no more than one row's texts stand beside the batch."""
     columns = batch.columns

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import batch_of, bit_filter, rows_of, staged, unstage
+from tallybrook.llm.common import batch_of, bit_filter, released, rows_of, staged, unstage
 from tallybrook.llm.components import connected
 
 #: Groups of a shingle that all its others are checked against in the first round.
@@ -32,9 +32,9 @@ CENTRES = 4
 #: Texts that are checked against one copy of another.
 CHUNK = 256
 #: Words a task remembers the hashes of; texts it remembers, to count copies once; shingles it cuts into ranges at a time.
-VOCABULARY, SEEN, TOGETHER = 200_000, 500_000, 400_000
+VOCABULARY, SEEN, TOGETHER = 200_000, 200_000, 400_000
 #: Shingles a range aims at; bytes of text for each; least number of ranges; bits of a hash after those that choose the range.
-RANGE, BYTES, RANGES, REST = 1_000_000, 6, 64, 40
+RANGE, BYTES, RANGES, REST = 500_000, 6, 64, 40
 #: 64-bit words of a bitmap.
 BITMAP = 16
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -237,7 +237,7 @@ def verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
             yield batch_of(out, links)
 
     together = heads.unionByName(tails).repartition("u", "chunk").sortWithinPartitions("u", "chunk", "tail")
-    out = staged(together.mapInArrow(checked, "u long, v long").distinct(), "verified")
+    out = staged(together.mapInArrow(released(checked), "u long, v long").distinct(), "verified")
     unstage(pairs)
     return out
 
@@ -253,14 +253,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = keyed(docs, key, text)
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = (max(RANGES, size // (BYTES * RANGE)) - 1).bit_length()
-    ranged = rows.select("key", "id", "t").mapInArrow(_cut(width, bits), _RANGED).repartition("range").sortWithinPartitions("range")
-    counted = staged(ranged.mapInPandas(_counted(bits), _COUNTED), "counted")
+    ranged = rows.select("key", "id", "t").mapInArrow(released(_cut(width, bits)), _RANGED).repartition("range").sortWithinPartitions("range")
+    counted = staged(ranged.mapInPandas(released(_counted(bits)), _COUNTED), "counted")
     base = counted.filter("tokens is null").select("id", "key", "n", "set_key")
     sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
     owners = staged(base.join(sets, "set_key", "left").select("id", "key", "n", "node"), "owners")
     parts = counted.filter("tokens is not null").groupBy("key").agg(F.collect_list("tokens").alias("parts"))
     parts = parts.join(owners.select("key", "n", "node").distinct(), "key")
-    found = staged(parts.select("key", "node", "n", "parts").mapInPandas(_prefixed(percent), _PREFIXED), "prefixes")
+    found = staged(parts.select("key", "node", "n", "parts").mapInPandas(released(_prefixed(percent)), _PREFIXED), "prefixes")
     one = found.groupBy("node").agg(F.min("key").alias("key"))  # a set that several tasks met counts once
     members = staged(found.join(one, ["node", "key"]).select(*found.columns), "members")
     unstage(found)

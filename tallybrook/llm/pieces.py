@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import key_text
+from tallybrook.llm.common import key_text, released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -476,7 +476,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, k: int = 2, seed: int = 0, k
                 yield pa.RecordBatch.from_arrays([*arrays, *([decoded(held.value, ids, bounds)] if texts else [])], names=["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids", *(["decoded"] if texts else [])])
                 at = upto
 
-    return docs.select(key_text(key).alias("key"), F.col(text).alias("t")).mapInArrow(sampled, _SAMPLES + ", decoded string" * texts)
+    return docs.select(key_text(key).alias("key"), F.col(text).alias("t")).mapInArrow(released(sampled), _SAMPLES + ", decoded string" * texts)
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import key_text
+from tallybrook.llm.common import give_back, key_text
 
 #: Trigram buckets, latent dimensions, voters, and how fast a voter's weight falls with its cosine's distance from the best.
 BUCKETS, DIMS, VOTERS, SHARPNESS = 1024, 64, 15, 50.0
@@ -106,6 +106,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
             texts = s.tolist()
             parts = [held.value.score(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            texts = s = None
+        give_back()
 
     return of(F.col(text))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.llm.common import batch_of, bit_filter, rows_of, shielded, staged, unstage
+from tallybrook.llm.common import batch_of, bit_filter, released, rows_of, shielded, staged, unstage
 
 #: Bytes of a gram, of a shard, and of the segments that are merged together; a bucket above LARGE takes ``_large``'s way.
 GRAM, SHARD, TOGETHER, LARGE = 32, 1 << 18, 1 << 20, 6 << 20
@@ -343,7 +343,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
     copies = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("t")).alias("size")).filter("n > 1")
     copies = copies.select("h", F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.lit(x).alias("need")) for i, x in enumerate(lengths)])).alias("x"), "size").filter("size >= x.need")
     copies = copies.select("h", "x.which", F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("end"))).cast(_SPANS).alias("spans"))
-    places = rows.mapInArrow(measured, "h binary, v array<long>, n array<int>").select("h", F.explode(F.arrays_zip("v", "n")).alias("x")).select("h", "x.v", "x.n")
+    places = rows.mapInArrow(released(measured), "h binary, v array<long>, n array<int>").select("h", F.explode(F.arrays_zip("v", "n")).alias("x")).select("h", "x.v", "x.n")
     shared = places.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("n").alias("m")).filter("a <> b or m > 1").select("v")
     wanted = staged(places.join(shared, "v").groupBy("h").agg(F.collect_set("v").alias("wanted")), "anchors")
 
@@ -369,13 +369,13 @@ def repeated(docs: DataFrame, text: str = "text", length: int = 400, large: int
             yield batch_of(out, pieces)
 
     texts = rows.filter(bit_filter(wanted, "h")).join(wanted, "h").sortWithinPartitions("h")
-    segs = staged(texts.select("h", "t", "wanted").mapInArrow(cut, "v long, s binary, seg binary, run int, h binary, start int"), "segments")
+    segs = staged(texts.select("h", "t", "wanted").mapInArrow(released(cut), "v long, s binary, seg binary, run int, h binary, start int"), "segments")
     distinct = staged(segs.groupBy("v", "s").agg(F.first("seg").alias("seg"), F.first("run").alias("run"), F.count(F.lit(1)).alias("n")), "distinct")
     sizes = staged(distinct.groupBy("v").agg(F.sum(F.octet_length("seg") + 1).alias("bytes")).filter(F.col("bytes") > large).select("v"), "large-buckets")
     ordinary = distinct
     if not sizes.isEmpty():
         ordinary = distinct.join(sizes, "v", "left_anti")
-    found = ordinary.repartition("v").sortWithinPartitions("v", "s").mapInPandas(_merged(lengths), f"s binary, which int, spans {_SPANS}")
+    found = ordinary.repartition("v").sortWithinPartitions("v", "s").mapInPandas(released(_merged(lengths)), f"s binary, which int, spans {_SPANS}")
     if not sizes.isEmpty():
         for i, x in enumerate(lengths):
             found = found.unionByName(_large(distinct.join(sizes, "v"), x).withColumn("which", F.lit(i)))
