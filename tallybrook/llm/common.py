@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes.util
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -68,8 +68,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()
-    libc = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
