@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of hashed paragraph cells.
 
-A text's paragraphs are cut into cells after a word in "s" or a punctuation mark, so cuts depend on what stands there and come back
-after an insertion; each distinct cell's 64-bit digest goes into one place of each of three sub-tables (count, xor of digests, xor of
+A text's paragraphs are cut into cells of some 70 characters after a word in "s" or a punctuation mark, so cuts depend on what stands
+there and come back after an insertion; each distinct cell's 64-bit digest goes into one place of each of three sub-tables (count, xor of digests, xor of
 check hashes). Subtracting two sketches cancels what the texts share; peeling places with one digest left recovers the digests in
 which they differ, and so the exact Jaccard likeness of the cell sets. Sub-tables are powers of two, so a sketch folds to smaller
 sizes: peeling starts on a quarter of the places and is tried again on all of them; where that fails too, the two sets are subtracted
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tallybrook.llm.common import staged
 
-#: A cell of a paragraph: up to a word in "s" or a mark, at most 96 characters.
-CELL = r"[^\n]{0,94}?(?:s |[.,;:!?。，、！？])|[^\n]{1,96}"
+#: A cell of a paragraph: 41 characters or more, up to a word in "s" or a mark, at most 128.
+CELL = r"[^\n]{40,126}?(?:s |[.,;:!?。，、！？])|[^\n]{1,128}"
 #: Largest power of two of a sub-table; larger texts share cells, and pairs that peeling can't tell apart then go to the set difference.
 MAX_POWER = 12
 #: Rows a bucket of neighbouring keys aims at; intervals of equal depth that buckets divide.
