@@ -4,11 +4,11 @@ A text's paragraphs are cut into cells of some 70 characters after a word in "s"
 there and come back after an insertion; each distinct cell's 64-bit digest goes into one place of each of three sub-tables (count, xor of digests, xor of
 check hashes). Subtracting two sketches cancels what the texts share; peeling places with one digest left recovers the digests in
 which they differ, and so the exact Jaccard likeness of the cell sets. Sub-tables are powers of two, so a sketch folds to smaller
-sizes: peeling starts on a quarter of the places and is tried again on all of them; where that fails too, the two sets are subtracted
-digest by digest, the pair's digests being rows that Spark groups, which holds a difference of any size.
+sizes: peeling starts on a quarter of the places and is tried again on all of them; where that fails too, the two texts' sets
+of digests are subtracted themselves, which holds a difference of any size.
 
 Only DataFrame and SQL functions are used. Texts are shuffled into key-ordered buckets; sketches are built in them by
-hash aggregation without another shuffle, once for a text and once for its edited text. Texts of pairs that failed are read again.
+hash aggregation without another shuffle, once for a text and once for its edited text. Texts meet their sketches again by short facts only.
 """
 
 from __future__ import annotations
@@ -137,17 +137,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketc
     more = ["own", "edited", "only_own", "only_edited"] if sketches else []
     sketch = sketch.withColumnsRenamed({"near_edited_plus": "only_own", "near_edited_minus": "only_edited"})
     sketch = staged(sketch.select("bucket", "rn", *found, *more), "likeness")
-    failed = sketch.filter("near_edited is null or near_next is null").select("bucket", "rn")
-    again = rows.join(failed, ["bucket", "rn"]).select("bucket", "rn", F.expr(f"posexplode(array({digests('text')}, {digests('changed')}, {digests('next')})) as (which, ds)"))
-    again = again.select("bucket", "rn", "which", F.explode("ds").alias("d")).groupBy("bucket", "rn", "d").agg(*[F.max(F.when(F.col("which") == i, 1).otherwise(0)).alias(f"in{i}") for i in range(3)])
-    exact = [(F.sum(F.least("in0", f"in{i}")) / F.sum(F.greatest("in0", f"in{i}"))).alias(f"exact{i}") for i in (1, 2)]
+    facts = rows.filter("guest = 0").select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"), *[F.expr(digests(c)).alias(d) for c, d in (("text", "d0"), ("changed", "d1"), ("next", "d2"))])
+    exact = [F.expr(f"size(array_intersect(d0, d{i})) / size(array_union(d0, d{i}))").alias(f"exact{i}") for i in (1, 2)]
     if sketches:
-        exact += [F.collect_list(F.when(F.expr(f"in{i} > in{1 - i}"), F.col("d"))).alias(f"d{i}") for i in (0, 1)]
-    sketch = sketch.join(again.groupBy("bucket", "rn").agg(*exact), ["bucket", "rn"], "left").withColumn("near_edited", F.coalesce("near_edited", "exact1")).withColumn("near_next", F.coalesce("near_next", "exact2"))
+        exact += [F.array_except("d0", "d1").alias("e0"), F.array_except("d1", "d0").alias("e1")]
+    facts = facts.select("bucket", "rn", "doc_id", "n_chars", "edited_sha256", *exact)
+    out = facts.join(sketch, ["bucket", "rn"]).withColumn("near_edited", F.coalesce("near_edited", "exact1")).withColumn("near_next", F.coalesce("near_next", "exact2"))
     if sketches:
-        sketch = sketch.withColumn("only_own", F.coalesce("only_own", "d0")).withColumn("only_edited", F.coalesce("only_edited", "d1")).drop("d0", "d1")
-    facts = rows.filter("guest = 0").select("bucket", "rn", "doc_id", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"))
-    return facts.join(sketch.drop("exact1", "exact2"), ["bucket", "rn"]).drop("bucket", "rn")
+        out = out.withColumn("only_own", F.coalesce("only_own", "e0")).withColumn("only_edited", F.coalesce("only_edited", "e1")).drop("e0", "e1")
+    return out.drop("bucket", "rn", "exact1", "exact2")
 
 
 def digest(sketch: str) -> Column:
