@@ -106,12 +106,18 @@ def filter_bit(c: Column | str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
-def bit_filter(values: DataFrame, c: str) -> Column:
-    """A condition on column ``c`` of another table that holds for all of ``values``' and for few other values."""
+def filter_words(values: DataFrame, c: str) -> np.ndarray:
+    """The filter of a column's hashes as 32-bit words: FILTER_BITS / 32 rows at most come to the driver."""
     bits = values.select(filter_bit(c).alias("b")).groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x"))
-    words = bits.toPandas()  # FILTER_BITS / 32 rows at most
+    words = bits.toPandas()
     full = np.zeros(FILTER_BITS // 32, np.uint32)
     full[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64).astype(np.uint32)
+    return full
+
+
+def bit_filter(values: DataFrame, c: str) -> Column:
+    """A condition on column ``c`` of another table that holds for all of ``values``' and for few other values."""
+    full = filter_words(values, c)
     held = values.sparkSession.sparkContext.broadcast(full)
 
     @F.pandas_udf("boolean")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, hmm, iblt, jaccard, mixing, pieces, quality, sharding, suffix, vptree
+from tallybrook.llm import audit, bpe, chat, hmm, iblt, jaccard, mixing, pieces, quality, ranked, sharding, suffix, vptree
 from tallybrook.llm.common import remainder, table
 
 # ---- mixing ----
@@ -191,6 +193,58 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.expr("try_cast(key as bigint)").alias("doc_id"), "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", F.xxhash64("ids").alias("ids_hash"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+# ---- byte-level pieces ----
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.load_ranks())
+    return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- filters ----
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_AUDIT_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS later FROM t),
+l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, (CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN later THEN 'E' ELSE '' END) AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT unnest(string_split('{" ".join(map("".join, permutations(audit.FILTERS)))}', ' ')) AS filter_order),
+s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM g, o),
+x AS (SELECT *, contains(fails, filter_order[step]) AS bad, step > 1 AND regexp_matches(fails, '[' || left(filter_order, step - 1) || '_]') AS gone FROM s),
+r AS (SELECT part, filter_order, step, filter_order[step] AS letter, sum(n) FILTER (NOT bad AND NOT gone) AS kept, sum(n) FILTER (bad AND NOT gone) AS removed, sum(n) FILTER (bad AND gone) AS redundant,
+  sum(n) FILTER (fails = filter_order[step]) AS unique_fails, sum(n) FILTER (bad AND NOT gone AND good) AS good_lost, sum(n) FILTER (bad AND NOT gone AND toxic) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley FROM r
+"""
+
+# ---- ranked search ----
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_RANKED_SQL = f"""
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{ranked.UPPER}', '{ranked.LOWER}'), '{ranked.TERM}')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+z AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL),
+c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM z),
+m AS (SELECT doc_id, 25 + (75 * n * nn) // ll AS m FROM z, c),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{ranked.UPPER}', '{ranked.LOWER}'), '{ranked.TERM}')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, nn),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 # ---- pipeline ----
 
 
@@ -211,6 +265,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality": op10_quality,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": pipeline,
 }
-ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL, "op6_sharding": _SHARD_SQL}
+ORACLES = {"op3_mixing": _mix_sql(), "op4_chat_rotation": _CHAT_SQL, "op6_sharding": _SHARD_SQL, "op12_filter_audit": _AUDIT_SQL, "op13_ranked_search": _RANKED_SQL}

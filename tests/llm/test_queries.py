@@ -19,14 +19,14 @@ def rows(data, columns):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = QUERIES[name](spark, SF), con.sql(ORACLES[name])
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
 
 
 def test_there_is_a_query_for_each_operator():
-    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def test_stages(spark):
