@@ -147,7 +147,7 @@ def found(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize("size,fan,block", [(1024, 16, 200_000), (7, 2, 40), (64, 3, 10)])
+@pytest.mark.parametrize("size,fan,block", [(1024, 16, 200_000), (7, 2, 150), (64, 3, 400)])
 def test_search(spark, odd, empty, monkeypatch, size, fan, block):
     monkeypatch.setattr(ranked, "RANGE", size)
     monkeypatch.setattr(ranked, "FAN", fan)
