@@ -1,6 +1,6 @@
 """Deduplication of log bodies: exact, canonical, by mined template, and of consecutive runs.
 
-Token classes and canonical forms are SQL expressions; only nested JSON and template mining run in Python, on distinct bodies.
+Token classes and canonical forms are SQL expressions; only nested JSON and template mining (``templates``) run in Python, on distinct bodies.
 Non-ASCII text is kept as it is.
 """
 
@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybrook.operators import ranges, templates
+
 # Keys whose numeric values are always replaced in key=value bodies, and those whose numbers become 0 in JSON
 # (lower case, without '_', '-' and '.').
 KV_KEYS = "agentid requestid reqid traceid spanid messageid task tasks count total num size queuesize maxqueuesize maxqueuesizeseen".split()
@@ -147,17 +149,20 @@ def groups(df: DataFrame, keys: Sequence[str], position: str, ts: str, body: str
 
 def merged_groups(exact: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups of groups: counts add up, spans widen, the first group's representative stays."""
-    return exact.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("representative", "first_pos").alias("representative"), F.min("first_pos").alias("first_pos"))
+    return exact.groupBy(*keys).agg(*_merging())
+
+
+def _merging() -> list[Column]:
+    return [F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("representative", "first_pos").alias("representative"), F.min("first_pos").alias("first_pos")]
 
 
 def collapse(df: DataFrame, stream: str, position: str, keys: Sequence[str], ts: str, body: str) -> DataFrame:
     """Runs of consecutive rows of a stream with equal keys, as groups with ``run`` numbers from 1."""
-    order = Window.partitionBy(stream).orderBy(position)
-    changed = F.lit(False)
+    rows = ranges.previous(ranges.ranged(df, position), [stream], [position], keys, "__previous")
+    changed = F.col("__previous").isNull()
     for k in keys:
-        changed |= ~F.col(k).eqNullSafe(F.lag(k).over(order))
-    first = F.lag(position).over(order).isNull()
-    runs = df.withColumn("run", F.sum(F.when(first | changed, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        changed |= ~F.col(k).eqNullSafe(F.col("__previous")[k])
+    runs = ranges.running(rows, [stream], [position], F.when(changed, 1).otherwise(0), "run").drop("__previous", "__range")
     return groups(runs, [stream, "run", *keys], position, ts, body)
 
 
@@ -177,68 +182,7 @@ def template(a: str, b: str) -> Column:
     return F.expr(f"zip_with({a}, {b}, (x, y) -> if(x = y, x, '<*>'))")
 
 
-class Templates:
-    """Templates of one bucket and token count, in the order they were founded."""
-
-    def __init__(self) -> None:
-        self.tokens: list[list[str]] = []
-        self.first: list[int] = []
-
-    def add(self, tokens: list[str], pos: int, threshold: float) -> int:
-        """The template that a body joins: the most similar, or, where none is similar enough, the most similar with wildcards equal."""
-        best = None
-        for loose in (0, 1):
-            for i, t in enumerate(self.tokens):
-                wild = t.count("<*>")
-                equal = sum(x == y and x != "<*>" for x, y in zip(t, tokens, strict=True)) + loose * wild
-                rank = (equal / len(t) if t else 1.0, wild, -i)
-                if best is None or rank > best:
-                    best = rank
-            if best is not None and best[0] >= threshold:
-                i = -best[2]
-                self.tokens[i] = [x if x == y else "<*>" for x, y in zip(self.tokens[i], tokens, strict=True)]
-                return i
-            best = None
-        self.tokens.append(tokens)
-        self.first.append(pos)
-        return len(self.tokens) - 1
-
-
-def _assigned(df: DataFrame, position: str, body: str, threshold: float, bucket: Sequence[str]) -> DataFrame:
-    """pos, body, bucket, cluster, template: the template as it stands after the row, so that of a cluster's last row is final.
-
-    Rows of a bucket and token count stream through one task in order; it holds templates, not rows.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, templates = None, Templates()
-        for b in batches:
-            out = []
-            for group, n, pos, text in zip(b["bucket"], b["n"], b["pos"], b["body"], strict=True):
-                if (group, n) != now:
-                    now, templates = (group, n), Templates()
-                i = templates.add((text or "").split(), pos, threshold)
-                out.append((pos, text, group, templates.first[i], " ".join(templates.tokens[i])))
-            yield pd.DataFrame(out, columns=["pos", "body", "bucket", "cluster", "template"])
-
-    name = F.to_json(F.struct(*bucket)) if bucket else F.lit("")
-    rows = df.select(F.col(position).alias("pos"), F.col(body).alias("body"), name.alias("bucket")).withColumn("n", F.expr("size(filter(split(coalesce(body, ''), '\\\\s+'), t -> t <> ''))"))
-    return rows.repartition("bucket", "n").sortWithinPartitions("bucket", "n", "pos").mapInPandas(run, "pos long, body string, bucket string, cluster long, template string")
-
-
-def mined(df: DataFrame, position: str, body: str, threshold: float = 0.7, bucket: Sequence[str] = ()) -> DataFrame:
-    """Template mining: pos, body, template and cluster (by first position) of each row.
-
-    In order, each body joins the most similar template of its token count (equal tokens over length; then, where none is similar
-    enough, counting wildcards as equal), or founds one; positions in which they differ become '<*>'. Token counts never mix, so a
-    group is one bucket and count. Ties go to the template with more wildcards, then to the older.
-    """
-    rows = _assigned(df, position, body, threshold, bucket)
-    last = rows.groupBy("bucket", F.col("cluster").alias("__c")).agg(F.max_by("template", "pos").alias("template")).withColumnRenamed("bucket", "__b")
-    return rows.drop("template").join(last, (F.col("bucket") == F.col("__b")) & (F.col("cluster") == F.col("__c"))).select("pos", "body", "template", "cluster")
-
-
-def distinct_full(df: DataFrame, position: str, ts: str, body: str, threshold: float = 0.7, bucket: Sequence[str] = ()) -> DataFrame:
+def distinct_full(df: DataFrame, position: str, ts: str, body: str, threshold: float = 0.7, bucket: Sequence[str] = (), depth: int = 4, delimiters: Sequence[str] = ()) -> DataFrame:
     """The whole chain: bucket columns, n, first_seen, last_seen, representative, first_pos, template (null unless mining merged).
 
     Equal bodies are grouped, then groups with equal canonical forms; what is still alone in its bucket is mined for templates by its
@@ -248,41 +192,15 @@ def distinct_full(df: DataFrame, position: str, ts: str, body: str, threshold: f
     exact = groups(df, [*keys, body], position, ts, body)
     merged = merged_groups(exact.withColumn("__form", F.coalesce(canonical(body), F.lit(""))), [*keys, "__form"])
     alone = merged.filter("n = 1")
-    found = _assigned(alone, "first_pos", "__form", threshold, keys).groupBy("bucket", "cluster").agg(F.max_by("template", "pos").alias("template"), F.collect_list("pos").alias("members")).select("cluster", F.explode("members").alias("first_pos"), F.when(F.size("members") > 1, F.col("template")).alias("template"))
-    alone = merged_groups(alone.join(found, "first_pos"), [*keys, "cluster", "template"])
+    name = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    found = templates.assigned(alone.select(name.alias("bucket"), F.col("first_pos").alias("pos"), F.col("__form").alias("body")), threshold, depth, delimiters)
+    alone = alone.join(found.select(F.col("pos").alias("first_pos"), "cluster", F.col("template").alias("__template")), "first_pos")
+    alone = alone.groupBy(*keys, "cluster").agg(*_merging(), F.max_by("__template", "first_pos").alias("template"))
+    alone = alone.withColumn("template", F.when(F.col("n") > 1, F.col("template")))
     out = [*keys, "n", "first_seen", "last_seen", "representative", "first_pos"]
     return merged.filter("n > 1").select(*out, F.lit(None).cast("string").alias("template")).unionByName(alone.select(*out, "template"))
 
 
-def collapse_mined(df: DataFrame, stream: str, position: str, body: str, ts: str, threshold: float = 0.7, bucket: str | None = None) -> DataFrame:
-    """Runs of consecutive rows of a stream (and bucket) whose bodies fit the run's growing template, equal bodies included.
-
-    Only the last run's template is compared, so rows stream through a task in order and its state is one run.
-    """
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: list | None = None
-        named = lambda out: pd.DataFrame([(s, pos, b, " ".join(tokens), n, lo, hi, text) for s, pos, b, tokens, n, lo, hi, text in out], columns=["stream", "first_pos", "bucket", "template", "n", "first_seen", "last_seen", "representative"])
-        for batch in batches:
-            out: list[list] = []
-            for s, pos, b, text, t in batch[["stream", "pos", "bucket", "body", "ts"]].itertuples(index=False):
-                tokens = (text or "").split()
-                same = last is not None and last[0] == s and last[2] == b and len(last[3]) == len(tokens)
-                if same and (last[3] == tokens or tokens and sum(x == y for x, y in zip(last[3], tokens, strict=True)) / len(tokens) >= threshold):
-                    last[3] = [x if x == y else "<*>" for x, y in zip(last[3], tokens, strict=True)]
-                    last[4], last[5], last[6] = last[4] + 1, min(last[5], t), max(last[6], t)
-                else:
-                    if last is not None:
-                        out.append(last)
-                    last = [s, pos, b, tokens, 1, t, t, text]
-            yield named(out)
-        if last is not None:
-            yield named([last])
-
-    rows = df.select(F.col(stream).alias("stream"), F.col(position).alias("pos"), (F.col(bucket).cast("string") if bucket else F.lit("")).alias("bucket"), F.col(body).alias("body"), F.col(ts).alias("ts"))
-    return rows.repartition("stream").sortWithinPartitions("stream", "pos").mapInPandas(runs, "stream string, first_pos long, bucket string, template string, n long, first_seen long, last_seen long, representative string")
-
-
 def described(groups_df: DataFrame, behaviour: str, matcher: str, template: str | None = None) -> DataFrame:
     """Groups with the attributes that emitted records carry, as columns ``dedup_*``, and the groups' times and body."""
     mined = F.col(template).isNotNull() if template else F.lit(False)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.operators import ranges
+
 
 def merge_key(df: DataFrame, file: str, position: str, *keys: str) -> DataFrame:
     """Adds the merge order's key: the greatest (keys) so far within the file. For sorted files it is the row's own."""
-    upto = Window.partitionBy(file).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("merge_key", F.max(F.struct(*keys)).over(upto))
+    return ranges.running(df, [file], [position], F.struct(*keys), "merge_key", "max")
 
 
 def merged(df: DataFrame, file: str, position: str, *keys: str) -> DataFrame:
@@ -27,15 +28,8 @@ def page(df: DataFrame, by: str, offset: int, limit: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: list[str], within: str | None = None, out: str = "row_no") -> DataFrame:
-    """Gapless row numbers from 1. Over the whole table they come from counts per range of the first key, not from one sorted task."""
-    if within:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(within).orderBy(*by)))
-    ranged = df.withColumn("__range", F.floor(F.col(by[0]) / 4096).cast("long"))
-    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    line = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per 4096 key values
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(line), F.lit(0))).drop("__n")
-    inner = Window.partitionBy("__range").orderBy(*by)
-    return ranged.join(before, "__range").withColumn(out, F.col("__before") + F.row_number().over(inner)).drop("__range", "__before")
+    """Gapless row numbers from 1, in all or within a stream, from counts per range of the first key."""
+    return ranges.running(df, [within] if within else [], by, F.lit(1), out)
 
 
 def row_range(df: DataFrame, by: list[str], first: int, last: int) -> DataFrame:
@@ -50,12 +44,11 @@ def split_by_records(df: DataFrame, by: list[str], n: int) -> DataFrame:
 
 def split_by_bytes(df: DataFrame, by: list[str], size: Column, n: int, within: str) -> DataFrame:
     """Adds ``part``: rows of one stream cut where the running size crosses a multiple of ``n`` bytes."""
-    before = Window.partitionBy(within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("part", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / n).cast("long"))
+    return ranges.running(df, [within], by, size, "part", own=False).withColumn("part", F.floor(F.col("part") / n).cast("long"))
 
 
 def continuity(df: DataFrame, stream: str, seq: str) -> DataFrame:
     """Gaps of a stream's sequence: (stream, after, before, missing)."""
-    previous = F.lag(seq).over(Window.partitionBy(stream).orderBy(seq))
-    gaps = df.withColumn("after", previous).filter(F.col(seq) - F.col("after") > 1)
+    rows = ranges.previous(df, [stream], [seq], [seq], "after").withColumn("after", F.col("after")[seq])
+    gaps = rows.filter(F.col(seq) - F.col("after") > 1)
     return gaps.select(stream, "after", F.col(seq).alias("before"), (F.col(seq) - F.col("after") - 1).alias("missing"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybrook.operators import ranges
+
 
 def rate_limited(df: DataFrame, stream: str, second: Column, order: list[str], limit: int, priority: Column, floor: int) -> DataFrame:
     """Adds ``decision``: accepted for a stream's first ``limit`` batches of a second (0: all), bypass from priority ``floor`` on, else rejected.
@@ -25,18 +27,20 @@ def oversize(df: DataFrame, size: Column, limit: int) -> DataFrame:
 
 def ring(df: DataFrame, stream: str, seq: str, keep_first: int, keep_last: int) -> DataFrame:
     """Rows that a stream's ring buffer holds at its end: the first ``keep_first`` for ever, and the newest ``keep_last`` of the others."""
-    w = Window.partitionBy(stream)
-    ranked = df.withColumn("__a", F.row_number().over(w.orderBy(seq))).withColumn("__z", F.row_number().over(w.orderBy(F.col(seq).desc())))
-    return ranked.filter((F.col("__a") <= keep_first) | (F.col("__z") <= keep_last)).drop("__a", "__z")
+    rows = ranges.running(ranges.ranged(df, seq), [stream], [seq], F.lit(1), "__a")
+    rows = ranges.running(rows, [stream], [seq], F.lit(1), "__z", falling=True)
+    return rows.filter((F.col("__a") <= keep_first) | (F.col("__z") <= keep_last)).drop("__a", "__z", "__range")
 
 
 def ring_by_bytes(df: DataFrame, stream: str, seq: str, size: Column, keep_first: int, limit: int) -> DataFrame:
     """The same with a byte limit: the oldest unprotected rows go until all held rows fit."""
-    w = Window.partitionBy(stream)
-    rows = df.withColumn("__s", size).withColumn("__a", F.row_number().over(w.orderBy(seq)))
-    head = F.coalesce(F.sum(F.when(F.col("__a") <= keep_first, F.col("__s"))).over(w), F.lit(0))
-    newer = F.sum(F.when(F.col("__a") > keep_first, F.col("__s"))).over(w.orderBy(F.col(seq).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__head", head).withColumn("__newer", newer).filter((F.col("__a") <= keep_first) | (F.col("__head") + F.col("__newer") <= limit)).drop("__s", "__a", "__head", "__newer")
+    rows = ranges.running(ranges.ranged(df, seq).withColumn("__s", size), [stream], [seq], F.lit(1), "__a")
+    first = F.col("__a") <= keep_first
+    heads = rows.filter(first).groupBy(F.col(stream).alias("__stream")).agg(F.sum("__s").alias("__head"))  # a row per stream
+    rows = ranges.running(rows, [stream], [seq], F.when(~first, F.col("__s")).otherwise(0), "__newer", falling=True)
+    rows = rows.join(heads, F.col(stream).eqNullSafe(F.col("__stream")), "left")
+    held = F.coalesce("__head", F.lit(0)) + F.col("__newer") <= limit
+    return rows.filter(first | held).drop("__s", "__a", "__head", "__newer", "__stream", "__range")
 
 
 def retained(segments: DataFrame, stream: str, segment: str, size: str, limit: int) -> DataFrame:
@@ -59,5 +63,4 @@ def keep_files(segments: DataFrame, stream: str, segment: str, n: int) -> DataFr
 
 def rotated(df: DataFrame, stream: str, order: list[str], size: Column, limit: int) -> DataFrame:
     """Adds ``segment``: a new one begins where the bytes written cross a multiple of ``limit``."""
-    before = Window.partitionBy(stream).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("segment", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / limit).cast("long"))
+    return ranges.running(df, [stream], order, size, "segment", own=False).withColumn("segment", F.floor(F.col("segment") / limit).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import attributes, severity, text
-from tallybrook.operators import conditions, dedup, ordering, parsers, predicates, retention, summary, traces
+from tallybrook.operators import conditions, dedup, ordering, parsers, predicates, retention, summary, templates, traces
 from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, logs, segments, spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,20 +503,20 @@ def _pairs(s, d):
     return logs(s, d).withColumn("p", previous).filter("p is not null").select("seq", F.split("body", " ").alias("a"), F.split("p", " ").alias("b"))
 
 
-@query("d7_compound")
+@query("d7_compound", "SELECT seq, 'Fake(_HEX_) x' || CASE WHEN seq >= 100 THEN '_N_' ELSE seq::VARCHAR END || '_c0 id__HEX_ F_N_' AS canonical FROM logs")
 def d7(s, d):
     body = F.concat(F.lit("Fake(c1234abc) x"), F.col("seq").cast("string"), F.lit("_c0 id_deadbeef00 F0110"))
     return logs(s, d).withColumn("b", body).select("seq", dedup.freetext("b").alias("canonical"))
 
 
-@query("d9_canon_json")
+@query("d9_canon_json", "SELECT event_id, '{\"k\":' || CASE WHEN abs((props->>'$.k')::INT) >= 1000 THEN 0 ELSE (props->>'$.k')::INT END || '}' AS canonical FROM events", "")
 def d9(s, d):
     return table(s, d, "events").select("event_id", dedup.json_text("props").alias("canonical"))
 
 
 @query("d12_drain")
 def d12(s, d):
-    return dedup.mined(logs(s, d), "seq", "body", 0.3)
+    return templates.mined(logs(s, d), "seq", "body", 0.3)
 
 
 @query("d_full_distinct")
@@ -691,7 +691,7 @@ def w7(s, d):
 @query("w8_dedup_emit", "SELECT row_number() OVER (ORDER BY first_seen, first_pos) - 1 AS new_seq, representative, n, (last_seen - first_seen) // 1000000 AS span_ms FROM (SELECT event_type, k, count(*) AS n, min(ts_ns) AS first_seen, max(ts_ns) AS last_seen, arg_min(body, seq) AS representative, min(seq) AS first_pos FROM logs GROUP BY 1, 2)")
 def w8(s, d):
     g = dedup.groups(logs(s, d), ["event_type", "k"], "seq", "ts_ns", "body")
-    out = ordering.numbered(g, ["first_pos"])  # times rise with positions
+    out = ordering.numbered(g, ["first_seen", "first_pos"])
     return out.select((F.col("row_no") - 1).cast("long").alias("new_seq"), "representative", "n", F.expr("(last_seen - first_seen) div 1000000").alias("span_ms"))
 
 
@@ -706,7 +706,7 @@ def p25(s, d):
 
 @query("d16_collapse_full")
 def d16(s, d):
-    return dedup.collapse_mined(logs(s, d), "service_name", "seq", "body", "ts_ns", 0.3)
+    return templates.collapsed(logs(s, d), "service_name", "seq", "body", "ts_ns", 0.3)
 
 
 @query("d18_metadata", "SELECT min(ts_ns) AS time_ns, max(ts_ns) AS observed_ns, arg_min(body, seq) AS body, count(*) AS dedup_count, 'distinct/canon' AS dedup_mode, 'distinct' AS dedup_behaviour, 'canon' AS dedup_matcher, 'global' AS dedup_scope, 'whole-selection' AS dedup_window, (max(ts_ns) - min(ts_ns)) // 1000000 AS dedup_time_span_ms FROM logs GROUP BY event_type, k")

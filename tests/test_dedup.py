@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import dedup
+from tallybrook.operators import dedup, ordering, ranges, retention, templates
 
 
 def one(spark, text, f):
@@ -62,7 +62,7 @@ def test_runs(spark):
 
 
 def test_mined_templates(spark):
-    got = dedup.mined(frame(spark, [f"lapsed time is {i}" for i in range(2, 6)] + ["other"]), "pos", "body").orderBy("pos").collect()
+    got = templates.mined(frame(spark, [f"lapsed time is {i}" for i in range(2, 6)] + ["other"]), "pos", "body").orderBy("pos").collect()
     assert {r.template for r in got[:4]} == {"lapsed time is <*>"} and len({r.cluster for r in got}) == 2
 
 
@@ -78,7 +78,7 @@ def test_similarity_and_template(spark):
 
 
 def test_runs_by_template(spark):
-    got = dedup.collapse_mined(frame(spark, ["lapsed time is 2", "lapsed time is 3", "lapsed time is 4", "other"]), "stream", "pos", "body", "ts").orderBy("first_pos").collect()
+    got = templates.collapsed(frame(spark, ["lapsed time is 2", "lapsed time is 3", "lapsed time is 4", "other"]), "stream", "pos", "body", "ts").orderBy("first_pos").collect()
     assert [(r.template, r.n) for r in got] == [("lapsed time is <*>", 3), ("other", 1)]
 
 
@@ -100,10 +100,147 @@ def test_whole_chain_mines_only_what_is_alone(spark):
     want = [(v[0], len(v), 10 * v[0], 10 * v[-1], bodies[v[0]], None) for v in by.values() if len(v) > 1]
     rows = spark.createDataFrame([(i, forms[i] or "") for i in alone], "pos long, body string")
     clusters = {}
-    for r in dedup.mined(rows, "pos", "body", 0.7).collect():
+    for r in templates.mined(rows, "pos", "body", 0.7).collect():
         clusters.setdefault((r.cluster, r.template), []).append(r.pos)
     for (_, template), v in clusters.items():
         v.sort()
         want.append((v[0], len(v), 10 * v[0], 10 * v[-1], bodies[v[0]], template if len(v) > 1 else None))
     assert got == sorted(want, key=lambda x: x[0]) and sum(g[1] for g in got) == len(bodies)
     assert any(g[5] and "<*>" in g[5] and g[1] == 2 for g in got)
+
+
+# ---- templates against plain versions ----
+
+
+def tree(rows, threshold, depth=4, children=100):
+    """(pos, template, cluster) of (pos, body) by a plain tree: leaves by token count and leading tokens, one pass in order."""
+    first = {}
+    for pos, body in sorted(rows, reverse=True):
+        first[body] = pos
+    order = sorted((pos, body) for body, pos in first.items())
+    split = {b: (b or "").split() for _, b in order}
+    paths = {b: (len(split[b]),) for _, b in order}
+    for level in range(max(depth, 3) - 3):
+        seen = {}
+        for _, b in order:
+            if level + 1 < len(split[b]):
+                token = split[b][level]
+                if any(c in "0123456789" for c in token):
+                    token = "<*>"
+                elif token != "<*>":
+                    own = seen.setdefault(paths[b], [])
+                    if token not in own:
+                        own.append(token)
+                    token = token if own.index(token) < children - 1 else "<*>"
+                paths[b] = (*paths[b], token)
+    leaves, joined = {}, {}
+    for pos, b in order:
+        found, mine = leaves.setdefault(paths[b], []), None
+        for loose in (0, 1):
+            ranked = [(sum(x == y and x != "<*>" for x, y in zip(t, split[b])) + loose * t.count("<*>"), t.count("<*>"), -i) for i, (t, _) in enumerate(found)]
+            if mine is None and ranked and (not split[b] or max(ranked)[0] / len(split[b]) >= threshold):
+                mine = -max(ranked)[2]
+        if mine is None:
+            found.append((split[b], pos))
+            mine = len(found) - 1
+        else:
+            found[mine] = ([x if x == y else "<*>" for x, y in zip(found[mine][0], split[b])], found[mine][1])
+        joined[b] = (paths[b], mine)
+    return sorted((pos, " ".join(leaves[joined[b][0]][joined[b][1]][0]), leaves[joined[b][0]][joined[b][1]][1]) for pos, b in rows)
+
+
+def runs(rows, threshold):
+    """(stream, first_pos, template, n) of (stream, pos, body) in one pass."""
+    out, last = [], {}
+    for stream, pos, body in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        tokens, now = (body or "").split(), last.get(stream)
+        if now and len(now[2]) == len(tokens) and (not tokens or sum(a in (b, "<*>") for a, b in zip(now[2], tokens)) / len(tokens) >= threshold):
+            now[2], now[3] = [a if a == b else "<*>" for a, b in zip(now[2], tokens)], now[3] + 1
+        else:
+            last[stream] = [stream, pos, tokens, 1]
+            out.append(last[stream])
+    return sorted((str(s), p, " ".join(t), n) for s, p, t, n in out)
+
+
+def odd_bodies(n, seed=1):
+    import random
+
+    rng = random.Random(seed)
+    tokens = ["a", "b", "c", "x1", "<*>", "é"]
+    return [None if rng.random() < 0.02 else " ".join(rng.choice(tokens) for _ in range(rng.choice((0, 1, 2, 3, 3, 4, 4, 6)))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("depth", "children", "threshold"), [(3, 100, 0.5), (4, 100, 0.6), (5, 100, 0.4), (6, 3, 0.5)])
+def test_mining_equals_a_plain_tree(spark, monkeypatch, depth, children, threshold):
+    monkeypatch.setattr(templates, "CHILDREN", children)
+    monkeypatch.setattr(templates.leaves, "__defaults__", (children,))
+    bodies = odd_bodies(400, depth)
+    got = templates.mined(frame(spark, bodies), "pos", "body", threshold, depth=depth).collect()
+    assert sorted((r.pos, r.template, r.cluster) for r in got) == tree(list(enumerate(bodies)), threshold, depth, children)
+
+
+def test_mining_on_a_whole_table(spark):
+    from tallybrook.plans.adapter import logs
+
+    rows = logs(spark, "/root/testdata/sf0.01").select("seq", "body")
+    got = templates.mined(rows, "seq", "body", 0.3)
+    assert sorted((r.pos, r.template, r.cluster) for r in got.collect()) == tree([tuple(r) for r in rows.collect()], 0.3)
+    leaves = templates.leaves(rows.select(F.lit("").alias("bucket"), F.col("seq").alias("pos"), templates.split(F.col("body")).alias("tokens")), 4)
+    assert leaves.select("n", "path").distinct().count() >= 5  # one token count, many tasks
+
+
+def test_delimiters_and_thresholds(spark):
+    texts = ["disk_full on node red", "disk_full on node blue"]
+    n = lambda th, **kw: templates.mined(frame(spark, texts), "pos", "body", th, **kw).select("cluster").distinct().count()
+    assert (n(0.9), n(0.7)) == (2, 1)
+    assert templates.mined(frame(spark, texts), "pos", "body", 0.8, delimiters=["_"]).first().template == "disk full on node <*>"
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_runs_of_one_hot_stream_over_many_ranges(spark, monkeypatch, threshold):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 16)
+    bodies = odd_bodies(500, 7) + ["same thing here"] * 60 + [f"same thing {i}" for i in range(60)] + ["p q"] * 3
+    rows = [("s" if i % 9 else None, i * i, b) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame([(s, p, 10 * p, b) for s, p, b in rows], "stream string, pos long, ts long, body string")
+    got = templates.collapsed(df, "stream", "pos", "body", "ts", threshold).collect()
+    assert sorted((str(r.stream), r.first_pos, r.template, r.n) for r in got) == runs(rows, threshold)
+    assert sum(r.n for r in got) == len(rows) and all(r.first_seen == 10 * r.first_pos for r in got)
+
+
+def test_runs_on_a_whole_table(spark, monkeypatch):
+    from tallybrook.plans.adapter import logs
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 1000)
+    rows = logs(spark, "/root/testdata/sf0.01").select(F.lit("all").alias("stream"), "seq", "body", "ts_ns")
+    got = templates.collapsed(rows, "stream", "seq", "body", "ts_ns", 0.3).collect()
+    assert sorted((r.stream, r.first_pos, r.template, r.n) for r in got) == runs([(r.stream, r.seq, r.body) for r in rows.collect()], 0.3)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_windows_by_ranges(spark, monkeypatch, text):
+    """Running values and previous rows equal those of plain windows, with sparse, null and text keys."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 7)
+    data = [("ab"[i % 2] if i % 5 else None, None if i == 3 else (f"k{i * i:06d}" if text else i * i), i % 11) for i in range(200)]
+    df = spark.createDataFrame(data, f"stream string, pos {'string' if text else 'long'}, v long")
+    w = Window.partitionBy("stream").orderBy("pos")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("stream").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(up).alias("a"), F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.max("v").over(up).alias("c"), F.sum("v").over(down).alias("d"), F.lag("v").over(w).alias("e"))
+    got = ranges.running(ranges.ranged(df, "pos"), ["stream"], ["pos"], F.col("v"), "a")
+    got = ranges.running(got, ["stream"], ["pos"], F.col("v"), "b", own=False)
+    got = ranges.running(got, ["stream"], ["pos"], F.col("v"), "c", "max")
+    got = ranges.running(got, ["stream"], ["pos"], F.col("v"), "d", falling=True)
+    got = ranges.previous(got, ["stream"], ["pos"], ["v"], "e").withColumn("e", F.col("e.v")).drop("__range")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert ranges.ranged(df, "pos").select("__range").distinct().count() > 5
+    assert sorted(r.row_no for r in ordering.numbered(df, ["pos"]).collect()) == list(range(1, 201))
+
+
+def test_ring_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 5)
+    df = spark.createDataFrame([("s", i, 10) for i in range(60)], "stream string, seq long, size int")
+    assert sorted(r.seq for r in retention.ring(df, "stream", "seq", 3, 4).collect()) == [0, 1, 2, 56, 57, 58, 59]
+    assert sorted(r.seq for r in retention.ring_by_bytes(df, "stream", "seq", F.col("size"), 3, 75).collect()) == [0, 1, 2, 56, 57, 58, 59]
