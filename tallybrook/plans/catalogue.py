@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import attributes, severity, text
-from tallybrook.operators import conditions, dedup, ordering, parsers, predicates, retention, summary, templates, traces
+from tallybrook.operators import conditions, dedup, discover, ordering, parsers, predicates, retention, summary, templates, traces
 from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, logs, segments, spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,10 +195,26 @@ def a8(s, d):
     return summary.count_by(logs(s, d), "severity_text").orderBy("value")
 
 
-@query("a9_discover", "SELECT 'file' AS kind, file AS name, count(*) AS n FROM logs GROUP BY file UNION ALL SELECT 'summary', '', count(*) FROM logs")
+_A9 = {"ts_min": 1704067200000000000 + 3 * 86400 * 10**9, "ts_max": 1704067200000000000 + 9 * 86400 * 10**9, "severities": ["ERROR", "WARN"]}
+_A9_SQL = f"""x AS (SELECT *, seq // 3 AS block, ts_ns BETWEEN {_A9["ts_min"]} AND {_A9["ts_max"]} AND severity_text IN ('ERROR', 'WARN') AS hit FROM logs),
+b AS (SELECT file, block, count(*) AS n, max(ts_ns) >= {_A9["ts_min"]} AND min(ts_ns) <= {_A9["ts_max"]} AND bool_or(severity_text IN ('ERROR', 'WARN')) AS may FROM x GROUP BY ALL),
+f AS (SELECT file, coalesce(sum(n) FILTER (may), 0)::BIGINT AS records_scanned, NOT bool_or(may) AS skipped_by_index FROM b GROUP BY file),
+m AS (SELECT file, count(*) FILTER (hit) AS n, min(ts_ns) FILTER (hit) AS first_ts, max(ts_ns) FILTER (hit) AS last_ts FROM x GROUP BY file)"""
+
+
+@query(
+    "a9_discover",
+    """SELECT 'file' AS kind, file AS name, records_scanned, n AS records_matched, n AS log_events, first_ts, last_ts, skipped_by_index FROM f JOIN m USING (file)
+    UNION ALL SELECT 'summary', '', sum(records_scanned)::BIGINT, sum(n)::BIGINT, sum(n)::BIGINT, min(first_ts), max(last_ts), NULL FROM f JOIN m USING (file)""",
+    LOGS + ", " + _A9_SQL,
+)
 def a9(s, d):
-    rows = logs(s, d).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.lit("file").alias("kind"), F.col("file").alias("name"), "n").unionByName(rows.agg(F.sum("n").alias("n")).select(F.lit("summary").alias("kind"), F.lit("").alias("name"), "n"))
+    rows = logs(s, d).withColumn("block", F.floor(F.col("seq") / 3).cast("long"))
+    index = discover.index_of(rows, "file", "block", "seq", "seq", "ts_ns", "service_name", "severity_text")
+    event = F.array(F.struct(F.col("service_name").alias("service"), F.col("severity_text").alias("severity")))
+    records = rows.select("file", F.col("block").alias("block_offset"), F.lit("logs").alias("record_type"), "seq", F.col("ts_ns").alias("ts_unix_ns"), event.alias("events"))
+    files, _ = discover.discover(index, lambda places: records.join(places, ["file", "block_offset"], "left_semi"), **_A9)
+    return discover.rows_of(files)
 
 
 @query("a10_catalog", "SELECT DISTINCT 'service_name' AS kind, service_name AS value FROM logs WHERE service_name IS NOT NULL UNION SELECT DISTINCT 'severity_text', severity_text FROM logs WHERE severity_text IS NOT NULL")

@@ -1,12 +1,14 @@
 """Block files of records: (record_type, seq, ts_unix_ns, payload) in compressed, checksummed blocks.
 
-A reader looks for the next sync marker after damage, so one bad block costs no more than its own records. Files are read
-through Spark's binary reader, one task per group of files, from any store that Spark reads; blocks whose first sequence number
-or time is above an upper bound are passed over without being unpacked. The sink is a Python data source.
+A reader looks for the next sync marker after damage, so one bad block costs no more than its own records. Source and sink are a Python
+data source over the stores that pyarrow opens (local folders, HDFS, S3, GCS). A file is read in ranges of bytes, one task each: a range
+owns the blocks whose marker lies in it, and begins at the first marker of a good block from its start on. Blocks whose first
+sequence number or time is above an upper bound are passed over without being unpacked; blocks chosen from an index are read at their offsets alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -17,11 +19,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tallybrook.plans.model import RECORD
+from tallybrook.operators import ranges
+from tallybrook.sources import otlp
 
 #: Fixed values of the layout: marker, version, lengths of the fixed header and its extension, largest length, types, codecs.
 SYNC, VERSION, FIXED, EXTENSION, MOST = b"OTLPBLK!", 1, 24, 16, 16 << 20
@@ -29,6 +34,10 @@ TYPES = {1: "logs", 2: "metrics", 3: "traces", 4: "events"}
 CODECS = {0: None, 1: "lz4_raw", 2: "zstd"}
 HEAD = struct.Struct("<BBHHHIIII")
 BASE = struct.Struct("<QQ")
+#: Bytes of a file that one task reads.
+SPLIT = 64 << 20
+#: Values a block's summary holds of services and severities.
+SUMMARY = 16
 #: Bytes of payload after which a block is closed.
 TARGET = 64 << 10
 #: Reflected polynomial of CRC-32C.
@@ -134,13 +143,14 @@ def unpack(block: Block) -> list[tuple[str, int, int, bytes]]:
     return out
 
 
-def blocks(content: bytes, check: bool = True) -> Iterator[tuple[Block | None, list, int]]:
-    """(block, records, bytes skipped before it); block is None where a marker begins no good block, and at the end."""
+def blocks(content: bytes, check: bool = True, upto: int | None = None) -> Iterator[tuple[Block | None, list, int]]:
+    """(block, records, bytes skipped before it) of blocks with a marker before ``upto``; block is None where a marker begins no good block, and at the end."""
     data, at, origin = memoryview(content), 0, 0
+    upto = len(content) if upto is None else upto
     while True:
         mark = content.find(SYNC, at)
-        if mark < 0:
-            yield None, [], len(content) - origin
+        if mark < 0 or mark >= upto:
+            yield None, [], max(0, upto - origin)
             return
         block = _header(data, mark, check)
         if block is not None:
@@ -150,71 +160,162 @@ def blocks(content: bytes, check: bool = True) -> Iterator[tuple[Block | None, l
                 block = None
         if block is None:
             at = mark + 1  # a good block may lie within what looked like one
-            yield None, [], -1
+            yield None, [], -1 - mark
         else:
             yield block, records, mark - origin
             at = origin = mark + block.length
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.blk").load(path).select("path", "content")
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
 
 
-def read(spark: SparkSession, path: str | list[str], seq_max: int | None = None, ts_max: int | None = None, check: bool = True) -> DataFrame:
-    """Records of all ``*.blk`` files under ``path``: file, record_type, seq, ts_unix_ns, payload, block_offset, position."""
+def listed(paths: list[str], suffix: str = ".blk") -> list[tuple[str, int]]:
+    """(address, size) of the files under ``paths``, by path."""
+    out = {}
+    for path in paths:
+        fs, place = store(path)
+        prefix = path[: path.index("://") + 3] if "://" in path and not path.startswith("file:") else ""
+        info = fs.get_file_info(place)
+        found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(place, recursive=True))
+        out |= {prefix + i.path: i.size for i in found if i.type == pafs.FileType.File and i.path.endswith(suffix)}
+    return sorted(out.items())
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["path"], b["content"], strict=True):
-                for block, records, _ in blocks(bytes(content), check):
-                    if block is None or seq_max is not None and block.seq > seq_max or ts_max is not None and block.ts > ts_max:
-                        continue
-                    kinds, seqs, times, payloads = zip(*records, strict=True) if records else ((), (), (), ())
-                    yield pd.DataFrame({"file": file, "record_type": kinds, "seq": seqs, "ts_unix_ns": times, "payload": payloads, "block_offset": block.offset, "position": range(len(records))})
-
-    out = _files(spark, path).mapInPandas(rows, f"file string, {RECORD}")
+
+class Range(InputPartition):
+    def __init__(self, file: str, start: int, end: int, size: int) -> None:
+        self.file, self.start, self.end, self.size = file, start, end, size
+
+
+def scanned(part: Range, check: bool = True) -> Iterator[tuple[Block | None, list, int]]:
+    """Blocks whose marker lies in a range, with offsets in the file; what a range holds is its bytes and those of the last block beyond them."""
+    fs, place = store(part.file)
+    longest = len(SYNC) + (1 << 16) + MOST + 4
+    with fs.open_input_file(place) as f:
+        f.seek(part.start)
+        content = f.read(min(part.size, part.end + longest) - part.start)
+    for block, records, gap in blocks(content, check, part.end - part.start):
+        if block is not None:
+            yield block._replace(offset=block.offset + part.start), records, gap
+        else:
+            yield None, [], gap - part.start if gap < 0 else gap
+
+
+def _batch(file: str, block: Block, records: list) -> pa.RecordBatch:
+    kinds, seqs, times, payloads = zip(*records, strict=True)
+    n = len(records)
+    columns = {"file": pa.array([file] * n), "record_type": pa.array(kinds), "seq": pa.array(seqs, pa.int64()), "ts_unix_ns": pa.array(times, pa.int64()), "payload": pa.array(payloads, pa.binary()), "block_offset": pa.array([block.offset] * n, pa.int64()), "position": pa.array(range(n), pa.int32())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+class _BlockReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
+        self.split, self.check = int(options.get("splitbytes", SPLIT)), options.get("check", "true") == "true"
+        self.seq_max, self.ts_max = (int(options[k]) if k in options else None for k in ("seqmax", "tsmax"))
+        self.what = options.get("what", "records")
+
+    def partitions(self) -> list[Range]:
+        return [Range(f, a, min(a + self.split, size), size) for f, size in listed(self.paths) for a in range(0, size, self.split)] or [Range("", 0, 0, 0)]
+
+    def read(self, partition: Range) -> Iterator:
+        if not partition.file:
+            return
+        if self.what != "records":
+            yield from _summaries(partition)
+            return
+        for block, records, _ in scanned(partition, self.check):
+            if block is None or not records or self.seq_max is not None and block.seq > self.seq_max or self.ts_max is not None and block.ts > self.ts_max:
+                continue
+            yield _batch(partition.file, block, records)
+
+
+#: A block's place, size and bounds, what it holds, and how many records have no service or no severity at all; a marker without a good block has no length.
+INDEX = """file string, file_size long, block_offset long, length long, packed long, plain long, records long, first_seq long, last_seq long, first_ts long, last_ts long,
+min_seq long, max_seq long, min_ts long, max_ts long, types int, services array<string>, services_complete boolean, severities array<string>, severities_complete boolean, no_service long, no_severity long"""
+
+
+def _bounded(values: set) -> tuple[list[str], bool]:
+    """At most SUMMARY values, and whether they are all."""
+    return (sorted(values), True) if len(values) <= SUMMARY else (sorted(values)[:SUMMARY], False)
+
+
+def _summaries(part: Range) -> Iterator[tuple]:
+    codes = {v: 1 << (k - 1) for k, v in TYPES.items()}
+    for block, records, gap in scanned(part):
+        if block is None:
+            if gap < 0:
+                yield (part.file, part.size, -1 - gap, *[None] * 19)
+            continue
+        mask, services, severities, no_service, no_severity = 0, set(), set(), 0, 0
+        for kind, _, _, payload in records:
+            mask |= codes[kind]
+            own, levels = otlp.log_facts(payload) if kind == "logs" else (set(), set())
+            services |= own
+            severities |= levels
+            no_service, no_severity = no_service + (not own), no_severity + (not levels)
+        seqs, times = [r[1] for r in records] or [None], [r[2] for r in records] or [None]
+        bounds = (seqs[0], seqs[-1], times[0], times[-1], *((min(seqs), max(seqs), min(times), max(times)) if records else [None] * 4))
+        yield (part.file, part.size, block.offset, block.length, block.packed, block.plain, len(records), *bounds, mask, *_bounded(services), *_bounded(severities), no_service, no_severity)
+
+
+def _source(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    register(spark)
+    paths = [path] if isinstance(path, str) else list(path)
+    return spark.read.format("recordblocks").options(paths=json.dumps(paths), **{k: str(v) for k, v in options.items() if v is not None}).load()
+
+
+def read(spark: SparkSession, path: str | list[str], seq_max: int | None = None, ts_max: int | None = None, check: bool = True, split_bytes: int = SPLIT) -> DataFrame:
+    """Records of all ``*.blk`` files under ``path``: file, record_type, seq, ts_unix_ns, payload, block_offset, position."""
+    out = _source(spark, path, seqMax=seq_max, tsMax=ts_max, check=str(check).lower(), splitBytes=split_bytes)
     if seq_max is not None:
         out = out.filter(F.col("seq") <= seq_max)
     return out.filter(F.col("ts_unix_ns") <= ts_max) if ts_max is not None else out
 
 
-def index(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A row per good block: its place, size, record count, bounds of sequence and time, and record types as bits."""
+def index(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT) -> DataFrame:
+    """A row per good block (INDEX). Blocks and markers inside another good block, which only ranges see, are left out."""
+    return _outermost(_source(spark, path, what="index", splitBytes=split_bytes)).filter("length is not null")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = {v: 1 << (k - 1) for k, v in TYPES.items()}
-        for b in batches:
-            out = []
-            for file, content in zip(b["path"], b["content"], strict=True):
-                for block, records, _ in blocks(bytes(content)):
-                    if block is not None and records:
-                        kinds, seqs, times, _ = zip(*records, strict=True)
-                        mask = 0
-                        for k in kinds:
-                            mask |= codes[k]
-                        out.append((file, block.offset, block.length, block.packed, block.plain, len(records), min(seqs), max(seqs), min(times), max(times), mask))
-            yield pd.DataFrame(out, columns=["file", "block_offset", "length", "packed", "plain", "records", "min_seq", "max_seq", "min_ts", "max_ts", "types"])
 
-    return _files(spark, path).mapInPandas(rows, "file string, block_offset long, length long, packed long, plain long, records long, min_seq long, max_seq long, min_ts long, max_ts long, types int")
+def _outermost(rows: DataFrame) -> DataFrame:
+    end = F.col("block_offset") + F.coalesce("length", F.lit(0))
+    rows = ranges.running(rows, ["file"], ["block_offset"], end, "before", "max", own=False)
+    return rows.filter("before is null or block_offset >= before").drop("before")
 
 
-def statistics(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per file: good and bad blocks, bytes skipped, records, packed and plain bytes, ratio in percent, records per block."""
+def read_at(places: DataFrame) -> DataFrame:
+    """Records of the blocks at (file, block_offset, length), such as rows of an index: no other bytes are read."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for file, content in zip(b["path"], b["content"], strict=True):
-                ok = bad = skipped = records = packed = plain = 0
-                for block, found, gap in blocks(bytes(content)):
-                    if block is None:
-                        bad, skipped = bad + (gap < 0), skipped + max(gap, 0)
-                    else:
-                        ok, skipped, records, packed, plain = ok + 1, skipped + gap, records + len(found), packed + block.packed, plain + block.plain
-                out.append((file, ok, bad, skipped, records, packed, plain))
-            yield pd.DataFrame(out, columns=["file", "blocks_ok", "blocks_bad", "bytes_skipped", "records", "packed", "plain"])
-
-    out = _files(spark, path).mapInPandas(rows, "file string, blocks_ok long, blocks_bad long, bytes_skipped long, records long, packed long, plain long")
+            for file, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                fs, place = store(file)
+                with fs.open_input_file(place) as f:
+                    f.seek(offset)
+                    content = f.read(length)
+                for block, records, _ in blocks(content):
+                    if block is not None and records:
+                        yield _batch(file, block._replace(offset=block.offset + offset), records)
+
+    return places.select("file", "block_offset", "length").mapInArrow(rows, f"file string, {RECORD}")
+
+
+def statistics(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT) -> DataFrame:
+    """Per file: good and bad blocks, bytes skipped, records, packed and plain bytes, ratio in percent, records per block. Files without a marker have no row."""
+    rows = _outermost(_source(spark, path, what="index", splitBytes=split_bytes))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out = rows.groupBy("file").agg(
+        F.count("length").alias("blocks_ok"),
+        F.count_if(F.col("length").isNull()).alias("blocks_bad"),
+        (F.max("file_size") - zero("length")).alias("bytes_skipped"),
+        zero("records").alias("records"),
+        zero("packed").alias("packed"),
+        zero("plain").alias("plain"),
+    )
     return out.withColumn("ratio_pct", F.round(F.try_divide(F.col("packed") * 100, "plain"), 1)).withColumn("per_block", F.round(F.try_divide("records", "blocks_ok"), 1))
 
 
@@ -256,7 +357,7 @@ def cut(rows: Iterator[tuple[str, int, int, bytes]], target: int = TARGET) -> It
 
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.codec = {"none": 0, "lz4": 1, "zstd": 2}[options.get("codec", "lz4")]
         self.target, self.alignment = int(options.get("blocktarget", TARGET)), int(options.get("alignment", 0))
         self.job = uuid.uuid4().hex[:8]
@@ -264,45 +365,51 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{self.job}-{part:05d}.blk"
+        fs, place = store(self.path)
+        fs.create_dir(place)
+        name = f"{place}/part-{self.job}-{TaskContext.get().partitionId():05d}.blk"
         rows = ((r["record_type"], r["seq"], r["ts_unix_ns"], bytes(r["payload"] or b"")) for r in iterator)
-        with open(f"{name}.{uuid.uuid4().hex}.tmp", "wb") as f:
+        message = WriterCommitMessage()
+        message.files = (f"{name}.{uuid.uuid4().hex}.tmp", name)
+        with fs.open_output_stream(message.files[0]) as f:
             for run in cut(rows, self.target):
                 f.write(pack(run, self.codec, self.alignment))
-        message = WriterCommitMessage()
-        message.files = (f.name, name)
         return message
 
     def commit(self, messages) -> None:
+        fs, place = store(self.path)
         if self.overwrite:
-            for old in os.listdir(self.path):
-                if old.endswith(".blk"):
-                    os.remove(f"{self.path}/{old}")
+            for old in fs.get_file_info(pafs.FileSelector(place)):
+                if old.path.endswith(".blk"):
+                    fs.delete_file(old.path)
         for m in messages:
             if m is not None:
-                os.rename(*m.files)
+                fs.move(*m.files)
 
     def abort(self, messages) -> None:
+        fs, _ = store(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.files[0]):
-                os.remove(m.files[0])
+            if m is not None and fs.get_file_info(m.files[0]).type == pafs.FileType.File:
+                fs.delete_file(m.files[0])
 
 
-class BlockSink(DataSource):
-    """``df.write.format("recordblocks")`` with options codec (none, lz4, zstd), blockTarget, alignment; a folder all executors share."""
+class BlockFiles(DataSource):
+    """``recordblocks``: read with options path or paths (a JSON list), splitBytes, seqMax, tsMax, check, what (records, index); written with
+    options codec (none, lz4, zstd), blockTarget, alignment. The folder must be one all executors share."""
 
     @classmethod
     def name(cls) -> str:
         return "recordblocks"
 
     def schema(self) -> str:
-        return RECORD
+        return INDEX if self.options.get("what") == "index" else f"file string, {RECORD}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BlockReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(BlockSink)
+    spark.dataSource.register(BlockFiles)
