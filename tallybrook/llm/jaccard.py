@@ -9,7 +9,8 @@ candidates; members are verified on whole texts.
 For components not every candidate needs checking. A first round checks the members of a group against the group's first member,
 and the groups of a shingle against a few of them: the one with the smallest share of shingles of its own, which is likely what the
 others were edited from, and some chosen by hash. Then every pair of members that the links found so far have not joined is
-verified, but for those that can't be alike: by sizes, by shingles of their own, by the places where they meet in the order, and by
+verified, but for those that can't be alike: by sizes, by shingles of their own, by the places where they meet in the order (first by classes
+of members with about the same of these, of which a list has a bounded number, so that members that can't be alike are never paired), and by
 bitmaps of what they share with any set, whose differing bits each stand for a differing shingle. So no link between components is lost.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import batch_of, bit_filter, released, rows_of, staged, unstage
@@ -242,6 +243,21 @@ def verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return out
 
 
+def banded() -> Column:
+    """A class of a list's members: by size, shingles that other sets have too, and those before and from the shared place on, each
+    within some nine percent. The number of classes of a list doesn't grow with its members."""
+    return F.xxhash64(*[F.floor(F.log2(F.expr(x) + 1) * 8) for x in ("n", "n - own", "at - own", "n - at")])
+
+
+def alike_classes(members: DataFrame, percent: int) -> DataFrame:
+    """(l, k, k2): pairs of classes of a list whose members can be alike by their classes' extremes; ``k`` has a member to be paired."""
+    bounds = members.groupBy("l", "k").agg(F.bool_or(F.col("c") != F.col("most")).alias("asks"), F.min("n").alias("n"), F.max("n").alias("m"), F.max(F.expr("n - own")).alias("s"), F.max(F.expr("at - own")).alias("f"), F.max(F.expr("n - at")).alias("t"))
+    bounds = staged(bounds, "classes")
+    other = bounds.select("l", *[F.col(c).alias(f"{c}2") for c in ("k", "n", "m", "s", "f", "t")])
+    can = f"100 * least(m, m2) >= {percent} * greatest(n, n2) and {100 + percent} * least(s, s2) >= {percent} * (n + n2) and {100 + percent} * (least(f, f2) + least(t, t2)) >= {percent} * (n + n2)"
+    return bounds.filter("asks").join(other, "l").filter(can).select("l", "k", "k2")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``.
 
@@ -290,12 +306,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # what the first round has not joined: of a list, the members outside its largest component against all others
     parts = hits.join(joined.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")), "g").groupBy("l", "c").agg(F.sum("k").alias("k"))
     open_ = parts.groupBy("l").agg(F.max(F.struct("k", "c"))["c"].alias("most"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("l", "most")
-    left = staged(hits.join(open_, "l").join(joined, "g"), "open")
-    other = left.select("l", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "own", "at", "c")], *[F.col(f"b{i}").alias(f"o{i}") for i in range(BITMAP)])
+    left = staged(hits.join(open_, "l").join(joined, "g").withColumn("k", banded()), "open")
+    alike = alike_classes(left, percent)
+    other = left.select("l", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "own", "at", "c", "k")], *[F.col(f"b{i}").alias(f"o{i}") for i in range(BITMAP)])
     # each bit that differs stands for a shingle of one set that the other lacks
     differ = " + ".join(f"bit_count(b{i} ^ o{i})" for i in range(BITMAP))
     apart = f"c <> c2 and (c2 = most or key < key2) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and {enough} and {100 + percent} * ((n - own + n2 - own2 - ({differ})) div 2) >= {percent} * (n + n2)"
-    met = left.filter("c <> most").join(other, "l").filter(apart)
+    met = left.filter("c <> most").join(alike, ["l", "k"]).join(other, ["l", "k2"]).filter(apart)
     second = staged(ordered(met.select(F.col("key").alias("a"), F.col("key2").alias("b"))).join(first, ["u", "v"], "left_anti"), "second")
     links = links.unionByName(verified(rows, second, width, percent))
     # links between the first nodes of sets, and between the sets of an id that several rows have

@@ -173,3 +173,20 @@ def test_search_opens_no_more_than_it_must():
     want = sorted(((int(sum(p for t, p in zip(terms[8 * d : 8 * d + 8], parts[8 * d : 8 * d + 8]) if t in (3, 4, 5))), -d) for d in range(1024)), reverse=True)[:3]
     tree.search(np.array([3, 4, 5]), np.array([1, 1, 1]), best, 3, list(range(1024)))
     assert sorted(((s, -d) for s, _, _, d in best), reverse=True) == [w for w in want if w[0] > 0]
+
+
+# ---- similarity join ----
+
+
+def test_a_list_whose_members_cannot_be_alike_is_not_paired(spark):
+    """Texts that share 80 of 97 shingles: alike by none of their classes, so no pair of members is made; with a few near copies among them."""
+    from tallybrook.llm import jaccard
+
+    common = " ".join(f"c{i}" for i in range(84))
+    texts = [f"{common} " + " ".join(f"u{d}x{i}" for i in range(17)) for d in range(300)]
+    texts += [texts[5] + " more", texts[6] + " words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == {i: {300: 5, 301: 6}.get(i, i) for i in range(302)}
+    sets = spark.createDataFrame([(1, 97, 17, 20, d, -1) for d in range(300)], "l long, n long, own long, at long, c long, most long").withColumn("k", jaccard.banded())
+    assert jaccard.alike_classes(sets, 75).count() == 0 and sets.select("k").distinct().count() == 1
