@@ -21,7 +21,9 @@ MIX_SHARE = 0.9
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that nearest-neighbour voting rejects; an empty text is scored like any other.
 
-    The vote learns from the labelled rows of the ``documents`` table that aren't held out. An empty table stays empty.
+    The vote learns from the labelled rows of the ``documents`` table that aren't held out. A null text is scored as an empty one, null ids and
+    other null columns stay as they are; rows that repeat are scored alike and stay or go together; a score of exactly one half
+    is kept. An empty table stays empty.
     """
     known = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(remainder("doc_id", 3) != 1)
@@ -44,7 +46,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes or more that occur twice; characters cut in two go, and all rows stay. Null texts stay null."""
+    """Removes strings of 400 bytes or more that occur twice; characters cut in two go, and all rows stay.
+
+    Null texts stay null, empty ones empty; texts that repeat (of 400 bytes or more) lose all of them, ties don't arise. An empty table stays empty.
+    """
     some, none = suffix.repeated(docs)
     cut = some.withColumn("text", F.when(F.size("repeat_spans") > 0, suffix.kept_text("text", "repeat_spans")).otherwise(F.col("text")))
     cut = cut.withColumn("n_chars", F.when(F.size("repeat_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -79,7 +84,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("piece_encoding", piece_encoding),
 ]
 
-#: Hashing, sampling and numeric models have no form in SQL; tests compare the stages with brute force.
+#: Sampling and numeric models have no form in SQL. Tests compare near_duplicates and repeated_strings with brute force on the stage's own
+#: input, and check what the other stages keep; their operators have tests of their own.
 ORACLE_SQL = None
 
 

@@ -34,7 +34,7 @@ from tallybrook.llm.common import key_text, released
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of texts times samples that are worked on together; edges of lattices that a task keeps before it starts anew.
-BLOCK_CHARS, EDGES = 300_000, 400_000
+BLOCK_CHARS, EDGES = 200_000, 250_000
 #: Nats after which branches are queued as one set; rank shift of Zipf's law.
 CUT, SHIFT = 20.0, 2.7
 PART = re.compile(rf"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")

@@ -42,6 +42,43 @@ def test_stages(spark):
     assert 150 < counts[0] < 202 and counts[1] < counts[0] and counts[2] == counts[1] and 0 < counts[3] <= counts[2] and counts[4] > counts[3]
 
 
+def test_stages_equal_brute_force(spark):
+    """near_duplicates and repeated_strings over the whole small table, with copies and a long text added."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    given = [tuple(r) for r in docs.collect()]
+    long = next(r for r in given if r[1] and len(r[1]) > 3000)
+    given += [(9001, long[1][: len(long[1]) // 2], "en", "src1", 1), (9002, long[1] + " end", "en", "src1", 1), (9003, None, "en", None, 0), (9004, "", None, "src1", 0), (None, "no id", "en", "src1", 5), (9005, long[1] * 20, "de", "src2", 1)]
+    docs = spark.createDataFrame(given, docs.schema)
+    sets = {}
+    for doc, text, *_ in given:
+        w = (text or "").encode().lower().split()
+        if doc is not None:
+            sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    name = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both) and name[a] != name[b]:
+                lo, hi = sorted((name[a], name[b]))
+                name = {d: lo if c == hi else c for d, c in name.items()}
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for d, *_ in given if d is None or name[d] == d)
+    seen, width = {}, 400
+    raw = [(r.doc_id, (r.text or "").encode()) for r in kept]
+    for _, t in raw:
+        for i in range(len(t) - width + 1):
+            seen[t[i : i + width]] = seen.get(t[i : i + width], 0) + 1
+    want = {}
+    for doc, t in raw:
+        drop = bytearray(len(t))
+        for i in range(len(t) - width + 1):
+            if seen[t[i : i + width]] > 1:
+                drop[i : i + width] = b"\1" * width
+        want[doc] = bytes(c for c, d in zip(t, drop, strict=True) if not d).decode(errors="ignore")
+    got = corpus_pipeline.repeated_strings(spark, staged(spark.createDataFrame(kept, docs.schema), "kept"), SF).collect()
+    assert {r.doc_id: r.text or "" for r in got} == want and any(len(want[r.doc_id]) < len(r.text or "") for r in kept)
+
+
 @pytest.mark.parametrize("i", range(5))
 def test_stages_of_nothing(spark, i):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
