@@ -8,7 +8,8 @@ strings, and a segment goes on to the end of the longer strings that start in it
 The segments of some buckets at a time are dealt to shards. Each shard's suffixes are sorted once, which gives its transform.
 Transforms are merged by refining how their rows interleave: from an interleave sorted to depth h, stepping each row back
 through its transform by d <= h symbols and dealing it stably into the blocks gives the order to depth h + d, and shows where
-common prefixes end. No suffix is sorted again. Blocks that still hold several rows at depth ``length`` are the repeated
+common prefixes end. Dealing sorts short keys: all rows by their first eight symbols once, then the rows of blocks still open by
+(block, block stepped to), so it is prefix doubling over the union of the shards' rows; texts of suffixes are not compared again. Blocks that still hold several rows at depth ``length`` are the repeated
 intervals; the shards' suffix arrays turn them into spans of bytes.
 """
 
