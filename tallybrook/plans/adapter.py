@@ -5,9 +5,14 @@ Each view comes with SQL text for the same rows, so that queries over it can be
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybrook.sources.otlp import encoded, encoded_fixed, entry
+
 #: Severity of each event type.
 SEVERITIES = {"error": ("ERROR", 17), "purchase": ("WARN", 13), "signup": ("INFO", 9), "click": ("DEBUG", 5), "view": ("TRACE", 1)}
 
@@ -83,3 +88,36 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEGMENTS = LOGS + ", segments AS (SELECT service_name, file, count(*) AS records, sum(strlen(body) + 21)::BIGINT AS size, min(seq) AS first_seq, max(seq) AS last_seq FROM logs GROUP BY ALL)"
+
+
+def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a record with a log request of its type and k, every seventh with a trace id of zeros; every fiftieth is a record of another kind."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for seq, at, body, service in zip(b["seq"], b["ts_ns"], b["body"], b["service_name"], strict=True):
+                trace = int(seq if seq % 7 else 0).to_bytes(16, "big")
+                record = encoded_fixed(1, int(at)) + encoded(5, encoded(1, body)) + encoded(9, trace)
+                request = encoded(1, encoded(1, encoded(1, entry("service.name", service))) + encoded(2, encoded(2, record)))
+                out.append(("events" if seq % 50 == 0 else "logs", seq, at, request))
+            yield pd.DataFrame(out, columns=["record_type", "seq", "ts_unix_ns", "payload"])
+
+    events = logs(spark, sf_dir).select("seq", "ts_ns", F.concat("event_type", F.lit(" k="), F.col("k").cast("string")).alias("body"), "service_name")
+    records = events.mapInPandas(rows, "record_type string, seq long, ts_unix_ns long, payload binary")
+    return records.select("*", F.lit("").alias("file"), F.lit(0).cast("long").alias("block_offset"), F.lit(0).alias("position"))
+
+
+def span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each span as a record with a trace request."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for trace, span, parent, name, start, end in zip(*(b[c] for c in ("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns")), strict=True):
+                item = encoded(1, int(trace).to_bytes(16, "big")) + encoded(2, int(span).to_bytes(8, "big")) + (b"" if pd.isna(parent) else encoded(4, int(parent).to_bytes(8, "big")))
+                item += encoded(5, name) + encoded(6, int(span) % 6) + encoded_fixed(7, int(start)) + encoded_fixed(8, int(end)) + encoded(9, entry("line", int(span)))
+                out.append((trace, span, "traces", encoded(1, encoded(2, encoded(2, item)))))
+            yield pd.DataFrame(out, columns=["trace_id", "span_id", "record_type", "payload"])
+
+    return spans(spark, sf_dir).mapInPandas(rows, "trace_id long, span_id long, record_type string, payload binary")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.functions import attributes, severity, text
-from tallybrook.operators import conditions, dedup, discover, ordering, parsers, predicates, retention, summary, templates, traces
-from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, logs, segments, spans, table
+from tallybrook.operators import conditions, dedup, discover, emission, ordering, parsers, predicates, retention, summary, templates, traces
+from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, log_requests, logs, segments, span_requests, spans, table
+from tallybrook.sources import otlp, rendering
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -754,3 +755,33 @@ def t12(s, d):
 
     out = rebatched(logs(s, d), "service_name", "severity_text", "seq", 50)
     return out.select("service_name", "severity_text", "part", F.explode("members").alias("seq"))
+
+
+@query(
+    "d19_emitted",
+    """, r AS (SELECT seq, ts_ns, event_type || ' k=' || k AS body, seq % 50 = 0 AS passes, CASE WHEN seq % 7 = 0 THEN repeat('0', 32) ELSE format('{:032x}', seq) END AS trace FROM logs),
+g AS (SELECT body, count(*) AS n, min(ts_ns) AS ts, max(ts_ns) AS last_seen, min(seq) AS pos, arg_min(trace, seq) AS trace, max(seq) FILTER (seq % 7 <> 0) AS good FROM r WHERE NOT passes GROUP BY body),
+u AS (SELECT 'logs' AS record_type, ts, 0 AS late, pos, body, n, last_seen, trace || CASE WHEN good > pos THEN ',' || format('{:032x}', good) ELSE '' END AS trace_ids FROM g UNION ALL SELECT 'events', ts_ns, 1, seq, NULL, NULL, NULL, NULL FROM r WHERE passes)
+SELECT record_type, row_number() OVER (ORDER BY ts, late, pos) - 1 AS new_seq, ts AS ts_unix_ns, body, n AS dedup_count, (last_seen - ts) // 1000000 AS span_ms, trace_ids FROM u""",
+)
+def d19(s, d):
+    rows = otlp.flatten(emission.deduplicated(log_requests(s, d), "exact"))
+    added = lambda key: F.get_json_object("log_attributes_json", f"$['dedup.{key}']")
+    return rows.select(
+        F.col("signal_type").alias("record_type"), F.col("sequence").alias("new_seq"), F.col("timestamp_unix_ns").alias("ts_unix_ns"), F.col("body_string").alias("body"),
+        added("count").cast("long").alias("dedup_count"), added("time_span_ms").cast("long").alias("span_ms"), added("exemplar_trace_ids").alias("trace_ids"),
+    )
+
+
+_AT = lambda c: f"strftime(make_timestamp({c} // 1000), '%Y-%m-%d %H:%M:%S') || '.000000000 UTC'"
+
+
+@query(
+    "p16_messages",
+    f"""SELECT trace_id, span_id, 'Span: ' || name || chr(10) || '  Trace ID: ' || format('{{:032x}}', trace_id) || chr(10) || '  Span ID: ' || format('{{:016x}}', span_id) || chr(10)
+|| coalesce('  Parent Span ID: ' || format('{{:016x}}', parent_span_id) || chr(10), '') || '  Kind: ' || ['Unknown(0)', 'Internal', 'Server', 'Client', 'Producer', 'Consumer'][span_id % 6 + 1] || chr(10)
+|| '  Start: ' || {_AT("start_ns")} || chr(10) || '  End:   ' || {_AT("end_ns")} || chr(10) || '  Attr: line=' || span_id || chr(10) AS message FROM spans""",
+    SPANS,
+)
+def p16(s, d):
+    return span_requests(s, d).select("trace_id", "span_id", rendering.message(F.col("record_type"), F.col("payload")).alias("message"))
