@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions import attributes, severity, text
 from tallybrook.operators import conditions, dedup, discover, emission, ordering, parsers, predicates, retention, summary, templates, traces
-from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, lines, log_requests, logs, segments, span_requests, spans, table
+from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, TRACE_TABLES, lines, log_requests, logs, metrics_json, segments, span_requests, spans, table, trace_tables
 from tallybrook.sources import otlp, rendering
+from tallybrook.sources import trace_tables as traced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -684,6 +685,81 @@ def k14(s, d):
     return parsers.unix_ns(rows.filter("k % 10 <> 0").drop("k"), clock).select("trace", "ts", "unix_ns")
 
 
+# ---- tables of system traces ----
+
+
+def _trace_events(s, d):
+    tables = trace_tables(s, d)
+    return tables, traced.events(tables, traced.realtime(tables["clock_snapshot"]))
+
+
+def _notes(column):
+    return F.array_join(F.transform(column, lambda a: F.concat(a["key"], F.lit("="), F.coalesce(a["string_value"], a["int_value"].cast("string")))), ";")
+
+
+@query("k11_trace_logs", "SELECT trace, kind, id, ts, unix_ns, body, attrs FROM timed", TRACE_TABLES)
+def k11_trace(s, d):
+    return _trace_events(s, d)[1].select("trace", "kind", "id", "ts", "unix_ns", "body", _notes("attributes").alias("attrs"))
+
+
+@query("u3_trace_order", "SELECT trace, row_number() OVER (PARTITION BY trace ORDER BY unix_ns, kind_no, ts, id, body) AS place, kind, ts, body FROM timed", TRACE_TABLES)
+def u3_trace(s, d):
+    return traced.placed(_trace_events(s, d)[1]).select("trace", "place", "kind", "ts", "body")
+
+
+@query(
+    "a23_trace_totals",
+    """, n AS (SELECT trace, max(unix_ns) + 1 AS unix_ns, count(*) FILTER (kind = 'slice') AS slices FROM timed GROUP BY trace), m AS (SELECT n.*, (SELECT count(*) FROM customer WHERE (c_custkey % 3)::VARCHAR = trace) AS threads,
+(SELECT count(*) FROM nation WHERE (n_nationkey % 3)::VARCHAR = trace) AS processes FROM n)
+SELECT *, 'Perfetto trace analysis complete: ' || slices || ' slices, ' || threads || ' threads, ' || processes || ' processes' AS body FROM m""",
+    TRACE_TABLES,
+)
+def a23_trace(s, d):
+    return traced.totals(*_trace_events(s, d))
+
+
+@query(
+    "s21_argument_sets",
+    """SELECT (g % 3)::VARCHAR AS trace, g AS arg_set_id, string_agg('arg.' || (p_partkey % 5) || '=' || CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_size::VARCHAR ELSE round(p_retailprice * 100)::BIGINT::VARCHAR END, ';' ORDER BY p_partkey) AS arguments
+FROM (SELECT *, p_partkey // 5 AS g FROM part) GROUP BY g""",
+    "",
+)
+def s21_args(s, d):
+    value = lambda v: F.coalesce(v["string_value"], v["int_value"].cast("string"), F.round(v["real_value"] * 100).cast("long").cast("string"))
+    entries = F.transform(F.array_sort(F.map_entries("arguments")), lambda e: F.concat(e["key"], F.lit("="), value(e["value"])))
+    return traced.argument_sets(trace_tables(s, d)["args"]).select("trace", "arg_set_id", F.array_join(entries, ";").alias("arguments"))
+
+
+def _sql_time(ts):
+    return f"(SELECT greatest(0, CASE WHEN a.ts IS NULL THEN b.unix - (b.ts - {ts}) WHEN b.ts IS NULL THEN a.unix + ({ts} - a.ts) ELSE a.unix + (({ts} - a.ts)::HUGEINT * (b.unix - a.unix) // (b.ts - a.ts))::BIGINT END))"
+
+
+@query(
+    "k12_trace_spans",
+    f""", s AS (SELECT *, ts + dur AS fin FROM slice WHERE trace IN (SELECT trace FROM clock)), x AS (SELECT s.*, {_sql_time("s.ts")} AS start_ns FROM s ASOF LEFT JOIN clock a ON s.trace = a.trace AND s.ts >= a.ts ASOF LEFT JOIN clock b ON s.trace = b.trace AND s.ts < b.ts),
+y AS (SELECT x.*, {_sql_time("x.fin")} AS end_ns FROM x ASOF LEFT JOIN clock a ON x.trace = a.trace AND x.fin >= a.ts ASOF LEFT JOIN clock b ON x.trace = b.trace AND x.fin < b.ts),
+z AS (SELECT *, (row_number() OVER (PARTITION BY trace ORDER BY ts, id, name NULLS FIRST, dur) - 1) // 200 AS batch FROM y)
+SELECT trace, md5(trace) AS trace_id, printf('%016x', id) AS big_end, CASE WHEN parent_id IS NULL THEN 0 ELSE 16 END AS parent_digits, coalesce(name, 'slice-' || id) AS name, start_ns, end_ns,
+concat_ws(';', 'perfetto.slice.id=' || id, 'perfetto.slice.ts=' || ts, 'perfetto.slice.dur_ns=' || dur, 'perfetto.slice.track_id=' || track_id, 'perfetto.slice.depth=' || depth) AS attrs, batch, min(start_ns) OVER (PARTITION BY trace, batch) AS batch_ns FROM z""",
+    TRACE_TABLES,
+)
+def k12_trace(s, d):
+    tables = trace_tables(s, d)
+    big_end = F.regexp_replace("span_id", "(..)" * 8, "$8$7$6$5$4$3$2$1").alias("big_end")
+    return traced.spans(tables["slice"], traced.realtime(tables["clock_snapshot"])).select("trace", "trace_id", big_end, F.length("parent_span_id").alias("parent_digits"), "name", "start_ns", "end_ns", _notes("attributes").alias("attrs"), "batch", "batch_ns")
+
+
+@query(
+    "k13_gauges",
+    """SELECT o_orderkey, 0::BIGINT AS position, 'count' AS name, '' AS description, '' AS unit, o_orderkey::DOUBLE AS value, '' AS labels FROM orders UNION ALL SELECT o_orderkey, 1, 'price', 'total', 'usd', o_totalprice, 'priority=' || o_orderpriority FROM orders
+UNION ALL SELECT o_orderkey, 2, 'price.owner', '', '', o_custkey::DOUBLE, 'segment=' || o_orderstatus FROM orders""",
+    "",
+)
+def k13_gauges(s, d):
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("labels")
+    return traced.gauges(metrics_json(s, d), "o_orderkey", "metrics").select("o_orderkey", "position", "name", "description", "unit", "value", labels)
+
+
 # ---- traces ----
 
 
