@@ -99,8 +99,9 @@ def micros_text(ns: Column) -> Column:
     digit = F.floor(tenths / F.lit(1 << 62).cast("decimal(20,0)")).cast("long")
     rest = tenths - digit.cast("decimal(2,0)") * F.lit(1 << 62).cast("decimal(20,0)")
     half = F.lit(1 << 61).cast("decimal(20,0)")
-    n = whole * 10 + digit + F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), 1).otherwise(0)
-    return F.when(ns < 0, "running").otherwise(F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit("us")))
+    digit += F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), 1).otherwise(0)
+    whole += F.when(digit == 10, 1).otherwise(0)
+    return F.when(ns < 0, "running").otherwise(F.concat(whole.cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit("us")))
 
 
 def _attributes(group: str, **values: Column) -> Column:
