@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import staged, unstage
@@ -170,16 +170,20 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(key).cast("long").alias("key"), held.alias("held"), F.col(text).alias("t"))
     encoded = staged(rows.mapInPandas(_blocks, _ENCODED), "encoded")
     zipped = encoded.filter("hashes is not null").select("block", F.posexplode(F.arrays_zip("hashes", "counts", "suffix")).alias("id", "w"))
-    same = Window.partitionBy("h")
-    vocabulary = zipped.select("block", "id", F.col("w.hashes").alias("h"), F.col("w.counts").alias("n"), F.col("w.suffix").alias("s")).repartition("h")
-    vocabulary = vocabulary.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1).drop("n")
-    vocabulary = staged(vocabulary, "vocabulary")
-    top = vocabulary.filter("first and s >= 0 and c > 0").orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h").collect()
-    top = spark.createDataFrame([(r.h, i + 1) for i, r in enumerate(top)], "h long, f int")  # FREQUENT rows at most
-    sorted_in = vocabulary.join(F.broadcast(top), "h", "left").withColumn("g", F.when(F.col("s") < 0, 0).otherwise(F.coalesce("f", F.col("s") + 1 + FREQUENT)))
+    dictionary = zipped.select("block", "id", F.col("w.hashes").alias("h"), F.col("w.counts").alias("n"), F.col("w.suffix").alias("s"))
+    vocabulary = staged(dictionary.groupBy("h").agg(F.sum("n").alias("c"), F.min(F.struct("block", "s"))["s"].alias("s")), "vocabulary")
+    top = vocabulary.filter("s >= 0 and c > 0").orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h", "c").collect()
+    end = vocabulary.filter("s < 0").select("h", "c").collect()  # one row
+    # words of most blocks are told by broadcast, FREQUENT + 1 rows at most, so that no key of the join has a row of every block
+    often = F.broadcast(spark.createDataFrame([*((r.h, r.c, 0) for r in end), *((r.h, r.c, i + 1) for i, r in enumerate(top))], "h long, c long, g int"))
+    other = F.expr(f"s + {1 + FREQUENT}")
     n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in sorted_in.filter("first and c > 0").groupBy("g").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # CLASSES rows at most
+    classed = vocabulary.filter("c > 0").join(often.select("h", "g"), "h", "left").groupBy(F.coalesce("g", other).alias("g"))
+    for r in classed.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # CLASSES rows at most
         n_class[r.g], v_class[r.g] = r.n, r.v
+    told = dictionary.join(often, "h", "left")
+    rest = told.filter("g is null").select("h", "block", "id", other.alias("g")).join(vocabulary.select("h", "c"), "h")
+    counted_in = told.filter("g is not null").select("block", "id", "c", "g").unionByName(rest.select("block", "id", "c", "g"))
     n_all, v_all = n_class.sum(), v_class.sum()
     scale = np.log10(n_class + 0.5 * (v_class + 1))
 
@@ -196,7 +200,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
             out.append((k, held_out, len(ids), int((c[ids] > 0).sum()), base[ids].sum(), word[ids].sum(), g[ids].tobytes()))
         return pd.DataFrame(out, columns=["key", "held", "n_tokens", "n_known", "base_score", "word_score", "classes"]).astype({"key": "Int64"})
 
-    joined = encoded.filter("ids is not null").select("block", "key", "held", "ids").groupBy("block").cogroup(sorted_in.select("block", "id", "c", "g").groupBy("block"))
+    joined = encoded.filter("ids is not null").select("block", "key", "held", "ids").groupBy("block").cogroup(counted_in.withColumnRenamed("block", "of").groupBy("of"))
     seqs = staged(joined.applyInPandas(sequences, _SEQUENCES), "sequences")
     unstage(encoded)
     unstage(vocabulary)
