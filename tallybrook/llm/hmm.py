@@ -171,7 +171,7 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     encoded = staged(rows.mapInPandas(_blocks, _ENCODED), "encoded")
     zipped = encoded.filter("hashes is not null").select("block", F.posexplode(F.arrays_zip("hashes", "counts", "suffix")).alias("id", "w"))
     dictionary = zipped.select("block", "id", F.col("w.hashes").alias("h"), F.col("w.counts").alias("n"), F.col("w.suffix").alias("s"))
-    vocabulary = staged(dictionary.groupBy("h").agg(F.sum("n").alias("c"), F.min(F.struct("block", "s"))["s"].alias("s")), "vocabulary")
+    vocabulary = staged(dictionary.groupBy("h").agg(F.sum("n").alias("c"), F.min("s").alias("s")), "vocabulary")
     top = vocabulary.filter("s >= 0 and c > 0").orderBy(F.col("c").desc(), "h").limit(FREQUENT).select("h", "c").collect()
     end = vocabulary.filter("s < 0").select("h", "c").collect()  # one row
     # words of most blocks are told by broadcast, FREQUENT + 1 rows at most, so that no key of the join has a row of every block
