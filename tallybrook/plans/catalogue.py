@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybrook.functions import attributes, severity, text
 from tallybrook.operators import conditions, dedup, discover, emission, ordering, parsers, predicates, retention, summary, templates, traces
 from tallybrook.plans.adapter import LINES, LOGS, SEGMENTS, SPANS, TRACE_TABLES, lines, log_requests, logs, metrics_json, segments, span_requests, spans, table, trace_tables
-from tallybrook.sources import otlp, rendering
+from tallybrook.sources import otlp, record_info, rendering
 from tallybrook.sources import trace_tables as traced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,7 +143,7 @@ def c8(s, d):
 
 @query("c9_exists", "SELECT batch FROM logs GROUP BY batch HAVING bool_or(k > 95)")
 def c9(s, d):
-    return logs(s, d).groupBy("batch").agg(F.collect_list("k").alias("ks")).filter(F.exists("ks", lambda k: k > 95)).select("batch")
+    return logs(s, d).groupBy("batch").agg(F.bool_or(F.col("k") > 95).alias("any")).filter("any").select("batch")
 
 
 @query("c10_has", f"SELECT {K} FROM logs WHERE k % 2 = 0")
@@ -861,3 +861,13 @@ _AT = lambda c: f"strftime(make_timestamp({c} // 1000), '%Y-%m-%d %H:%M:%S') ||
 )
 def p16(s, d):
     return span_requests(s, d).select("trace_id", "span_id", rendering.message(F.col("record_type"), F.col("payload")).alias("message"))
+
+
+_LINE = lambda i, key, value: f"struct_pack(position := {i}::INTEGER, key := '{key}', value := {value})"
+_HEAD = ", ".join([_LINE(0, "type", "CASE WHEN seq % 50 = 0 THEN 'events' ELSE 'logs' END"), _LINE(1, "seq", "seq::VARCHAR"), _LINE(2, "ts_unix_ns", "ts_ns::VARCHAR"), _LINE(3, "time", "strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad((ts_ns % 1000000000)::VARCHAR, 9, '0') || ' UTC'")])
+_REST = ", ".join(_LINE(i + 5, k, v) for i, (k, v) in enumerate({"otlp.kind": "'logs'", "resources": "'1'", "service.name": "service_name", "resource.attrs": "'1'", "scope.attrs": "'0'", "record.attrs": "'0'", "resource.service.name": "service_name", "trace_id": "'1 present'"}.items()))
+
+
+@query("p17_record_lines", f"SELECT seq, u.position AS position, u.key AS key, u.value AS value FROM (SELECT seq, unnest(CASE WHEN seq % 50 = 0 THEN [{_HEAD}] ELSE [{_HEAD}, {_REST}] END) AS u FROM logs)")
+def p17_lines(s, d):
+    return record_info.record_info(log_requests(s, d)).filter("key <> 'payload_bytes'")

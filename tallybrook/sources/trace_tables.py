@@ -293,6 +293,6 @@ def gauges(df: DataFrame, key: str, column: str) -> DataFrame:
             got = pd.DataFrame(out, columns=["__key", "position", "name", "description", "unit", "value", "labels", "error"])
             yield got.astype({"position": "Int64", "value": "Float64"})
 
-    found = df.select(F.col(key).alias("__key"), F.col(column).cast("string").alias("__raw"))
-    found = found.mapInPandas(rows, f"__key {kind}, position long, name string, description string, unit string, value double, labels map<string,string>, error string")
-    return found.withColumnRenamed("__key", key)
+    found = df.select(F.col(key).cast("string").alias("__key"), F.col(column).cast("string").alias("__raw"))
+    found = found.mapInPandas(rows, "__key string, position long, name string, description string, unit string, value double, labels map<string,string>, error string")
+    return found.withColumn("__key", F.col("__key").cast(kind)).withColumnRenamed("__key", key)
