@@ -56,33 +56,66 @@ def typed(kind: Column, text: Column) -> Column:
 
 #: Rows that a time range of a trace aims at.
 RANGE_ROWS = 10_000
+#: Snapshots of all traces that every task may hold, and gaps between them that a bin of time may meet.
+POINTS, PER_BIN = 100_000, 64
 
 
 def unix_ns(df: DataFrame, clock: DataFrame, ts: str = "ts") -> DataFrame:
-    """Adds ``unix_ns`` of a trace time from snapshots (ts, unix): linear between two, with slope 1 outside. Divides toward zero.
+    """Adds ``unix_ns`` of a trace time from snapshots (trace, ts, unix): linear between two, with slope 1 outside. Divides toward zero.
 
-    Snapshots and rows are ordered together within ranges of time of a ``trace``; each row takes the last snapshot before and the
-    first one after it, which each range's neighbours hand over where it has none. So a long trace is spread over many tasks.
+    Each row takes the last snapshot up to it and the first one from it on; snapshots without time or value count for nothing. Up to ``POINTS``
+    snapshots go to every task, where rows find theirs by bins of time and aren't shuffled; more of them, or crowded bins, are ordered with the rows.
     """
-    points = clock.select("trace", F.col("ts").alias("__t"), F.col("unix").alias("__u"), F.lit(0).alias("__row"))
-    rows = df.withColumn("__t", F.col(ts)).withColumn("__row", F.lit(1))
-    both = rows.unionByName(points, allowMissingColumns=True)
+    points = clock.filter("ts is not null and unix is not null").groupBy("trace", F.col("ts").alias("__t")).agg(F.min("unix").alias("__least"), F.max("unix").alias("__most"))
+    rows = df.withColumn("__t", F.col(ts))
+    found = _by_bins(rows, points) if points.count() <= POINTS else None
+    found = _by_order(rows, points) if found is None else found
+    between = F.expr("__a.u + cast((cast(__t - __a.t as decimal(38,0)) * cast(__z.u - __a.u as decimal(19,0))) div cast(__z.t - __a.t as decimal(19,0)) as bigint)")
+    value = F.when(F.col("__a").isNull(), F.expr("__z.u - (__z.t - __t)")).when(F.col("__z").isNull() | (F.expr("__z.t = __a.t")), F.expr("__a.u + (__t - __a.t)")).otherwise(between)
+    return found.withColumn("unix_ns", F.greatest(value, F.lit(0))).select(*df.columns, "unix_ns")
+
+
+def _by_bins(rows: DataFrame, points: DataFrame) -> DataFrame | None:
+    """``rows`` with their snapshots ``__a`` and ``__z`` (t, u) out of gaps between snapshots, sent to every task by bin; None where a bin meets too many."""
+    span = (F.max("__t").cast("double") - F.min("__t").cast("double")) / F.count(F.lit(1))
+    bins = points.groupBy(F.col("trace").alias("__trace")).agg(F.min("__t").cast("double").alias("__low"), F.when(span > 0, span).otherwise(1.0).alias("__width"), F.count(F.lit(1)).alias("__n"))
+
+    def bin_of(t: str) -> Column:
+        """From -1 before the first snapshot to the trace's number of snapshots; never falls as the time rises."""
+        at = F.floor((F.col(t).cast("double") - F.col("__low")) / F.col("__width"))
+        return F.when(F.col(t).isNotNull(), F.greatest(F.lit(-1), F.least("__n", at)))
+
+    before, after = F.struct(F.col("__t").alias("t"), F.col("__most").alias("u")), F.struct(F.col("__t").alias("t"), F.col("__least").alias("u"))
+    gaps = points.select("trace", before.alias("__a"), F.lead(after).over(Window.partitionBy("trace").orderBy("__t")).alias("__z"))
+    gaps = gaps.unionByName(points.groupBy("trace").agg(F.min(after).alias("__z")), allowMissingColumns=True)
+    met = F.sequence(F.coalesce(bin_of("__a.t"), F.lit(-1).cast("long")), F.coalesce(bin_of("__z.t"), "__n"))
+    gaps = gaps.join(F.broadcast(bins), F.col("trace").eqNullSafe(F.col("__trace"))).select("__trace", "__a", "__z", F.explode(met).alias("__bin"))
+    if (gaps.groupBy("__trace", "__bin").count().agg(F.max("count")).first()[0] or 0) > PER_BIN:
+        return None
+    rows = rows.join(F.broadcast(bins), F.col("trace").eqNullSafe(F.col("__trace")), "left").withColumn("__at", bin_of("__t")).drop("__trace", "__low", "__width", "__n")
+    within = F.expr("(__a is null or __t >= __a.t) and (__z is null or __t < __z.t)")
+    return rows.join(F.broadcast(gaps), F.col("trace").eqNullSafe(F.col("__trace")) & (F.col("__at") == F.col("__bin")) & within, "left")
+
+
+def _by_order(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """The same with snapshots and rows ordered together within ranges of time of a trace.
+
+    A range's neighbours hand over what it has none of, so a long trace is spread over many tasks.
+    """
+    both = rows.withColumn("__row", F.lit(1)).unionByName(points.withColumn("__row", F.lit(0)), allowMissingColumns=True)
     low, high, n = both.agg(F.min("__t"), F.max("__t"), F.count(F.lit(1))).first()
     width = max(1, ((high or 0) - (low or 0)) // max(1, n // RANGE_ROWS) + 1)
-    point = F.when(F.col("__row") == 0, F.struct(F.col("__t").alias("t"), F.col("__u").alias("u")))
-    both = both.withColumn("__r", F.expr(f"(__t - {low or 0}L) div {width}L")).withColumn("__p", point)
-    edges = both.groupBy("trace", "__r").agg(F.min("__p").alias("first"), F.max("__p").alias("last"))
+    point = lambda u: F.when(F.col("__row") == 0, F.struct(F.col("__t").alias("t"), F.col(u).alias("u")))
+    both = both.withColumn("__r", F.expr(f"(__t - {low or 0}L) div {width}L")).withColumn("__p", point("__most")).withColumn("__q", point("__least"))
+    edges = both.groupBy("trace", "__r").agg(F.min("__q").alias("first"), F.max("__p").alias("last"))
     line = Window.partitionBy("trace")
     known = lambda c, order: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     edges = edges.select(F.col("trace").alias("__trace"), F.col("__r").alias("__range"), known("last", line.orderBy("__r")).alias("__before"), known("first", line.orderBy(F.col("__r").desc())).alias("__after"))
     own = Window.partitionBy("trace", "__r")
-    seen = lambda order: F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("__a", seen(own.orderBy("__t", "__row", "__u"))).withColumn("__z", seen(own.orderBy(F.col("__t").desc(), "__row", F.col("__u").desc()))).filter("__row = 1")
+    seen = lambda c, order: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("__a", seen("__p", own.orderBy("__t", "__row"))).withColumn("__z", seen("__q", own.orderBy(F.col("__t").desc(), "__row"))).filter("__row = 1")
     both = both.join(edges, F.col("trace").eqNullSafe(F.col("__trace")) & F.col("__r").eqNullSafe(F.col("__range")))
-    both = both.withColumn("__a", F.coalesce("__a", "__before")).withColumn("__z", F.coalesce("__z", "__after"))
-    between = F.expr("__a.u + cast((cast(__t - __a.t as decimal(38,0)) * cast(__z.u - __a.u as decimal(19,0))) div cast(__z.t - __a.t as decimal(19,0)) as bigint)")
-    value = F.when(F.col("__a").isNull(), F.expr("__z.u - (__z.t - __t)")).when(F.col("__z").isNull() | (F.expr("__z.t = __a.t")), F.expr("__a.u + (__t - __a.t)")).otherwise(between)
-    return both.withColumn("unix_ns", F.greatest(value, F.lit(0))).select(*df.columns, "unix_ns")
+    return both.withColumn("__a", F.coalesce("__a", "__before")).withColumn("__z", F.coalesce("__z", "__after"))
 
 
 def generated(spark: SparkSession, rows: int = 25_000) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallybrook.operators import parsers
 from tallybrook.sources import otlp
 from tallybrook.sources import trace_tables as traced
 
@@ -29,6 +30,37 @@ def test_durations_round_as_the_double_does(spark):
     assert spark.sql("select -1L as n").select(traced.micros_text(F.col("n"))).first()[0] == "running"
 
 
+def by_hand(clock, ts):
+    before = max(((t, u) for t, u in clock if t <= ts), default=None)
+    after = min(((t, u) for t, u in clock if t >= ts), default=None)
+    if before is None or after is None:
+        return 0 if before is after else max(0, after[1] - (after[0] - ts) if before is None else before[1] + ts - before[0])
+    if before[0] == after[0]:
+        return max(0, before[1])
+    product = (ts - before[0]) * (after[1] - before[1])
+    return max(0, before[1] + (abs(product) // (after[0] - before[0])) * (1 if product >= 0 else -1))
+
+
+@pytest.mark.parametrize("points", [0, 100_000])
+def test_clock_by_bins_and_by_order(spark, points, monkeypatch):
+    rng = random.Random(5)
+    clocks = {"a": [(rng.randrange(-(10**6), 10**6) ** 3 // 10**9, rng.randrange(10**15)) for _ in range(150)], "b": [(7, 5)], "c": [(7, 90), (7, 60), (-4, 20)], "d": []}
+    rows = [(k, ts) for k, c in clocks.items() for ts in [*(t + d for t, _ in c for d in (-1, 0, 1)), None, -(10**12), 10**12, 7, *(rng.randrange(-(10**9), 10**9) for _ in range(100))]]
+    clock = spark.createDataFrame([(k, t, u) for k, c in clocks.items() for t, u in c] + [("b", None, 4), ("b", 3, None), ("d", None, None)], "trace string, ts long, unix long")
+    monkeypatch.setattr(parsers, "POINTS", points)
+    got = parsers.unix_ns(spark.createDataFrame(rows, "trace string, ts long"), clock).collect()
+    assert sorted((r.trace, r.ts or 0, r.unix_ns) for r in got if r.ts is not None) == sorted((k, t, by_hand(clocks[k], t)) for k, t in rows if t is not None)
+    assert [r.unix_ns for r in got if r.ts is None] == [0] * 4
+
+
+def test_few_snapshots_leave_rows_where_they_are(spark, clock):
+    rows = make(spark, "instant", [("a", 150, 2, None)])
+    plan = parsers.unix_ns(rows, clock)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    crowded = traced.realtime(make(spark, "clock_snapshot", [("a", 1 << i % 61, "REALTIME", i) for i in range(61)] + [("a", i, "REALTIME", i) for i in range(200)]))
+    assert parsers.unix_ns(rows, crowded).first().unix_ns == 150
+
+
 def test_six_kinds_in_stable_order(spark, clock):
     tables = {
         "slice": make(spark, "slice", [("a", 1, 150, -1, None, None, 3, None, 2), ("a", 2, 150, 1250, "draw", 1, 3, None, 0), ("b", 3, 5, None, "", None, 1, None, None)]),
