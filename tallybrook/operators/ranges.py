@@ -57,27 +57,33 @@ def _line(stream: Sequence[str]):
     return Window.partitionBy(*(stream or [F.lit(0)])).orderBy("__range")
 
 
+def _after(rows: DataFrame, before: DataFrame, stream: Sequence[str], column: str) -> DataFrame:
+    """``rows`` and, ahead of each stream and range (``__first`` is 0 there, 1 in others), a row with what comes before it as ``column``: one shuffle for both."""
+    ahead = before.filter("__before is not null").select(*stream, "__range", F.col("__before").cast(rows.schema[column].dataType).alias(column), F.lit(0).alias("__first"))
+    return rows.withColumn("__first", F.lit(1)).unionByName(ahead, allowMissingColumns=True)
+
+
 def previous(df: DataFrame, stream: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str) -> DataFrame:
     """Adds ``out``: ``columns`` of the stream's row before, as a struct; null for the first. The order's columns tell all rows of a stream apart."""
     rows = (df if "__range" in df.columns else ranged(df, order[0])).withColumn("__own", F.struct(*columns))
     last = rows.groupBy(*stream, "__range").agg(F.max_by("__own", F.struct(*order)).alias("__last"))
-    rows = _with(rows, last.select(*stream, "__range", F.lag("__last").over(_line(stream)).alias("__before")), stream)
-    inner = Window.partitionBy(*stream, "__range").orderBy(*order)
-    rows = rows.withColumn(out, F.coalesce(F.lag("__own").over(inner), F.col("__before"))).drop("__own", "__before")
+    last = last.select(*stream, "__range", F.lag("__last").over(_line(stream)).alias("__before"))
+    inner = Window.partitionBy(*stream, "__range").orderBy("__first", *order)
+    rows = _after(rows, last, stream, "__own").withColumn(out, F.lag("__own").over(inner)).filter("__first = 1").drop("__own", "__first")
     return rows if "__range" in df.columns else rows.drop("__range")
 
 
 def running(df: DataFrame, stream: Sequence[str], order: Sequence[str], value: Column, out: str, how: str = "sum", own: bool = True, falling: bool = False) -> DataFrame:
     """Adds ``out``: sum or max of ``value`` over the stream's rows up to this one (without it: not ``own``), or from this one on (``falling``)."""
-    fold, both = (F.sum, lambda a, b: a + b) if how == "sum" else (F.max, F.greatest)
+    fold = F.sum if how == "sum" else F.max
     rows = (df if "__range" in df.columns else ranged(df, order[0])).withColumn("__value", value)
     line, sort = _line(stream), [F.col(c) for c in order]
     if falling:
         line, sort = Window.partitionBy(*(stream or [F.lit(0)])).orderBy(F.col("__range").desc()), [F.col(c).desc() for c in order]
     totals = rows.groupBy(*stream, "__range").agg(fold("__value").alias("__total"))
-    rows = _with(rows, totals.select(*stream, "__range", fold("__total").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before")), stream)
-    inner = fold("__value").over(Window.partitionBy(*stream, "__range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
-    rows = rows.withColumn("__inner", inner)
-    together = F.coalesce(both(F.col("__before"), F.col("__inner")), F.col("__before"), F.col("__inner"))
-    rows = rows.withColumn(out, F.coalesce(together, F.lit(0)) if how == "sum" else together).drop("__value", "__before", "__inner")
+    kind = totals.schema["__total"].dataType
+    totals = totals.select(*stream, "__range", fold("__total").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    rows = _after(rows.withColumn("__value", F.col("__value").cast(kind)), totals, stream, "__value")
+    inner = fold("__value").over(Window.partitionBy(*stream, "__range").orderBy("__first", *sort).rowsBetween(Window.unboundedPreceding, 0 if own else -1)).cast(kind)
+    rows = rows.withColumn(out, F.coalesce(inner, F.lit(0)) if how == "sum" else inner).filter("__first = 1").drop("__value", "__first")
     return rows if "__range" in df.columns else rows.drop("__range")

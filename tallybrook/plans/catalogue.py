@@ -704,7 +704,7 @@ def k11_trace(s, d):
 
 @query("u3_trace_order", "SELECT trace, row_number() OVER (PARTITION BY trace ORDER BY unix_ns, kind_no, ts, id, body) AS place, kind, ts, body FROM timed", TRACE_TABLES)
 def u3_trace(s, d):
-    return traced.placed(_trace_events(s, d)[1]).select("trace", "place", "kind", "ts", "body")
+    return traced.placed(_trace_events(s, d)[1].drop("attributes")).select("trace", "place", "kind", "ts", "body")
 
 
 @query(

@@ -185,10 +185,11 @@ def placed(found: DataFrame) -> DataFrame:
     """Adds ``place``, from 1 within each trace: by time, then kind, then the tables' own order; equal rows in any order.
 
     Events at time 0 (all of a trace without snapshots) are dealt into ranges by kind and the trace's own time, so that they aren't one range.
+    Attributes order what is equal but for them; without that column they aren't moved.
     """
     own = F.greatest(F.lit(-(1 << 58)), F.least(F.lit((1 << 58) - 1), F.col("ts")))
     key = F.when(F.col("unix_ns") > 0, F.col("unix_ns")).otherwise(F.lit(-(1 << 62)) + F.col("kind_no").cast("long") * F.lit(1 << 59) + own)
-    order = ["__at", "unix_ns", "kind_no", "ts", "id", "body", "attributes"]
+    order = ["__at", "kind_no", "ts", "id", "body", *(["attributes"] if "attributes" in found.columns else [])]  # times of 0 have keys below 0
     return ordering.numbered(found.withColumn("__at", key), order, "trace", "place").drop("__at")
 
 

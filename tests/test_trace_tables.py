@@ -61,6 +61,14 @@ def test_few_snapshots_leave_rows_where_they_are(spark, clock):
     assert parsers.unix_ns(rows, crowded).first().unix_ns == 150
 
 
+def test_places_move_rows_once_and_without_attributes(spark, clock):
+    tables = {"ftrace_event": make(spark, "ftrace_event", [("a", i, 150 + i // 3, "n", 1, None) for i in range(9)])}
+    found = traced.events(tables, clock)
+    plan = traced.placed(found.drop("attributes"))._jdf.queryExecution().executedPlan().toString()
+    assert "perfetto.ftrace" not in plan and "SortMergeJoin" not in plan
+    assert [r.place for r in traced.placed(found).orderBy("id").collect()] == [*range(1, 10)]
+
+
 def test_six_kinds_in_stable_order(spark, clock):
     tables = {
         "slice": make(spark, "slice", [("a", 1, 150, -1, None, None, 3, None, 2), ("a", 2, 150, 1250, "draw", 1, 3, None, 0), ("b", 3, 5, None, "", None, 1, None, None)]),
