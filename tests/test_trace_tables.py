@@ -69,6 +69,13 @@ def test_places_move_rows_once_and_without_attributes(spark, clock):
     assert [r.place for r in traced.placed(found).orderBy("id").collect()] == [*range(1, 10)]
 
 
+def test_totals_hold_no_rows_of_a_range(spark, clock):
+    tables = {"instant": make(spark, "instant", [("a", 150, 2, None)]), "thread": make(spark, "thread", [("a", 1, None, None, None, None)])}
+    plan = traced.totals(tables, traced.events(tables, clock))._jdf.queryExecution().optimizedPlan().toString()
+    rows_side = [x for x in plan.splitlines() if "Window" in x]
+    assert len(rows_side) == 1 and "lead(" in rows_side[0]  # over the clock's own snapshots
+
+
 def test_six_kinds_in_stable_order(spark, clock):
     tables = {
         "slice": make(spark, "slice", [("a", 1, 150, -1, None, None, 3, None, 2), ("a", 2, 150, 1250, "draw", 1, 3, None, 0), ("b", 3, 5, None, "", None, 1, None, None)]),
