@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybrook.operators import ordering, parsers
@@ -236,14 +236,13 @@ def spans(slices: DataFrame, clock: DataFrame) -> DataFrame:
     """
     rows = typed(slices, "slice").withColumn("ts", F.coalesce("ts", F.lit(0))).withColumn("dur", F.coalesce("dur", F.lit(0)))
     rows = rows.join(clock.select("trace").distinct(), "trace", "left_semi")
-    rows = parsers.unix_ns(rows, clock).withColumnRenamed("unix_ns", "start_ns").withColumn("end", F.col("ts") + F.col("dur"))
+    rows = ordering.numbered(rows, ["ts", "id", "name", "dur", "track_id", "depth", "parent_id", "arg_set_id"], "trace", "place")
+    rows = parsers.unix_ns(rows.withColumn("batch", F.floor((F.col("place") - 1) / BATCH).cast("long")), clock).withColumnRenamed("unix_ns", "start_ns")
+    rows = rows.withColumn("batch_ns", F.min("start_ns").over(Window.partitionBy("trace", "batch"))).withColumn("end", F.col("ts") + F.col("dur"))
     rows = parsers.unix_ns(rows, clock, "end").withColumnRenamed("unix_ns", "end_ns")
     text = lambda c: F.col(c).cast("string")
     attributes = _attributes("slice", _id=text("id"), _ts=text("ts"), _dur_ns=text("dur"), _track_id=text("track_id"), depth=F.col("depth"))
-    rows = ordering.numbered(rows.withColumn("attributes", attributes), ["ts", "id", "name", "dur", "attributes"], "trace", "place")
-    rows = rows.withColumn("batch", F.floor((F.col("place") - 1) / BATCH).cast("long"))
-    first = rows.groupBy("trace", "batch").agg(F.min("start_ns").alias("batch_ns"))
-    return rows.join(first, ["trace", "batch"]).select(
+    return rows.select(
         "trace",
         F.md5("trace").alias("trace_id"),
         _id_text(F.col("id")).alias("span_id"),
@@ -251,7 +250,7 @@ def spans(slices: DataFrame, clock: DataFrame) -> DataFrame:
         F.coalesce("name", F.concat(F.lit("slice-"), text("id"))).alias("name"),
         "start_ns",
         "end_ns",
-        "attributes",
+        attributes.alias("attributes"),
         "batch",
         "batch_ns",
     )

@@ -145,6 +145,12 @@ def test_spans_come_in_batches(spark, clock):
     assert [a.string_value if a.int_value is None else a.int_value for a in got[2].attributes] == ["2", "101", "10", "4", 1]
 
 
+def test_spans_are_moved_before_their_texts_and_end(spark, clock):
+    plan = traced.spans(make(spark, "slice", [("a", 1, 100, 10, "n", None, 4, None, 1)]), clock)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("perfetto.slice.id") == 1 and plan.index("perfetto.slice.id") < plan.index("Window")
+    assert "Aggregate [trace" not in plan.split("Window [min(start_ns")[0]
+
+
 def test_gauges(spark):
     tree = {"b": {"value": 2, "unit": "ms", "description": "d", "host": "h", "n": 3, "deep": {"x": {"value": 1.5}, "value": {"value": 7}}}, "a": 1, "c": True, "d": {"value": "5"}, "e": [{"value": 1}]}
     deep = '{"k":{"k":' * 40 + '{"value":4}' + "}}" * 40
