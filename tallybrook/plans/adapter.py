@@ -6,6 +6,7 @@ Each view comes with SQL text for the same rows, so that queries over it can be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,12 +95,13 @@ def log_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a record with a log request of its type and k, every seventh with a trace id of zeros; every fiftieth is a record of another kind."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(1 << 12)(entry)
         for b in batches:
             out = []
-            for seq, at, body, service in zip(b["seq"], b["ts_ns"], b["body"], b["service_name"], strict=True):
-                trace = int(seq if seq % 7 else 0).to_bytes(16, "big")
-                record = encoded_fixed(1, int(at)) + encoded(5, encoded(1, body)) + encoded(9, trace)
-                request = encoded(1, encoded(1, encoded(1, entry("service.name", service))) + encoded(2, encoded(2, record)))
+            for seq, at, body, service in zip(*(b[c].tolist() for c in ("seq", "ts_ns", "body", "service_name")), strict=True):
+                trace = (seq if seq % 7 else 0).to_bytes(16, "big")
+                record = encoded_fixed(1, at) + encoded(5, encoded(1, body)) + encoded(9, trace)
+                request = encoded(1, encoded(1, encoded(1, known("service.name", service))) + encoded(2, encoded(2, record)))
                 out.append(("events" if seq % 50 == 0 else "logs", seq, at, request))
             yield pd.DataFrame(out, columns=["record_type", "seq", "ts_unix_ns", "payload"])
 
@@ -112,11 +114,12 @@ def span_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each span as a record with a trace request."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(1 << 12)(entry)
         for b in batches:
             out = []
-            for trace, span, parent, name, start, end in zip(*(b[c] for c in ("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns")), strict=True):
-                item = encoded(1, int(trace).to_bytes(16, "big")) + encoded(2, int(span).to_bytes(8, "big")) + (b"" if pd.isna(parent) else encoded(4, int(parent).to_bytes(8, "big")))
-                item += encoded(5, name) + encoded(6, int(span) % 6) + encoded_fixed(7, int(start)) + encoded_fixed(8, int(end)) + encoded(9, entry("line", int(span)))
+            for trace, span, parent, name, start, end in zip(*(b[c].tolist() for c in ("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns")), strict=True):
+                item = encoded(1, trace.to_bytes(16, "big")) + encoded(2, span.to_bytes(8, "big")) + (b"" if parent is None or parent != parent else encoded(4, int(parent).to_bytes(8, "big")))
+                item += encoded(5, name) + encoded(6, span % 6) + encoded_fixed(7, start) + encoded_fixed(8, end) + encoded(9, known("line", span))
                 out.append((trace, span, "traces", encoded(1, encoded(2, encoded(2, item)))))
             yield pd.DataFrame(out, columns=["trace_id", "span_id", "record_type", "payload"])
 
