@@ -5,10 +5,13 @@ Consecutive strings of one bucket are one segment of text; buckets that hold one
 further. Equal segments are collapsed with their count. Two lengths can be asked for at once: buckets are those of the shorter
 strings, and a segment goes on to the end of the longer strings that start in it.
 
+Of a segment only what it shares with others around its bucket's gram is merged (see ``extents``); one that occurs twice or more
+as a whole needs no merging for its own sake, since all its strings repeat.
+
 The segments of some buckets at a time are dealt to shards. Each shard's suffixes are sorted once, which gives its transform.
-Transforms are merged by refining how their rows interleave: from an interleave sorted to depth h, stepping each row back
-through its transform by d <= h symbols and dealing it stably into the blocks gives the order to depth h + d, and shows where
-common prefixes end. Dealing sorts short keys: all rows by their first eight symbols once, then the rows of blocks still open by
+Transforms are merged by refining how their rows interleave: from an interleave sorted to depth h, stepping each row d <= h symbols
+on through its transform and dealing the rows of a block by the blocks they come to gives the order to depth h + d, and shows where
+common prefixes end. Dealing sorts short keys: all rows by their first four symbols once, then the rows of blocks still open by
 (block, block stepped to), so it is prefix doubling over the union of the shards' rows; texts of suffixes are not compared again. Blocks that still hold several rows at depth ``length`` are the repeated
 intervals; the shards' suffix arrays turn them into spans of bytes.
 """
@@ -87,10 +90,46 @@ def segments(raw: bytes, length: int, wanted: np.ndarray) -> Iterator[tuple[np.u
         yield m[starts[i]], int(starts[i]), int(ends[i])
 
 
-def _renumbered(groups: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Class numbers of rows in sorted order: ``groups`` says where a class begins, ``start`` the number of the old class."""
-    first = np.flatnonzero(groups)
-    return start[first][np.cumsum(groups) - 1]
+def _begun(symbols: np.ndarray, forth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of rows by their first four symbols (a block's number is the place of its first row), and the rows of blocks of several, in order.
+
+    ``forth`` is the row one symbol on. From a segment's end on nothing counts, and what comes to it is a block of its own.
+    """
+    key, low = symbols.astype(U), U(STOP)
+    for width in (1, 2):
+        rest = np.where(key & U(STOP) == STOP, low, key[forth])
+        key = (key << U(8 * width)) | rest
+        low, forth = low | low << U(8 * width), forth[forth]
+    p = (key << U(31)) | np.arange(len(key), dtype=U)
+    p.sort()
+    order = (p & U((1 << 31) - 1)).astype(np.int32)
+    p >>= U(31)
+    edge = np.ones(len(p) + 1, bool)
+    edge[1:-1] = (p[1:] != p[:-1]) | (p[1:] & U(STOP) == STOP)
+    block = np.empty(len(p), np.int32)
+    block[order] = np.maximum.accumulate(np.where(edge[:-1], np.arange(len(p), dtype=np.int32), 0))
+    return block, order[~(edge[:-1] & edge[1:])]
+
+
+def _refined(block: np.ndarray, live: np.ndarray, beyond: np.ndarray) -> np.ndarray:
+    """Deals the ``live`` rows, whole blocks of several, by the blocks ``beyond``; gives those that still share a block."""
+    if len(block) < 1 << 21:  # block, block beyond and row in one number
+        p = (block[live].astype(np.int64) << 42) | (beyond.astype(np.int64) << 21) | np.arange(len(live))
+        p.sort()
+        live, p = live[p & (1 << 21) - 1], p >> 21
+        old = p >> 21
+    else:
+        p = (block[live].astype(np.int64) << 32) | beyond
+        o = np.argsort(p)
+        live, p = live[o], p[o]
+        old = p >> 32
+    edge = np.ones(len(p) + 1, bool)
+    np.not_equal(p[1:], p[:-1], out=edge[1:-1])
+    first = np.flatnonzero(edge[:-1])
+    old = old[first]
+    begin = np.maximum.accumulate(np.where(np.diff(old, prepend=-1) != 0, first, 0))  # of the old block among the rows
+    block[live] = np.repeat((old + first - begin).astype(np.int32), np.diff(first, append=len(p)))
+    return live[~(edge[:-1] & edge[1:])]
 
 
 class Shard:
@@ -100,64 +139,32 @@ class Shard:
         stop = bytes([STOP])
         self.text = t = np.frombuffer(stop.join(parts) + stop, np.uint8)
         n = len(t)
-        padded = np.concatenate([t, np.full(8, STOP, np.uint8)])
-        key, ended = np.zeros(n, U), np.zeros(n, bool)
-        for i in range(8):  # what follows a segment's end doesn't count
-            c = np.where(ended, STOP, padded[i : i + n])
-            ended |= c == STOP
-            key = (key << U(8)) | c
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1])]) | ended[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        depth = 8
-        while True:
-            size = np.bincount(rank, minlength=n)
-            open_ = np.flatnonzero(size[rank] > 1)
-            if not len(open_):
-                break
-            pair = (rank[open_] << 32) | rank[open_ + depth]
-            o = np.argsort(pair)
-            p, who = pair[o], open_[o]
-            old = p >> 32
-            fresh = np.concatenate([[True], p[1:] != p[:-1]])
-            begins = np.concatenate([[True], old[1:] != old[:-1]])
-            place = old + np.arange(len(o)) - np.maximum.accumulate(np.where(begins, np.arange(len(o)), 0))
-            rank[who] = _renumbered(fresh, place)
+        rank, live = _begun(t, np.minimum(np.arange(1, n + 1, dtype=np.int32), n - 1))
+        depth = 4
+        while len(live):
+            live = _refined(rank, live, rank[live + depth])
             depth *= 2
-        self.suffixes = np.empty(n, np.int64)
-        self.suffixes[rank] = np.arange(n)
+        self.suffixes = np.empty(n, np.int32)
+        self.suffixes[rank] = np.arange(n, dtype=np.int32)
         self.transform = t[self.suffixes - 1]
 
-    def back(self) -> np.ndarray:
-        """For each row the row of the suffix one symbol longer, from the transform alone."""
-        to = np.empty(len(self.transform), np.int64)
-        to[np.argsort(self.transform, kind="stable")] = np.arange(len(to))
-        return to
+    def forth(self) -> np.ndarray:
+        """For each row the row of the suffix one symbol shorter, from the transform alone."""
+        return np.argsort(self.transform, kind="stable").astype(np.int32)
 
 
 def merge(shards: list[Shard], lengths: list[int]) -> Iterator[np.ndarray]:
     """Interleaves the shards' rows to rising depths; for each the block of each row, rows of all shards one after the other."""
     offsets = np.cumsum([0, *(len(s.transform) for s in shards)])
     n = int(offsets[-1])
-    back = np.concatenate([s.back() + o for s, o in zip(shards, offsets, strict=False)]).astype(np.int32)
-    symbols = np.concatenate([np.sort(s.transform, kind="stable") for s in shards])
-    forth = np.empty(n, np.int32)
-    forth[back] = np.arange(n, dtype=np.int32)
-    key, ended, row = np.zeros(n, U), np.zeros(n, bool), np.arange(n, dtype=np.int32)
-    for _ in range(8):
-        c = np.where(ended, STOP, symbols[row])
-        ended |= c == STOP
-        key = (key << U(8)) | c
-        row = forth[row]
-    order = np.argsort(key, kind="stable").astype(np.int32)  # the first eight symbols; shards are in order already
-    k = key[order]
-    new = np.concatenate([[True], k[1:] != k[:-1]]) | ended[order]
-    block = np.empty(n, np.int64)
-    block[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    del key, ended, row, forth, k, new
-    powers, depth = {1: back}, 8
+    forth = np.concatenate([s.forth() + np.int32(o) for s, o in zip(shards, offsets, strict=False)])
+    block, live = _begun(np.concatenate([np.sort(s.transform, kind="stable") for s in shards]), forth)
+    steps, depth = [], 4
+    for length in lengths:
+        while depth < length:
+            steps.append((length, min(depth, length - depth)))
+            depth += steps[-1][1]
+    powers = {1: forth}
 
     def power(p: int) -> np.ndarray:
         if p not in powers:
@@ -165,27 +172,14 @@ def merge(shards: list[Shard], lengths: list[int]) -> Iterator[np.ndarray]:
         return powers[p]
 
     for length in lengths:
-        while depth < length:
-            step = min(depth, length - depth)
-            jump = None
+        while steps and steps[0][0] == length:
+            step = steps.pop(0)[1]
+            to = live
             for p in (1 << i for i in range(step.bit_length()) if step >> i & 1):
-                jump = power(p) if jump is None else power(p)[jump]
-            size = np.bincount(block, minlength=n)
-            moved = jump[order]
-            live = np.flatnonzero(size[block[moved]] > 1)
-            if not len(live):
-                depth = length
-                break
-            moved, came = moved[live], block[order[live]]
-            dealt = np.sort((block[moved] << 32) | np.arange(len(live)))  # stable: arrivals keep their order within a block
-            old, at = dealt >> 32, dealt & 0xFFFFFFFF
-            came, moved = came[at], moved[at]
-            begins = np.concatenate([[True], old[1:] != old[:-1]])
-            place = old + np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-            fresh = begins | np.concatenate([[True], came[1:] != came[:-1]])
-            order[place] = moved
-            block[moved] = _renumbered(fresh, place)
-            depth += step
+                to = power(p)[to]
+            live = _refined(block, live, block[to])
+            for p in [p for p in powers if 2 * p in powers and not any(x & p for _, x in steps)]:
+                del powers[p]  # no later step is made of it
         yield block
 
 
@@ -203,8 +197,8 @@ def repeats(parts: list[bytes], runs: list[int], counts: list[int], lengths: lis
     sizes = np.array([len(p) for p in parts])
     starts = np.cumsum([0, *(sizes[:-1] + 1)])
     offsets = np.cumsum([0, *(len(s.text) for s in shards)])
-    at = np.concatenate([s.suffixes + o for s, o in zip(shards, offsets, strict=False)])
-    part = np.repeat(np.arange(len(parts)), sizes + 1)[at]
+    at = np.concatenate([s.suffixes + np.int32(o) for s, o in zip(shards, offsets, strict=False)])
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), sizes + 1)[at]
     place, weight = at - starts[part], np.asarray(counts, float)[part]
     counted = place < np.asarray(runs)[part]
     for length, block in zip(lengths, merge(shards, lengths), strict=True):
@@ -220,13 +214,12 @@ def repeats(parts: list[bytes], runs: list[int], counts: list[int], lengths: lis
         yield list(spans.items())
 
 
-def promising(parts: list[bytes], values: list[int], counts: list[int], length: int) -> np.ndarray:
-    """Which segments of whole buckets may hold a string of ``length`` bytes that occurs twice; the others certainly don't.
+def extents(parts: list[bytes], values: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 of the bytes of each segment of whole buckets that strings which two segments share, or one holds twice, are within.
 
-    Where the bucket's gram stands once in each of its segments, equal strings lie at equal distances from it. Then they share
-    the grams at multiples of GRAM bytes from it that they hold, and a string holds so many of these whatever its place is.
+    Where the bucket's gram stands once in each of its segments, equal strings of ``length`` bytes lie at equal distances from it. So they
+    share all grams at multiples of GRAM bytes from it that they hold, without a gap: segments are told apart gram by gram, outwards from it.
     """
-    need = (length - GRAM) // GRAM - 1
     v = np.array(values, np.int64).view(U)
     bucket = np.cumsum(np.diff(v, prepend=v[:1]) != 0)
     sizes = np.array([len(p) for p in parts])
@@ -238,16 +231,29 @@ def promising(parts: list[bytes], values: list[int], counts: list[int], length:
     anchor = np.zeros(len(parts), np.int64)
     anchor[owner[at]] = at
     once = np.bincount(owner[at], minlength=len(parts)) == 1
-    unsure = np.bincount(bucket, weights=~once) > 0
-    keys, who = [], []
-    for step in range(-int(sizes.max()) // GRAM, int(sizes.max()) // GRAM + 1):
-        place = anchor + step * GRAM
-        some = np.flatnonzero((step != 0) & (place >= starts) & (place + GRAM <= ends))
-        keys.append((h[place[some]] ^ (bucket[some].astype(U) * U(0x9E3779B97F4A7C15))) + U((step & 0xFFFF) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-        who.append(some)
-    _, which, often = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = np.bincount(np.concatenate(who)[often[which] > 1], minlength=len(parts))
-    return (shared >= need) | (np.array(counts) > 1) | unsure[bucket]
+    unsure = (np.bincount(bucket, weights=~once) > 0)[bucket]
+    shared = []
+    for side in (-GRAM, GRAM):
+        far, who, group, step = np.zeros(len(parts), np.int64), np.flatnonzero(~unsure), bucket[~unsure], 0
+        while True:
+            alike = np.bincount(group, minlength=1)[group] > 1
+            who, group = who[alike], group[alike]
+            far[who] = step
+            place = anchor[who] + side * (step + 1)
+            inside = (place >= starts[who]) & (place + GRAM <= ends[who])
+            who, group, step = who[inside], group[inside], step + 1
+            if not len(who):
+                break
+            group = np.unique((h[place[inside]] >> U(20)) ^ (group.astype(U) << U(44)), return_inverse=True)[1]
+        shared.append(far)
+    first, last = anchor - GRAM * (shared[0] + 1) + 1, anchor + GRAM * (shared[1] + 2) - 1
+    return np.where(unsure, 0, np.maximum(first - starts, 0)), np.where(unsure, sizes, np.minimum(last - starts, sizes))
+
+
+def promising(parts: list[bytes], values: list[int], counts: list[int], length: int) -> np.ndarray:
+    """Which segments of whole buckets may hold a string of ``length`` bytes that occurs twice; the others certainly don't."""
+    first, last = extents(parts, values, length)
+    return (last - first >= length) | (np.array(counts) > 1)
 
 
 def _merged(lengths: list[int]):
@@ -257,11 +263,24 @@ def _merged(lengths: list[int]):
         keys, parts, runs, counts, values, size, now = [], [], [], [], [], 0, None
 
         def flush() -> pd.DataFrame:
+            got = []
             if parts:
-                good = promising(parts, values, counts, lengths[0])
-                for x in (keys, parts, runs, counts):
-                    x[:] = [y for y, g in zip(x, good, strict=True) if g]
-            got = [(keys[i], which, [{"start": a, "end": b} for a, b in spans]) for which, found in enumerate(repeats(parts, runs, counts, lengths)) for i, spans in found] if parts else []
+                # of a segment that occurs twice all strings do: it is merged for what others share with it
+                for key, p, own, n in zip(keys, parts, runs, counts, strict=True):
+                    if n > 1:
+                        got += [(key, which, [{"start": 0, "end": min(own - 1 + x, len(p))}]) for which, x in enumerate(lengths) if len(p) >= x]
+                first, last = extents(parts, values, lengths[0])
+                v, many = np.array(values), np.array(counts) > 1
+                lone = np.diff(v, prepend=~v[0]) != 0
+                lone[:-1] &= lone[1:]
+                good = np.flatnonzero((last - first >= lengths[0]) & (first < np.array(runs)) & ~(lone & many)).tolist()
+                cut = [parts[i][first[i] : last[i]] for i in good]
+                found = repeats(cut, [runs[i] - int(first[i]) for i in good], [counts[i] for i in good], lengths) if good else []
+                for which, each in enumerate(found):
+                    for j, spans in each:
+                        i = good[j]
+                        if not many[i]:
+                            got.append((keys[i], which, [{"start": a + int(first[i]), "end": b + int(first[i])} for a, b in spans]))
             for x in (keys, parts, runs, counts, values):
                 x.clear()
             return pd.DataFrame(got, columns=["s", "which", "spans"])

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,20 @@ def test_what_is_not_promising_holds_no_repeat():
     assert dropped > 20
 
 
+def test_only_what_segments_share_is_merged(monkeypatch):
+    rng, merged = random.Random(7), []
+    text = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    gram, shared, inner = text(32), text(200), suffix.repeats
+    monkeypatch.setattr(suffix, "repeats", lambda parts, *rest: merged.extend(parts) or inner(parts, *rest))
+    v = int(suffix.grams(np.frombuffer(gram, np.uint8)).view(np.int64)[0])
+    pair = [text(300) + shared + gram + shared + text(300) for _ in range(2)]
+    rows = [(v, b"a", pair[0], 700, 1), (v, b"b", pair[1], 700, 1), (v + 1, b"c", text(500), 101, 2)]  # the last one occurs twice as a whole
+    got = pd.concat(suffix._merged([256, 400])(iter([pd.DataFrame(rows, columns=["v", "s", "seg", "run", "n"])])))
+    spans = {(s, w): suffix.merge_spans((x["start"], x["end"]) for x in xs) for s, w, xs in got.itertuples(index=False)}
+    assert spans == {(b"a", 0): [(300, 732)], (b"b", 0): [(300, 732)], (b"a", 1): [(300, 732)], (b"b", 1): [(300, 732)], (b"c", 0): [(0, 356)], (b"c", 1): [(0, 500)]}
+    assert len(merged) == 2 and sum(map(len, merged)) <= 2 * (432 + 2 * 31)
+
+
 def test_words_of_the_longest_run(spark):
     df = spark.createDataFrame([("one two three four", [(0, 3), (5, 18)]), ("one two", [(0, 7)]), (None, []), ("ab cd", [(3, 5)])], "t string, s array<struct<start:int,end:int>>")
     assert [r.n for r in df.select(suffix.longest_run("t", "s").alias("n")).collect()] == [2, 2, 0, 1]
