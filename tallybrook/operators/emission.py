@@ -187,7 +187,8 @@ def emitted(groups: DataFrame, flat: DataFrame, behaviour: str, matcher: str) ->
     place = FLAT.split(", passes")[0]
     made = rows.mapInPandas(write, f"record_type string, ts_unix_ns long, payload binary, {place}").withColumn("late", F.lit(0))
     rest = flat.filter("passes").select("record_type", "ts_unix_ns", "payload", "pos", F.lit(1).alias("late"))
-    out = ordering.numbered(made.unionByName(rest), ["ts_unix_ns", "late", "pos"])
+    every = made.unionByName(rest).persist()  # numbering reads it more than once, and each time would read all payloads again
+    out = ordering.numbered(every, ["ts_unix_ns", "late", "pos"])
     return out.select("record_type", (F.col("row_no") - 1).cast("long").alias("seq"), "ts_unix_ns", "payload")
 
 

@@ -146,3 +146,20 @@ def test_encoding_round_trip():
     assert struct.unpack("<d", otlp.fields(otlp.encoded_fixed(4, 1.5))[4][0]) == (1.5,)
     with pytest.raises(ValueError):
         emission.distinct(None, "none")
+
+
+def test_payloads_are_read_once_for_each_use(spark):
+    from tallybrook.plans.adapter import log_requests
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    records = log_requests(spark, "/root/testdata/sf0.001")
+    n = records.count()
+    records = records.mapInPandas(counted, records.schema)
+    assert emission.deduplicated(records, "exact").count() > 0
+    assert seen.value <= 3 * n  # for groups, for their first records, and for records that pass
