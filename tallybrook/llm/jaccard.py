@@ -3,7 +3,7 @@
 Shingles are put in one global order, rarest first. Two sets of Jaccard similarity t or more share a shingle among the first
 n - ceil(t n) + 1 of each, so a set whose first ones occur nowhere else has no partner. Counts of all shingles come from one shuffle:
 tasks cut their sets into ranges of hashes, a range's shingles of all sets meet in one group, and what occurs twice or more goes
-back to its set with its count. Documents with equal size and prefix are one group; groups that share a prefix shingle are
+back to its set with its count, in one row for many sets. Documents with equal size and prefix are one group; groups that share a prefix shingle are
 candidates; members are verified on whole texts.
 
 For components not every candidate needs checking. A first round checks the members of a group against the group's first member,
@@ -36,8 +36,8 @@ CHUNK = 256
 VOCABULARY, SEEN, TOGETHER = 200_000, 200_000, 400_000
 #: Shingles a range aims at; bytes of text for each; least number of ranges; bits of a hash after those that choose the range.
 RANGE, BYTES, RANGES, REST = 500_000, 6, 64, 40
-#: 64-bit words of a bitmap.
-BITMAP = 16
+#: 64-bit words of a bitmap; sets whose prefixes are made together.
+BITMAP, ROWS = 16, 2_000
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -81,7 +81,24 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 _RANGED = "range int, id long, key long, n long, set_key binary, rest binary, keys binary, many binary"
 _RANGED_ARROW = pa.schema([("range", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("set_key", "rest", "keys", "many")]])
-_COUNTED = "id long, key long, n long, set_key binary, tokens binary"
+_COUNTED = "id long, key long, n long, set_key binary, part int, keys binary, many binary, tokens binary"
+#: Ranges for each part that sets are dealt to when their tokens are put together, and the least number of parts.
+DEALT, PARTS = 16, 64
+
+
+def flat(a: np.ndarray) -> bytes:
+    """64-bit or 32-bit numbers byte place by byte place, since their high bytes are alike and are packed to little then."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def unflat(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    h = keys.view(np.uint64) * np.uint64(MIX[1])
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(parts)).astype(np.int32)
 
 
 def _cut(width: int, bits: int):
@@ -98,7 +115,7 @@ def _cut(width: int, bits: int):
         for a, b in zip(bounds, bounds[1:]):
             runs = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             many = np.diff(runs, append=b - a).astype(np.uint32)
-            out.append((int(number[a]), 0, 0, 0, None, rest[a:b].tobytes(), names[owner[a:b][runs]].tobytes(), many.tobytes()))
+            out.append((int(number[a]), 0, 0, 0, None, rest[a:b].tobytes(), flat(names[owner[a:b][runs]]), flat(many)))
         return batch_of(out, _RANGED_ARROW)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,18 +143,20 @@ def _cut(width: int, bits: int):
     return measured
 
 
-def _counted(bits: int):
-    """Reads rows of ``_cut`` sorted by range: passes texts on, and gives sets their tokens that occur twice or more.
+def _counted(bits: int, parts: int):
+    """Reads rows of ``_cut`` sorted by range: passes texts on with their sets' part, and gives for each range and part the tokens of its sets that occur twice or more.
 
-    A token is an unsigned number: the rank of its count, then its hash; so tokens sort in the global order.
+    A part's rows are as many as there are ranges, whatever its number of sets. A token is an unsigned number: the rank of its count, then its hash; so tokens sort in the global order.
     """
 
+    columns = _COUNTED.replace(",", "").split()[::2]
+
     def tokens(number: int, rest: list[bytes], keys: list[bytes], many: list[bytes]) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(rest), np.uint8).reshape(-1, REST // 8)
         h = np.zeros((len(raw), 8), np.uint8)
         h[:, : REST // 8] = raw
         h = h.view(np.uint64).ravel()
-        own = np.repeat(np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(many), np.uint32))
+        own = np.repeat(np.concatenate([unflat(x, np.int64) for x in keys]), np.concatenate([unflat(x, np.uint32) for x in many]))
         order = np.argsort(h)
         h, own = h[order], own[order]
         twice = np.zeros(len(h), bool)
@@ -152,18 +171,22 @@ def _counted(bits: int):
         good = count > 1
         token = ranks(count[good]) << np.uint64(56) | (np.uint64(number) << np.uint64(REST) | h[good]) & np.uint64((1 << 56) - 1)
         own = own[good]
-        order = np.argsort(own, kind="stable")
-        token, own = token[order], own[order]
-        bounds = np.flatnonzero(np.diff(own, prepend=own[:1] - 1, append=own[-1:] + 1)) if len(own) else np.zeros(0, np.int64)
-        out = [(int(own[a]), token[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-        return pd.DataFrame(out, columns=["key", "tokens"]).assign(id=None, n=None, set_key=None)[["id", "key", "n", "set_key", "tokens"]]
+        part = part_of(own, parts)
+        order = np.lexsort((own, part))
+        token, own, part = token[order], own[order], part[order]
+        bounds, out = np.flatnonzero(np.diff(part, prepend=-1, append=parts)), []
+        for a, b in zip(bounds, bounds[1:]):
+            first = np.flatnonzero(np.diff(own[a:b], prepend=own[a] - 1))
+            out.append((None, None, None, None, int(part[a]), flat(own[a:b][first]), flat(np.diff(first, append=b - a).astype(np.uint32)), flat(token[a:b])))
+        return pd.DataFrame(out, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = -1, ([], [], [])
         for b in batches:
             texts = b["rest"].isna()
             if texts.any():
-                yield b.loc[texts, ["id", "key", "n", "set_key"]].assign(tokens=None)
+                own = b.loc[texts, ["id", "key", "n", "set_key"]]
+                yield own.assign(part=part_of(own["key"].to_numpy(np.int64), parts), keys=None, many=None, tokens=None)
             for number, *blobs in b.loc[~texts, ["range", "rest", "keys", "many"]].itertuples(index=False):
                 if number != now:
                     if held[0]:
@@ -178,25 +201,53 @@ def _counted(bits: int):
 
 
 def _prefixed(percent: int):
-    """Prefixes of the sets (key, node, n, parts) whose prefix has tokens of other sets."""
+    """Prefixes of the sets whose prefix has tokens of other sets: reads rows sorted by part, sets (key, node, n) and their tokens (keys, many, tokens)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, ([], [], [], [])
         for b in batches:
-            out = []
-            for key, node, n, parts in zip(b["key"], b["node"], b["n"], b["parts"], strict=True):
-                t = np.sort(np.frombuffer(b"".join(parts), np.uint64))
-                own = n - len(t)
-                p = t[: max(0, prefix_length(n, percent) - own)]
-                if not len(p):
+            for part, *row in b[["part", "key", "node", "n", "keys", "many", "tokens"]].itertuples(index=False):
+                if part != now:
+                    yield from prefixes(*held)
+                    now, held = part, ([], [], [], [])
+                if row[5] is None:
+                    held[0].append(tuple(map(int, row[:3])))
+                else:
+                    for x, y in zip(held[1:], row[3:], strict=True):
+                        x.append(y)
+        yield from prefixes(*held)
+
+    def prefixes(sets: list[tuple], keys: list[bytes], many: list[bytes], tokens: list[bytes]) -> Iterator[pd.DataFrame]:
+        if not keys:
+            return
+        t = np.concatenate([unflat(x, np.uint64) for x in tokens])
+        whose = np.repeat(np.concatenate([unflat(x, np.int64) for x in keys]), np.concatenate([unflat(x, np.uint32) for x in many]))
+        order = np.argsort(whose, kind="stable")
+        t, whose = t[order], whose[order]
+        del order
+        for i in range(0, len(sets), ROWS):
+            some, out = sets[i : i + ROWS], []
+            names = np.array([x[0] for x in some], np.int64)
+            for (key, node, n), a, b in zip(some, np.searchsorted(whose, names).tolist(), np.searchsorted(whose, names, side="right").tolist(), strict=True):
+                if a == b:
                     continue
-                group = xxhash.xxh3_64_intdigest(p.tobytes() if own == 0 else p.tobytes() + int(key).to_bytes(8, "little", signed=True), seed=n)
-                h = t * np.uint64(MIX[0])
-                at = np.unique((h ^ (h >> np.uint64(31))) % np.uint64(64 * BITMAP))
-                bits = np.zeros(64 * BITMAP, np.uint8)
-                bits[at] = 1
-                out.append((key, node, n, own, np.uint64(group).view(np.int64), p.view(np.int64), *np.packbits(bits).view(np.int64).tolist()))
+                row = prefix(key, node, n, np.unique(t[a:b]))  # rows that repeat in other tasks bring theirs again
+                if row:
+                    out.append(row)
             yield pd.DataFrame(out, columns=_PREFIXED.replace(",", "").split()[::2])
 
+    def prefix(key: int, node: int, n: int, t: np.ndarray) -> tuple | None:
+        own = n - len(t)
+        p = t[: max(0, prefix_length(n, percent) - own)]
+        if not len(p):
+            return None
+        group = xxhash.xxh3_64_intdigest(p.tobytes() if own == 0 else p.tobytes() + int(key).to_bytes(8, "little", signed=True), seed=n)
+        h = t * np.uint64(MIX[0])
+        at = np.unique((h ^ (h >> np.uint64(31))) % np.uint64(64 * BITMAP))
+        bits = np.zeros(64 * BITMAP, np.uint8)
+        bits[at] = 1
+        return key, node, n, own, np.uint64(group).view(np.int64), p.view(np.int64), *np.packbits(bits).view(np.int64).tolist()
+
     return run
 
 
@@ -270,13 +321,15 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = (max(RANGES, size // (BYTES * RANGE)) - 1).bit_length()
     ranged = rows.select("key", "id", "t").mapInArrow(released(_cut(width, bits)), _RANGED).repartition("range").sortWithinPartitions("range")
-    counted = staged(ranged.mapInPandas(released(_counted(bits)), _COUNTED), "counted")
-    base = counted.filter("tokens is null").select("id", "key", "n", "set_key")
+    parts = max(PARTS, (1 << bits) // DEALT)
+    counted = staged(ranged.mapInPandas(released(_counted(bits, parts)), _COUNTED), "counted")
+    base = counted.filter("tokens is null").select("id", "key", "n", "set_key", "part")
     sets = base.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
-    owners = staged(base.join(sets, "set_key", "left").select("id", "key", "n", "node"), "owners")
-    parts = counted.filter("tokens is not null").groupBy("key").agg(F.collect_list("tokens").alias("parts"))
-    parts = parts.join(owners.select("key", "n", "node").distinct(), "key")
-    found = staged(parts.select("key", "node", "n", "parts").mapInPandas(released(_prefixed(percent)), _PREFIXED), "prefixes")
+    owners = staged(base.join(sets, "set_key", "left").select("id", "key", "n", "node", "part"), "owners")
+    each = owners.filter("node is not null").select("part", "key", "node", "n").distinct()
+    zero = F.lit(0).cast("long")  # no nulls: pandas would make them floats
+    dealt = counted.filter("tokens is not null").select("part", zero.alias("key"), zero.alias("node"), zero.alias("n"), "keys", "many", "tokens").unionByName(each, allowMissingColumns=True)
+    found = staged(dealt.repartition("part").sortWithinPartitions("part").mapInPandas(released(_prefixed(percent)), _PREFIXED), "prefixes")
     one = found.groupBy("node").agg(F.min("key").alias("key"))  # a set that several tasks met counts once
     members = staged(found.join(one, ["node", "key"]).select(*found.columns), "members")
     unstage(found)

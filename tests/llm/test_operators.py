@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -406,6 +407,22 @@ def test_merged_transforms_find_all_repeats(monkeypatch):
 # ---- similarity join ----
 
 
+def test_tokens_go_back_in_a_row_for_many_sets():
+    texts = [(i, i, " ".join(f"w{x}" for x in range(i, i + 60))) for i in range(200)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*texts, strict=True)], names=["key", "id", "t"])
+    cut = pd.concat([b.to_pandas() for b in jaccard._cut(5, 6)(iter([batch]))]).sort_values("range", kind="stable")
+    got = pd.concat(jaccard._counted(6, 2)(iter([cut])))
+    blocks = got[got["tokens"].notna()]
+    assert len(got) - len(blocks) == 200 and len(blocks) <= 2 * 64
+    sizes = Counter()
+    for part, keys, many in blocks[["part", "keys", "many"]].itertuples(index=False):
+        keys = jaccard.unflat(keys, np.int64)
+        assert (jaccard.part_of(keys, 2) == part).all()
+        sizes.update(dict(zip(keys.tolist(), jaccard.unflat(many, np.uint32).tolist(), strict=True)))
+    assert sizes[100] == 56 and sizes[0] == 55 and set(sizes) == set(range(200))  # the first text has a shingle of its own
+
+
+
 def components_by_brute_force(rows):
     def grams(text):
         w = tokens(text)
