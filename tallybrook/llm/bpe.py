@@ -12,17 +12,19 @@ tokens. A text is encoded by halves, down to LEAF characters, and neighbours are
   bytes: the first merge across a boundary would be the first merge across it in the two tokens' bytes as well. So nothing outside the
   window can change. Long words are encoded by halves in the same way.
 
-Decoding concatenates the tokens' bytes up a tree of halves. Rows pass through tasks one by one; a task holds the vocabulary, a bounded
-store of words, and one text.
+Short words that a block of texts is the first to hold are merged side by side, those of one size as the rows of a matrix.
+
+Decoding concatenates the tokens' bytes up a tree of halves. A task holds the vocabulary, a bounded store of words, and a block of texts, or
+one longer text.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -37,8 +39,8 @@ from tallybrook.llm.common import batch_of, released, rows_of
 LEAF, SHORT, KNOWN = 4096, 32, 200_000
 #: Rank of a pair that isn't a token.
 NONE = 1 << 40
-#: Bytes of results that go out together.
-OUT_BYTES = 4 << 20
+#: Bytes of results that go out together; characters of texts that are encoded together.
+OUT_BYTES, BLOCK_CHARS = 4 << 20, 1 << 20
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -49,6 +51,32 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, lines))}
 
 
+def stretches(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The leaves of a text's tree of halves."""
+    if end - start <= LEAF:
+        yield start, end
+    else:
+        mid = (start + end) // 2
+        yield from stretches(start, mid)
+        yield from stretches(mid, end)
+
+
+class Pairs:
+    """The ranks of pairs of tokens that are a token together."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = [(a << 32 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        keys, rank = np.array([*found, (-1, NONE)], np.int64).T
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], rank[order]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks, NONE where a pair is no token."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key, side="right") - 1
+        return np.where(self.keys[at] == key, self.rank[at], NONE)
+
+
 class Coder:
     """Encodes and decodes texts by the ranks of tokens; ``pattern`` splits texts into words that are encoded separately.
 
@@ -58,6 +86,7 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.token = {i: t for t, i in ranks.items()}
+        self.pairs, self.bytes = Pairs(ranks), np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         self.words: dict[str, tuple[int, ...]] = {}
         self.peace: dict[tuple[int, int], bool] = {}
 
@@ -134,11 +163,57 @@ class Coder:
                 self.words[text] = known
         return known
 
+    def merged(self, raws: list[bytes]) -> list[list[int]]:
+        """What ``merge`` gives for each of some strings of one size: each step merges one pair of every row that still has one."""
+        tokens, out = self.bytes[np.frombuffer(b"".join(raws), np.uint8)].reshape(len(raws), -1), [[]] * len(raws)
+        pairs, who = self.pairs.of(tokens[:, :-1], tokens[:, 1:]), np.arange(len(raws))
+        while len(who):
+            row, at, least = np.arange(len(who)), np.zeros(len(who), np.int64), np.full(len(who), NONE)
+            if pairs.shape[1]:
+                at = pairs.argmin(1)
+                least = pairs[row, at]
+            done = least == NONE
+            if done.any():
+                for i, ids in zip(who[done].tolist(), tokens[done].tolist(), strict=True):
+                    out[i] = ids
+                who, tokens, pairs, at, least = who[~done], tokens[~done], pairs[~done], at[~done], least[~done]
+                row = row[: len(who)]
+            if len(who):
+                tokens[row, at] = least
+                kept, others = np.ones(tokens.shape, bool), np.ones(pairs.shape, bool)
+                kept[row, at + 1] = others[row, at] = False
+                tokens, pairs = tokens[kept].reshape(len(who), -1), pairs[others].reshape(len(who), -1)
+                for rows, i in ((row[at > 0], at[at > 0] - 1), (row[at < pairs.shape[1]], at[at < pairs.shape[1]])):
+                    pairs[rows, i] = self.pairs.of(tokens[rows, i], tokens[rows, i + 1])
+        return out
+
+    def learn(self, leaves: Iterable[list[str]]) -> None:
+        """Remembers the tokens of short words that aren't known yet."""
+        words = set(chain.from_iterable(leaves))
+        fresh, whole = [w for w in words if w not in self.words], self.bytes.min() >= 0
+        if len(self.words) + len(fresh) > KNOWN:
+            self.words.clear()
+            fresh = list(words)
+        same: dict[int, list[tuple[str, bytes]]] = {}
+        for w in fresh:
+            raw = w.encode()
+            if (r := self.ranks.get(raw)) is not None:
+                self.words[w] = (r,)
+            elif len(raw) <= SHORT and whole:
+                same.setdefault(len(raw), []).append((w, raw))
+        for group in same.values():
+            for (w, _), ids in zip(group, self.merged([raw for _, raw in group]), strict=True):
+                self.words[w] = tuple(ids)
+
     # ---- texts: an element is (start, end, ends of words, tokens of words) ----
 
-    def leaf(self, text: str, start: int, end: int) -> tuple:
-        words = self.split(text[start:end])
-        return start, end, list(accumulate(map(len, words), initial=start))[1:], [self.word(w) for w in words]
+    def leaf(self, text: str, start: int, end: int, cut: dict[int, list[str]]) -> tuple:
+        """``cut`` has the words of leaves that were split and learnt before, by start."""
+        words, get = cut.pop(start, None), self.words.get
+        if words is None:
+            words = self.split(text[start:end])
+            self.learn([words])
+        return start, end, list(accumulate(map(len, words), initial=start))[1:], [get(w) or self.word(w) for w in words]
 
     def join(self, text: str, left: tuple, right: tuple) -> tuple:
         """The element of two neighbours' text."""
@@ -172,14 +247,20 @@ class Coder:
                 return tuple(reduce(self.join_tokens, [*tokens[i:], *tokens2[: j + 1]]))
         return self.word(text[a:b])
 
-    def element(self, text: str, start: int, end: int) -> tuple:
+    def element(self, text: str, start: int, end: int, cut: dict[int, list[str]]) -> tuple:
         if end - start <= LEAF:
-            return self.leaf(text, start, end)
+            return self.leaf(text, start, end, cut)
         mid = (start + end) // 2
-        return self.join(text, self.element(text, start, mid), self.element(text, mid, end))
+        return self.join(text, self.element(text, start, mid, cut), self.element(text, mid, end, cut))
 
     def encode(self, text: str) -> list[int]:
-        return [t for word in self.element(text, 0, len(text))[3] for t in word]
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. New words of all are merged together, those of a text above BLOCK_CHARS leaf by leaf."""
+        cuts = [{a: self.split(t[a:b]) for a, b in stretches(0, len(t))} if len(t) <= BLOCK_CHARS else {} for t in texts]
+        self.learn(chain.from_iterable(x.values() for x in cuts))
+        return [list(chain.from_iterable(self.element(t, 0, len(t), x)[3])) for t, x in zip(texts, cuts, strict=True)]
 
     def decode(self, ids: Sequence[int]) -> bytes:
         if len(ids) <= LEAF:
@@ -205,14 +286,20 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None
         coder, schema = Coder(*held.value), None
         for batch in batches:
             schema = schema or pa.schema([pa.field("key", batch.schema.field(0).type), pa.field("ids", pa.binary()), pa.field("decoded", pa.binary())])
-            out, size = [], 0
-            for k, t in rows_of(batch):
-                ids = coder.encode(t or "")
-                out.append((k, np.array(ids, "<u4").tobytes(), coder.decode(ids)))
-                size += len(out[-1][1]) + len(out[-1][2])
-                if size > OUT_BYTES:
-                    yield batch_of(out, schema)
-                    out, size = [], 0
+            out, size, keys, texts, chars = [], 0, [], [], 0
+            for i, (k, t) in enumerate(rows_of(batch)):
+                keys.append(k)
+                texts.append(t or "")
+                chars += len(texts[-1])
+                if chars < BLOCK_CHARS and i < batch.num_rows - 1:
+                    continue
+                for key_, ids in zip(keys, coder.encode_all(texts), strict=True):
+                    out.append((key_, np.fromiter(ids, "<u4", len(ids)).tobytes(), coder.decode(ids)))
+                    size += len(out[-1][1]) + len(out[-1][2])
+                    if size > OUT_BYTES:
+                        yield batch_of(out, schema)
+                        out, size = [], 0
+                keys, texts, chars = [], [], 0
             if out:
                 yield batch_of(out, schema)
 

@@ -56,6 +56,18 @@ def test_long_words(library):
         assert coder.encode(text) == library.encode_ordinary(text)
 
 
+def test_short_words_of_a_block_are_merged_side_by_side(library, monkeypatch):
+    rng, coder, alone = random.Random(3), bpe.Coder(RANKS, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(bpe, "KNOWN", 500)
+    texts = ["".join(rng.choice("abcdeé漢 1.") for _ in range(rng.choice([0, 1, 50, 6000]))) for _ in range(40)]
+    merge = coder.merge
+    coder.merge = lambda raw: alone.append(raw) or merge(raw)
+    assert coder.encode_all(texts) == [library.encode_ordinary(t) for t in texts]
+    short = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 32))) for _ in range(400)]
+    alone.clear()
+    assert coder.encode_all(short) == [library.encode_ordinary(t) for t in short] and not alone
+
+
 def test_token_that_merges_cannot_reach():
     ranks = {bytes([b]): b for b in range(256)} | {b"xyz": 256, b"ab": 257}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
