@@ -17,6 +17,9 @@ from tallybrook.sources.otlp import encoded, encoded_fixed, entry
 #: Severity of each event type.
 SEVERITIES = {"error": ("ERROR", 17), "purchase": ("WARN", 13), "signup": ("INFO", 9), "click": ("DEBUG", 5), "view": ("TRACE", 1)}
 
+#: Lines that a task joins with their orders; where there are fewer in all, Spark chooses the join.
+JOIN_LINES = 1_000_000
+
 
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a time without zone."""
@@ -66,7 +69,11 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("trace_id"), F.lit(0).cast("long").alias("span_id"), F.lit(None).cast("long").alias("parent_span_id"), F.col("o_orderpriority").alias("name"), (micros("o_orderdate") * 1000).alias("start_ns"), ((micros("o_orderdate") + 86_400_000_000) * 1000).alias("end_ns")
     )
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    i = table(spark, sf_dir, "lineitem").join(dates, "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem")
+    parts = -(-lines.count() // JOIN_LINES)
+    if parts > 1:  # few bytes of a file can be many orders: sent to every task, they would grow with the input
+        lines, dates = lines.repartition(parts, "l_orderkey"), dates.repartition(parts, "l_orderkey").hint("merge")
+    i = lines.join(dates, "l_orderkey")
     i = i.select(F.col("l_orderkey").alias("trace_id"), F.col("l_linenumber").cast("long").alias("span_id"), F.lit(0).cast("long").alias("parent_span_id"), F.concat(F.lit("ship "), F.col("l_returnflag")).alias("name"), (micros("o_orderdate") * 1000).alias("start_ns"), (micros("l_shipdate") * 1000).alias("end_ns"))
     return o.unionByName(i)
 

@@ -166,3 +166,15 @@ def test_reading_an_export(spark, tmp_path):
     make(spark, "thread", [("", 2, "b", 1, 1, 0), ("", 1, "a", 1, 1, 1)]).drop("trace", "tid").write.parquet(str(tmp_path / "thread"))
     got = traced.ordered(traced.read(spark, str(tmp_path), "thread"), "thread").collect()
     assert [(r.trace, r.utid, r.name, r.tid) for r in got] == [("", 1, "a", None), ("", 2, "b", None)]
+
+
+def test_many_lines_meet_their_orders_in_small_parts(spark, monkeypatch):
+    from tallybrook.plans import adapter
+
+    sf = "/root/testdata/sf0.001"
+    want = adapter.spans(spark, sf).collect()
+    monkeypatch.setattr(adapter, "JOIN_LINES", 1000)
+    got = adapter.spans(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert sorted(map(tuple, got.filter("span_id > 0").collect())) == sorted(tuple(r) for r in want if r.span_id > 0) and got.count() == len(want)
