@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -440,14 +440,30 @@ def kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([raw.decode(errors="ignore") for raw in _outside(text, spans)])
 
 
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words of a span; those that its ends cut don't count."""
+    while a and a < b and not raw[a - 1 : a].isspace():
+        a += 1
+    n = len(raw[a:b].split())
+    return n - (n > 0 and b < len(raw) and not raw[b - 1 : b].isspace() and not raw[b : b + 1].isspace())
+
+
 @F.pandas_udf(T.LongType())
 def longest_run(text: pd.Series, spans: pd.Series) -> pd.Series:
     """Words of the span that holds most; 0 without spans. Words that a span cuts don't count."""
+    return pd.Series([max((whole_words((t or "").encode(), x["start"], x["end"]) for x in s), default=0) for t, s in zip(text, spans, strict=True)])
 
-    def words(raw: bytes, a: int, b: int) -> int:
-        while a and a < b and not raw[a - 1 : a].isspace():
-            a += 1
-        n = len(raw[a:b].split())
-        return n - (n > 0 and b < len(raw) and not raw[b - 1 : b].isspace() and not raw[b : b + 1].isspace())
 
-    return pd.Series([max((words((t or "").encode(), x["start"], x["end"]) for x in s), default=0) for t, s in zip(text, spans, strict=True)])
+def with_passages(text: str, spans: str, passages: str, words: int) -> Column:
+    """``spans`` and those of ``passages`` that hold over ``words`` whole words, as maximal runs."""
+
+    @F.pandas_udf(_SPANS)
+    def joined(texts: pd.Series, own: pd.Series, more: pd.Series) -> pd.Series:
+        out = []
+        for t, s, p in zip(texts, own, more, strict=True):
+            raw = (t or "").encode()
+            all_spans = [(x["start"], x["end"]) for x in s] + [(x["start"], x["end"]) for x in p if whole_words(raw, x["start"], x["end"]) > words]
+            out.append([{"start": a, "end": b} for a, b in merge_spans(all_spans)])
+        return pd.Series(out)
+
+    return joined(text, spans, passages)

@@ -83,3 +83,31 @@ def test_stages_equal_brute_force(spark):
 def test_stages_of_nothing(spark, i):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[i][1](spark, docs, SF).count() == 0
+
+
+def test_repeated_passages_under_400_bytes(spark):
+    """The pipeline's stage also removes repeated strings of 256 bytes with over 50 words, held against brute force; shorter passages stay."""
+    words = lambda n, k: " ".join(f"{k}{i}" + "abc"[: 1 + i % 3] for i in range(n))
+    passage, fewer, long = words(55, "p"), words(20, "q") + "x" * 200, words(90, "r")
+    texts = [f"{words(30, 'a')} {passage} {words(9, 'b')}", f"{words(12, 'c')} {passage}", f"{fewer} {words(40, 'd')}", f"{words(40, 'e')} {fewer}", f"{long} {words(3, 'f')}", f"é {long}", "", None]
+    assert 256 <= len(passage) < 400 and 256 <= len(fewer) < 400 <= len(long)
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    raw = [(t or "").encode() for t in texts]
+
+    def spans(width):
+        seen = {}
+        for t in raw:
+            for i in range(len(t) - width + 1):
+                seen[t[i : i + width]] = seen.get(t[i : i + width], 0) + 1
+        for t in raw:
+            at = [i for i in range(len(t) - width + 1) if seen[t[i : i + width]] > 1]
+            yield [(a, b + width) for a, b in zip([i for i in at if i - 1 not in at], [i for i in at if i + 1 not in at], strict=True)]
+
+    want = {}
+    for d, (t, strings, passages) in enumerate(zip(raw, spans(400), spans(256), strict=True)):
+        gone = strings + [(a, b) for a, b in passages if len(t[a:b].split()) > 51]
+        want[d] = bytes(c for i, c in enumerate(t) if not any(a <= i < b for a, b in gone)).decode(errors="ignore")
+    stage = dict(corpus_pipeline.STAGES)["repeated_strings"]
+    got = stage(spark, staged(docs, "given"), SF).collect()
+    assert {r.doc_id: r.text or "" for r in got} == want and all(r.n_chars == len(r.text or "") for r in got)
+    assert passage not in "".join(want.values()) and want[2] == texts[2] and want[3] == texts[3] and "r50" not in want[4]
