@@ -53,9 +53,15 @@ def compound(token: str) -> str:
     return f"array_join(transform({runs}, r -> case when {long_hex} then '_HEX_' when r rlike '^[0-9]' and length(r) >= 3 then '_N_' else r end), '')"
 
 
+def _plain(token: str) -> list[str]:
+    """SQL: cases of plain numbers and words, which most tokens are; their results are those of the classes, which needn't be tried one by one."""
+    number = f"when {token} rlike '^[0-9]+$' then if({token} rlike '^[0-9]{{3,}}$', '_N_', {token})"
+    return [number, f"when {token} rlike '^[a-zA-Z]+$' then if(length({token}) >= 8 and {token} rlike '^[a-fA-F]+$', '_HEX_', {token})"]
+
+
 def classified(token: str) -> str:
     """SQL: a token by its class."""
-    cases = []
+    cases = _plain(token)
     for pattern, name in TOKEN_CLASSES:
         p = pattern.replace("\\", "\\\\").replace("'", "\\'")
         if name is None and "a-fA-F][0-9a-fA-F]*$" in pattern:
@@ -144,7 +150,8 @@ def canonical(body: str) -> Column:
 
 def groups(df: DataFrame, keys: Sequence[str], position: str, ts: str, body: str) -> DataFrame:
     """Per key: count, first and last time, and the body that comes first in order."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.min_by(body, position).alias("representative"), F.min(position).alias("first_pos"))
+    first = F.col(body) if body in keys else F.min_by(body, position)  # texts kept in aggregates make Spark sort the rows
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), first.alias("representative"), F.min(position).alias("first_pos"))
 
 
 def merged_groups(exact: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -190,7 +197,7 @@ def distinct_full(df: DataFrame, position: str, ts: str, body: str, threshold: f
     """
     keys = list(bucket)
     exact = groups(df, [*keys, body], position, ts, body)
-    merged = merged_groups(exact.withColumn("__form", F.coalesce(canonical(body), F.lit(""))), [*keys, "__form"])
+    merged = merged_groups(exact.withColumn("__form", F.coalesce(canonical(body), F.lit(""))), [*keys, "__form"]).persist()  # read several times: forms are costly
     alone = merged.filter("n = 1")
     name = F.to_json(F.struct(*keys)) if keys else F.lit("")
     found = templates.assigned(alone.select(name.alias("bucket"), F.col("first_pos").alias("pos"), F.col("__form").alias("body")), threshold, depth, delimiters)

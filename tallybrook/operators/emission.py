@@ -137,6 +137,7 @@ def distinct(flat: DataFrame, matcher: str = "hash2", bucket: str = "global", th
     plain = merged.select(*keys, *_KEPT, text.alias("template"), number.alias("cluster"), F.col("form").alias("signed"))
     if matcher == "hash2":
         return plain
+    plain = plain.persist()  # mining reads it several times, and each time would make all forms again
     alone = ordering.numbered(plain.filter("n = 1").drop("template", "cluster").withColumn("__seq", F.col("first_pos.seq")), ["__seq", "first_pos"], out="__no").drop("__seq")
     name = F.to_json(F.struct(*keys)) if keys else F.lit("")
     found = templates.assigned(alone.select(name.alias("bucket"), F.col("__no").alias("pos"), F.col("form").alias("body")), threshold, depth, delimiters)

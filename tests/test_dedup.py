@@ -109,6 +109,35 @@ def test_whole_chain_mines_only_what_is_alone(spark):
     assert any(g[5] and "<*>" in g[5] and g[1] == 2 for g in got)
 
 
+def test_whole_chain_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        seen.add(1)
+        return f"user{i} id={i * 7} took{i} k={i % 9}"
+
+    df = spark.range(300).repartition(3).select(F.col("id").alias("seq"), F.col("id").alias("ts"), body("id").alias("body"))
+    assert sum(r.n for r in dedup.distinct_full(df, "seq", "ts", "body", 0.6).collect()) == 300 and seen.value == 300
+
+
+def test_groups_of_equal_bodies_are_not_sorted(spark):
+    plan = dedup.groups(frame(spark, "PPQ"), ["body"], "pos", "ts", "body")._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_plain_tokens_are_of_the_class_that_all_patterns_give(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    tokens = [t for kind in ("0123456789", "abcdefABCDEF", "azAZgG", "0a:.-x/", "12\u2028\u0085", "ab\u2028é", "f0'\"") for _ in range(120) if (t := "".join(rng.choice(kind) for _ in range(rng.randint(1, 20))))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, c string")
+    fast = df.select("i", F.expr(dedup.classified("c")).alias("x"))
+    monkeypatch.setattr(dedup, "_plain", lambda token: [])
+    slow = df.select("i", F.expr(dedup.classified("c")).alias("x"))
+    assert sorted(fast.collect()) == sorted(slow.collect())
+
+
 # ---- templates against plain versions ----
 
 
