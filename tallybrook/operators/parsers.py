@@ -58,6 +58,8 @@ def typed(kind: Column, text: Column) -> Column:
 RANGE_ROWS = 10_000
 #: Snapshots of all traces that every task may hold, and gaps between them that a bin of time may meet.
 POINTS, PER_BIN = 100_000, 64
+#: Gaps between snapshots under 2^45 ns (9.7 hours), in which the clocks drift by under 2^34, are divided in 64 bits; others as decimals, at several times the cost.
+GAP_BITS, DRIFT_BITS = 45, 34
 
 
 def unix_ns(df: DataFrame, clock: DataFrame, ts: str = "ts") -> DataFrame:
@@ -70,11 +72,20 @@ def unix_ns(df: DataFrame, clock: DataFrame, ts: str = "ts") -> DataFrame:
     rows = df.withColumn("__t", F.col(ts))
     found = _by_bins(rows, points) if points.count() <= POINTS else None
     found = _by_order(rows, points) if found is None else found
-    between = F.expr("__a.u + cast((cast(__t - __a.t as decimal(38,0)) * cast(__z.u - __a.u as decimal(19,0))) div cast(__z.t - __a.t as decimal(19,0)) as bigint)")
+    at, gap, gain = "(__t - __a.t)", "(__z.t - __a.t)", "(__z.u - __a.u)"
+    long = F.expr(f"cast((cast({at} as decimal(38,0)) * cast({gain} as decimal(19,0))) div cast({gap} as decimal(19,0)) as bigint)")
+    between = F.col("__a.u") + F.when(F.expr(f"{gap} < {1 << GAP_BITS} and abs({gain} % {gap}) < {1 << DRIFT_BITS}"), _share(at, gap, gain)).otherwise(long)
     value = F.when(F.col("__a").isNull(), F.expr("__z.u - (__z.t - __t)")).when(F.col("__z").isNull() | (F.expr("__z.t = __a.t")), F.expr("__a.u + (__t - __a.t)")).otherwise(between)
     return found.withColumn("unix_ns", F.greatest(value, F.lit(0))).select(*df.columns, "unix_ns")
 
 
+def _share(at: str, gap: str, gain: str) -> Column:
+    """``at * gain div gap`` for 0 <= at < gap in 64 bits: what ``gain`` has over whole gaps is divided in two steps, the high bits of ``at`` first."""
+    low = 62 - GAP_BITS  # what a step leaves is under a gap, so it can be moved up by so many bits
+    high = f"(shiftright({at}, {low}) * ({gain} % {gap}))"
+    return F.expr(f"{at} * ({gain} div {gap}) + ({high} div {gap}) * {1 << low}L + (({high} % {gap}) * {1 << low}L + ({at} & {(1 << low) - 1}L) * ({gain} % {gap})) div {gap}")
+
+
 def _by_bins(rows: DataFrame, points: DataFrame) -> DataFrame | None:
     """``rows`` with their snapshots ``__a`` and ``__z`` (t, u) out of gaps between snapshots, sent to every task by bin; None where a bin meets too many."""
     span = (F.max("__t").cast("double") - F.min("__t").cast("double")) / F.count(F.lit(1))

@@ -23,7 +23,7 @@ def ranged(df: DataFrame, by: str) -> DataFrame:
     """Adds ``__range``, which never falls as ``by`` rises; equal values share a range, nulls come first. Sparse keys and text are fine."""
     kind = df.schema[by].dataType
     if isinstance(kind, T.NumericType):
-        rows, knots = df.agg(F.count(F.lit(1)), F.percentile_approx(by, [i / RANGES for i in range(1, RANGES)])).first()
+        rows, knots = df.agg(F.count(F.lit(1)), _quantiles(by, kind)).first()
         n = min(RANGES, -(-rows // RANGE_ROWS))
         knots = sorted({knots[i * RANGES // n - 1] for i in range(1, n)}) if knots else []
     else:
@@ -31,15 +31,26 @@ def ranged(df: DataFrame, by: str) -> DataFrame:
         n = min(RANGES, -(-rows // RANGE_ROWS))
         some = sorted(r[0] for r in df.select(by).filter(F.col(by).isNotNull()).sample(min(1.0, SAMPLE / rows), 1).limit(2 * SAMPLE).collect()) if n > 1 else []
         knots = sorted({some[i * len(some) // n] for i in range(1, n)}) if some else []
+    return _found(df, by, knots)
 
-    def find(lo: int, hi: int) -> Column:
-        """The number of cut points up to the value, between lo and hi."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(by) < F.lit(knots[mid]), find(lo, mid)).otherwise(find(mid + 1, hi))
 
-    return df.withColumn("__range", F.when(F.col(by).isNull(), -1).otherwise(find(0, len(knots))))
+def _quantiles(by: str, kind: T.DataType) -> Column:
+    """Values that cut rows into ``RANGES`` ranges of about equal depth, null without values. A task's sketch of whole numbers is some 50 KB."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    if not isinstance(kind, T.IntegralType):
+        return F.percentile_approx(by, shares)
+    sketch = F.kll_sketch_agg_bigint(by, F.lit(4 * RANGES))
+    return F.when(F.count(by) > 0, F.kll_sketch_get_quantile_bigint(sketch, F.array(*map(F.lit, shares))))
+
+
+def _found(df: DataFrame, by: str, knots: list) -> DataFrame:
+    """Adds ``__range``, the number of cut points up to the value, -1 for null. Halving steps over one array: a condition for each cut point is too long to be compiled."""
+    points, step = F.array(*map(F.lit, knots)), 1 << len(knots).bit_length()
+    out = df.withColumn("__range", F.lit(0))
+    while knots and (step := step // 2):
+        up = F.col("__range") + step
+        out = out.withColumn("__range", F.when(F.try_element_at(points, up) <= F.col(by), up).otherwise(F.col("__range")))
+    return out.withColumn("__range", F.when(F.col(by).isNull(), -1).otherwise(F.col("__range")))
 
 
 def _with(df: DataFrame, facts: DataFrame, stream: Sequence[str]) -> DataFrame:
@@ -84,6 +95,6 @@ def running(df: DataFrame, stream: Sequence[str], order: Sequence[str], value: C
     kind = totals.schema["__total"].dataType
     totals = totals.select(*stream, "__range", fold("__total").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     rows = _after(rows.withColumn("__value", F.col("__value").cast(kind)), totals, stream, "__value")
-    inner = fold("__value").over(Window.partitionBy(*stream, "__range").orderBy("__first", *sort).rowsBetween(Window.unboundedPreceding, 0 if own else -1)).cast(kind)
+    inner = fold("__value").over(Window.partitionBy("__range", *stream).orderBy("__first", *sort).rowsBetween(Window.unboundedPreceding, 0 if own else -1)).cast(kind)
     rows = rows.withColumn(out, F.coalesce(inner, F.lit(0)) if how == "sum" else inner).filter("__first = 1").drop("__value", "__first")
     return rows if "__range" in df.columns else rows.drop("__range")

@@ -92,16 +92,13 @@ def with_arguments(df: DataFrame, args: DataFrame) -> DataFrame:
 def micros_text(ns: Column) -> Column:
     """A duration in microseconds with one digit, or 'running' below 0.
 
-    Rounded from the double that ns / 1000 is, exactly, halves to even: its fraction times 2^62 is a whole number.
+    Rounded from the double that ns / 1000 is, exactly, halves to even: from 32 ns on its fraction times 2^57 is a whole number, below that it
+    rounds to 0 anyway. Without conditions and in whole numbers, since Spark repeats a column wherever it is used: what is long isn't compiled.
     """
     whole = F.floor(ns / 1000.0)
-    tenths = ((ns / 1000.0 - whole) * F.lit(float(1 << 62))).cast("long").cast("decimal(20,0)") * 10
-    digit = F.floor(tenths / F.lit(1 << 62).cast("decimal(20,0)")).cast("long")
-    rest = tenths - digit.cast("decimal(2,0)") * F.lit(1 << 62).cast("decimal(20,0)")
-    half = F.lit(1 << 61).cast("decimal(20,0)")
-    digit += F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), 1).otherwise(0)
-    whole += F.when(digit == 10, 1).otherwise(0)
-    return F.when(ns < 0, "running").otherwise(F.concat(whole.cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit("us")))
+    tenths = ((ns / 1000.0 - whole) * F.lit(float(1 << 57))).cast("long") * 10
+    digit = F.shiftright(tenths + F.lit((1 << 56) - 1) + F.shiftright(tenths, 57) % 2, 57)
+    return F.when(ns < 0, "running").otherwise(F.concat((whole + (digit == 10).cast("long")).cast("string"), F.lit("."), (digit % 10).cast("string"), F.lit("us")))
 
 
 def _attributes(group: str, **values: Column) -> Column:

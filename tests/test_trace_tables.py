@@ -2,11 +2,13 @@
 
 import json
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.operators import parsers
+from tallybrook.operators import parsers, ranges
 from tallybrook.sources import otlp
 from tallybrook.sources import trace_tables as traced
 
@@ -69,6 +71,42 @@ def test_places_move_rows_once_and_without_attributes(spark, clock):
     assert [r.place for r in traced.placed(found).orderBy("id").collect()] == [*range(1, 10)]
 
 
+def code_sizes(spark, df):
+    """Bytes of the longest generated method of each stage; the virtual machine doesn't compile methods from 8,000 on."""
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen"))]
+
+
+def test_texts_and_cut_points_are_short_enough_to_be_compiled(spark, monkeypatch):
+    states = spark.range(2000).select("id", F.col("id").alias("ts"), F.col("id").alias("dur"), F.lit("R").alias("state"), F.col("id").alias("utid"))
+    sizes = code_sizes(spark, traced.typed(states, "thread_state").select("trace", "id", traced._thread_state()[0].alias("body")))
+    assert sizes and max(sizes) < 4000
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 1)
+    found = ranges.ranged(states.select(F.when(F.col("id") % 100 != 0, F.col("id") * 7 % 1999).alias("at")), "at")
+    sizes = code_sizes(spark, found)
+    assert sizes and max(sizes) < 4000
+    got = sorted(((r.at, r["__range"]) for r in found.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:])) and {r for at, r in got if at is None} == {-1}
+    assert len({r for _, r in got}) > 400 and max(Counter(r for _, r in got if r >= 0).values()) < 40
+
+
+def test_gaps_of_the_clock_are_divided_in_64_bits_up_to_their_limits(spark, monkeypatch):
+    rng, cases = random.Random(8), []
+    for gap in (1, 7, (1 << 45) - 1, *(rng.randrange(1, 1 << 45) for _ in range(40))):
+        for drift in (0, 1, min(gap, 1 << 34) - 1, rng.randrange(min(gap, 1 << 34))):
+            for sign, whole in ((1, 0), (1, 1), (-1, 1), (1, 3 << 15), (-1, 0)):
+                cases += [(at, gap, sign * (whole * gap + drift)) for at in (0, gap - 1, rng.randrange(gap))]
+    got = spark.createDataFrame(cases, "at long, gap long, gain long").select("*", parsers._share("at", "gap", "gain").alias("got")).collect()
+    assert all(r.got == abs(r.at * r.gain) // r.gap * (1 if r.gain > 0 else -1) for r in got)
+
+    points = [(t, 1_000_000 + t + t * t // 900) for t in range(0, 1000, 9)]
+    clock = traced.realtime(make(spark, "clock_snapshot", [("a", t, "REALTIME", u) for t, u in points]))
+    rows = spark.range(-20, 1020).select(F.lit("a").alias("trace"), F.col("id").alias("ts"))
+    for bits in (45, 2):  # gaps of 9 as long, then as decimals
+        monkeypatch.setattr(parsers, "GAP_BITS", bits)
+        assert all(r.unix_ns == by_hand(points, r.ts) for r in parsers.unix_ns(rows, clock).collect())
+
+
 def test_totals_hold_no_rows_of_a_range(spark, clock):
     tables = {"instant": make(spark, "instant", [("a", 150, 2, None)]), "thread": make(spark, "thread", [("a", 1, None, None, None, None)])}
     plan = traced.totals(tables, traced.events(tables, clock))._jdf.queryExecution().optimizedPlan().toString()
